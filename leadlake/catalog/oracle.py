@@ -1 +1,610 @@
+"""SQL for the registered queries, written for DuckDB over the same sample tables.
+
+Each statement states the rule directly (often by brute force) and shares no code with the Spark
+plans beyond the fixed values.
+"""
+
+from __future__ import annotations
+
+from leadlake import fixed_values as fv
+
 ORACLES: dict[str, str] = {}
+
+LEADS_AT = "TIMESTAMP '2001-08-02'"
+EVENTS_AT = "TIMESTAMP '2024-01-31'"
+
+
+# --- text building blocks ---------------------------------------------------------------------
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def arr(values) -> str:
+    values = list(values)
+    return "[" + ", ".join(lit(v) for v in values) + "]" if values else "CAST([] AS VARCHAR[])"
+
+
+def dbl(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def rnd(x: str, n: int) -> str:
+    return f"round_even({dbl(x)}, {n})"
+
+
+def pct(part: str, whole: str, n: int = 1) -> str:
+    return rnd(f"CASE WHEN {whole} > 0 THEN {part} / {whole} * 100 ELSE 0 END", n)
+
+
+def n_if(cond: str) -> str:
+    return f"count(*) FILTER (WHERE {cond})"
+
+
+def cleaned(x: str, keep: str = "_-") -> str:
+    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}{keep}]+', ' ', 'g'))"
+
+
+def tokens(x: str) -> str:
+    return (
+        f"list_sort(list_filter(list_distinct(string_split({x}, ' ')), "
+        f"lambda t: length(t) >= 2 AND NOT list_contains({arr(fv.STOP_WORDS)}, t)))"
+    )
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+
+
+def has_any(x: str, choices) -> str:
+    return "(" + " OR ".join(f"contains({x}, {lit(c)})" for c in choices) + ")"
+
+
+def show(x: str) -> str:
+    return f"array_to_string({x}, '|')"
+
+
+def filled(x: str) -> str:
+    return f"coalesce({x} <> '', false)"
+
+
+# --- tables -----------------------------------------------------------------------------------
+K = "CAST(props->>'$.k' AS INT)"
+
+LEADS = """leads AS (
+SELECT CAST(c.c_custkey AS BIGINT) AS id,
+ CAST(c.c_custkey % 10 + 1 AS BIGINT) AS user_id,
+ concat(p.p_name, ' ', CAST(c.c_custkey AS VARCHAR), CASE WHEN c.c_custkey % 6 = 0 THEN ' Ltda' ELSE '' END) AS company,
+ CASE WHEN c.c_custkey % 8 = 0 THEN NULL ELSE c.c_name END AS contact,
+ CASE WHEN c.c_custkey % 3 = 0 THEN NULL
+      WHEN c.c_custkey % 7 = 0 THEN concat('user', CAST(c.c_custkey AS VARCHAR), '@gmail.com')
+      WHEN c.c_custkey % 11 = 0 THEN concat('noreply@site', CAST(c.c_custkey AS VARCHAR), '.com')
+      ELSE concat('c', CAST(c.c_custkey AS VARCHAR), '@', lower(c.c_mktsegment), '.com.br') END AS email,
+ CASE WHEN c.c_custkey % 4 = 0 THEN NULL
+      ELSE concat('(', CAST(11 + c.c_custkey % 89 AS VARCHAR), ') 9', lpad(CAST(c.c_custkey % 10000 AS VARCHAR), 4, '0'), '-', lpad(CAST((c.c_custkey * 7) % 10000 AS VARCHAR), 4, '0')) END AS phone,
+ CASE WHEN c.c_custkey % 5 = 0 THEN NULL
+      WHEN c.c_custkey % 13 = 0 THEN concat('https://facebook.com/p', CAST(c.c_custkey AS VARCHAR))
+      ELSE concat('https://www.company', CAST(c.c_custkey % 500 AS VARCHAR), '.com.br') END AS website,
+ CASE WHEN c.c_custkey % 17 = 0 THEN NULL ELSE c.c_mktsegment END AS industry,
+ CASE WHEN c.c_custkey % 19 = 0 THEN NULL ELSE concat(n.n_name, ', ', r.r_name) END AS location,
+ CASE c.c_custkey % 5 WHEN 0 THEN '1-10' WHEN 1 THEN '11-50' WHEN 2 THEN '51-200' WHEN 3 THEN '200+' ELSE NULL END AS employees,
+ CASE c.c_custkey % 4 WHEN 0 THEN 'R$ 1M - R$ 5M' WHEN 1 THEN 'R$ 5M - R$ 20M' WHEN 2 THEN 'R$ 20M - R$ 100M' ELSE NULL END AS revenue,
+ d.text AS description,
+ CAST(floor((c.c_acctbal + 1000) / 110) AS INT) AS score,
+ o.last_order AS created_at, o.last_final AS last_contact,
+ CASE WHEN c.c_custkey % 10 = 0 THEN NULL ELSE o.last_order END AS indexed_at,
+ CASE WHEN o.last_final IS NOT NULL THEN 'Contatado' ELSE 'Novo' END AS status
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+JOIN part p ON p.p_partkey = c.c_custkey
+LEFT JOIN documents d ON d.doc_id = c.c_custkey
+JOIN (SELECT o_custkey, max(o_orderdate) AS last_order, max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) AS last_final FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey
+)"""
+
+SEARCHES = f"""searches AS (
+SELECT event_id AS id, user_id,
+ CASE WHEN {K} % 12 = 0 THEN NULL WHEN {K} % 12 = 1 THEN '' ELSE concat('query ', CAST({K} % 12 AS VARCHAR)) END AS query_text,
+ {K} AS results_count, CAST(floor(value * 4) AS INT) AS response_time_ms,
+ CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS clicked_results,
+ CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS contacted_leads,
+ CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS converted_leads,
+ CASE event_type WHEN 'view' THEN 'hit' WHEN 'error' THEN 'partial' ELSE 'miss' END AS cache_hit, ts AS created_at
+FROM events)"""
+
+INTERACTIONS = f"""interactions AS (
+SELECT event_id AS id, user_id, CAST({K} AS BIGINT) AS lead_id,
+ CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'contact' WHEN 'signup' THEN 'email' WHEN 'error' THEN 'call' ELSE 'convert' END AS interaction_type,
+ ts AS created_at
+FROM events)"""
+
+RAW_LOG = """raw_log AS (
+SELECT p_partkey AS query_id, CASE p_size % 6 WHEN 0 THEN p_name
+ WHEN 1 THEN '"' || p_name || '" ' || lower(p_type)
+ WHEN 2 THEN 'Tech startup em São Paulo: ' || p_name
+ WHEN 3 THEN p_name || ' & the BANK of ' || lower(p_type) || ' RJ'
+ WHEN 4 THEN 'large health-care ' || p_name || ', Brasília!'
+ ELSE p_name || ' for retail in minas mid-size' END AS query_text FROM part)"""
+
+QUERY_LOG = """query_log AS (
+SELECT min(p_partkey) AS query_id, query_text FROM (
+ SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '"' || p_name || '"' ELSE p_name || ' unobtainable' END AS query_text FROM part)
+GROUP BY query_text)"""
+
+POPULAR = "popular AS (SELECT p_name AS query, count(*) AS cnt FROM part GROUP BY p_name)"
+
+INCOMING = """incoming AS (
+SELECT p_partkey AS id, p_partkey % 10 + 1 AS user_id,
+ CASE WHEN p_size % 9 = 0 THEN '' WHEN p_size % 4 = 0 THEN p_name || ' ' || p_partkey || ' Inc.' WHEN p_size % 4 = 1 THEN p_name || ' ' || p_partkey
+  ELSE p_brand || ' ' || p_name || ' ' || p_type || ' Trading House ' || p_partkey END AS company,
+ CASE WHEN p_size % 5 = 0 THEN 'C' || p_partkey || '@building.com.br' WHEN p_size % 5 = 1 THEN 'new' || p_partkey || '@shop.net' END AS email,
+ CASE WHEN p_size % 7 = 0 THEN concat('(', 11 + p_partkey % 89, ') 9', lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0'), '-', lpad(CAST((p_partkey * 7) % 10000 AS VARCHAR), 4, '0')) END AS phone,
+ CASE WHEN p_size % 11 = 0 THEN 'http://company' || (p_partkey % 900) || '.com.br/contact' END AS website,
+ p_type AS industry, CASE WHEN p_size % 2 = 0 THEN p_size || '-' || (p_size * 2) END AS employees,
+ CASE WHEN p_size % 3 = 0 THEN p_size END AS score FROM part)"""
+
+PREFERENCES = """prefs AS (
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS industries,
+ CASE WHEN c_custkey % 7 = 0 THEN '' ELSE n_name || ', ' || r_name END AS locations,
+ CASE WHEN c_custkey % 2 = 0 THEN '51-200' END AS company_size_range,
+ CASE WHEN c_custkey % 6 = 0 THEN '' WHEN c_custkey % 6 = 1 THEN 'R$ 5M - R$ 20M' END AS revenue_range,
+ c_custkey % 4 AS kind
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0)"""
+
+CHANGES = """raw_changes AS (
+SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1000000 ELSE o_custkey END AS id, o_orderkey AS seq,
+ CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'P' THEN 'create' ELSE 'update' END AS op,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'Order ' || o_orderkey END AS company, CAST(floor(o_totalprice / 5000) AS INT) AS score FROM orders),
+changes AS (SELECT * FROM raw_changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def leads_query(name: str, sql: str, *more: str) -> None:
+    ORACLES[name] = with_(LEADS, *more) + sql
+
+
+QUALIFIED = "(email IS NOT NULL OR phone IS NOT NULL)"
+
+
+def all_set(*names: str) -> str:
+    return "(" + " AND ".join(f"{n} IS NOT NULL" for n in names) + ")"
+
+
+HIGH = f"(coalesce(score > 70, false) OR {all_set('email', 'phone', 'industry', 'location')})"
+FULL = all_set("email", "phone", "industry")
+HARD = "(industry IS NULL OR location IS NULL OR description IS NULL)"
+ROI = f"CASE WHEN count(*) > 0 THEN ({n_if(FULL)} * 500 + ({n_if(QUALIFIED)} - {n_if(FULL)}) * 200 + (count(*) - {n_if(QUALIFIED)}) * 50) / count(*) ELSE 0 END"
+
+# --- lead metrics -----------------------------------------------------------------------------
+WEEK = f"created_at >= {LEADS_AT} - INTERVAL 7 DAY"
+BEFORE = f"created_at >= {LEADS_AT} - INTERVAL 14 DAY AND created_at < {LEADS_AT} - INTERVAL 7 DAY"
+GROWTH = rnd(f"CASE WHEN {n_if(BEFORE)} > 0 THEN ({n_if(WEEK)} - {n_if(BEFORE)}) / {n_if(BEFORE)} * 100 ELSE 0 END", 1)
+leads_query(
+    "dashboard_metrics",
+    f"""SELECT count(*) AS total_leads, {n_if(QUALIFIED)} AS qualified_leads, {pct(n_if(QUALIFIED), 'count(*)')} AS conversion_rate,
+ {rnd(ROI, 0)} AS average_roi, {n_if(HIGH)} AS high_quality_leads, {n_if(WEEK)} AS recent_leads, {GROWTH} AS growth_rate FROM leads""",
+)
+leads_query("average_roi", f"SELECT {dbl(ROI)} AS average_roi FROM leads")
+leads_query(
+    "search_conversion",
+    f"""SELECT {pct(n_if('last_contact IS NOT NULL'), 'count(*)')} AS search_to_contact_rate,
+ {pct(n_if(QUALIFIED), 'count(*)')} AS search_to_qualified_rate,
+ {pct(n_if('company IS NULL AND email IS NULL AND phone IS NULL'), 'count(*)')} AS zero_results_rate FROM leads""",
+)
+
+
+def months_sql(at: str, months: int) -> str:
+    start = f"({at} - INTERVAL {months * 30} DAY)"
+    return f"""found AS (SELECT CAST(year(created_at) AS INT) AS y, CAST(month(created_at) AS INT) AS mo, count(*) AS leads, {n_if(QUALIFIED)} AS qualified
+ FROM leads WHERE created_at >= {start} GROUP BY 1, 2),
+spine AS (SELECT CAST(year({start}) AS INT) AS y, CAST(month({start}) AS INT) AS mo
+ UNION SELECT CAST(year(d) AS INT), CAST(month(d) AS INT) FROM (SELECT unnest(generate_series(date_trunc('month', {start} + INTERVAL 32 DAY), {at}, INTERVAL 1 MONTH)) AS d)),
+series AS (SELECT y, mo, leads, qualified FROM found
+ UNION ALL SELECT y, mo, 0, 0 FROM spine ANTI JOIN found USING (y, mo) WHERE (SELECT count(*) FROM found) < {months})"""
+
+
+MONTH = f"({arr(fv.MONTH_NAMES)})[mo]"
+for name, at, n in (("leads_by_month", LEADS_AT, 6), ("leads_by_month_sparse", "TIMESTAMP '2001-12-30'", 6)):
+    leads_query(name, f"SELECT y AS year, {MONTH} AS month, mo AS month_number, leads, qualified FROM series", months_sql(at, n))
+leads_query("period_trend", "SELECT '90d' AS period, CAST(coalesce(sum(leads), 0) AS BIGINT) AS total_period FROM series", months_sql(LEADS_AT, 6))
+leads_query("industry_breakdown", "SELECT industry, count(*) AS count FROM leads WHERE industry IS NOT NULL GROUP BY industry ORDER BY 2 DESC, 1 LIMIT 10")
+for by in ("industry", "location"):
+    leads_query(
+        f"insights_{by}",
+        f"SELECT {by}, count(*) AS lead_count, {rnd('coalesce(avg(score), 0)', 1)} AS avg_quality_score FROM leads WHERE {by} IS NOT NULL GROUP BY {by} ORDER BY 2 DESC, 1 LIMIT 10",
+    )
+SOURCES = [
+    ("LinkedIn", n_if(all_set("industry", "location", "description"))),
+    ("Google Search", n_if("website IS NOT NULL")),
+    ("Website", n_if("email IS NOT NULL AND phone IS NULL")),
+]
+REST = "greatest(0, count(*) - " + " - ".join(s for _, s in SOURCES) + ")"
+leads_query(
+    "source_metrics",
+    " UNION ALL ".join(
+        f"SELECT {lit(s)} AS source, {e} AS leads, {pct(e, 'count(*)')} AS percentage FROM leads" for s, e in [*SOURCES, ("Referências", REST)]
+    ),
+)
+TIER1 = n_if(all_set("email", "phone", "industry", "location", "description"))
+TIER2 = n_if(f"{QUALIFIED} AND {all_set('industry', 'location')}")
+TIERS = [
+    ("high_quality", "90-100", "Alta Prioridade", TIER1),
+    ("good_quality", "70-89", "Boa Qualidade", f"{TIER2} - {TIER1}"),
+    ("medium_quality", "50-69", "Média Qualidade", f"{n_if(QUALIFIED)} - {TIER2}"),
+    ("low_quality", "0-49", "Baixa Prioridade", f"greatest(0, count(*) - {n_if(QUALIFIED)})"),
+]
+leads_query(
+    "quality_scores",
+    " UNION ALL ".join(f"SELECT {lit(t)} AS tier, {lit(r)} AS range, {lit(lb)} AS label, {e} AS count FROM leads" for t, r, lb, e in TIERS),
+)
+BANDS = [("high_quality", "score >= 80"), ("medium_quality", "score >= 50 AND score < 80"), ("low_quality", "score < 50")]
+leads_query("score_bands", " UNION ALL ".join(f"SELECT {lit(b)} AS band, {n_if(c)} AS count FROM leads" for b, c in BANDS))
+FACETS = {"industries": "industry", "locations": "location", "company_sizes": "employees", "revenue_ranges": "revenue"}
+
+
+def facets_sql(source: str, limits: dict[str, int], where: str = "true") -> str:
+    parts = [
+        f"""SELECT {lit(f)} AS facet, {FACETS[f]} AS value, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, {FACETS[f]}) AS INT) AS rank
+ FROM {source} WHERE {FACETS[f]} IS NOT NULL AND {where} GROUP BY {FACETS[f]} QUALIFY rank <= {n}"""
+        for f, n in limits.items()
+    ]
+    return " UNION ALL ".join(f"({x})" for x in parts)
+
+
+leads_query("facets", facets_sql("leads", {"industries": 20, "locations": 20, "company_sizes": 10, "revenue_ranges": 10}))
+leads_query(
+    "facets_q",
+    facets_sql("leads", {f: 10 for f in FACETS}, "(company ILIKE '%ring%' OR industry ILIKE '%ring%' OR description ILIKE '%ring%')"),
+)
+TYPES = [("Company Name", all_set("company", "description")), ("Industry + Location", all_set("industry", "location"))]
+leads_query(
+    "conversion_by_query_type",
+    " UNION ALL ".join(
+        f"SELECT {lit(t)} AS type, {n_if(c)} AS searches, {n_if(c + ' AND ' + QUALIFIED)} AS conversions, {pct(n_if(c + ' AND ' + QUALIFIED), n_if(c))} AS rate FROM leads HAVING {n_if(c)} > 0"
+        for t, c in TYPES
+    ),
+)
+CONTACTED = n_if("last_contact IS NOT NULL")
+leads_query(
+    "conversion_by_industry",
+    f"""SELECT 'Industry: ' || industry AS query_type, count(*) AS total_searches, {CONTACTED} AS conversions, {pct(CONTACTED, 'count(*)')} AS conversion_rate
+ FROM leads WHERE industry IS NOT NULL GROUP BY industry HAVING count(*) >= 5 ORDER BY 2 DESC, industry LIMIT 5""",
+)
+leads_query(
+    "top_converting_filters",
+    f"""SELECT filter, usage, conversion_rate FROM (
+ (SELECT 0 AS k, 'industry:' || industry AS filter, count(*) AS usage, {pct(n_if(QUALIFIED), 'count(*)')} AS conversion_rate FROM leads WHERE industry IS NOT NULL GROUP BY industry ORDER BY 3 DESC, industry LIMIT 3)
+ UNION ALL (SELECT 1, 'location:' || location, count(*), {pct(n_if(QUALIFIED), 'count(*)')} FROM leads WHERE location IS NOT NULL GROUP BY location ORDER BY 3 DESC, location LIMIT 2))
+ ORDER BY k, usage DESC, filter LIMIT 4""",
+)
+leads_query(
+    "top_converting_filters_variant",
+    f"""(SELECT 'location' AS filter_type, location AS filter_value, {pct(CONTACTED, 'count(*)')} AS conversion_rate, count(*) AS total_leads FROM leads WHERE location IS NOT NULL GROUP BY location HAVING count(*) >= 3 ORDER BY 4 DESC, 2 LIMIT 3)
+ UNION ALL (SELECT 'company_size', employees, {pct(CONTACTED, 'count(*)')}, count(*) FROM leads WHERE employees IS NOT NULL GROUP BY employees HAVING count(*) >= 3 ORDER BY 4 DESC, 2 LIMIT 2)""",
+)
+COVERAGE = "CASE WHEN count(*) > 0 THEN count(indexed_at) / count(*) * 100 ELSE 0 END"
+leads_query(
+    "indexing_status",
+    f"""SELECT count(*) AS total_leads, count(indexed_at) AS indexed_leads, {rnd(COVERAGE, 1)} AS coverage_percent,
+ {n_if(f"indexed_at >= {LEADS_AT} - INTERVAL 24 HOUR")} AS recent_indexed_24h, CASE WHEN {COVERAGE} > 90 THEN 'healthy' ELSE 'needs_attention' END AS status FROM leads""",
+)
+leads_query(
+    "indexing_coverage",
+    f"""SELECT count(*) AS total_leads, count(indexed_at) AS indexed_leads, count(*) - count(indexed_at) AS unindexed_leads, {rnd(COVERAGE, 1)} AS indexing_coverage,
+ max(indexed_at) AS last_index_update, CASE WHEN {COVERAGE} > 95 THEN 'healthy' ELSE 'needs_attention' END AS status FROM leads""",
+)
+leads_query(
+    "hourly_trend",
+    """SELECT lpad(CAST(h AS VARCHAR), 2, '0') || ':00' AS hour, 2 * (SELECT count(*) FROM leads WHERE CAST(created_at AS DATE) = DATE '2001-08-01' AND hour(created_at) = h) AS searches
+ FROM (SELECT unnest(range(24)) AS h)""",
+)
+leads_query(
+    "missing_fields",
+    f"""SELECT count(*) AS total_leads, {n_if('industry IS NULL')} AS without_industry, {n_if('location IS NULL')} AS without_location,
+ {n_if(HARD)} AS incomplete_leads, {n_if(HARD)} > count(*) * 0.2 AS needs_completion FROM leads""",
+)
+leads_query(
+    "contact_performance",
+    f"""SELECT count(*) AS total_leads, {n_if(QUALIFIED)} AS qualified_leads, CAST(floor({n_if(QUALIFIED)} * {dbl(0.8)}) AS BIGINT) AS emails_sent,
+ CAST(floor({n_if(QUALIFIED)} * {dbl(0.3)}) AS BIGINT) AS calls_made FROM leads""",
+)
+leads_query(
+    "lead_flags",
+    f"""SELECT id, {QUALIFIED} AS qualified, {HIGH} AS high_quality, (company IS NULL AND email IS NULL AND phone IS NULL) AS blank,
+ {HARD} AS hard_to_find, last_contact IS NOT NULL AS contacted FROM leads""",
+)
+
+# --- filters ----------------------------------------------------------------------------------
+leads_query(
+    "lead_listing",
+    """SELECT id, company, industry, location, created_at FROM leads WHERE industry ILIKE '%build%' AND status = 'Contatado' AND location ILIKE '%a%'
+ ORDER BY created_at DESC, id LIMIT 50 OFFSET 10""",
+)
+leads_query(
+    "filter_search",
+    """SELECT id, company, industry, location, employees, revenue FROM leads WHERE industry ILIKE '%machinery%' AND location ILIKE '%asia%'
+ AND employees ILIKE '%51-200%' AND revenue ILIKE '%R$ 5M%'""",
+)
+
+
+def text_like(pattern: str) -> str:
+    return "(" + " OR ".join(f"coalesce({c} ILIKE '%{pattern}%', false)" for c in ("company", "description", "industry")) + ")"
+
+
+leads_query("keyword_filter", f"SELECT id, company, industry FROM leads WHERE {text_like('the')} AND {text_like('r_ng')}")
+leads_query("text_filter", f"SELECT id, company FROM leads WHERE {text_like('widget')}")
+leads_query("company_prefix", "SELECT id, company FROM leads WHERE company ILIKE 'SMALL r%'")
+leads_query("lead_lookup", "SELECT id, user_id, company, email, score FROM leads WHERE id = 42")
+HEADS = "TRY_CAST(regexp_extract(employees, '([0-9]+)', 1) AS BIGINT)"
+ORACLES["scrape_filter"] = with_(INCOMING) + (
+    f"SELECT id, (company = '' OR coalesce({HEADS} < 10, false) OR coalesce({HEADS} > 60, false)) AS skip, {HEADS} AS head_count FROM incoming"
+)
+
+# --- index ------------------------------------------------------------------------------------
+META = rf"""meta0 AS (SELECT *, {cleaned('company')} AS c1, {cleaned('description')} AS c2, {cleaned('industry')} AS c3, {cleaned('location')} AS c4 FROM leads),
+meta1 AS (SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(c2, '[\p{{L}}\p{{N}}_]*[0-9][\p{{L}}\p{{N}}_]*'),
+  lambda t: length(t) >= 3 AND NOT list_contains({arr(fv.STOP_WORDS)}, t))))[1:10] AS kw FROM meta0),
+meta2 AS (SELECT *, array_to_string(list_filter([c1, c2, c3, c4, array_to_string(kw, ' '), contact, email, website], lambda x: x IS NOT NULL AND x <> ''), ' ') AS searchable_text FROM meta1),
+meta AS (SELECT *, {tokens('c1')} AS ct, {tokens('c3')} AS it, {tokens('c4')} AS lt, {tokens('searchable_text')} AS toks FROM meta2),
+keyed AS (SELECT *, list_distinct(list_concat(list_transform(toks, lambda t: lower(t)), kw,
+  CASE WHEN len(it) > 0 THEN ['industry:' || it[1]] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(lt) > 0 THEN ['location:' || lt[1]] ELSE CAST([] AS VARCHAR[]) END)) AS keys FROM meta)"""
+POSTINGS = "postings AS (SELECT unnest(keys) AS token, id AS lead_id FROM keyed)"
+leads_query(
+    "index_metadata",
+    f"SELECT id, searchable_text, {show('ct')} AS company_tokens, {show('it')} AS industry_tokens, {show('lt')} AS location_tokens, {show('kw')} AS keywords, {show('toks')} AS all_tokens FROM meta",
+    META,
+)
+leads_query("postings", "SELECT token, lead_id FROM postings", META, POSTINGS)
+leads_query(
+    "posting_lists",
+    "SELECT token, lead_id // 4096 AS chunk, CAST(count(*) AS INT) AS n_leads, min(lead_id) AS first_id, max(lead_id) AS last_id FROM postings GROUP BY 1, 2",
+    META,
+    POSTINGS,
+)
+leads_query("token_intersection", "SELECT id AS lead_id FROM keyed WHERE list_has_all(keys, ['small', 'ring', 'industry:building'])", META)
+leads_query(
+    "index_stats", f"SELECT count(*) AS total_leads, {n_if('len(keys) > 0')} AS indexed_leads, {n_if('len(keys) = 0')} AS failed_leads FROM keyed", META
+)
+leads_query("incremental_index", "SELECT id AS lead_id, CAST(len(keys) AS BIGINT) AS n_tokens FROM keyed WHERE indexed_at IS NULL", META)
+leads_query(
+    "index_removal",
+    "SELECT token, count(*) AS n_leads FROM postings WHERE lead_id NOT IN (SELECT id FROM changes WHERE op = 'delete') GROUP BY token",
+    META,
+    POSTINGS,
+    CHANGES,
+)
+
+# --- search -----------------------------------------------------------------------------------
+FIELD_WEIGHTS = fv.TEXT_FIELD_WEIGHTS
+QUALITY = "(" + " + ".join(f"CASE WHEN coalesce(trim({c}) <> '', false) THEN 1 ELSE 0 END" for c in fv.QUALITY_FIELDS) + ")"
+AGE = f"floor((epoch_us({LEADS_AT}) - epoch_us(created_at)) / 86400000000)"
+FRESH = f"CASE WHEN created_at IS NULL THEN 0.0 WHEN {AGE} <= 7 THEN 1.0 WHEN {AGE} <= 30 THEN 0.8 WHEN {AGE} <= 90 THEN 0.5 ELSE 0.2 END"
+FTS_TOKENS = tokens("(c1 || ' ' || c2)")
+
+
+def text_sum(terms: list[str], phrases: list[str]) -> str:
+    parts = [dbl(0)]
+    for name, w in FIELD_WEIGHTS:
+        text = f"lower(coalesce({name}, ''))"
+        for t in terms:
+            parts.append(
+                f"CASE WHEN contains({text}, {lit(t)}) THEN {dbl(w)} * CASE WHEN starts_with({text}, {lit(t)}) THEN {dbl(0.8)} ELSE {dbl(0.5)} END ELSE {dbl(0)} END"
+            )
+        for p in phrases:
+            parts.append(f"CASE WHEN contains({text}, {lit(p)}) THEN {dbl(w)} ELSE {dbl(0)} END")
+    return "least(" + " + ".join(parts) + f", {dbl(1)})"
+
+
+def text_why(terms: list[str], phrases: list[str]) -> list[str]:
+    out = []
+    for name, _ in FIELD_WEIGHTS:
+        text = f"lower(coalesce({name}, ''))"
+        out += [f"CASE WHEN contains({text}, {lit(t)}) THEN {lit(f'''Term '{t}' found in {name}''')} END" for t in terms]
+        out += [f"CASE WHEN contains({text}, {lit(p)}) THEN {lit(f'''Phrase '{p}' found in {name}''')} END" for p in phrases]
+    return out
+
+
+def search_sql(
+    terms=(), phrases=(), industry=None, location=None, size=None, limit=20, offset=0, order="relevance", liked=((), ()), weights=None
+) -> str:
+    """Brute-force ranking; rows (position, lead columns, relevance_score, why) in CTE "page"."""
+    weights = weights or fv.PREFERENCE_WEIGHTS
+    terms, phrases = sorted(terms), list(phrases)
+    w = {c: dbl(weights.get(c, d)) for c, d in fv.COMPONENT_WEIGHTS.items()}
+    conds = [f"coalesce({c} ILIKE '%{v}%', false)" for c, v in (("industry", industry), ("location", location), ("employees", size)) if v]
+    where = " AND ".join(conds) or "true"
+    ind = f"CASE WHEN NOT {filled('industry')} THEN 0"
+    ind_why = f"CASE WHEN NOT {filled('industry')} THEN NULL"
+    loc = f"CASE WHEN NOT {filled('location')} THEN 0"
+    loc_why = f"CASE WHEN NOT {filled('location')} THEN NULL"
+    siz, siz_why = f"CASE WHEN NOT {filled('employees')} THEN 0", f"CASE WHEN NOT {filled('employees')} THEN NULL"
+    if industry:
+        ind += f" WHEN lower(industry) = {lit(industry.lower())} THEN 1 WHEN contains(lower(industry), {lit(industry.lower())}) THEN 0.7"
+        ind_why += f" WHEN lower(industry) = {lit(industry.lower())} THEN 'Exact industry match: ' || industry WHEN contains(lower(industry), {lit(industry.lower())}) THEN 'Partial industry match: ' || industry"
+    if location:
+        shared = has_any("lower(location)", location.lower().split())
+        loc += f" WHEN lower(location) = {lit(location.lower())} THEN 1 WHEN {shared} THEN 0.8"
+        loc_why += f" WHEN lower(location) = {lit(location.lower())} THEN 'Exact location match: ' || location WHEN {shared} THEN 'Location proximity: ' || location"
+    if size:
+        part = f"(contains(employees, {lit(size)}) OR contains({lit(size)}, employees))"
+        siz += f" WHEN employees = {lit(size)} THEN 1 WHEN {part} THEN 0.7"
+        siz_why += f" WHEN employees = {lit(size)} THEN 'Exact size match: ' || employees WHEN {part} THEN 'Size range match: ' || employees"
+    if liked[0]:
+        ind += f" WHEN list_contains({arr(liked[0])}, industry) THEN 0.6"
+        ind_why += f" WHEN list_contains({arr(liked[0])}, industry) THEN 'User preferred industry: ' || industry"
+    if liked[1]:
+        loc += f" WHEN list_contains({arr(liked[1])}, location) THEN 0.6"
+        loc_why += f" WHEN list_contains({arr(liked[1])}, location) THEN 'User preferred location: ' || location"
+    every = terms + phrases
+    score = f"least({dbl(0)} + {text_sum(terms, phrases)} * {w['text_relevance']}"
+    score += f" + {dbl(ind + ' ELSE 0 END')} * {w['industry_match']} + {dbl(loc + ' ELSE 0 END')} * {w['location_proximity']}"
+    score += f" + {dbl(siz + ' ELSE 0 END')} * {w['company_size']} + {QUALITY} / 7 * {w['data_quality']} + {dbl(FRESH)} * {w['freshness']}, {dbl(1)})"
+    why = text_why(terms, phrases) + [ind_why + " END", loc_why + " END", siz_why + " END"]
+    why.append(f"CASE WHEN {QUALITY} / 7 > 0.8 THEN 'High data completeness' WHEN {QUALITY} / 7 > 0.5 THEN 'Good data completeness' END")
+    why.append(f"CASE WHEN {AGE} <= 7 THEN 'Very recent lead' WHEN {AGE} <= 30 THEN 'Recent lead' WHEN {AGE} <= 90 THEN 'Moderately recent lead' END")
+    tier = "0"
+    if every:
+        phrase_hit = " OR ".join(f"list_has_all({FTS_TOKENS}, {arr(p.split())})" for p in phrases)
+        hit = [f"list_has_any({FTS_TOKENS}, {arr(terms)})"] if terms else []
+        hit += [phrase_hit] if phrases else []
+        hit += [f"coalesce(company ILIKE '%{every[0]}%', false)", f"coalesce(industry ILIKE '%{every[0]}%', false)"]
+        index = f"WHEN list_has_all(keys, {arr(terms)}) THEN 1" if terms else ""
+        tier = f"CASE {index} WHEN {' OR '.join(hit)} THEN 0 END"
+    by = "indexed_at DESC NULLS LAST, id" if order == "created_at" else "relevance_score DESC, id"
+    return with_(
+        LEADS,
+        META,
+        f"cand AS (SELECT *, {tier} AS tier FROM keyed WHERE {where})",
+        f"ranked AS (SELECT *, {score} AS relevance_score, list_filter([{', '.join(why)}], lambda x: x IS NOT NULL) AS why FROM cand WHERE tier = (SELECT max(tier) FROM cand))",
+        f"capped AS (SELECT *, CAST(row_number() OVER (ORDER BY {by}) AS INT) AS position FROM ranked WHERE relevance_score > 0 QUALIFY position <= 1000)",
+        f"page AS (SELECT * FROM capped WHERE position > {offset} AND position <= {offset + limit})",
+    )
+
+
+SHOW_PAGE = f"""SELECT position, id, company, {rnd('relevance_score', 6)} AS relevance_score, CAST(floor(relevance_score * 100) AS INT) AS score,
+ CASE WHEN relevance_score > 0.8 THEN 'Alta' ELSE 'Média' END AS priority, {show('why')} AS match_reasons FROM page"""
+# "small" in the text also implies the company size 1-10.
+SMALL_RING = dict(terms=["small", "ring"], industry="BUILDING", size="1-10")
+ORACLES["search_ranked"] = search_sql(**SMALL_RING) + SHOW_PAGE
+ORACLES["search_with_postings"] = ORACLES["search_ranked"]
+ORACLES["search_by_index_time"] = search_sql(**SMALL_RING, limit=30, offset=5, order="created_at") + SHOW_PAGE
+ORACLES["search_full_text"] = search_sql(["widget", "unobtainable"], ["hot gear"], location="europe", limit=50) + SHOW_PAGE
+ORACLES["search_personal"] = (
+    search_sql(
+        ["blue"],
+        limit=100,
+        liked=(["BUILDING", "MACHINERY"], ["CHINA, ASIA", "BRAZIL, AMERICA"]),
+        weights={"industry_match": 0.5, "text_relevance": 0.3, "location_proximity": 0.2},
+    )
+    + SHOW_PAGE
+)
+ORACLES["result_facets"] = search_sql(**SMALL_RING, limit=500) + facets_sql("page", {"industries": 5, "locations": 5, "company_sizes": 5})
+ORACLES["advanced_search"] = search_sql(["gear"], industry="MACHINERY", size="11-50") + SHOW_PAGE
+ORACLES["advanced_search_labels"] = (
+    search_sql(["gear"], industry="MACHINERY", size="11-50", location="ASIA")
+    + "SELECT count(*) AS total_results, 'high' AS query_complexity, CASE WHEN max_by(relevance_score, -position) > 0.8 THEN 'high' ELSE 'medium' END AS result_quality FROM page"
+)
+
+
+def fts_sql(cond: str, where: str = "true") -> str:
+    return with_(LEADS, META) + f"SELECT id, company FROM keyed WHERE {where} AND ({cond})"
+
+
+ORACLES["candidates_fts"] = fts_sql(
+    f"list_has_any({FTS_TOKENS}, ['red', 'bolt']) OR coalesce(company ILIKE '%bolt%', false) OR coalesce(industry ILIKE '%bolt%', false)",
+    "coalesce(industry ILIKE '%auto%', false)",
+)
+ORACLES["candidates_fts_all"] = fts_sql(
+    f"list_has_all({FTS_TOKENS}, ['red', 'bolt']) OR coalesce(company ILIKE '%bolt%', false) OR coalesce(industry ILIKE '%bolt%', false)"
+)
+
+
+def word_case(groups, text: str) -> str:
+    cases = " ".join(
+        rf"WHEN regexp_matches({text}, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)})($|[^\p{{L}}\p{{N}}_])') THEN {lit(v)}" for v, ws in groups
+    )
+    return f"CASE {cases} END"
+
+
+def parsed(source: str) -> str:
+    return rf"""log0 AS (SELECT query_id, query_text, {cleaned('query_text', '_"-')} AS q FROM {source}),
+log AS (SELECT query_id, query_text, {tokens('''regexp_replace(q, '"[^"]*"', '', 'g')''')} AS terms, regexp_extract_all(q, '"([^"]*)"', 1) AS phrases,
+ {word_case(fv.IMPLICIT_INDUSTRIES, 'q')} AS industry, {word_case(fv.IMPLICIT_LOCATIONS, 'q')} AS location, {word_case(fv.IMPLICIT_SIZES, 'q')} AS company_size FROM log0)"""
+
+
+ORACLES["parse_query_log"] = with_(RAW_LOG, parsed("raw_log")) + (
+    f"SELECT query_id, {show('terms')} AS terms, {show('phrases')} AS phrases, industry, location, company_size FROM log"
+)
+N_FILTERS = "(CAST(industry IS NOT NULL AS INT) + CAST(location IS NOT NULL AS INT) + CAST(company_size IS NOT NULL AS INT))"
+OPT = f"CAST(least(50 + least(len(terms) * 10, 30) + len(phrases) * 15 + {N_FILTERS} * 10, 100) AS INT)"
+ORACLES["query_analysis"] = with_(RAW_LOG, parsed("raw_log"), f"scored AS (SELECT *, {N_FILTERS} AS n_filters, {OPT} AS s FROM log)") + (
+    f"""SELECT query_id, {show('terms')} AS terms, n_filters, s AS optimization_score,
+ CASE WHEN s > 70 THEN 'fast' WHEN s > 40 THEN 'medium' ELSE 'slow' END AS expected_speed,
+ CASE WHEN len(terms) <= 3 AND len(phrases) = 0 THEN 'high' ELSE 'medium' END AS cache_likelihood,
+ CASE WHEN s > 60 THEN 'high' ELSE 'medium' END AS result_quality,
+ array_to_string(list_filter([CASE WHEN len(terms) = 1 AND len(phrases) = 0 AND n_filters = 0 THEN 'specificity' END,
+  CASE WHEN len(terms) > 5 THEN 'simplification' END, 'location_filter', 'industry_filter'], lambda x: x IS NOT NULL), '|') AS suggestions FROM scored"""
+)
+SUM_TEXT = "list_reduce(list_concat([{zero}], {parts}), lambda a, b: a + b)"
+_parts = []
+for _name, _w in FIELD_WEIGHTS:
+    _t = f"lower(coalesce({_name}, ''))"
+    _parts.append(
+        f"list_transform(terms, lambda t: CASE WHEN contains({_t}, t) THEN {dbl(_w)} * CASE WHEN starts_with({_t}, t) THEN {dbl(0.8)} ELSE {dbl(0.5)} END ELSE {dbl(0)} END)"
+    )
+    _parts.append(f"list_transform(phrases, lambda t: CASE WHEN contains({_t}, t) THEN {dbl(_w)} ELSE {dbl(0)} END)")
+BATCH_TEXT = f"least(list_reduce(list_concat([{dbl(0)}], {', '.join(_parts)}), lambda a, b: a + b), {dbl(1)})"
+WEIGHTS = {c: dbl(fv.PREFERENCE_WEIGHTS.get(c, x)) for c, x in fv.COMPONENT_WEIGHTS.items()}
+BATCH_SIZE = "CASE WHEN company_size IS NULL OR NOT coalesce(employees <> '', false) THEN 0 WHEN employees = company_size THEN 1 WHEN contains(employees, company_size) OR contains(company_size, employees) THEN 0.7 ELSE 0 END"
+BATCH_SCORE = (
+    f"least({dbl(0)} + {BATCH_TEXT} * {WEIGHTS['text_relevance']} + {dbl(0)} * {WEIGHTS['industry_match']} + {dbl(0)} * {WEIGHTS['location_proximity']}"
+    f" + {dbl(BATCH_SIZE)} * {WEIGHTS['company_size']} + {QUALITY} / 7 * {WEIGHTS['data_quality']} + {dbl(FRESH)} * {WEIGHTS['freshness']}, {dbl(1)})"
+)
+ORACLES["search_batch"] = with_(
+    LEADS,
+    META,
+    QUERY_LOG,
+    parsed("query_log"),
+    f"stored AS (SELECT * EXCLUDE (location, industry), location AS lead_location, industry AS lead_industry, {FTS_TOKENS} AS fts FROM keyed)",
+    """pairs AS (SELECT log.query_id, log.query_text, log.terms, log.phrases, log.company_size, stored.*, stored.lead_industry AS industry, stored.lead_location AS location,
+ CASE WHEN len(terms) > 0 AND list_has_all(keys, terms) THEN 1
+  WHEN list_has_any(fts, terms) OR len(list_filter(phrases, lambda p: list_has_all(fts, string_split(p, ' ')))) > 0
+   OR coalesce(company ILIKE '%' || list_concat(terms, phrases)[1] || '%', false) OR coalesce(lead_industry ILIKE '%' || list_concat(terms, phrases)[1] || '%', false) THEN 0 END AS tier
+ FROM log, stored WHERE company_size IS NULL OR coalesce(employees ILIKE '%' || company_size || '%', false))""",
+    "best AS (SELECT * FROM pairs WHERE tier IS NOT NULL QUALIFY tier = max(tier) OVER (PARTITION BY query_id))",
+    f"ranked AS (SELECT query_id, query_text, id, {BATCH_SCORE} AS s FROM best)",
+) + f"""SELECT query_id, query_text, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS position, id, {rnd('s', 6)} AS relevance_score
+ FROM ranked WHERE s > 0 QUALIFY position <= 20"""
+
+
+def marked(col: str) -> str:
+    text = col
+    for t in ("mark", "ring", "small", "the"):
+        text = f"CASE WHEN contains(lower({col}), '{t}') THEN regexp_replace({text}, '{t}', '<mark>{t}</mark>', 'gi') ELSE {text} END"
+    return f"CASE WHEN contains({text}, '<mark>') THEN {text} END"
+
+
+leads_query("highlights", "SELECT id, " + ", ".join(f"{marked(c)} AS h_{c}" for c in fv.HIGHLIGHT_FIELDS) + " FROM leads")
+TOP_POPULAR = "SELECT query FROM popular ORDER BY cnt DESC, query DESC LIMIT {n}"
+SUGGEST = """sug AS (SELECT CAST(row_number() OVER (ORDER BY src, w, text) AS INT) AS position, text FROM (
+ SELECT text, min(src) AS src, min_by(w, src) AS w FROM (
+  SELECT 0 AS src, -cnt AS w, query AS text FROM (SELECT * FROM popular ORDER BY cnt DESC, query DESC LIMIT 50) WHERE starts_with(lower(query), '{low}')
+  UNION ALL (SELECT DISTINCT 1, 0, company FROM leads WHERE company ILIKE '{low}%' ORDER BY company LIMIT {n})
+  UNION ALL (SELECT DISTINCT 2, 0, industry FROM leads WHERE industry ILIKE '{low}%' ORDER BY industry LIMIT {n})) GROUP BY text)
+ QUALIFY position <= {n})"""
+leads_query("suggestions", "SELECT position, text FROM sug", POPULAR, SUGGEST.format(low="re", n=12))
+leads_query(
+    "typed_suggestions",
+    """SELECT CAST(row_number() OVER (ORDER BY b, n) AS INT) AS position, text, type, description FROM (
+ SELECT 0 AS b, position AS n, text, 'text' AS type, 'Buscar por: ' || text AS description FROM sug WHERE position <= 5
+ UNION ALL SELECT 1, n, text, type, description FROM (
+  SELECT *, row_number() OVER (ORDER BY k, text) AS n FROM (
+   (SELECT DISTINCT 0 AS k, industry AS text, 'industry' AS type, 'Buscar por indústria: ' || industry AS description FROM leads WHERE industry ILIKE '%bu%' ORDER BY text LIMIT 3)
+   UNION ALL (SELECT DISTINCT 1, location, 'location', 'Buscar por localização: ' || location FROM leads WHERE location ILIKE '%bu%' ORDER BY location LIMIT 3)
+   UNION ALL (SELECT DISTINCT 2, company, 'company', 'Empresa: ' || company FROM leads WHERE company ILIKE '%bu%' ORDER BY company LIMIT 3))
+  WHERE text NOT IN (SELECT text FROM sug)) WHERE n <= 5) QUALIFY position <= 10""",
+    POPULAR,
+    SUGGEST.format(low="bu", n=10),
+)
+ORACLES["related_queries"] = with_(RAW_LOG, parsed("raw_log"), POPULAR, "pool AS (SELECT list(query ORDER BY cnt DESC, query) AS qs FROM (SELECT * FROM popular ORDER BY cnt DESC, query DESC LIMIT 10))") + (
+    """SELECT query_id, array_to_string(list_filter(qs, lambda p: len(list_filter(terms, lambda t: contains(lower(p), t))) > 0)[1:5], '|') AS related_queries FROM log, pool"""
+)
+ORACLES["estimated_results"] = with_(
+    LEADS,
+    RAW_LOG,
+    parsed("raw_log"),
+    "terms AS (SELECT DISTINCT unnest(terms) AS term FROM log)",
+    """counted AS (SELECT term, (SELECT count(*) FROM leads WHERE coalesce(company ILIKE '%' || term || '%', false) OR coalesce(industry ILIKE '%' || term || '%', false)
+ OR coalesce(description ILIKE '%' || term || '%', false)) AS n FROM terms)""",
+    "asked AS (SELECT query_id, query_text, unnest(CASE WHEN len(terms) > 0 THEN terms ELSE [NULL] END) AS term FROM log)",
+) + """SELECT query_id, query_text, least(coalesce(max(n), 0), 1000) AS estimated_results FROM asked LEFT JOIN counted USING (term) GROUP BY 1, 2"""
+_EXPAND = []
+for _stem, _extra in fv.QUERY_EXPANSIONS:
+    _EXPAND.append(
+        f"CASE WHEN contains(lower(q), {lit(_stem)}) THEN list_transform(list_filter({arr(_extra)}, lambda t: NOT contains(lower(q), t)), lambda t: q || ' ' || t) ELSE CAST([] AS VARCHAR[]) END"
+    )
+_EXPAND.append(f"CASE WHEN {has_any('lower(q)', fv.EXPANSION_CITIES)} THEN [q || ' centro', q || ' zona sul'] ELSE CAST([] AS VARCHAR[]) END")
+ORACLES["query_expansion"] = with_(RAW_LOG, "texts AS (SELECT query_id, query_text || ' cont rest' AS q FROM raw_log)") + (
+    f"SELECT query_id, array_to_string(list_concat({', '.join(_EXPAND)})[1:5], '|') AS expanded FROM texts"
+)
+ORACLES["query_dedup"] = with_(RAW_LOG) + "SELECT count(*) AS n, min(query_id) AS first_query FROM raw_log GROUP BY lower(query_text)"

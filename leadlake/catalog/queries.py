@@ -708,9 +708,9 @@ def comprehensive_report(spark, sf):
 
 # --- streams ----------------------------------------------------------------------------------
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table as a stream of files. The pattern makes a single file work like a folder."""
     schema = d.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
 @query

@@ -37,6 +37,16 @@ def blank_to_null(col: Column) -> Column:
     return F.when(col != "", col)
 
 
+def keep_if(value: Column, test) -> Column:
+    """``value`` if it passes ``test``, else null; evaluated once however often the test mentions it."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
+def match(text: Column, pattern: str, group: int = 1) -> Column:
+    """First match of a pattern, null when there is none or it is empty."""
+    return keep_if(F.regexp_extract(text, pattern, group), lambda v: v != "")
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """Share of ``whole`` in percent, half-even rounded; 0 when there is no whole."""
     return F.bround(F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0)), digits)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from leadlake import fixed_values as fv
 from leadlake.functions.common import (
     any_of,
-    blank_to_null,
     contains_any,
     filled,
+    keep_if,
+    let,
+    match,
     str_array,
 )
 from leadlake.functions.text import clean_scrape_text, frequent_words, squeeze_spaces, word_jaccard, words
@@ -35,7 +37,7 @@ def extract_email(text: Column, skip_words: list[str] | None = None) -> Column:
 
 
 def _first_match(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 0)) for p in patterns])
+    return F.coalesce(*[match(text, p, 0) for p in patterns])
 
 
 def extract_phone(text: Column) -> Column:
@@ -75,17 +77,17 @@ def is_valid_business_email(email: Column) -> Column:
 
 
 def url_scheme(url: Column) -> Column:
-    return blank_to_null(F.lower(F.regexp_extract(url, _SCHEME, 1)))
+    return F.lower(match(url, _SCHEME))
 
 
 def url_domain(url: Column) -> Column:
     """Host part in lower case, null when the text has none."""
-    return blank_to_null(F.lower(F.regexp_extract(url, _NETLOC, 1)))
+    return F.lower(match(url, _NETLOC))
 
 
 def url_domain_bare(url: Column) -> Column:
     """Host part without ``www.``, the key for comparing sites."""
-    return blank_to_null(F.replace(url_domain(url), F.lit("www."), F.lit("")))
+    return keep_if(F.replace(url_domain(url), F.lit("www."), F.lit("")), lambda v: v != "")
 
 
 def is_valid_url(url: Column) -> Column:
@@ -111,12 +113,16 @@ def is_business_website(url: Column) -> Column:
 
 def unwrap_redirect(url: Column) -> Column:
     """Target of a search-result redirect (parameter ``uddg``, decoded twice)."""
-    raw = F.regexp_extract(url, r"[?&]uddg=([^&#]*)", 1)
-    once = F.coalesce(F.try_url_decode(raw), raw)
-    # The second decoding must leave "+" alone.
-    guarded = F.replace(once, F.lit("+"), F.lit("%2B"))
-    twice = F.coalesce(F.try_url_decode(guarded), once)
-    return F.when(raw != "", twice).otherwise(url)
+
+    def decoded(raw: Column) -> Column:
+        return F.coalesce(F.try_url_decode(raw), raw)
+
+    def decoded_again(text: Column) -> Column:
+        # The second decoding must leave "+" alone.
+        return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+    target = let(match(url, r"[?&]uddg=([^&#]*)"), lambda raw: let(decoded(raw), decoded_again))
+    return F.coalesce(target, url)
 
 
 def normalize_company(name: Column) -> Column:
@@ -152,11 +158,11 @@ def extract_location_br(text: Column) -> Column:
     tries = []
     for city in fv.CITIES:
         with_state = F.regexp_extract_all(upper, F.lit(rf"{city.upper()}[,\s]*({states})"), F.lit(1))
-        state = _first_listed(with_state, fv.STATES)
+        state = let(with_state, lambda found: _first_listed(found, fv.STATES))
         full = F.coalesce(F.concat(F.lit(f"{city}, "), state), F.lit(city))
         tries.append(F.when(F.contains(upper, F.lit(city.upper())), full))
     bare = F.regexp_extract_all(upper, F.lit(rf"[ ,]({states})"), F.lit(1))
-    return F.coalesce(*tries, _first_listed(bare, fv.STATES))
+    return F.coalesce(*tries, let(bare, lambda found: _first_listed(found, fv.STATES)))
 
 
 def extract_location_page(text: Column) -> Column:
@@ -164,14 +170,12 @@ def extract_location_page(text: Column) -> Column:
     city_state = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*),\s*([A-Z]{2})"
     street = r"Rua\s+[^,]+,\s*[^,]+,\s*([^,]+)"
     avenue = r"Av\.\s+[^,]+,\s*[^,]+,\s*([^,]+)"
-    pair = F.concat(
-        blank_to_null(F.regexp_extract(text, city_state, 1)), F.lit(", "), F.regexp_extract(text, city_state, 2)
-    )
+    pair = F.concat(match(text, city_state, 1), F.lit(", "), F.regexp_extract(text, city_state, 2))
     cities = [F.when(F.contains(text, F.lit(c)), F.lit(c)) for c in fv.MAJOR_CITIES]
     return F.coalesce(
         pair,
-        blank_to_null(F.regexp_extract(text, street, 1)),
-        blank_to_null(F.regexp_extract(text, avenue, 1)),
+        match(text, street),
+        match(text, avenue),
         *cities,
     )
 
@@ -230,7 +234,7 @@ def headcount(text: Column) -> Column:
     low = F.lower(text)
     result = None
     for word in fv.HEADCOUNT_WORDS:
-        number = blank_to_null(F.regexp_extract(low, rf"([0-9]+[0-9,]*)\s*{word}", 1))
+        number = match(low, rf"([0-9]+[0-9,]*)\s*{word}")
         value = F.concat(F.replace(number, F.lit(","), F.lit("")), F.lit("+"))
         cond = F.contains(low, F.lit(word)) & number.isNotNull()
         result = F.when(cond, value) if result is None else result.when(cond, value)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
-from leadlake.functions.common import all_of, blank_to_null, contains_any, first_group_match
+from leadlake.functions.common import all_of, contains_any, first_group_match, keep_if, let, match
 from leadlake.functions.contact import url_domain
 from leadlake.functions.text import squeeze_spaces
 
@@ -23,16 +24,21 @@ HEADER = r"(?is)<header\b[^>]*>(.*?)</header\s*>"
 TITLE_TAIL = r"(?iu)\s*[-|]\s*(Home|Início|Welcome).*$"
 
 
+# Characters that mean something in markup: decoded only once the tags are gone.
+_MARKUP_REFS = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
+
+
 def _entity_map() -> Column:
-    pairs = []
-    for name, code in name2codepoint.items():
-        pairs += [F.lit(name), F.lit(chr(code))]
-    pairs += [F.lit("apos"), F.lit("'")]
-    return F.create_map(*pairs)
+    """Name to character for every reference that cannot be mistaken for markup, as one literal."""
+    kept = {name: chr(code) for name, code in name2codepoint.items() if name not in ("lt", "gt", "quot", "amp")}
+    return F.from_json(F.lit(json.dumps(kept)), "map<string,string>")
 
 
 def _code_point(number: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32BE")
+    text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32BE")
+    for ref, char in _MARKUP_REFS:
+        text = F.when(number == ord(char), F.lit(ref)).otherwise(text)
+    return text
 
 
 def _decode_piece(piece: Column) -> Column:
@@ -41,29 +47,30 @@ def _decode_piece(piece: Column) -> Column:
     rest = F.substr(piece, F.length(ref) + F.lit(2))
     decimal = F.substr(ref, F.lit(2)).try_cast("int")
     hexadecimal = F.conv(F.substr(ref, F.lit(3)), 16, 10).try_cast("int")
-    plain = F.concat(F.lit("&"), piece)
     number = F.when(F.rlike(ref, F.lit("^#[xX]")), hexadecimal).otherwise(decimal)
     usable = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return (
-        F.when(ref == "", plain)
-        .when(ref == "amp", F.concat(F.lit("&"), rest))
-        .when(
-            F.startswith(ref, F.lit("#")),
-            F.coalesce(F.when(usable, F.concat(_code_point(number), rest)), plain),
-        )
-        .otherwise(F.coalesce(F.concat(F.try_element_at(_entity_map(), ref), rest), plain))
+    char = F.when(F.startswith(ref, F.lit("#")), F.when(usable, _code_point(number))).otherwise(
+        F.try_element_at(_entity_map(), ref)
     )
+    return F.coalesce(F.when(ref != "", F.concat(char, rest)), F.concat(F.lit("&"), piece))
 
 
-def unescape(text: Column) -> Column:
-    """Named and numeric character references decoded."""
-    pieces = F.split(text, "&")
+def decode_references(markup: Column) -> Column:
+    """Markup with named and numeric references decoded, except those of markup characters."""
+    pieces = F.split(markup, "&")
     decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p)))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    return F.when(F.contains(markup, F.lit("&")), F.array_join(decoded, "")).otherwise(markup)
+
+
+def unescape(text: Column) -> Column:
+    """Last step on text taken out of markup: the markup characters themselves, the ampersand last."""
+    for ref, char in _MARKUP_REFS:
+        text = F.replace(text, F.lit(ref), F.lit(char))
+    return text
 
 
 def without_hidden(html: Column) -> Column:
-    """Markup without comments, scripts, styles and declarations."""
+    """Markup without comments, scripts, styles and declarations; see also :func:`decode_references`."""
     return F.regexp_replace(html, HIDDEN_BLOCKS, "")
 
 
@@ -74,25 +81,25 @@ def text_of(markup: Column) -> Column:
 
 def _between(text: Column, low: int, high: int) -> Column:
     """The text if its length is strictly between the bounds."""
-    return F.when((F.length(text) > low) & (F.length(text) < high), text)
+    return keep_if(text, lambda t: (F.length(t) > low) & (F.length(t) < high))
 
 
 def _class_element(markup: Column, name: str) -> Column:
     pattern = (
         rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>"
     )
-    return blank_to_null(F.regexp_extract(markup, pattern, 2))
+    return match(markup, pattern, 2)
 
 
 def _id_element(markup: Column, name: str) -> Column:
     pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\bid\s*=\s*[\"']?{name}[\"'\s>][^>]*>?(.*?)</\1\s*>"
-    return blank_to_null(F.regexp_extract(markup, pattern, 2))
+    return match(markup, pattern, 2)
 
 
 def attribute(tag: Column, name: str) -> Column:
     pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
     value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return unescape(blank_to_null(value))
+    return unescape(keep_if(value, lambda v: v != ""))
 
 
 def _logo_name(markup: Column) -> Column:
@@ -106,12 +113,12 @@ def _logo_name(markup: Column) -> Column:
 
 
 def squeeze_or_null(text: Column) -> Column:
-    return F.when(text.isNotNull(), squeeze_spaces(text))
+    return keep_if(squeeze_spaces(text), lambda t: t != "")
 
 
 def _heading_name(markup: Column) -> Column:
-    h1 = blank_to_null(F.regexp_extract(markup, H1, 1))
-    in_header = blank_to_null(F.regexp_extract(F.regexp_extract(markup, HEADER, 1), H1, 1))
+    h1 = match(markup, H1)
+    in_header = match(F.regexp_extract(markup, HEADER, 1), H1)
     found = [h1, _class_element(markup, "company-name"), _class_element(markup, "brand-name"), in_header]
     return F.coalesce(*[_between(squeeze_or_null(text_of(m)), 2, 100) for m in found])
 
@@ -176,38 +183,40 @@ def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on the page ``base``."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    no_fragment = F.regexp_extract(base, r"^([^#]*)", 1)
-    no_query = F.regexp_extract(base, r"^([^?#]*)", 1)
-    base_path = F.substr(no_query, F.length(root) + 1)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, r"^(.*/)", 1))
+    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*/)", 1)
     path = F.regexp_extract(href, r"^([^?#]*)", 1)
-    tail = F.substr(href, F.length(path) + 1)
+    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
         F.when(href == "", base)
         .when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("#")), F.concat(no_fragment, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(no_query, href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, _resolve_path(path), tail))
-        .otherwise(F.concat(root, _resolve_path(F.concat(folder, path)), tail))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, let(path, _resolve_path), tail))
+        .otherwise(
+            let(
+                F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path),
+                lambda whole: F.concat(root, _resolve_path(whole), tail),
+            )
+        )
     )
 
 
 def contact_pages(links: Column, url: Column) -> Column:
     """Distinct links on the same host whose address or text speaks of contact or the company."""
-    wanted = F.filter(
-        links,
-        lambda a: contains_any(F.lower(a["href"]), fv.CONTACT_PAGE_WORDS)
-        | contains_any(a["text"], fv.CONTACT_PAGE_WORDS),
-    )
-    absolute = F.transform(wanted, lambda a: resolve_url(url, a["href"]))
-    return F.array_distinct(F.filter(absolute, lambda u: F.coalesce(url_domain(u) == url_domain(url), F.lit(False))))
+
+    def speaks_of_contact(link: Column) -> Column:
+        both = F.concat(F.lower(link["href"]), F.lit("\n"), link["text"])
+        return F.rlike(both, F.lit("|".join(fv.CONTACT_PAGE_WORDS)))
+
+    absolute = F.transform(F.filter(links, speaks_of_contact), lambda a: resolve_url(url, a["href"]))
+    same_host = F.filter(absolute, lambda u: F.coalesce(url_domain(u) == url_domain(url), F.lit(False)))
+    return F.array_distinct(same_host)
 
 
 def meta_description(markup: Column) -> Column:
     tag = F.regexp_extract(markup, r"(?is)<meta\b[^>]*\sname\s*=\s*[\"']?description[\"'\s/][^>]*>", 0)
-    content = attribute(tag, "content")
-    return F.when(F.length(content) > 20, squeeze_spaces(content))
+    return squeeze_or_null(keep_if(attribute(tag, "content"), lambda c: F.length(c) > 20))
 
 
 def about_text(markup: Column) -> Column:

@@ -20,6 +20,7 @@ from leadlake.functions.contact import (
 from leadlake.functions.predicates import should_skip
 from leadlake.functions.validation import validate_lead
 from leadlake.operators.duplicates import drop_existing
+from leadlake.session import stored
 from leadlake.sources.tables import LEAD_TEXT_FIELDS
 
 CONTACT_FIELDS = ["email", "phone", "location", "linkedin_url", "facebook_url", "twitter_url"]
@@ -28,7 +29,7 @@ CONTACT_FIELDS = ["email", "phone", "location", "linkedin_url", "facebook_url",
 def extract_pages(pages: DataFrame, default_industry: str | None = None) -> DataFrame:
     """Company facts of each page (page_id, url, html)."""
     read = (
-        pages.withColumn("_markup", h.without_hidden(F.col("html")))
+        pages.withColumn("_markup", h.decode_references(h.without_hidden(F.col("html"))))
         .withColumn("_text", h.text_of(F.col("_markup")))
         .withColumn("_links", h.anchors(F.col("_markup")))
     )
@@ -122,8 +123,11 @@ def lead_pipeline(
     """Pages to lead rows with a ``stage``: skipped, invalid, exists or saved.
 
     Only rows that reach a stage are judged by it: an invalid lead never shadows a later valid one.
+    Extraction and validation are written once to the shared work folder, because the steps after
+    them read their result several times.
     """
-    extracted = _complete_columns(merge_linked_pages(extract_pages(pages, default_industry)))
+    read = stored(extract_pages(pages, default_industry), "extracted")
+    extracted = _complete_columns(merge_linked_pages(read))
     skip = should_skip(_fields(extracted), required, min_employees, max_employees)
     judged = validate_leads(make_leads(extracted.withColumn("_skip", skip)))
     staged = judged.withColumn(
@@ -141,6 +145,7 @@ def lead_pipeline(
         F.lit(fv.PRIORITY_MEDIUM).alias("priority"),
         "stage",
     )
+    staged = stored(staged, "staged")
     valid = staged.filter(F.col("stage") == "saved")
     checked = drop_existing(valid, existing, key="page_id", dedupe_within_batch=True)
     decided = checked.withColumn(
