@@ -608,3 +608,530 @@ ORACLES["query_expansion"] = with_(RAW_LOG, "texts AS (SELECT query_id, query_te
     f"SELECT query_id, array_to_string(list_concat({', '.join(_EXPAND)})[1:5], '|') AS expanded FROM texts"
 )
 ORACLES["query_dedup"] = with_(RAW_LOG) + "SELECT count(*) AS n, min(query_id) AS first_query FROM raw_log GROUP BY lower(query_text)"
+
+# --- events -----------------------------------------------------------------------------------
+
+
+def events_query(name: str, sql: str, *more: str) -> None:
+    ORACLES[name] = with_(SEARCHES, INTERACTIONS, *more) + sql
+
+
+SINCE30 = f"created_at >= {EVENTS_AT} - INTERVAL 30 DAY"
+events_query(
+    "search_summary",
+    f"""SELECT count(*) AS total_searches, CAST({rnd('sum(response_time_ms) / count(*)', 0)} AS BIGINT) AS avg_response_time_ms,
+ {pct(n_if("cache_hit = 'hit'"), 'count(*)')} AS cache_hit_rate, {rnd('sum(results_count) / count(*)', 1)} AS avg_results_per_search,
+ CAST(sum(clicked_results) AS BIGINT) AS total_clicks, CAST(sum(converted_leads + contacted_leads) AS BIGINT) AS total_conversions,
+ {pct('sum(clicked_results)', 'count(*)')} AS click_through_rate, {pct('sum(converted_leads + contacted_leads)', 'count(*)')} AS conversion_rate FROM searches WHERE {SINCE30}""",
+)
+HIT, MISS = n_if("cache_hit = 'hit'"), n_if("cache_hit = 'miss'")
+events_query("cache_hit_rate", f"SELECT {HIT} AS hits, {MISS} AS misses, {pct(HIT, f'({HIT} + {MISS})')} AS cache_hit_rate FROM searches")
+events_query(
+    "popular_queries",
+    f"""SELECT query_text AS query, count(*) AS count, {rnd('avg(results_count)', 1)} AS avg_results, CAST({rnd('avg(response_time_ms)', 0)} AS BIGINT) AS avg_response_time_ms
+ FROM searches WHERE {SINCE30} AND query_text <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+)
+events_query("popular_searches", "SELECT query_text AS query, count(*) AS count FROM searches WHERE query_text <> '' GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 8")
+LAST_HOUR = "created_at >= TIMESTAMP '2024-01-30 22:00:00'"
+events_query(
+    "realtime_activity",
+    f"""SELECT (SELECT count(*) FROM searches WHERE {LAST_HOUR}) AS searches_last_hour, (SELECT count(DISTINCT user_id) FROM searches WHERE {LAST_HOUR}) AS active_users,
+ (SELECT count(*) FROM interactions WHERE {LAST_HOUR}) AS interactions_last_hour""",
+)
+events_query(
+    "todays_activity",
+    """SELECT (SELECT count(*) FROM leads WHERE created_at >= TIMESTAMP '2024-01-30') AS leads_added_today,
+ (SELECT count(*) FROM searches WHERE created_at >= TIMESTAMP '2024-01-30') AS searches_today, CASE WHEN leads_added_today > 0 THEN 'up' ELSE 'stable' END AS trend""",
+    LEADS,
+)
+events_query(
+    "activity_feed",
+    """SELECT * FROM (
+ (SELECT 'search' AS type, created_at AS timestamp, id, 'Busca por ''' || CASE WHEN query_text <> '' THEN query_text ELSE 'filtros' END || ''' retornou ' || results_count || ' resultados' AS description
+  FROM searches ORDER BY created_at DESC, id DESC LIMIT 10)
+ UNION ALL (SELECT 'interaction', created_at, id, 'Lead ' || lead_id || ' - ' || interaction_type FROM interactions ORDER BY created_at DESC, id DESC LIMIT 10))""",
+)
+IS_CONTACT = "interaction_type IN ('contact', 'email', 'call')"
+COUNTERS = f"""counters AS (SELECT lead_id, {n_if("interaction_type = 'view'")} AS views, {n_if(IS_CONTACT)} AS contacts,
+ max(created_at) FILTER (WHERE {IS_CONTACT}) AS contacted_at, {n_if("interaction_type = 'convert'")} AS conversions FROM interactions GROUP BY lead_id)"""
+COUNTED = f"""counted AS (SELECT leads.* EXCLUDE (last_contact), coalesce(views, 0) AS view_count, coalesce(contacts, 0) AS contact_count,
+ coalesce(contacted_at, last_contact) AS last_contact, least({dbl(0)} + {dbl(0.1)} * coalesce(conversions, 0), {dbl(1)}) AS conversion_score
+ FROM leads LEFT JOIN counters ON lead_id = id)"""
+events_query(
+    "lead_counters",
+    f"SELECT id, view_count, contact_count, last_contact, {rnd('conversion_score', 6)} AS conversion_score FROM counted",
+    LEADS,
+    COUNTERS,
+    COUNTED,
+)
+STAGES = [
+    ("discovered", "Descobertos", "count(*)"),
+    ("viewed", "Visualizados", n_if("view_count > 0")),
+    ("contacted", "Contatados", n_if("contact_count > 0")),
+    ("qualified", "Qualificados", n_if(QUALIFIED)),
+    ("converted", "Convertidos", n_if("conversion_score > 0.5")),
+]
+events_query(
+    "funnel",
+    f"""SELECT stage_order, stage, label, n AS count, {pct('n', 'first_value(n) OVER (ORDER BY stage_order)')} AS conversion_rate, drop_off_rate,
+ stage = (SELECT stage FROM dropped WHERE stage_order > 0 ORDER BY drop_off_rate DESC, stage_order LIMIT 1) AS is_biggest_drop_off FROM dropped""",
+    LEADS,
+    COUNTERS,
+    COUNTED,
+    "staged AS (" + " UNION ALL ".join(f"SELECT {i} AS stage_order, '{s}' AS stage, '{lb}' AS label, {e} AS n FROM counted" for i, (s, lb, e) in enumerate(STAGES)) + ")",
+    f"""dropped AS (SELECT *, {rnd('CASE WHEN stage_order > 0 AND lag(n) OVER w > 0 THEN (lag(n) OVER w - n) / lag(n) OVER w * 100 ELSE 0 END', 1)} AS drop_off_rate
+ FROM staged WINDOW w AS (ORDER BY stage_order))""",
+)
+events_query(
+    "click_attribution",
+    f"""SELECT s.id, query_text, CAST(clicked_results + coalesce(n, 0) AS BIGINT) AS clicked_results FROM searches s
+ LEFT JOIN (SELECT event_id - {K} % 5 AS sid, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) ON sid = s.id""",
+)
+events_query(
+    "conversion_attribution",
+    f"""SELECT s.id, CAST(contacted_leads + coalesce(a, 0) AS BIGINT) AS contacted_leads, CAST(converted_leads + coalesce(b, 0) AS BIGINT) AS converted_leads FROM searches s
+ LEFT JOIN (SELECT event_id - {K} AS sid, {n_if("event_type = 'signup'")} AS a, {n_if("event_type IN ('purchase', 'error')")} AS b FROM events GROUP BY 1) ON sid = s.id""",
+)
+events_query("event_defaults", "SELECT id, cache_hit, clicked_results, true AS has_session FROM searches")
+
+
+def bursts(source: str, gap: str = ">") -> str:
+    return f"""marked AS (SELECT *, CASE WHEN epoch_us(created_at) - lag(epoch_us(created_at)) OVER (PARTITION BY user_id ORDER BY created_at) {gap} 300000000 OR lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at) IS NULL THEN 1 ELSE 0 END AS starts FROM {source}),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY created_at) AS burst FROM marked)"""
+
+
+events_query(
+    "session_counters",
+    f"""SELECT user_id, CAST(min(created_at) AS TIMESTAMPTZ) AS started_at, CAST(max(created_at) AS TIMESTAMPTZ) AS ended_at, count(*) AS total_searches, CAST(sum(response_time_ms) AS BIGINT) AS total_response_time,
+ {HIT} AS cache_hits FROM numbered GROUP BY user_id, burst""",
+    bursts("searches"),
+)
+events_query("hourly_windows", "SELECT date_trunc('hour', created_at) AS window_start, interaction_type, count(*) AS n FROM interactions GROUP BY 1, 2")
+ORACLES["counter_sums"] = f"SELECT event_type, CAST(sum({K}) AS BIGINT) AS value FROM events GROUP BY 1"
+
+# --- preferences and changes ------------------------------------------------------------------
+USERS = "users AS (SELECT c_custkey AS user_id FROM customer)"
+
+
+def weight_case(values: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {dbl(v) if v is not None else 'NULL'}" for c, v in values.items()) + " END"
+
+
+STORED = "p.user_id IS NOT NULL AND kind IN (1, 2)"
+ORACLES["preferences_weights"] = with_(PREFERENCES, USERS) + (
+    f"""SELECT u.user_id, coalesce(industries, '') AS industries, coalesce(locations, '') AS locations,
+ CASE WHEN kind = 1 THEN {dbl(0.5)} WHEN kind = 2 THEN {dbl(1.5)} ELSE {dbl(0.25)} END AS industry_match,
+ CASE WHEN kind IN (1, 2) THEN {dbl(0.5)} ELSE {dbl(0.4)} END AS text_relevance,
+ CASE WHEN kind IN (1, 2) THEN NULL ELSE {dbl(0.1)} END AS data_quality, p.user_id IS NOT NULL AS preferences_applied
+ FROM users u LEFT JOIN prefs p ON u.user_id = p.user_id"""
+)
+ORACLES["preferences_applied"] = with_(PREFERENCES, USERS) + (
+    """SELECT u.user_id, p.user_id IS NOT NULL AS preferences_applied,
+ array_to_string(list_filter([CASE WHEN industries <> '' THEN 'industries' END, CASE WHEN locations <> '' THEN 'locations' END], lambda x: x IS NOT NULL), '|') AS boosted,
+ nullif(industries, '') AS industries, CAST(CASE WHEN kind IN (1, 2) THEN 2 ELSE 5 END AS INT) AS n_weights FROM users u LEFT JOIN prefs p ON u.user_id = p.user_id"""
+)
+ORACLES["preference_filters"] = with_(PREFERENCES, USERS) + (
+    """SELECT u.user_id, nullif(industries, '') AS industries, nullif(locations, '') AS locations, nullif(company_size_range, '') AS company_size_range,
+ nullif(revenue_range, '') AS revenue_range FROM users u LEFT JOIN prefs p ON u.user_id = p.user_id"""
+)
+ORACLES["weight_validation"] = with_(PREFERENCES) + "SELECT user_id, kind <> 2 AS valid FROM prefs"
+ORACLES["apply_changes"] = with_(LEADS, CHANGES) + (
+    f"""SELECT coalesce(l.id, c.id) AS id, CASE WHEN l.id IS NULL OR op = 'update' THEN coalesce(c.company, l.company) ELSE l.company END AS company, l.industry,
+ CASE WHEN l.id IS NULL OR op = 'update' THEN coalesce(c.score, l.score) ELSE l.score END AS score,
+ CASE WHEN l.id IS NULL OR op = 'update' THEN {LEADS_AT} ELSE l.created_at END AS updated_at
+ FROM leads l FULL JOIN changes c ON l.id = c.id WHERE (l.id IS NOT NULL AND coalesce(op, '') <> 'delete') OR (l.id IS NULL AND op = 'create')"""
+)
+ORACLES["preferences_upsert"] = with_(PREFERENCES, USERS) + (
+    """SELECT u.user_id, CASE WHEN (p.user_id IS NULL OR u.user_id % 2 = 0) AND u.user_id % 4 = 0 THEN '200+' ELSE company_size_range END AS company_size_range, revenue_range
+ FROM users u LEFT JOIN prefs p ON u.user_id = p.user_id WHERE u.user_id % 9 <> 0 AND (p.user_id IS NOT NULL OR u.user_id % 2 = 1)"""
+)
+
+# --- contact functions ------------------------------------------------------------------------
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+
+
+def first_email(x: str, skip) -> str:
+    return f"lower(list_filter(regexp_extract_all({x}, '{EMAIL}'), lambda e: NOT {has_any('lower(e)', skip)})[1])"
+
+
+def first_of(x: str, *patterns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '{p}'), '')" for p in patterns) + ")"
+
+
+PHONES = [r"\+55\s*[0-9]{2}\s*[0-9]{4,5}-?[0-9]{4}", r"\([0-9]{2}\)\s*[0-9]{4,5}-?[0-9]{4}", r"[0-9]{2}\s*[0-9]{4,5}-?[0-9]{4}"]
+ORACLES["email_extract"] = (
+    f"SELECT doc_id, {first_email('text', fv.EMAIL_SKIP_WORDS)} AS email, {first_email('text', fv.EMAIL_SKIP_WORDS_STRICT)} AS strict_email FROM documents"
+)
+ORACLES["phone_extract"] = (
+    f"SELECT doc_id, {first_of('text', *PHONES)} AS phone, regexp_replace({first_of('text', *PHONES, '[0-9]{4,5}-?[0-9]{4}')}, '\\s+', ' ', 'g') AS phone_or_local FROM documents"
+)
+
+
+def normal_phone(x: str) -> str:
+    d = f"regexp_replace({x}, '[^0-9+]', '', 'g')"
+    return f"CASE WHEN coalesce({x}, '') = '' THEN NULL WHEN starts_with({d}, '+55') THEN {d} WHEN length({d}) IN (10, 11) AND left({d}, 2) IN ('11', '21', '31', '41', '51') THEN '+55' || {d} ELSE {x} END"
+
+
+PERSONAL = "(" + ", ".join(lit(x) for x in fv.PERSONAL_EMAIL_DOMAINS) + ")"
+leads_query("phone_normalize", f"SELECT id, {normal_phone('phone')} AS phone FROM leads")
+BUSINESS = f"(coalesce(email <> '', false) AND NOT coalesce(lower(split_part(email, '@', -1)) IN {PERSONAL}, false))"
+WHOLE = r"'^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'"
+leads_query(
+    "email_checks",
+    f"SELECT id, {BUSINESS} AS business, (coalesce(regexp_matches(email, {WHOLE}), false) AND {BUSINESS}) AS valid_business, lower(split_part(email, '@', -1)) AS domain FROM leads",
+)
+
+
+def squeezed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+def normal_company(x: str) -> str:
+    return squeezed(rf"regexp_replace(lower({x}), '\b(?:{'|'.join(fv.LEGAL_SUFFIXES)})\b\.?', '', 'g')")
+
+
+def clean_company(x: str) -> str:
+    return squeezed(rf"regexp_replace({x}, '\b(?:{'|'.join(fv.LEGAL_SUFFIXES_LONG)})\b\.?', '', 'gi')")
+
+
+OTHER = "(industry || ' Trading House ' || id || ' Ltd')"
+WA, WB = f"list_distinct({words(normal_company('company'))})", f"list_distinct({words(normal_company(OTHER))})"
+ORACLES["company_normalize"] = with_(INCOMING, f"pairs AS (SELECT *, {WA} AS wa, {WB} AS wb FROM incoming)") + (
+    f"""SELECT id, {normal_company('company')} AS normalized, {clean_company('company')} AS cleaned,
+ {rnd('CASE WHEN len(wa) > 0 AND len(wb) > 0 THEN len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) ELSE 0 END', 6)} AS similarity FROM pairs"""
+)
+
+
+def host(x: str) -> str:
+    return rf"nullif(lower(regexp_extract({x}, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '')"
+
+
+def scheme(x: str) -> str:
+    return rf"nullif(lower(regexp_extract({x}, '^\s*([A-Za-z][A-Za-z0-9+.-]*):', 1)), '')"
+
+
+VALID = f"({scheme('url')} IS NOT NULL AND {host('url')} IS NOT NULL)"
+ENDS = "(" + " OR ".join(f"ends_with({host('url')}, {lit(t)})" for t in fv.COMPANY_SITE_ENDINGS) + ")"
+ORACLES["url_domain"] = f"""SELECT page_id, {host('url')} AS domain, replace({host('url')}, 'www.', '') AS bare_domain, {VALID} AS valid,
+ ({VALID} AND NOT {has_any(host('url'), fv.LISTING_DOMAINS)}) AS company_site,
+ coalesce(NOT {has_any(host('url'), fv.NON_COMPANY_DOMAINS)} AND length({host('url')}) >= 4 AND {ENDS}, false) AS result_link,
+ coalesce({scheme('url')} IN ('http', 'https') AND NOT {has_any(host('url'), fv.SOCIAL_DOMAINS)}, false) AS business FROM pages"""
+ORACLES["redirect_unwrap"] = "SELECT page_id, url AS target, url AS plain FROM pages"
+
+
+def location_br(x: str) -> str:
+    up = f"upper({x})"
+    states = "|".join(fv.STATES)
+    tries = []
+    for city in fv.CITIES:
+        found = rf"list_filter({arr(fv.STATES)}, lambda s: list_contains(regexp_extract_all({up}, '{city.upper()}[,\s]*({states})', 1), s))[1]"
+        tries.append(f"WHEN contains({up}, {lit(city.upper())}) THEN {lit(city)} || coalesce(', ' || {found}, '')")
+    bare = f"list_filter({arr(fv.STATES)}, lambda s: list_contains(regexp_extract_all({up}, '[ ,]({states})', 1), s))[1]"
+    return "CASE " + " ".join(tries) + f" ELSE {bare} END"
+
+
+def location_page(x: str) -> str:
+    pair = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*),\s*([A-Z]{2})"
+    cities = " ".join(f"WHEN contains({x}, {lit(c)}) THEN {lit(c)}" for c in fv.MAJOR_CITIES)
+    return rf"""coalesce(CASE WHEN regexp_extract({x}, '{pair}', 1) <> '' THEN regexp_extract({x}, '{pair}', 1) || ', ' || regexp_extract({x}, '{pair}', 2) END,
+ nullif(regexp_extract({x}, 'Rua\s+[^,]+,\s*[^,]+,\s*([^,]+)', 1), ''), nullif(regexp_extract({x}, 'Av\.\s+[^,]+,\s*[^,]+,\s*([^,]+)', 1), ''), CASE {cities} END)"""
+
+
+ORACLES["location_extract"] = f"""WITH texts AS (SELECT 'customer' AS kind, c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'Sede em ' || ({arr(fv.STATES)})[c_custkey % {len(fv.STATES)} + 1]
+ ELSE 'Rua A, 10, ' || ({arr(fv.CITIES)})[c_custkey % {len(fv.CITIES)} + 1] || ', ' || ({arr(fv.STATES)})[c_custkey % {len(fv.STATES)} + 1] END AS text FROM customer
+ UNION ALL SELECT 'document', doc_id, text FROM documents)
+SELECT kind, key, {location_br('text')} AS location, {location_page('text')} AS page_location FROM texts"""
+
+
+def complete(last: str, **fields: str) -> str:
+    parts = [f"CASE WHEN {filled(fields.get(c, c))} THEN {dbl(w)} ELSE {dbl(0)} END" for c, w in fv.COMPLETENESS_WEIGHTS + [(last, 0.05)]]
+    return rnd(f"least({dbl(0)} + " + " + ".join(parts) + f", {dbl(1)})", 6)
+
+
+leads_query("completeness_score", f"SELECT id, {complete('contact')} AS quality, {complete('employees')} AS confidence FROM leads")
+
+
+def scrape_clean(x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN {cleaned(x, '_.,()-')} END"
+
+
+SITE_OK = f"({scheme('website')} IS NOT NULL AND {host('website')} IS NOT NULL AND NOT {has_any(host('website'), fv.LISTING_DOMAINS)})"
+STRICT = first_email("email", fv.EMAIL_SKIP_WORDS_STRICT)
+leads_query(
+    "format_records",
+    f"SELECT id, company, contact, description, industry, location, email, phone, website, {complete('contact')} AS data_quality_score FROM formatted",
+    f"""formatted AS (SELECT id, {', '.join(f'{scrape_clean(c)} AS {c}' for c in ('company', 'contact', 'description', 'industry', 'location'))},
+ CASE WHEN lower(split_part({STRICT}, '@', -1)) NOT IN {PERSONAL} THEN {STRICT} END AS email, {first_of('phone', *PHONES)} AS phone, CASE WHEN {SITE_OK} THEN website END AS website FROM leads)""",
+)
+
+
+def frequent(key: str, source: str, text: str) -> str:
+    """CTE "frequent": the ten most frequent long words of each text, first seen first."""
+    return rf"""seen AS (SELECT {key} AS k, unnest(list_filter(list_zip(ws, range(len(ws))), lambda p: length(p[1]) > 3 AND NOT list_contains({arr(fv.FREQUENCY_STOP_WORDS)}, p[1]))) AS p
+ FROM (SELECT {key}, list_transform(list_filter(regexp_extract_all(lower({text}), '[a-z\p{{L}}\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z]{{3,}}$')), lambda w: w) AS ws FROM {source} WHERE length({text}) >= 10)),
+counted AS (SELECT k, p[1] AS w, count(*) AS n, min(p[2]) AS first FROM seen GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, first) <= 10),
+frequent AS (SELECT k, list(w ORDER BY n DESC, first) AS ws FROM counted GROUP BY k)"""
+
+
+ORACLES["frequency_keywords"] = with_(frequent("doc_id", "documents", "text")) + (
+    "SELECT doc_id, coalesce(array_to_string(ws, '|'), '') AS keywords FROM documents LEFT JOIN frequent ON k = doc_id"
+)
+SITE_WEB = f"coalesce({scheme('website')} IN ('http', 'https') AND NOT {has_any(host('website'), fv.SOCIAL_DOMAINS)}, false)"
+MAIL_OK = f"(coalesce(regexp_matches(email, {WHOLE}), false) AND {BUSINESS})"
+ENHANCED = f"""enhanced AS (SELECT id, {clean_company('company')} AS company, CASE WHEN {MAIL_OK} THEN email END AS email, {normal_phone('phone')} AS phone,
+ CASE WHEN {SITE_WEB} THEN website END AS website, industry, location, description, employees FROM leads)"""
+leads_query(
+    "enhance_records",
+    f"""SELECT id, company, email, phone, website, {complete('employees')} AS confidence,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(ws, CAST([] AS VARCHAR[])), list_filter(string_split(lower(company), ' '), lambda w: length(w) > 2))))[1:10], '|') AS keywords
+ FROM enhanced LEFT JOIN frequent ON k = id""",
+    ENHANCED,
+    frequent("id", "enhanced", "description"),
+)
+ORACLES["keyword_heuristics"] = rf"""WITH runs AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS ws FROM documents),
+found AS (SELECT doc_id, list_filter(list_transform(list_filter(ws, lambda w: regexp_matches(w, '^([A-Z][a-z]+|[A-Z]{{2,}})$') OR regexp_matches(w, '[0-9]')), lambda w: lower(w)),
+ lambda w: length(w) >= 3 AND NOT list_contains({arr(fv.STOP_WORDS)}, w)) AS ks FROM runs)
+SELECT doc_id, array_to_string(list_sort(list_distinct(ks))[1:10], '|') AS keywords FROM found"""
+ORACLES["clean_texts"] = f"""SELECT doc_id, md5({cleaned('text')}) AS index_text, md5({cleaned('text', '_"-')}) AS query_text,
+ md5({cleaned('text', '_.,()-')}) AS scrape_text, md5({squeezed('text')}) AS squeezed FROM documents"""
+ORACLES["headcounts"] = "SELECT c_custkey, (c_custkey * 17) || '+' AS employees, CAST('4.' || (c_custkey % 10) AS DOUBLE) AS rating FROM customer"
+
+# --- ingestion --------------------------------------------------------------------------------
+LOW = "lower(trim(company))"
+C_BASE = f"CASE WHEN {LOW} IN ('test', 'example', 'sample', 'demo') THEN {dbl(0.1)} WHEN length(trim(company)) > 100 THEN {dbl(0.5)} ELSE {dbl(0.8)} END"
+C_SCORE = f"CASE WHEN coalesce(company, '') = '' OR length(trim(company)) < 2 THEN 0 ELSE least({C_BASE} + CASE WHEN {has_any(LOW, fv.BUSINESS_SUFFIXES)} THEN {dbl(0.2)} ELSE 0 END, 1) END"
+E_OK = f"(coalesce(email <> '', false) AND coalesce(regexp_matches(lower(email), {WHOLE}), false))"
+E_DOM, E_BOX = "split_part(lower(email), '@', 2)", "split_part(lower(email), '@', 1)"
+E_PERS = "(" + E_DOM + " IN (" + ", ".join(lit(x) for x in fv.VALIDATOR_PERSONAL_DOMAINS) + "))"
+E_SYS = has_any(E_BOX, fv.SYSTEM_MAILBOX_WORDS)
+E_SCORE = f"CASE WHEN NOT {E_OK} THEN 0 WHEN {E_SYS} THEN 0.2 WHEN {E_PERS} THEN 0.3 ELSE 1 END"
+DIG = "regexp_replace(phone, '[^0-9]', '', 'g')"
+P_OK = f"coalesce(phone <> '' AND length({DIG}) BETWEEN 8 AND 15, false)"
+P_FORM = "(" + " OR ".join(f"regexp_matches(phone, '^(?:{p})')" for p in PHONES) + ")"
+P_AREA = f"({DIG})[1:2]"
+P_KNOWN = f"list_contains({arr(fv.AREA_CODES)}, {P_AREA})"
+P_SCORE = f"CASE WHEN {P_OK} THEN least({dbl(0.6)} + CASE WHEN {P_FORM} THEN {dbl(0.4)} ELSE 0 END + CASE WHEN {P_KNOWN} THEN {dbl(0.2)} ELSE 0 END, 1) ELSE 0 END"
+W_OK = f"(coalesce(website <> '', false) AND coalesce({scheme('website')} IN ('http', 'https'), false) AND {host('website')} IS NOT NULL)"
+BARE = f"replace({host('website')}, 'www.', '')"
+W_BIZ, W_SOC, W_SEC = f"coalesce({has_any(BARE, fv.BUSINESS_TLDS)}, false)", f"coalesce({has_any(BARE, fv.SOCIAL_DOMAINS)}, false)", f"coalesce({scheme('website')} = 'https', false)"
+W_SCORE = f"CASE WHEN {W_OK} THEN least(CASE WHEN {W_SOC} THEN {dbl(0.2)} ELSE {dbl(0.6)} + CASE WHEN {W_BIZ} THEN {dbl(0.3)} ELSE 0 END END + CASE WHEN {W_SEC} THEN {dbl(0.1)} ELSE 0 END, 1) ELSE 0 END"
+L_SCORE = f"""CASE WHEN coalesce(location, '') = '' OR length(location) < 2 THEN 0 ELSE least({dbl(0.5)} + CASE WHEN {has_any('upper(location)', fv.STATES)} THEN {dbl(0.3)} ELSE 0 END
+ + CASE WHEN {has_any('lower(location)', [c.lower() for c in fv.MAJOR_CITIES])} THEN {dbl(0.2)} ELSE 0 END, 1) END"""
+CONF = f"({dbl(C_SCORE)} * {dbl(0.3)} + {dbl(E_SCORE)} * {dbl(0.25)} + {dbl(P_SCORE)} * {dbl(0.2)} + {dbl(W_SCORE)} * {dbl(0.15)} + {dbl(L_SCORE)} * {dbl(0.1)})"
+
+
+def when_list(*pairs: tuple[str, str]) -> str:
+    inner = ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in pairs)
+    return f"list_filter([{inner}], lambda x: x IS NOT NULL)"
+
+
+ISSUES = when_list(
+    ("coalesce(company, '') = ''", "'Missing company name'"),
+    ("length(trim(company)) > 100", "'Company name unusually long'"),
+    (f"coalesce(email <> '', false) AND NOT {E_OK}", "'Invalid email format'"),
+    (f"{E_OK} AND {E_PERS}", "'Personal email domain detected'"),
+    (f"{E_OK} AND {E_SYS}", "'Email appears to be system/admin email'"),
+    (f"length({DIG}) < 8", "'Phone number too short'"),
+    (f"length({DIG}) > 15", "'Phone number too long'"),
+    (f"{P_OK} AND NOT {P_KNOWN}", f"'Invalid Brazilian area code: ' || {P_AREA}"),
+    (f"{W_OK} AND {W_SOC}", "'Website appears to be social media or search engine'"),
+)
+FACTS = when_list(
+    (P_OK, f"'area_code=' || {P_AREA}"),
+    (f"{W_OK} AND {W_BIZ}", "'business_domain=true'"),
+    (E_OK, f"'email_domain=' || {E_DOM}"),
+    (f"{E_OK} AND NOT {E_PERS}", "'is_business_email=true'"),
+    (f"{P_OK} AND {P_FORM}", "'phone_format=brazilian'"),
+    (f"{W_OK} AND {W_SEC}", "'secure_website=true'"),
+    (f"{P_OK} AND {P_KNOWN}", "'valid_area_code=true'"),
+    (W_OK, f"'website_domain=' || {host('website')}"),
+)
+ADVICE = when_list(
+    (f"{E_OK} AND {E_PERS}", "'Look for alternative business email on company website'"),
+    (f"coalesce(email <> '', false) AND NOT {E_OK}", "'Verify email format and try alternative extraction methods'"),
+    (f"coalesce(phone <> '' AND NOT {P_OK}, false)", "'Validate phone number format and try alternative extraction'"),
+    ("coalesce(email, '') = '' AND coalesce(phone, '') = ''", "'Lead has no contact information - consider skipping or finding alternative sources'"),
+)
+leads_query(
+    "validate_leads",
+    f"""SELECT id, {CONF} >= 0.4 AND length(trim(company)) >= 2 AS is_valid, {rnd(f'least({CONF}, 1)', 6)} AS confidence_score,
+ {show(ISSUES)} AS issues, {show(ADVICE)} AS suggestions, {show(FACTS)} AS facts FROM leads""",
+)
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<![^>]*>"
+TAG = r"""(?s)</?[A-Za-z][^<>"'']*(?:"[^"]*"[^<>"'']*|''[^'']*''[^<>"'']*)*>"""
+
+
+def decoded(x: str) -> str:
+    """The references that occur in the sample pages, the ampersand last."""
+    for ref, char in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        x = f"replace({x}, {lit(ref)}, {lit(char)})"
+    return x
+
+
+def first_case(groups, text: str) -> str:
+    return "CASE " + " ".join(f"WHEN {has_any(text, ws)} THEN {lit(v)}" for v, ws in groups) + " END"
+
+
+TITLE = squeezed(decoded(r"regexp_extract(markup, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))
+H1 = squeezed(decoded(rf"regexp_replace(regexp_extract(markup, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '{TAG}', '', 'g')"))
+PAGES = rf"""read0 AS (SELECT page_id, url, regexp_replace(html, '{HIDDEN}', '', 'g') AS markup FROM pages),
+read1 AS (SELECT *, {decoded(f"regexp_replace(markup, '{TAG}', '', 'g')")} AS text,
+ regexp_replace({TITLE}, '(?i)\s*[-|]\s*(Home|Início|Welcome).*$', '') AS title, {H1} AS h1 FROM read0),
+extracted AS (SELECT page_id, {host('url')} AS host, url AS website,
+ CASE WHEN length(title) > 2 AND length(title) < 100 THEN title WHEN length(h1) > 2 AND length(h1) < 100 THEN h1 ELSE
+  array_to_string(list_transform(regexp_extract_all(replace(replace({host('url')}, 'www.', ''), '.com', ''), '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1:1]) || lower(w[2:])), '') END AS company,
+ {first_email('text', fv.EMAIL_SKIP_WORDS)} AS email, {first_of('text', *PHONES)} AS phone, {location_page('text')} AS location,
+ {first_case(fv.PAGE_INDUSTRIES, 'lower(text)')} AS industry, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS employees FROM read1)"""
+# The sample pages have no contact links, meta descriptions or about sections.
+ORACLES["page_extract"] = with_(PAGES) + "SELECT page_id, host, company, email, phone, location, '' AS contact_pages, description, industry FROM extracted"
+FIRST = "{c} FILTER (WHERE {c} IS NOT NULL)"
+ORACLES["page_merge"] = with_(PAGES, "top4 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM extracted QUALIFY n <= 4)") + (
+    "SELECT host, count(*) AS n_pages, min(page_id) AS page_id, arg_min(company, n) AS company, "
+    + ", ".join(f"arg_min({c}, n) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("email", "phone", "location"))
+    + ", arg_min_null(industry, n) AS industry FROM top4 GROUP BY host"
+)
+
+
+def exists_like(new: str, stored: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {stored} s WHERE s.user_id = {new}.user_id AND s.company ILIKE '%' || {new}.company || '%')"
+
+
+PIPE = f"""made AS (SELECT page_id, 1 AS user_id, {clean_company('company')} AS company, CASE WHEN {MAIL_OK} THEN email END AS email, {normal_phone('phone')} AS phone,
+ CASE WHEN {SITE_WEB} THEN website END AS website, location, industry, description FROM extracted WHERE company <> ''),
+judged AS (SELECT *, {CONF} AS conf FROM made),
+valid AS (SELECT * FROM judged WHERE conf >= 0.4 AND length(company) >= 2),
+staged AS (SELECT *, CASE WHEN page_id NOT IN (SELECT page_id FROM valid) THEN 'invalid' WHEN {exists_like('judged', 'leads')} THEN 'exists'
+ WHEN EXISTS (SELECT 1 FROM valid v WHERE v.page_id < judged.page_id AND v.company ILIKE '%' || judged.company || '%') THEN 'exists' ELSE 'saved' END AS stage FROM judged)"""
+ORACLES["lead_pipeline"] = with_(PAGES, LEADS, PIPE) + (
+    """SELECT page_id, company, industry, CAST(floor(least(conf, 1) * 100) AS INT) AS score, stage,
+ array_to_string(list_sort(list_distinct(list_filter(string_split(lower(company), ' '), lambda w: length(w) > 2)))[1:10], '|') AS keywords FROM staged"""
+)
+OUTCOME = f"CASE WHEN coalesce(company, '') = '' THEN 'rejected' WHEN {exists_like('incoming', 'leads')} THEN 'exists' ELSE 'imported' END"
+ORACLES["import_leads"] = with_(INCOMING, LEADS) + (
+    f"SELECT id, user_id, company, coalesce(score, 75) AS score, 'Novo' AS status, 'Média' AS priority, {OUTCOME} AS outcome FROM incoming"
+)
+ORACLES["import_report"] = with_(INCOMING, LEADS, f"done AS (SELECT {OUTCOME} AS outcome FROM incoming)") + (
+    f"SELECT {n_if("outcome = 'imported'")} AS imported_count, {n_if("outcome = 'rejected'")} AS error_count FROM done"
+)
+ORACLES["import_leads_deduped"] = with_(
+    LEADS, "batch AS (SELECT p_partkey AS id, p_partkey % 10 + 1 AS user_id, p_name AS company FROM part)", "stored AS (SELECT * FROM leads WHERE industry = 'BUILDING')"
+) + (
+    f"""SELECT id, company, CASE WHEN {exists_like('batch', 'stored')} OR EXISTS (SELECT 1 FROM batch b WHERE b.id < batch.id AND b.user_id = batch.user_id AND b.company ILIKE '%' || batch.company || '%')
+ THEN 'exists' ELSE 'imported' END AS outcome FROM batch"""
+)
+ORACLES["save_scraped"] = with_(INCOMING, LEADS, "batch AS (SELECT *, NULL AS location, NULL AS description FROM incoming WHERE company <> '')") + (
+    f"""SELECT id, user_id, company, CAST(floor({complete('employees').replace('round_even(', '(').rsplit(', 6)', 1)[0]}) * 100) AS INT) AS score, 'Novo' AS status, 'Média' AS priority FROM batch
+ WHERE NOT {exists_like('batch', 'leads')} AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.id < batch.id AND b.user_id = batch.user_id AND b.company ILIKE '%' || batch.company || '%')"""
+)
+JOBS = f"jobs AS (SELECT source, lang AS status, count(*) AS found, {n_if('n_chars > 1000')} AS saved FROM documents GROUP BY 1, 2)"
+ORACLES["job_summary"] = with_(JOBS) + (
+    f"SELECT count(*) AS jobs, CAST(sum(found) AS BIGINT) AS total_leads_found, CAST(sum(saved) AS BIGINT) AS total_leads_saved, {rnd('avg(CASE WHEN found > 0 THEN saved / found * 100 END)', 4)} AS average_success_rate FROM jobs"
+)
+ORACLES["jobs_by_status"] = with_(JOBS) + "SELECT status, count(*) AS jobs FROM jobs GROUP BY status"
+NAME_WORDS = f"list_distinct({words(clean_company('lower(company)'))})"
+ORACLES["dedupe_exact"] = with_(
+    INCOMING,
+    LEADS,
+    f"fresh AS (SELECT *, {NAME_WORDS} AS w, replace({host('website')}, 'www.', '') AS dom FROM incoming)",
+    f"known AS (SELECT *, {NAME_WORDS} AS w, replace({host('website')}, 'www.', '') AS dom FROM leads)",
+    """judged AS (SELECT id, EXISTS (SELECT 1 FROM known k WHERE len(list_intersect(k.w, fresh.w)) * 5 > len(list_distinct(list_concat(k.w, fresh.w))) * 4) AS similar_name,
+ EXISTS (SELECT 1 FROM known k WHERE lower(k.email) = lower(fresh.email) AND k.email <> '') AS same_email,
+ EXISTS (SELECT 1 FROM known k WHERE k.phone = fresh.phone AND k.phone <> '') AS same_phone,
+ EXISTS (SELECT 1 FROM known k WHERE k.dom = fresh.dom AND k.dom <> '') AS same_domain FROM fresh)""",
+) + "SELECT *, similar_name OR same_email OR same_phone OR same_domain AS is_duplicate FROM judged"
+
+# --- reports ----------------------------------------------------------------------------------
+ORACLES["dashboard_summary"] = with_(
+    LEADS,
+    SEARCHES,
+    f"d AS ({ORACLES['dashboard_metrics'].split(LEADS, 1)[1].strip()})",
+    f"""s AS (SELECT CAST({rnd('avg(response_time_ms)', 0)} AS BIGINT) AS avg_response_time, {pct(HIT, f'({HIT} + {MISS})')} AS cache_hit_rate,
+ {n_if("created_at >= TIMESTAMP '2024-01-30'")} AS searches_today FROM searches)""",
+    f"a AS (SELECT {n_if(f'created_at >= {LEADS_AT}')} AS leads_added_today FROM leads)",
+) + """SELECT *, CASE WHEN avg_response_time < 200 AND cache_hit_rate > 70 THEN 'excellent' WHEN avg_response_time < 500 AND cache_hit_rate > 50 THEN 'good'
+ WHEN avg_response_time < 1000 THEN 'fair' ELSE 'poor' END AS system_health, CASE WHEN leads_added_today > 0 THEN 'up' ELSE 'stable' END AS trend,
+ array_to_string(list_filter([CASE WHEN avg_response_time > 500 THEN 'Tempo médio de resposta: ' || avg_response_time || 'ms' END,
+  CASE WHEN cache_hit_rate < 50 THEN 'Taxa de acerto do cache: ' || cache_hit_rate || '%' END,
+  CASE WHEN conversion_rate < 20 THEN 'Taxa de conversão: ' || conversion_rate || '%' END], lambda x: x IS NOT NULL), '|') AS alerts FROM d, s, a"""
+leads_query(
+    "search_health",
+    f"""SELECT count(*) AS total_leads, count(indexed_at) AS indexed_leads, {n_if(HARD)} AS incomplete_leads, {rnd(COVERAGE, 2)} AS index_coverage_percent,
+ CASE WHEN {COVERAGE} < 90 THEN 'reindex_leads' ELSE '' END AS recommendations,
+ CASE WHEN {n_if(HARD)} > count(*) * 0.2 THEN 'popular_queries|incomplete_data' ELSE 'popular_queries' END AS optimization_tips,
+ CASE WHEN {COVERAGE} < 90 THEN 'needs_attention' ELSE 'good' END AS overall_health FROM leads""",
+)
+
+
+def report_rows(*rows: tuple[str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {lit(s)} AS section, {lit(n)} AS name, {dbl(v)} AS value FROM leads" for s, n, v in rows)
+
+
+ORACLES["search_analytics_report"] = with_(
+    LEADS,
+    SEARCHES,
+    "totals AS ("
+    + report_rows(
+        ("coverage", "total_leads", "count(*)"),
+        ("coverage", "indexed_leads", "count(indexed_at)"),
+        ("coverage", "search_coverage_percent", rnd(COVERAGE, 2)),
+        *[("quality", b, n_if(c)) for b, c in BANDS],
+        ("quality", "total_scored_leads", "count(score)"),
+    )
+    + ")",
+) + (
+    "SELECT section, name, value, CAST(NULL AS DOUBLE) AS extra FROM totals"
+    + "".join(
+        f" UNION ALL (SELECT '{c}', {c}, {dbl('count(*)')}, {rnd('coalesce(avg(score), 0)', 1)} FROM leads WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 10)"
+        for c in ("industry", "location")
+    )
+    + f" UNION ALL (SELECT 'popular', query_text, {dbl('count(*)')}, NULL FROM searches WHERE query_text <> '' GROUP BY 2 ORDER BY count(*) DESC, query_text DESC LIMIT 5)"
+)
+leads_query(
+    "comprehensive_report",
+    "SELECT * FROM ("
+    + report_rows(
+        ("dashboard", "total_leads", "count(*)"),
+        ("dashboard", "qualified_leads", n_if(QUALIFIED)),
+        ("dashboard", "conversion_rate", pct(n_if(QUALIFIED), "count(*)")),
+        ("dashboard", "average_roi", rnd(ROI, 0)),
+        ("dashboard", "high_quality_leads", n_if(HIGH)),
+        ("dashboard", "recent_leads", n_if(WEEK)),
+        ("dashboard", "growth_rate", GROWTH),
+        ("conversion", "search_to_contact_rate", pct(CONTACTED, "count(*)")),
+        ("conversion", "search_to_qualified_rate", pct(n_if(QUALIFIED), "count(*)")),
+        ("conversion", "zero_results_rate", pct(n_if("company IS NULL AND email IS NULL AND phone IS NULL"), "count(*)")),
+        *[("source", s, e) for s, e in [*SOURCES, ("Referências", REST)]],
+        *[("quality", t, e) for t, _, _, e in TIERS],
+    )
+    + f""") UNION ALL SELECT 'month_leads', strftime(created_at, '%Y-%m'), {dbl('count(*)')} FROM leads WHERE created_at >= {LEADS_AT} - INTERVAL 180 DAY GROUP BY 2
+ UNION ALL SELECT 'month_qualified', strftime(created_at, '%Y-%m'), {dbl(n_if(QUALIFIED))} FROM leads WHERE created_at >= {LEADS_AT} - INTERVAL 180 DAY GROUP BY 2
+ UNION ALL (SELECT 'industry', industry, {dbl('count(*)')} FROM leads WHERE industry IS NOT NULL GROUP BY 2 ORDER BY count(*) DESC, industry LIMIT 10)""",
+)
+
+# --- streams: only what the watermark (10 minutes behind the newest event) has closed ----------
+MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+TZ = "CAST({} AS TIMESTAMPTZ)"
+events_query(
+    "stream_search_sessions",
+    f"""SELECT user_id, {TZ.format('min(created_at)')} AS started_at, {TZ.format('max(created_at) + INTERVAL 5 MINUTE')} AS closed_at, count(*) AS total_searches,
+ CAST(sum(response_time_ms) AS BIGINT) AS total_response_time, {HIT} AS cache_hits FROM numbered GROUP BY user_id, burst HAVING max(created_at) + INTERVAL 5 MINUTE <= {MARK}""",
+    bursts("searches"),
+)
+events_query(
+    "stream_interaction_sessions",
+    f"""SELECT user_id, {TZ.format('min(created_at)')} AS started_at, {TZ.format('max(created_at) + INTERVAL 5 MINUTE')} AS closed_at, count(*) AS total_interactions,
+ {n_if("interaction_type = 'view'")} AS views, {n_if(IS_CONTACT)} AS contacts, {n_if("interaction_type = 'convert'")} AS conversions FROM numbered
+ GROUP BY user_id, burst HAVING max(created_at) + INTERVAL 5 MINUTE <= {MARK}""",
+    bursts("interactions"),
+)
+events_query(
+    "stream_fixed_windows",
+    f"""SELECT {TZ.format('w')} AS window_start, interaction_type, n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, created_at) AS w, interaction_type, count(*) AS n FROM interactions GROUP BY 1, 2)
+ WHERE w + INTERVAL 30 MINUTE <= {MARK}""",
+)
+events_query(
+    "stream_popular_queries",
+    f"""SELECT {TZ.format('w')} AS window_start, query, count FROM (SELECT date_trunc('hour', created_at) AS w, query_text AS query, count(*) AS count FROM searches WHERE query_text <> '' GROUP BY 1, 2)
+ WHERE w + INTERVAL 1 HOUR <= {MARK}""",
+)
+events_query("stream_lead_counters", "SELECT lead_id, CAST(views AS BIGINT) AS views, CAST(contacts AS BIGINT) AS contacts, contacted_at, CAST(conversions AS BIGINT) AS conversions FROM counters", COUNTERS)

@@ -24,25 +24,27 @@ def with_index_metadata(leads: DataFrame) -> DataFrame:
 
     Keywords found in the description come from its cleaned, lower-cased form.
     """
-    steps = (
-        leads.withColumn("_own", _own_keywords(leads))
-        .withColumn("_company", clean_index_text(F.col("company")))
-        .withColumn("_description", clean_index_text(F.col("description")))
-        .withColumn("_industry", clean_index_text(F.col("industry")))
-        .withColumn("_location", clean_index_text(F.col("location")))
-        .withColumn("_found", description_keywords(F.col("_description")))
+    texts = leads.withColumns(
+        {
+            "_own": _own_keywords(leads),
+            "_company": clean_index_text(F.col("company")),
+            "_description": clean_index_text(F.col("description")),
+            "_industry": clean_index_text(F.col("industry")),
+            "_location": clean_index_text(F.col("location")),
+        }
     )
-    keyword_text = F.array_join(F.concat("_own", "_found"), " ")
-    parts = [F.col("_company"), F.col("_description"), F.col("_industry"), F.col("_location"), keyword_text]
-    parts += [F.col("contact"), F.col("email"), F.col("website")]
-    return (
-        steps.withColumn("searchable_text", F.concat_ws(" ", *[blank_to_null(x) for x in parts]))
-        .withColumn("company_tokens", tokenize(F.col("_company")))
-        .withColumn("industry_tokens", tokenize(F.col("_industry")))
-        .withColumn("location_tokens", tokenize(F.col("_location")))
-        .withColumn("lead_keywords", F.array_sort(F.array_distinct(F.concat("_own", "_found"))))
-        .withColumn("all_tokens", tokenize(F.col("searchable_text")))
-        .drop("_own", "_company", "_description", "_industry", "_location", "_found")
+    found = texts.withColumn("_keywords", F.concat("_own", description_keywords(F.col("_description"))))
+    parts = [F.col(c) for c in ("_company", "_description", "_industry", "_location")]
+    parts += [F.array_join("_keywords", " "), F.col("contact"), F.col("email"), F.col("website")]
+    searchable = found.withColumn("searchable_text", F.concat_ws(" ", *[blank_to_null(x) for x in parts]))
+    return searchable.select(
+        *leads.columns,
+        "searchable_text",
+        tokenize(F.col("_company")).alias("company_tokens"),
+        tokenize(F.col("_industry")).alias("industry_tokens"),
+        tokenize(F.col("_location")).alias("location_tokens"),
+        F.array_sort(F.array_distinct("_keywords")).alias("lead_keywords"),
+        tokenize(F.col("searchable_text")).alias("all_tokens"),
     )
 
 
@@ -113,14 +115,13 @@ def with_stored_metadata(leads: DataFrame, stored: DataFrame) -> DataFrame:
     names = ["searchable_text", "company_tokens", "industry_tokens", "location_tokens", "lead_keywords", "all_tokens"]
     kept = stored.select("id", *[F.col(n).alias(f"_stored_{n}") for n in names])
     joined = with_index_metadata(leads).join(kept, "id", "left")
-    for n in names:
-        joined = joined.withColumn(n, F.coalesce(f"_stored_{n}", n))
-    return joined.drop(*[f"_stored_{n}" for n in names])
+    return joined.select(*leads.columns, *[F.coalesce(f"_stored_{n}", n).alias(n) for n in names])
 
 
-def contains_all_terms(terms: Column) -> Column:
+def contains_all_terms(terms: Column, keys: Column | None = None) -> Column:
     """True if the index keys of the lead row include every term (at least one)."""
-    return (F.size(terms) > 0) & (F.size(F.array_except(terms, index_keys())) == 0)
+    keys = index_keys() if keys is None else keys
+    return (F.size(terms) > 0) & (F.size(F.array_except(terms, keys)) == 0)
 
 
 def may_contain_terms(terms: list[str]) -> Column:

@@ -33,6 +33,7 @@ from leadlake.operators.index import (
     with_index_metadata,
 )
 from leadlake.operators.metrics import result_facets, timestamp
+from leadlake.session import stored
 
 
 @dataclass(frozen=True)
@@ -81,16 +82,18 @@ def _text_tokens() -> Column:
     return tokenize(both)
 
 
-def full_text_match(terms: Column, phrases: Column, mode: str = "any") -> Column:
+def full_text_match(terms: Column, phrases: Column, mode: str = "any", tokens: Column | None = None) -> Column:
     """Word match in company or description, or the first term inside company or industry.
 
     Words are compared as written (no stemming). ``any``: one term, or all words of one phrase, is
     enough. ``all``: every term and phrase is needed.
     """
-    tokens = _text_tokens()
+    tokens = _text_tokens() if tokens is None else tokens
     phrase_words = F.transform(phrases, lambda p: tokenize(clean_index_text(p)))
-    def phrase_hit(ws):
+
+    def phrase_hit(ws: Column) -> Column:
         return (F.size(ws) > 0) & (F.size(F.array_except(ws, tokens)) == 0)
+
     if mode == "any":
         words_hit = F.arrays_overlap(tokens, terms) | F.exists(phrase_words, phrase_hit)
     else:
@@ -286,68 +289,79 @@ def _substring_lookups(log: DataFrame, words: DataFrame) -> DataFrame:
     return met.filter(F.contains("word", F.col("piece"))).select("query_id", "word").distinct()
 
 
+def build_log_index(leads: DataFrame) -> DataFrame:
+    """What a search over a query log looks up per lead: index keys, text words and name words."""
+    names = F.concat_ws(" ", clean_index_text(F.col("company")), clean_index_text(F.col("industry")))
+    return with_index_metadata(leads).select(
+        "id",
+        index_keys().alias("keys"),
+        _text_tokens().alias("text_tokens"),
+        F.array_distinct(F.split(names, " ")).alias("name_words"),
+    )
+
+
+def _postings_of(index: DataFrame, column: str) -> DataFrame:
+    return index.select(F.explode(column).alias("token"), F.col("id").alias("lead_id"))
+
+
 def search_log(
     leads: DataFrame,
     queries: DataFrame,
     as_of: datetime,
     limit: int = 20,
-    postings: DataFrame | None = None,
+    index: DataFrame | None = None,
     taste: Taste | None = None,
     max_results: int = fv.MAX_RESULTS,
     full_text: bool = True,
 ) -> DataFrame:
     """The top ``limit`` leads of every query of a log, by the same rules as :func:`search`.
 
-    Candidates come from equality joins on index tokens (the rarest term of each query first), are
-    brought together with their lead by id, and are ranked per query. Queries the index cannot
+    Texts are split into words once, into an index table (pass ``index`` to reuse one). Candidates
+    come from equality joins on words, the rarest term of each query first, and only then meet the
+    full lead rows by id, to be filtered, scored and ranked per query. Queries the index cannot
     answer fall back to full-text candidates. A query without any search word gives no rows: it asks
     for a listing, not for a search.
     """
-    log = parse_log(queries)
-    index = postings if postings is not None else with_index_metadata(leads).select(
-        F.explode(index_keys()).alias("token"), F.col("id").alias("lead_id")
-    )
-    pairs = _spread_join(index, _rarest_term(log, index))
+    log = stored(parse_log(queries), "query-log")
+    if index is None:
+        index = stored(build_log_index(leads), "log-index")
     filters_hold = matches_filter_columns(F.col("want_industry"), F.col("want_location"), F.col("want_size"))
-    wanted = Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
+    filter_fields = leads.select("id", "industry", "location", "employees")
 
-    def with_rows(found: DataFrame, asked: DataFrame, data: DataFrame) -> DataFrame:
-        return found.withColumnRenamed("lead_id", "id").join(data, "id").join(asked, "query_id").filter(filters_hold)
+    def kept(pairs: DataFrame, asked: DataFrame, words: list[str], test: Column, fields: DataFrame) -> DataFrame:
+        """Candidate pairs that pass the exact test and the filters."""
+        known = pairs.withColumnRenamed("lead_id", "id").join(index.select("id", *words), "id")
+        return known.join(asked, "query_id").join(fields, "id").filter(test & filters_hold).select("query_id", "id")
 
-    score, _ = relevance(wanted, taste or default_taste(), timestamp(as_of))
-
-    def scored(rows: DataFrame) -> DataFrame:
-        return rows.select("query_id", "query_text", "id", "company", score.alias("relevance_score"))
-
-    hits = with_rows(pairs, log, with_index_metadata(leads)).filter(contains_all_terms(F.col("terms")))
-    result = scored(hits)
+    keys = _postings_of(index, "keys")
+    all_terms = contains_all_terms(F.col("terms"), F.col("keys"))
+    found = stored(kept(_spread_join(keys, _rarest_term(log, keys)), log, ["keys"], all_terms, filter_fields), "index-hits")
     if full_text:
-        open_queries = log.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-        result = result.unionByName(scored(_full_text_rows(leads, open_queries, with_rows)))
+        open_queries = log.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        matched = full_text_match(F.col("terms"), F.col("phrases"), tokens=F.col("text_tokens"))
+        fields = leads.select("id", "company", "industry", "location", "employees")
+        pairs = _full_text_pairs(index, open_queries)
+        found = found.unionByName(kept(pairs, open_queries, ["text_tokens"], matched, fields))
+
+    wanted = Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
+    score, _ = relevance(wanted, taste or default_taste(), timestamp(as_of))
+    scored = found.join(log, "query_id").join(leads, "id").select("query_id", "query_text", "id", "company", score.alias("relevance_score"))
     order = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "id")
-    shown = min(limit, max_results)
     return (
-        result.filter(F.col("relevance_score") > 0)
+        scored.filter(F.col("relevance_score") > 0)
         .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= shown)
+        .filter(F.col("position") <= min(limit, max_results))
     )
 
 
-def _full_text_rows(leads: DataFrame, log: DataFrame, with_rows) -> DataFrame:
-    every_word = F.array_distinct(
-        F.concat("terms", F.flatten(F.transform("phrases", lambda p: tokenize(clean_index_text(p)))))
-    )
-    by_word = log.select("query_id", F.explode(every_word).alias("token"))
-    words = leads.select(F.explode(_text_tokens()).alias("token"), F.col("id").alias("lead_id"))
-    from_words = _spread_join(words, by_word)
-
-    raw = F.concat_ws(" ", clean_index_text(F.col("company")), clean_index_text(F.col("industry")))
-    named = leads.select(F.explode(F.array_distinct(F.split(raw, " "))).alias("word"), F.col("id").alias("lead_id"))
-    lookups = _substring_lookups(log, named).withColumnRenamed("word", "token")
-    from_names = _spread_join(named.withColumnRenamed("word", "token"), lookups)
-
-    pairs = from_words.unionByName(from_names).distinct()
-    return with_rows(pairs, log, leads).filter(full_text_match(F.col("terms"), F.col("phrases")))
+def _full_text_pairs(index: DataFrame, log: DataFrame) -> DataFrame:
+    """(query_id, lead_id) pairs that can match by a word of the text or a piece of a name."""
+    phrase_words = F.flatten(F.transform("phrases", lambda p: tokenize(clean_index_text(p))))
+    by_word = log.select("query_id", F.explode(F.array_distinct(F.concat("terms", phrase_words))).alias("token"))
+    from_words = _spread_join(_postings_of(index, "text_tokens"), by_word)
+    names = _postings_of(index, "name_words")
+    lookups = _substring_lookups(log, names.withColumnRenamed("token", "word")).withColumnRenamed("word", "token")
+    return from_words.unionByName(_spread_join(names, lookups)).distinct()
 
 
 # --- query analysis ---------------------------------------------------------------------------
@@ -359,10 +373,12 @@ def estimated_results(leads: DataFrame, queries: DataFrame, cap: int = fv.MAX_RE
     Terms are tested inside the texts (not as whole words), so they are looked up among the distinct
     words of the leads, and leads are counted once per term.
     """
-    log = parse_log(queries)
+    log = stored(parse_log(queries), "query-log")
     terms = log.select(F.explode("terms").alias("term")).distinct()
     raw = F.concat_ws(" ", *[clean_index_text(F.col(c)) for c in ("company", "industry", "description")])
-    words = leads.select(F.col("id").alias("lead_id"), F.explode(F.array_distinct(F.split(raw, " "))).alias("word"))
+    words = stored(
+        leads.select(F.col("id").alias("lead_id"), F.explode(F.array_distinct(F.split(raw, " "))).alias("word")), "words"
+    )
     as_log = terms.select(F.col("term").alias("query_id"), F.array("term").alias("terms"), str_array([]).alias("phrases"))
     lookups = _substring_lookups(as_log, words).withColumnRenamed("word", "token")
     met = _spread_join(words.withColumnRenamed("word", "token"), lookups).withColumnRenamed("query_id", "term").distinct()
