@@ -579,12 +579,12 @@ leads_query(
  SELECT 0 AS b, position AS n, text, 'text' AS type, 'Buscar por: ' || text AS description FROM sug WHERE position <= 5
  UNION ALL SELECT 1, n, text, type, description FROM (
   SELECT *, row_number() OVER (ORDER BY k, text) AS n FROM (
-   (SELECT DISTINCT 0 AS k, industry AS text, 'industry' AS type, 'Buscar por indústria: ' || industry AS description FROM leads WHERE industry ILIKE '%bu%' ORDER BY text LIMIT 3)
-   UNION ALL (SELECT DISTINCT 1, location, 'location', 'Buscar por localização: ' || location FROM leads WHERE location ILIKE '%bu%' ORDER BY location LIMIT 3)
-   UNION ALL (SELECT DISTINCT 2, company, 'company', 'Empresa: ' || company FROM leads WHERE company ILIKE '%bu%' ORDER BY company LIMIT 3))
+   (SELECT DISTINCT 0 AS k, industry AS text, 'industry' AS type, 'Buscar por indústria: ' || industry AS description FROM leads WHERE industry ILIKE '%in%' ORDER BY text LIMIT 3)
+   UNION ALL (SELECT DISTINCT 1, location, 'location', 'Buscar por localização: ' || location FROM leads WHERE location ILIKE '%in%' ORDER BY location LIMIT 3)
+   UNION ALL (SELECT DISTINCT 2, company, 'company', 'Empresa: ' || company FROM leads WHERE company ILIKE '%in%' ORDER BY company LIMIT 3))
   WHERE text NOT IN (SELECT text FROM sug)) WHERE n <= 5) QUALIFY position <= 10""",
     POPULAR,
-    SUGGEST.format(low="bu", n=10),
+    SUGGEST.format(low="in", n=10),
 )
 ORACLES["related_queries"] = with_(RAW_LOG, parsed("raw_log"), POPULAR, "pool AS (SELECT list(query ORDER BY cnt DESC, query) AS qs FROM (SELECT * FROM popular ORDER BY cnt DESC, query DESC LIMIT 10))") + (
     """SELECT query_id, array_to_string(list_filter(qs, lambda p: len(list_filter(terms, lambda t: contains(lower(p), t))) > 0)[1:5], '|') AS related_queries FROM log, pool"""
@@ -640,8 +640,8 @@ events_query(
 )
 events_query(
     "todays_activity",
-    """SELECT (SELECT count(*) FROM leads WHERE created_at >= TIMESTAMP '2024-01-30') AS leads_added_today,
- (SELECT count(*) FROM searches WHERE created_at >= TIMESTAMP '2024-01-30') AS searches_today, CASE WHEN leads_added_today > 0 THEN 'up' ELSE 'stable' END AS trend""",
+    """SELECT a AS leads_added_today, b AS searches_today, CASE WHEN a > 0 THEN 'up' ELSE 'stable' END AS trend FROM
+ (SELECT count(*) AS a FROM leads WHERE created_at >= TIMESTAMP '2024-01-30'), (SELECT count(*) AS b FROM searches WHERE created_at >= TIMESTAMP '2024-01-30')""",
     LEADS,
 )
 events_query(

@@ -288,7 +288,7 @@ def suggestions(spark, sf):
 
 @query
 def typed_suggestions(spark, sf):
-    return su.typed_suggestions(d.leads(spark, sf, False), _popular(spark, sf), "bu", 10)
+    return su.typed_suggestions(d.leads(spark, sf, False), _popular(spark, sf), "in", 10)
 
 
 @query
