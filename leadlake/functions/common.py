@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 
 def str_array(values: Iterable[str]) -> Column:
+    """A literal array of texts. Splitting one literal folds to a constant and keeps the plan short."""
     values = list(values)
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -25,7 +27,11 @@ def all_of(conditions: Iterable[Column]) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return any_of(F.contains(text, F.lit(w)) for w in words)
+    """True if any word occurs in the text: a few searches, or one pattern for long lists."""
+    words = list(words)
+    if len(words) <= 6:
+        return any_of(F.contains(text, F.lit(w)) for w in words)
+    return F.rlike(text, F.lit("|".join(re.escape(w) for w in words)))
 
 
 def filled(col: Column) -> Column:

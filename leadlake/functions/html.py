@@ -35,7 +35,7 @@ def _entity_map() -> Column:
 
 
 def _code_point(number: Column) -> Column:
-    text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32BE")
+    text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     for ref, char in _MARKUP_REFS:
         text = F.when(number == ord(char), F.lit(ref)).otherwise(text)
     return text

@@ -124,8 +124,10 @@ def contains_all_terms(terms: Column, keys: Column | None = None) -> Column:
     return (F.size(terms) > 0) & (F.size(F.array_except(terms, keys)) == 0)
 
 
-def may_contain_terms(terms: list[str]) -> Column:
+def may_contain_terms(leads: DataFrame, terms: list[str]) -> Column:
     """Cheap necessary condition for :func:`contains_all_terms`: every term is a substring of the raw text."""
-    fields = ["company", "description", "industry", "location", "contact", "email", "website"]
-    raw = F.lower(F.concat_ws("\n", *[F.col(f) for f in fields]))
-    return all_of([F.lit(True)] + [F.contains(raw, F.lit(t)) for t in terms])
+    parts = [F.col(f) for f in ("company", "description", "industry", "location", "contact", "email", "website")]
+    if "keywords" in leads.columns:
+        parts.append(F.array_join("keywords", "\n"))
+    raw = F.lower(F.concat_ws("\n", *parts))
+    return all_of(F.contains(raw, F.lit(t)) for t in terms)

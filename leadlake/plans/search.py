@@ -111,12 +111,12 @@ def candidates_full_text(leads: DataFrame, parsed: ParsedRequest, mode: str = "a
     return found
 
 
-def _may_match(parsed: ParsedRequest) -> Column:
+def _may_match(leads: DataFrame, parsed: ParsedRequest) -> Column:
     """Cheap necessary condition for any hit: some search word is a substring of the raw text."""
     words = sorted({w for t in parsed.search_terms for w in t.split()})
     first = F.lit(parsed.search_terms[0])
     inside = ilike_contains(F.col("company"), first) | ilike_contains(F.col("industry"), first)
-    return any_of([inside] + [may_contain_terms([w]) for w in words])
+    return any_of([inside] + [may_contain_terms(leads, [w]) for w in words])
 
 
 def _with_tier(leads: DataFrame, parsed: ParsedRequest, mode: str, postings: DataFrame | None) -> DataFrame:
@@ -134,8 +134,8 @@ def _with_tier(leads: DataFrame, parsed: ParsedRequest, mode: str, postings: Dat
         tier = F.when(F.col("in_index") == 1, F.lit(1)).when(text_hit, F.lit(0))
     else:
         # Tokens are only built for rows that pass the substring test.
-        marked = with_index_metadata(kept.filter(_may_match(parsed)))
-        in_index = may_contain_terms(parsed.terms) & contains_all_terms(terms)
+        marked = with_index_metadata(kept.filter(_may_match(kept, parsed)))
+        in_index = may_contain_terms(kept, parsed.terms) & contains_all_terms(terms)
         tier = F.when(in_index, F.lit(1)).when(text_hit, F.lit(0))
     return marked.withColumn("tier", tier).filter(F.col("tier").isNotNull())
 
