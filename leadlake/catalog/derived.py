@@ -52,11 +52,13 @@ def leads(spark: SparkSession, sf_dir: str, description: bool = True) -> DataFra
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), "p_name")
+    customer = table(spark, sf_dir, "customer").join(nation, "c_nationkey").join(region, "r_regionkey")
+    if description:
+        # The large joins below all use this key, so this is the one shuffle of the customers; it also
+        # spreads the text work when the other sides turn out small enough to be broadcast.
+        customer = customer.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     joined = (
-        table(spark, sf_dir, "customer")
-        .join(nation, "c_nationkey")
-        .join(region, "r_regionkey")
-        .join(part, "c_custkey")
+        customer.join(part, "c_custkey")
         .join(orders, "c_custkey")
     )
     if description:

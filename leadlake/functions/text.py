@@ -14,7 +14,8 @@ _NOT_QUERY_CHARS = r"[^\p{L}\p{N}_\"-]+"
 _NOT_SCRAPE_CHARS = r"[^\p{L}\p{N}_.,()-]+"
 _SPACES = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 _QUOTED = '"([^"]*)"'
-_WORD_WITH_DIGIT = r"[\p{L}\p{N}_]*[0-9][\p{L}\p{N}_]*"
+# Anchored at a word start and possessive, so a word without a digit is given up after one pass.
+_WORD_WITH_DIGIT = r"(?<![\p{L}\p{N}_])[\p{L}_[\p{N}&&[^0-9]]]*+[0-9][\p{L}\p{N}_]*+"
 
 
 def _clean(text: Column, pattern: str) -> Column:
@@ -107,16 +108,21 @@ def frequent_words(text: Column, max_keywords: int = 10) -> Column:
     Sorting tagged words makes equal words adjacent, so counting stays linear after one sort.
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract_all(lowered, F.lit(r"(?U)\b[a-zA-Z]{3,}\b"), F.lit(0))
+    found = F.regexp_extract_all(lowered, F.lit(r"(?U)\b[a-z]{4,}\b"), F.lit(0))
     stop = str_array(fv.FREQUENCY_STOP_WORDS)
-    kept = F.filter(found, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w))
-    tagged = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    tagged = F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     top = let(
         tagged,
         lambda all_words: let(
             F.filter(all_words, lambda t, k: (k == 0) | (F.get(all_words, k - 1)["w"] != t["w"])),
             lambda firsts: F.transform(
-                F.slice(F.array_sort(_with_counts(all_words, firsts)), 1, max_keywords), lambda t: t["w"]
+                F.slice(
+                    # Stop words are dropped here, where each word is left only once.
+                    F.array_sort(F.filter(_with_counts(all_words, firsts), lambda t: ~F.array_contains(stop, t["w"]))),
+                    1,
+                    max_keywords,
+                ),
+                lambda t: t["w"],
             ),
         ),
     )
