@@ -300,6 +300,12 @@ def build_log_index(leads: DataFrame) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread by the key of the join that follows, over as many tasks as any shuffle has: few
+    pairs can still be a lot of scoring."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _postings_of(index: DataFrame, column: str) -> DataFrame:
     return index.select(F.explode(column).alias("token"), F.col("id").alias("lead_id"))
 
@@ -330,7 +336,7 @@ def search_log(
 
     def kept(pairs: DataFrame, asked: DataFrame, words: list[str], test: Column, fields: DataFrame) -> DataFrame:
         """Candidate pairs that pass the exact test and the filters."""
-        known = pairs.withColumnRenamed("lead_id", "id").join(index.select("id", *words), "id")
+        known = _spread(pairs.withColumnRenamed("lead_id", "id"), "id").join(index.select("id", *words), "id")
         return known.join(asked, "query_id").join(fields, "id").filter(test & filters_hold).select("query_id", "id")
 
     keys = _postings_of(index, "keys")
@@ -345,7 +351,7 @@ def search_log(
 
     wanted = Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
     score, _ = relevance(wanted, taste or default_taste(), timestamp(as_of))
-    scored = found.join(log, "query_id").join(leads, "id").select("query_id", "query_text", "id", "company", score.alias("relevance_score"))
+    scored = _spread(found, "id").join(log, "query_id").join(leads, "id").select("query_id", "query_text", "id", "company", score.alias("relevance_score"))
     order = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "id")
     return (
         scored.filter(F.col("relevance_score") > 0)
