@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.llm.language import fit_languages, fold, identify_languages
+from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
