@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +48,10 @@ class Vocabulary:
     hash_of: np.ndarray
 
     @classmethod
-    def build(cls, hashes: np.ndarray, documents: np.ndarray, least: int = 3) -> Vocabulary:
+    def build(cls, hashes: np.ndarray, bounds: np.ndarray, least: int = 3) -> Vocabulary:
         """Rows for the words in ``least`` sampled documents or more. Row 0 is padding, row 1 any other word."""
-        once = pd.DataFrame({"word": hashes.ravel(), "document": np.repeat(documents, hashes.shape[1])}).drop_duplicates()
-        words, counts = np.unique(once["word"].to_numpy(), return_counts=True)
+        once = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
+        words, counts = np.unique(np.concatenate(once), return_counts=True)
         words, counts = words[counts >= least], counts[counts >= least]
         words = words[np.argsort(counts, kind="stable")]  # the more frequent word gets a slot that two want
         row_of = np.ones(SLOTS, np.int32)
@@ -212,7 +211,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str, lab
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", lang: str = "lang",
-    sample_rows: int = 5000, epochs: int = 6, seed: int = 7,
+    sample_rows: int = 4000, epochs: int = 6, seed: int = 7,
 ) -> ToxicityModel | None:
     """Train on about ``sample_rows`` labelled documents; a fifth of them is kept for the thresholds. ``lang`` only groups
     the sample when word statistics of languages are made: no score reads it."""
@@ -221,10 +220,13 @@ def fit_toxicity(
     if not len(truth) or truth.min() == truth.max():
         return None
     data, offsets = flat(pa.array([r["text"] for r in sample], pa.string()))
-    hashes, bounds = word_hashes(data, offsets)
-    owner = np.repeat(np.arange(len(sample)), np.diff(bounds))
-    vocabulary = Vocabulary.build(hashes, owner)
+    parts = [word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 19)]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
+    hashes = np.concatenate([h for h, _ in parts])
+    vocabulary = Vocabulary.build(hashes, bounds)
     rows = vocabulary.rows(hashes)
+    owner = np.repeat(np.arange(len(sample), dtype=np.int32), np.diff(bounds))
+    del hashes, parts
     languages = sorted({r["lang"] or "" for r in sample})
     group = np.array([languages.index(r["lang"] or "") for r in sample])
     table = np.stack([np.bincount(rows[group[owner] == g, 0], minlength=len(vocabulary.hash_of)) for g in range(len(languages))], 1) + 0.5
@@ -239,8 +241,8 @@ def fit_toxicity(
     network.train(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), truth[chosen], epochs, seed)
     model = ToxicityModel(vocabulary, network, table, np.zeros(len(languages)), languages)
     tables = network.tables()
-    logit = np.concatenate([network.logits(rows[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], tables) for i, j in slices(offsets)])
-    found = np.concatenate([model.languages_of(rows[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in slices(offsets)])
+    logit = np.concatenate([network.logits(rows[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], tables) for i, j in slices(offsets, 1 << 19)])
+    found = np.concatenate([model.languages_of(rows[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in slices(offsets, 1 << 19)])
     judge = kept if kept.any() and len({*truth[kept]}) == 2 else np.ones(len(sample), bool)
     overall = best_threshold(logit[judge], truth[judge])
     for g in range(len(languages)):
