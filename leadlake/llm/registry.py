@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlake.llm.fingerprints import edit_sensitivity
 from leadlake.llm.language import fit_languages, fold, identify_languages
+from leadlake.llm.licenses import license_summary, scan_licenses
 from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
@@ -29,6 +31,16 @@ def op1_toxicity(spark, sf_dir):
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_licenses(spark, sf_dir):
+    return license_summary(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_fingerprints(spark, sf_dir):
+    return edit_sensitivity(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
