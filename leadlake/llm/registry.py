@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leadlake.llm.fingerprints import edit_sensitivity
 from leadlake.llm.language import fit_languages, fold, identify_languages
 from leadlake.llm.licenses import license_summary, scan_licenses
+from leadlake.llm.mixing import mix_sources
+from leadlake.llm.simhash import near_duplicates
 from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
@@ -36,6 +38,18 @@ def op4_licenses(spark, sf_dir):
     return license_summary(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+@query
+def op5_simhash(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    found = mix_sources(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query
 def op9_fingerprints(spark, sf_dir):
     return edit_sensitivity(table(spark, sf_dir, "documents"))
