@@ -7,7 +7,7 @@ a ball has variants, so no group is unbounded.
 
 Distinct fingerprints only are expanded. Before the full balls (2,081 variants of 64 bits at distance 2), the same is
 done with the two halves of the fingerprints: of r differing bits one half holds r / 2 at most, so its ball of radius
-r / 4 (33 variants) must meet another's. Fingerprints that meet nobody there can link to nobody and emit no more.
+r / 4 (33 variants) must meet another's. Fingerprints that meet nobody near enough there can link to nobody and emit no more.
 
 Defined results: a null text counts as an empty one; texts without words have fingerprint zero, linked like any other;
 repeated rows share a component; documents with a null key keep a fingerprint, and their component is the smallest
@@ -89,17 +89,27 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in some) for k in range(radius + 1) for some in combinations(range(bits), k)], np.uint64)
 
 
-def _meeting_halves(fps: DataFrame, radius: int) -> DataFrame:
-    """Fingerprints that meet another in the ball of one of their halves."""
+def _meeting_halves(fps: DataFrame, radius: int, few: int = 64) -> DataFrame:
+    """Fingerprints that meet another within ``radius`` in the ball of one of their halves. In buckets of more than ``few``
+    all members count as met: this is a filter before the balls, which decide."""
     masks = [int(m) for m in ball(32, -(-(radius // 2) // 2))]
 
     def variants(shift: int):
         half = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << 32) - 1))
         return F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: half.bitwiseXOR(m) + F.lit(shift << 32))
 
-    rows = fps.select("fp", F.explode(F.concat(variants(0), variants(32))).alias("variant"))
-    met = rows.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high").select("variant")
-    return rows.join(met, "variant", "left_semi").select("fp").distinct()
+    rows = _spread(fps).select("fp", F.explode(F.concat(variants(0), variants(32))).alias("variant"))
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1")
+    counted = stored(counted, "halves")
+    bucket = counted.where(F.col("n") <= few).groupBy("variant").agg(F.collect_list("fp").alias("near"))
+    close = lambda x: F.exists("near", lambda y: (x != y) & (F.bit_count(x.bitwiseXOR(y)) <= radius))
+    small = bucket.select(F.explode(F.filter("near", close)).alias("fp"))
+    return small.union(counted.where(F.col("n") > few).select("fp")).distinct()
+
+
+def _spread(fps: DataFrame) -> DataFrame:
+    """Few bytes that become many: dealt over all tasks by number, since their size would put them into one."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -117,7 +127,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(masks)).view(np.int64)), pa.array(variants.view(np.int64))], names=["fp", "variant"])
 
     active = stored(_meeting_halves(fps, radius), "meeting")
-    spread = map_arrow(active, expand, "fp bigint, variant bigint")
+    spread = map_arrow(_spread(active), expand, "fp bigint, variant bigint")
     around = Window.partitionBy("variant")
     met = spread.select("fp", F.min("fp").over(around).alias("low")).where("fp != low").distinct()
     return met.select(F.col("fp").alias("u"), F.col("low").alias("v"))
