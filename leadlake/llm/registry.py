@@ -10,6 +10,8 @@ from leadlake.llm.language import fit_languages, fold, identify_languages
 from leadlake.llm.licenses import license_summary, scan_licenses
 from leadlake.llm.mixing import mix_sources
 from leadlake.llm.simhash import near_duplicates
+from leadlake.llm.templates import drop_recurring_lines
+from leadlake.llm.topk import top_k
 from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
@@ -33,6 +35,17 @@ def op1_toxicity(spark, sf_dir):
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_line_templates(spark, sf_dir):
+    found = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query
+def op3_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op4_licenses(spark, sf_dir):
     return license_summary(scan_licenses(table(spark, sf_dir, "documents")))
