@@ -8,7 +8,7 @@ that recur in ``least_documents`` documents or more are dropped everywhere but a
 
 Defined results: a null text has no lines and stays null; blank lines belong to no template and stay; the first line is
 the one in the document with the smallest key (then text hash, then place); a template that recurs within one document
-only is left alone; repeated rows count as one document and get the same text; lines with fewer tokens than
+only is left alone; repeated rows count each and get the same text; lines with fewer tokens than
 ``general_from`` have only the template without variable parts; an empty table gives an empty table; all columns of the
 input are kept, with the text replaced.
 """
@@ -66,7 +66,8 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def template_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", general_from: int = 8) -> DataFrame:
-    """(row, key, line, template) for every line and template of it; ``row`` identifies key and text."""
+    """(row, key, line, template, fresh) for every line and template of it; ``row`` identifies key and text, and ``fresh``
+    is 1 for the first line of a template in a document."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
@@ -76,21 +77,25 @@ def template_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", gene
                 part = offsets[i : j + 1]
                 owner, line, _, found = line_templates(data[part[0] : part[-1]], part - part[0], general_from)
                 where, column = np.nonzero(found)
+                template = found[where, column]
+                order = np.lexsort((np.arange(len(template)), template, owner[where]))
+                fresh = np.ones(len(template), np.int32)
+                fresh[order[1:]] = (template[order[1:]] != template[order[:-1]]) | (owner[where[order[1:]]] != owner[where[order[:-1]]])
                 take = pa.array(owner[where] + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(line[where].astype(np.int32)), pa.array(found[where, column].view(np.int64))],
-                    names=["row", "key", "line", "template"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(line[where].astype(np.int32)), pa.array(template.view(np.int64)), pa.array(fresh)],
+                    names=["row", "key", "line", "template", "fresh"],
                 )
 
     rows = _keyed(docs, text, key).select(F.col("_row").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_arrow(rows, work, f"row bigint, key {kind}, line int, template bigint")
+    return map_arrow(rows, work, f"row bigint, key {kind}, line int, template bigint, fresh int")
 
 
 def recurring_templates(rows: DataFrame, least_documents: int = 3) -> DataFrame:
     """(template, documents, first) of the templates in ``least_documents`` documents or more."""
-    # one row per document and template first, so that a hot template is summed before it is shuffled
-    once = rows.groupBy("template", "row").agg(F.min(F.struct("key", "row", "line")).alias("first"))
-    return once.groupBy("template").agg(F.count("*").alias("documents"), F.min("first").alias("first")).where(F.col("documents") >= least_documents)
+    # a hot template is summed before it is shuffled
+    found = rows.groupBy("template").agg(F.sum("fresh").alias("documents"), F.min(F.struct("key", "row", "line")).alias("first"))
+    return found.where(F.col("documents") >= least_documents)
 
 
 def drop_recurring_lines(
