@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from leadlake.llm.ship import map_arrow
 from leadlake.session import stored
 
-LEVELS = 32
+LEVELS = 6
 
 
 class ImpactIndex:
@@ -70,12 +70,12 @@ class ImpactIndex:
         keep = min(k, int(members.sum()))
         if not keep:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        look = max(16, len(order) // 24)
+        looks = {int(x) for x in np.linspace(len(order) // 2, len(order) - 1, 7)}
         for i, s in enumerate(order):
             if certain[s]:
                 score[self.segments[s][1]] += certain[s]
             rest = ahead[i]
-            if (i + 1) % look == 0 or rest == 0:
+            if i in looks or rest == 0:
                 own_scores = score[members]
                 kth = np.partition(own_scores, len(own_scores) - keep)[len(own_scores) - keep]
                 may = members & (score + rest + slack >= kth)
