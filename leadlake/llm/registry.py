@@ -9,6 +9,8 @@ from leadlake.llm.fingerprints import edit_sensitivity
 from leadlake.llm.language import fit_languages, fold, identify_languages
 from leadlake.llm.licenses import license_summary, scan_licenses
 from leadlake.llm.mixing import mix_sources
+from leadlake.llm.pieces import encode_pieces
+from leadlake.llm.repeats import drop_repeats
 from leadlake.llm.simhash import near_duplicates
 from leadlake.llm.templates import drop_recurring_lines
 from leadlake.llm.topk import top_k
@@ -57,6 +59,17 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op6_pieces(spark, sf_dir):
+    found = encode_pieces(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "lossless", "ids")
+
+
+@query
+def op7_repeats(spark, sf_dir):
+    return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op8_mixing(spark, sf_dir):
     found = mix_sources(table(spark, sf_dir, "documents"))
