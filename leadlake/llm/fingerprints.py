@@ -78,7 +78,7 @@ def _phrases(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     label = _labels(symbols, first)
     begin = first.copy()
     if len(label) > 2:
-        begin[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:]) & ~first[1:-1] & ~first[:-2]
+        begin[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:]) & ~first[1:-1] & ~first[:-2] & ~first[2:]
     return begin
 
 
