@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import lru_cache
+from itertools import cycle
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A mark that stands in a text, as a symbol of its own that nothing merges with.
 LITERAL = "\x00" + MARK
 #: Variants of a word's segmentation at one seed, and words kept per variant in one Python worker.
-VARIANTS, KEPT_WORDS = 4, 120_000
+VARIANTS, KEPT_WORDS = 2, 400_000
+
+
+def _keep(known: dict[str, bytes], part: str, ids: bytes) -> None:
+    if len(part) <= 32:
+        if len(known) >= KEPT_WORDS:
+            known.clear()
+        known[part] = ids
+
 
 _CHUNKS = re.compile(r" *[^ ]+| +")
 
@@ -57,6 +68,8 @@ class PieceModel:
                 self.ids[piece] = i
                 self.rank[piece] = -sp.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
+        #: neighbouring characters of any piece: between others no merge is possible
+        self.joined = {p[i : i + 2] for p in (q.replace(MARK, " ") for q in self.ids) for i in range(len(p) - 1)}
         self.words: dict[tuple[int, float], list[dict[str, bytes]]] = {}
 
     def segment(self, symbols: list[str], salt: int, dropout: float) -> list[str]:
@@ -96,7 +109,21 @@ class PieceModel:
             else:
                 raw = MARK.encode() if s == LITERAL else s.replace(MARK, " ").encode()
                 out += [self.byte_ids[b] for b in raw]
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
+
+    def _fresh(self, chunk: str, known: dict[str, bytes], salt: int, dropout: float) -> bytes:
+        """Ids of a chunk that is not known yet: it falls apart where no merge is possible, and most parts are known."""
+        joined = self.joined
+        cuts = [0, *[i for i, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in joined], len(chunk)]
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = chunk[a:b]
+            ids = known.get(part)
+            if ids is None:
+                ids = self.chunk_ids(part, xxhash.xxh64_intdigest(part, salt), dropout)
+                _keep(known, part, ids)
+            parts.append(ids)
+        return b"".join(parts)
 
     def encode(self, text: str, seed: int = 0, dropout: float = 0.0, key: object = None) -> bytes:
         """The ids of a text as 32-bit numbers."""
@@ -105,20 +132,14 @@ class PieceModel:
         kept = self.words.get((seed, dropout))
         if kept is None:
             kept = self.words[(seed, dropout)] = [{} for _ in range(VARIANTS)]
-        turn = xxhash.xxh32_intdigest(str(key), seed & 0xFFFFFFFF)
-        parts = []
-        for chunk in _CHUNKS.findall(" " + text):
-            turn = (turn * 0x41C64E6D + 0x3039) & 0xFFFFFFFF
-            variant = turn >> 30 if dropout else 0
-            known = kept[variant]
-            ids = known.get(chunk)
+        chunks = _CHUNKS.findall(" " + text)
+        bits = xxhash.xxh64_intdigest(str(key), seed & 0xFFFFFFFF) if dropout else 0
+        turns = [bits >> k & (VARIANTS - 1) for k in range(64)]  # the variants of successive words
+        parts = [known.get(chunk) for known, chunk in zip(cycle([kept[v] for v in turns]), chunks)]
+        for i, ids in enumerate(parts):
             if ids is None:
-                ids = self.chunk_ids(chunk, xxhash.xxh64_intdigest(chunk, seed * VARIANTS + variant), dropout)
-                if len(chunk) <= 40:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[chunk] = ids
-            parts.append(ids)
+                variant = turns[i % 64]
+                parts[i] = self._fresh(chunks[i], kept[variant], seed * VARIANTS + variant, dropout)
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:

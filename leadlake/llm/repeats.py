@@ -30,7 +30,7 @@ from leadlake.session import stored
 
 LENGTH, GRAM = 100, 32
 #: Windows of one context; bytes of contexts that are merged at a time; shards of such a group.
-RUN, GROUP_BYTES, SHARDS = 1024, 1 << 20, 4
+RUN, GROUP_BYTES, SHARDS = 1024, 1 << 19, 4
 _NO_KEY = -(1 << 63)
 
 
@@ -156,7 +156,7 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             key, tag = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
             data, offsets = flat(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 19):
                 part = offsets[i : j + 1]
                 text, start, count, anchor, context, own = anchored_runs(data[part[0] : part[-1]], part - part[0])
                 k, t = key[text + i], tag[text + i]
