@@ -73,16 +73,16 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
 
 
 # --- Burrows-Wheeler transforms of shards, and their merge ------------------------------------------
-def shard_transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def shard_transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of all strings (as places in the strings joined with an end mark each) in order of ``depth`` symbols or
-    more, each string read as a ring; and the symbol before each."""
+    more, each string read as a ring; the symbol before each; and the rank of the suffix one symbol longer."""
     size = np.array([len(s) + 1 for s in strings])
     end = np.cumsum(size) - 1
     symbols = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: the mark is 0
     follow = np.arange(1, len(symbols) + 1, dtype=np.int64)
     follow[end] = end - size + 1
     ahead, rank, step = follow, symbols.astype(np.uint64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(symbols, kind="stable")
     while step < depth:
         value = (rank << np.uint64(32)) | rank[ahead]
         order = np.argsort(value, kind="stable")
@@ -92,26 +92,31 @@ def shard_transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarr
         ahead, step = ahead[ahead], step * 2
     back = np.empty_like(follow)
     back[follow] = np.arange(len(follow))
-    return order, symbols[back[order]]
-
-
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards (shard of each merged suffix) sorted by ``depth`` symbols, and the number of the
-    interval of each: suffixes of one interval share ``depth`` symbols."""
-    symbols = np.concatenate([b for _, b in shards])
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for _, b in shards])
-    interval = np.zeros(len(shard), np.int32)
-    merged = np.empty_like(symbols)
-    for _ in range(depth):
-        # symbols before the suffixes, in the order of the present interleave
-        merged[np.argsort(shard, kind="stable")] = symbols
-        order = np.argsort(merged, kind="stable")
-        ordered, inner = merged[order], interval[order]
-        shard = shard[order]
-        border = np.ones(len(order), bool)
-        border[1:] = (ordered[1:] != ordered[:-1]) | (inner[1:] != inner[:-1])
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    before = back[order]
+    return order, symbols[before], place[before]
+
+
+def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The shards' suffixes (numbered through all shards) interleaved in order of ``depth`` symbols, and the number of
+    the interval of each: suffixes of one interval share ``depth`` symbols. ``depth`` is even: a step takes two symbols."""
+    base = np.cumsum([0] + [len(o) for o, _, _ in shards]).astype(np.int32)
+    symbols = np.concatenate([s for _, s, _ in shards]).astype(np.uint16)
+    longer = np.concatenate([rank + b for (_, _, rank), b in zip(shards, base)])
+    pairs, longer = (symbols[longer] << 8) | symbols, longer[longer]
+    interleave = np.arange(len(symbols), dtype=np.int32)
+    interval = np.zeros(len(symbols), np.int32)
+    border = np.ones(len(symbols), bool)
+    for _ in range(depth // 2):
+        # the suffixes two symbols longer: by those symbols first, then in the present order
+        key = pairs[interleave]
+        order = np.argsort(key, kind="stable")
+        interleave = longer[interleave[order]]
+        key, interval = key[order], interval[order]
+        border[1:] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
         interval = np.cumsum(border, dtype=np.int32)
-    return shard, interval
+    return interleave, interval
 
 
 def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -121,10 +126,9 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     bounds = np.linspace(0, len(contexts), min(SHARDS, len(contexts)) + 1).astype(int)
     parts = [contexts[a:b] for a, b in zip(bounds, bounds[1:])]
     shards = [shard_transform(p, length) for p in parts]
-    base = np.cumsum([0] + [len(o) for o, _ in shards])
-    shard, interval = merge_transforms(shards, length)
-    place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.concatenate([o + b for (o, _), b in zip(shards, base)])
+    base = np.cumsum([0] + [len(o) for o, _, _ in shards])
+    interleave, interval = merge_transforms(shards, length)
+    place = np.concatenate([o + b for (o, _, _), b in zip(shards, base)])[interleave]
     size = np.array([len(c) + 1 for c in contexts])
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(contexts)), size)[place]

@@ -12,6 +12,8 @@ import leadlake
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
+#: Rows of texts are large, so fewer of them go into one Arrow batch than Spark's default.
+BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _SENT: set[str] = set()
 
 
@@ -34,4 +36,7 @@ def ship_package(sc: SparkContext) -> None:
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     ship_package(df.sparkSession.sparkContext)
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH)) > TEXTS_PER_BATCH:
+        conf.set(BATCH, str(TEXTS_PER_BATCH))
     return df.mapInArrow(function, schema)
