@@ -141,7 +141,8 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     hit = order[later]
     hit = hit[np.argsort(place[hit], kind="stable")]
     cuts = np.searchsorted(owner[hit], np.arange(len(contexts) + 1))
-    return [within[hit][a:b] for a, b in zip(cuts, cuts[1:])]
+    hits = within[hit]
+    return [hits[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 # --- jobs --------------------------------------------------------------------------------------------
