@@ -568,7 +568,7 @@ leads_query("highlights", "SELECT id, " + ", ".join(f"{marked(c)} AS h_{c}" for
 TOP_POPULAR = "SELECT query FROM popular ORDER BY cnt DESC, query DESC LIMIT {n}"
 SUGGEST = """sug AS (SELECT CAST(row_number() OVER (ORDER BY src, w, text) AS INT) AS position, text FROM (
  SELECT text, min(src) AS src, min_by(w, src) AS w FROM (
-  SELECT 0 AS src, -cnt AS w, query AS text FROM (SELECT * FROM popular ORDER BY cnt DESC, query DESC LIMIT 50) WHERE starts_with(lower(query), '{low}')
+  SELECT 0 AS src, -cnt AS w, query AS text FROM (SELECT * FROM popular WHERE starts_with(lower(query), '{low}') ORDER BY cnt DESC, query LIMIT {n})
   UNION ALL (SELECT DISTINCT 1, 0, company FROM leads WHERE company ILIKE '{low}%' ORDER BY company LIMIT {n})
   UNION ALL (SELECT DISTINCT 2, 0, industry FROM leads WHERE industry ILIKE '{low}%' ORDER BY industry LIMIT {n})) GROUP BY text)
  QUALIFY position <= {n})"""
@@ -786,12 +786,21 @@ def squeezed(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 
 
+def without_suffixes(x: str, suffixes, flags: str) -> str:
+    """Legal suffixes cut where they stand as whole words of any alphabet. A suffix takes the border before it along, as
+    a marked space, so that neighbours can both be cut."""
+    spaced = rf"regexp_replace({x}, '([^\p{{L}}\p{{M}}\p{{N}}_]+)', chr(1) || '\1' || chr(1), 'g')"
+    bounded = f"chr(1) || {spaced} || chr(1)"
+    cut = rf"regexp_replace({bounded}, '\x01(?:{'|'.join(suffixes)})\x01(\.?)', chr(1) || chr(1), '{flags}')"
+    return f"replace({cut}, chr(1), '')"
+
+
 def normal_company(x: str) -> str:
-    return squeezed(rf"regexp_replace(lower({x}), '\b(?:{'|'.join(fv.LEGAL_SUFFIXES)})\b\.?', '', 'g')")
+    return squeezed(without_suffixes(f"lower({x})", fv.LEGAL_SUFFIXES, "g"))
 
 
 def clean_company(x: str) -> str:
-    return squeezed(rf"regexp_replace({x}, '\b(?:{'|'.join(fv.LEGAL_SUFFIXES_LONG)})\b\.?', '', 'gi')")
+    return squeezed(without_suffixes(x, fv.LEGAL_SUFFIXES_LONG, "gi"))
 
 
 OTHER = "(industry || ' Trading House ' || id || ' Ltd')"
@@ -985,10 +994,10 @@ extracted AS (SELECT page_id, {host('url')} AS host, url AS website,
 # The sample pages have no contact links, meta descriptions or about sections.
 ORACLES["page_extract"] = with_(PAGES) + "SELECT page_id, host, company, email, phone, location, '' AS contact_pages, description, industry FROM extracted"
 FIRST = "{c} FILTER (WHERE {c} IS NOT NULL)"
-ORACLES["page_merge"] = with_(PAGES, "top4 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM extracted QUALIFY n <= 4)") + (
+ORACLES["page_merge"] = with_(PAGES, "ranked AS (SELECT *, page_id AS n FROM extracted)") + (
     "SELECT host, count(*) AS n_pages, min(page_id) AS page_id, arg_min(company, n) AS company, "
     + ", ".join(f"arg_min({c}, n) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("email", "phone", "location"))
-    + ", arg_min_null(industry, n) AS industry FROM top4 GROUP BY host"
+    + ", arg_min_null(industry, n) AS industry FROM ranked GROUP BY host"
 )
 
 

@@ -84,42 +84,3 @@ WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0x
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind at both ends."""
     return F.btrim(text, F.lit(WHITE_SPACE))
-
-
-def keep_if(value: Column, test) -> Column:
-    """``value`` if it passes ``test``, else null; evaluated once however often the test mentions it."""
-    return F.get(F.filter(F.array(value), test), F.lit(0))
-
-
-def match(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a pattern, null when there is none or it is empty."""
-    return keep_if(F.regexp_extract(text, pattern, group), lambda v: v != "")
-
-
-def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    """Share of ``whole`` in percent, half-even rounded; 0 when there is no whole."""
-    return F.bround(F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0)), digits)
-
-
-def flags(*pairs: tuple[Column, str]) -> Column:
-    """The labels whose condition holds, in the order given."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(label)) for cond, label in pairs]))
-
-
-def first_group_match(text: Column, groups: list[tuple[str, list[str]]], test) -> Column:
-    """Name of the first group for which ``test(text, words)`` holds, else null."""
-    result = None
-    for name, words in groups:
-        cond = test(text, words)
-        result = F.when(cond, F.lit(name)) if result is None else result.when(cond, F.lit(name))
-    return result
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body`` (also in nested lambdas)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def strip(text: Column) -> Column:
-    """Remove whitespace of any kind at both ends."""
-    return F.regexp_replace(text, r"^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$", "")

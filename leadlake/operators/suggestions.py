@@ -22,7 +22,7 @@ def _distinct_values(leads: DataFrame, column: str, cond: Column, limit: int) ->
 
 
 def suggestions(leads: DataFrame, popular: DataFrame, partial: str, limit: int = 10) -> DataFrame:
-    """Texts that start with ``partial``: popular searches (the top 50), companies, then industries.
+    """Texts that start with ``partial``: popular searches, companies, then industries.
 
     ``popular`` has columns ``query`` and ``count``.
     """
@@ -30,8 +30,9 @@ def suggestions(leads: DataFrame, popular: DataFrame, partial: str, limit: int =
     if len(partial or "") < 2:
         return empty
     prefix = F.lit(partial)
-    top = popular.orderBy(F.col("count").desc(), F.col("query").desc()).limit(50)
-    searched = top.filter(F.startswith(F.lower("query"), F.lower(prefix))).select(
+    # More than "limit" are never shown, and ties are shown by text.
+    fitting = popular.filter(F.startswith(F.lower("query"), F.lower(prefix)))
+    searched = fitting.orderBy(F.col("count").desc(), F.col("query")).limit(limit).select(
         F.lit(0).alias("source"), (-F.col("count")).alias("weight"), F.col("query").alias("text")
     )
 
@@ -42,7 +43,7 @@ def suggestions(leads: DataFrame, popular: DataFrame, partial: str, limit: int =
 
     merged = searched.unionByName(values(1, "company")).unionByName(values(2, "industry"))
     first = merged.groupBy("text").agg(F.min(F.struct("source", "weight")).alias("at"))
-    # At most 50 + 2 * limit rows are left here.
+    # At most 3 * limit rows are left here.
     order = Window.partitionBy().orderBy("at.source", "at.weight", "text")
     return first.select(F.row_number().over(order).alias("position"), "text").filter(F.col("position") <= limit)
 

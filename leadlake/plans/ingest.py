@@ -63,9 +63,9 @@ def _filled_from(parts: DataFrame, key: str, order: str, fields: list[str]) -> D
     )
 
 
-def merge_linked_pages(extracted: DataFrame, max_pages: int = 3) -> DataFrame:
-    """Each page's contact fields completed from up to ``max_pages`` contact pages it links to."""
-    linked = extracted.select("page_id", F.posexplode(F.slice("contact_pages", 1, max_pages)).alias("n", "link"))
+def merge_linked_pages(extracted: DataFrame) -> DataFrame:
+    """Each page's contact fields completed from the contact pages it links to, in the order of the links."""
+    linked = extracted.select("page_id", F.posexplode("contact_pages").alias("n", "link"))
     targets = extracted.select(F.col("url").alias("link"), *CONTACT_FIELDS)
     own = extracted.select("page_id", F.lit(-1).alias("n"), *CONTACT_FIELDS)
     others = linked.join(targets, "link").select("page_id", "n", *CONTACT_FIELDS)
@@ -73,14 +73,12 @@ def merge_linked_pages(extracted: DataFrame, max_pages: int = 3) -> DataFrame:
     return extracted.drop(*CONTACT_FIELDS).join(merged, "page_id")
 
 
-def merge_host_pages(extracted: DataFrame, max_pages: int = 3) -> DataFrame:
-    """One row per host: its first page, completed from the next ``max_pages`` pages of the host.
+def merge_host_pages(extracted: DataFrame) -> DataFrame:
+    """One row per host: its first page, completed from all other pages of the host.
 
-    The rank limit is applied in each partition before the shuffle, so a host with very many pages
-    sends only a few of them.
+    Every field is a minimum by page, so a host with very many pages sends one partial row per task.
     """
-    order = Window.partitionBy("host").orderBy("page_id")
-    ranked = extracted.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_pages + 1)
+    ranked = extracted.withColumn("n", F.col("page_id"))
     main_only = ["page_id", "company", "website", "description", "industry"]
     first = [F.min_by(F.col(c), F.col("n")).alias(c) for c in main_only]
     rest = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("n"))).alias(f) for f in CONTACT_FIELDS]
