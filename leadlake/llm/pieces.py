@@ -14,10 +14,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from functools import lru_cache
 from itertools import cycle
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm.ship import map_arrow
+from leadlake.llm.textbytes import flat, mix, prefix_hash, slices, span_hash
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: A mark that stands in a text, as a symbol of its own that nothing merges with.
-LITERAL = "\x00" + MARK
 #: Variants of a word's segmentation at one seed, and words kept per variant in one Python worker.
 VARIANTS, KEPT_WORDS = 2, 400_000
-
-
-def _keep(known: dict[str, bytes], part: str, ids: bytes) -> None:
-    if len(part) <= 32:
-        if len(known) >= KEPT_WORDS:
-            known.clear()
-        known[part] = ids
-
+#: Widths of the tables in which parts of words are merged side by side; longer parts are merged one by one.
+WIDTHS = (4, 8, 16, 32, 64)
+#: Bytes of the texts that are encoded together.
+TOGETHER = 1 << 21
+#: A symbol that nothing merges with, and a place whose symbol went into the one before it.
+ALONE, GONE = -1, -2
+NEVER = np.iinfo(np.int32).max
+_SALTS = (0x9E3779B97F4A7C15, 0x85EBCA77C2B2AE63, 0xC2B2AE3D27D4EB4F)
+_ALL_BITS = (1 << 64) - 1
 
 _CHUNKS = re.compile(r" *[^ ]+| +")
 
@@ -52,101 +50,206 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        size = sp.get_piece_size()
-        self.ids: dict[str, int] = {}
-        self.rank: dict[str, float] = {}
-        self.bytes_of: list[bytes] = []
-        self.byte_ids = [0] * 256
+        size = self.size = sp.get_piece_size()
+        ids: dict[str, int] = {}
+        self.byte_ids = np.zeros(256, np.int32)
+        raw: list[bytes] = []
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(piece[3:5], 16)]))
+                raw.append(bytes([int(piece[3:5], 16)]))
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.bytes_of.append(b"")
+                raw.append(b"")
             else:
-                self.ids[piece] = i
-                self.rank[piece] = -sp.get_score(i)
-                self.bytes_of.append(piece.replace(MARK, " ").encode())
+                ids[piece] = i
+                raw.append(piece.replace(MARK, " ").encode())
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in raw])
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+
+        # symbols: the pieces, and characters that occur in pieces only
+        symbols = dict(ids)
+        for piece in ids:
+            for c in piece:
+                symbols.setdefault(c, size + len(symbols))
+        self.n_symbols = size + len(symbols)
+        self.symbol_of = np.full(0x110000, ALONE, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.symbol_of[ord(" " if c == MARK else c)] = i
+        self.symbol_of[ord(MARK)] = ALONE  # a mark that stands in a text
+        by_rank = sorted(ids, key=lambda p: (-sp.get_score(ids[p]), ids[p]))
+        self.id_of_rank = np.array([ids[p] for p in by_rank], np.int32)
+        pairs, joined = {}, set()
+        for rank, p in enumerate(by_rank):
+            for i in range(1, len(p)):
+                joined.add(symbols[p[i - 1]] * self.n_symbols + symbols[p[i]])
+                if p[:i] in symbols and p[i:] in symbols:
+                    pairs[symbols[p[:i]] * self.n_symbols + symbols[p[i:]]] = rank
+        #: symbol pairs that merge, each with the rank of what it gives
+        self.pairs = np.array([*sorted(pairs), np.iinfo(np.int64).max])
+        self.pair_ranks = np.array([*(pairs[k] for k in sorted(pairs)), NEVER], np.int64)
+        self.rank_of_pair = pairs
         #: neighbouring characters of any piece: between others no merge is possible
-        self.joined = {p[i : i + 2] for p in (q.replace(MARK, " ") for q in self.ids) for i in range(len(p) - 1)}
+        self.joined = np.array([*sorted(joined), np.iinfo(np.int64).max])
         self.words: dict[tuple[int, float], list[dict[str, bytes]]] = {}
 
-    def segment(self, symbols: list[str], salt: int, dropout: float) -> list[str]:
-        """Merge neighbours in order of rank (then place), skipping those that the hash of ``salt`` and place drops."""
-        rank, limit = self.rank, int(dropout * (1 << 32))
-        n = len(symbols)
+    def _key(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * self.n_symbols + right)
+
+    def _candidates(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray, place: np.ndarray, limit: int) -> np.ndarray:
+        """Ranks of candidate merges, ``NEVER`` where there is none or the hash of salt, rank and place drops it."""
+        key = self._key(left, right)
+        at = np.searchsorted(self.pairs, key)
+        rank = np.where(self.pairs[at] == key, self.pair_ranks[at], NEVER)
+        if limit:
+            a, b, c = (np.uint64(s) for s in _SALTS)
+            drawn = (salt ^ (rank.astype(np.uint64) * a + place.astype(np.uint64) * b)) * c >> np.uint64(32)
+            rank[drawn < np.uint64(limit)] = NEVER
+        return rank.astype(np.int32)
+
+    def segment(self, symbols: list[int], salt: int, limit: int) -> list[int]:
+        """Merge neighbours in order of rank (then place), skipping those that the hash drops; for parts of any length."""
+        n, size, ranks = len(symbols), self.n_symbols, self.rank_of_pair
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
+        agenda: list[tuple[int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            pair = symbols[i] * size + symbols[j]
+            if symbols[i] >= 0 and symbols[j] >= 0 and (r := ranks.get(pair)) is not None:
+                drawn = ((salt ^ (r * _SALTS[0] + i * _SALTS[1]) & _ALL_BITS) * _SALTS[2] & _ALL_BITS) >> 32
+                if drawn >= limit:
+                    heapq.heappush(agenda, (r, i, pair))
+
         for i in range(n - 1):
-            if (r := rank.get(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((r, i, symbols[i] + symbols[i + 1]))
-        heapq.heapify(agenda)
+            offer(i, i + 1)
         while agenda:
-            r, i, merged = heapq.heappop(agenda)
+            r, i, pair = heapq.heappop(agenda)
             j = after[i]
-            if not symbols[i] or j >= n or symbols[i] + symbols[j] != merged:
+            if symbols[i] < 0 or j >= n or symbols[i] * size + symbols[j] != pair:
                 continue  # one of the two has been merged meanwhile
-            # keyed by the seed, the variant, the rank and the place of the candidate
-            if limit and ((salt ^ (int(r) * 0x9E3779B1 + i * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F >> 29) & 0xFFFFFFFF < limit:
-                continue
-            symbols[i], symbols[j] = merged, ""
+            symbols[i], symbols[j] = int(self.id_of_rank[r]), GONE
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(both := merged + symbols[k])) is not None:
-                    heapq.heappush(agenda, (r, i, both))
-            if (h := before[i]) >= 0 and (r := rank.get(both := symbols[h] + merged)) is not None:
-                heapq.heappush(agenda, (r, h, both))
-        return [s for s in symbols if s]
-
-    def chunk_ids(self, chunk: str, salt: int, dropout: float) -> bytes:
-        symbols = [MARK if c == " " else LITERAL if c == MARK else c for c in chunk]
-        out: list[int] = []
-        for s in self.segment(symbols, salt, dropout):
-            if (i := self.ids.get(s)) is not None:
-                out.append(i)
-            else:
-                raw = MARK.encode() if s == LITERAL else s.replace(MARK, " ").encode()
-                out += [self.byte_ids[b] for b in raw]
-        return array("i", out).tobytes()
-
-    def _fresh(self, chunk: str, known: dict[str, bytes], salt: int, dropout: float) -> bytes:
-        """Ids of a chunk that is not known yet: it falls apart where no merge is possible, and most parts are known."""
-        joined = self.joined
-        cuts = [0, *[i for i, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in joined], len(chunk)]
-        parts = []
-        for a, b in zip(cuts, cuts[1:]):
-            part = chunk[a:b]
-            ids = known.get(part)
-            if ids is None:
-                ids = self.chunk_ids(part, xxhash.xxh64_intdigest(part, salt), dropout)
-                _keep(known, part, ids)
-            parts.append(ids)
-        return b"".join(parts)
-
-    def encode(self, text: str, seed: int = 0, dropout: float = 0.0, key: object = None) -> bytes:
-        """The ids of a text as 32-bit numbers."""
-        if not text:
-            return b""
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
+        return symbols
+
+    def _segment_rows(self, symbols: np.ndarray, salt: np.ndarray, limit: int) -> np.ndarray:
+        """:meth:`segment` for many short parts at a time: every round merges the first candidate of each row.
+
+        Rows begin and end with a symbol that merges with nothing, so no place needs a test for the border.
+        """
+        n, width = symbols.shape
+        column = np.arange(width)
+        after, before = np.tile(column + 1, (n, 1)), np.tile(column - 1, (n, 1))
+        rank = np.full((n, width), NEVER, np.int32)
+        rank[:, :-1] = self._candidates(symbols[:, :-1], symbols[:, 1:], salt[:, None], column[None, :-1] - 1, limit)
+        rows = np.arange(n)
+        while len(rows):
+            i = rank[rows].argmin(1)
+            r = rank[rows, i]
+            live = r != NEVER
+            rows, i, r = rows[live], i[live], r[live]
+            j = after[rows, i]
+            k, h = after[rows, j], before[rows, i]
+            merged = self.id_of_rank[r]
+            symbols[rows, i], symbols[rows, j] = merged, GONE
+            after[rows, i], before[rows, k] = k, i
+            rank[rows, j] = NEVER
+            rank[rows, i] = self._candidates(merged, symbols[rows, k], salt[rows], i - 1, limit)
+            rank[rows, h] = self._candidates(symbols[rows, h], merged, salt[rows], h - 1, limit)
+        return symbols
+
+    def segment_chunks(self, chunks: list[str], seed: int, dropout: float) -> list[bytes]:
+        """Ids of chunks as 32-bit numbers. A chunk falls apart where no merge is possible; its parts are merged each alone,
+        and what a part becomes hangs on its characters and the seed only."""
+        text, limit = "".join(chunks), int(dropout * (1 << 32))
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        heads = np.cumsum([0, *map(len, chunks)])
+        symbols = self.symbol_of[codes]
+        key = self._key(symbols[:-1], symbols[1:])
+        apart = np.ones(len(codes), bool)
+        apart[1:] = self.joined[np.searchsorted(self.joined, key)] != key
+        apart[heads[:-1]] = True
+        starts = np.flatnonzero(apart)
+        sizes = np.diff(starts, append=len(codes))
+        salts = span_hash(prefix_hash(codes), starts, starts + sizes) ^ mix(np.array([seed & _ALL_BITS], np.uint64))
+        least = 1
+        for width in WIDTHS:
+            some = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            place = np.arange(width)
+            inside = place < sizes[some, None]
+            where = np.where(inside, starts[some, None] + place, 0)
+            rows = np.full((len(some), width + 2), ALONE, np.int32)
+            rows[:, 1:-1] = np.where(inside, symbols[where], ALONE)
+            symbols[where[inside]] = self._segment_rows(rows, salts[some], limit)[:, 1:-1][inside]
+        for p in np.flatnonzero(sizes > least).tolist():
+            span = slice(starts[p], starts[p] + sizes[p])
+            symbols[span] = self.segment(symbols[span].tolist(), int(salts[p]), limit)
+
+        # one id for a piece, one for each byte of a character that is none
+        other = np.flatnonzero((symbols == ALONE) | (symbols >= self.size))
+        spelt = [text[i].encode() for i in other.tolist()]
+        count = (symbols >= 0).astype(np.int64)
+        count[other] = [len(s) for s in spelt]
+        ends = np.cumsum(count)
+        ids = np.zeros(ends[-1] if len(ends) else 0, np.int32)
+        whole = (symbols >= 0) & (symbols < self.size)
+        ids[ends[whole] - 1] = symbols[whole]
+        if spelt:
+            n = count[other]
+            at = np.repeat(ends[other] - np.cumsum(n), n) + np.arange(n.sum())
+            ids[at] = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+        cuts = (np.concatenate([[0], ends])[heads] * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_together(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, keys: list | None = None) -> list[bytes | None]:
+        """The ids of texts as 32-bit numbers; words not met before are segmented side by side."""
         kept = self.words.get((seed, dropout))
         if kept is None:
             kept = self.words[(seed, dropout)] = [{} for _ in range(VARIANTS)]
-        chunks = _CHUNKS.findall(" " + text)
-        bits = xxhash.xxh64_intdigest(str(key), seed & 0xFFFFFFFF) if dropout else 0
-        turns = [bits >> k & (VARIANTS - 1) for k in range(64)]  # the variants of successive words
-        parts = [known.get(chunk) for known, chunk in zip(cycle([kept[v] for v in turns]), chunks)]
-        for i, ids in enumerate(parts):
-            if ids is None:
-                variant = turns[i % 64]
-                parts[i] = self._fresh(chunks[i], kept[variant], seed * VARIANTS + variant, dropout)
-        return b"".join(parts)
+        fresh: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        rows, gaps = [], []
+        for text, key in zip(texts, keys or texts):
+            if not text:
+                rows.append(None if text is None else [])
+                continue
+            chunks = _CHUNKS.findall(" " + text)
+            bits = xxhash.xxh64_intdigest(str(key), seed & 0xFFFFFFFF) if dropout else 0
+            turns = [bits >> k & (VARIANTS - 1) for k in range(64)]  # the variants of successive words
+            parts = [known.get(chunk) for known, chunk in zip(cycle([kept[v] for v in turns]), chunks)]
+            for i, ids in enumerate(parts):
+                if ids is None:
+                    new = fresh[turns[i % 64]]
+                    new[chunks[i]] = b""
+                    gaps.append((parts, i, new, chunks[i]))
+            rows.append(parts)
+        for variant, (known, new) in enumerate(zip(kept, fresh)):
+            words = list(new)
+            new.update(zip(words, self.segment_chunks(words, seed * VARIANTS + variant, dropout)))
+            if len(known) >= KEPT_WORDS:
+                known.clear()
+            known.update((w, ids) for w, ids in new.items() if len(w) <= 32)
+        for parts, i, new, chunk in gaps:
+            parts[i] = new[chunk]
+        return [None if parts is None else b"".join(parts) for parts in rows]
+
+    def encode(self, text: str, seed: int = 0, dropout: float = 0.0, key: object = None) -> bytes:
+        return self.encode_together([text], seed, dropout, [key])[0]
 
     def decode(self, ids: bytes) -> str:
         if not ids:
             return ""
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, np.int32).tolist()])[1:].decode()
+        number = np.frombuffer(ids, np.int32)
+        sizes = self.raw_size[number]
+        at = np.repeat(self.raw_start[number] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.raw[at].tobytes()[1:].decode()
 
 
 @lru_cache(maxsize=2)
@@ -177,10 +280,11 @@ def encode_pieces(
     def work(batches):
         pieces = piece_model(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
+            _, offsets = flat(batch.column(1))
+            for start, stop in slices(offsets, TOGETHER):
+                some = batch.slice(start, stop - start)
                 texts = some.column(1).to_pylist()
-                rows = [None if t is None else pieces.encode(t, seed, dropout, k) for k, t in zip(some.column(0).to_pylist(), texts)]
+                rows = pieces.encode_together(texts, seed, dropout, some.column(0).to_pylist())
                 same = [None if r is None else pieces.decode(r) == t for r, t in zip(rows, texts)]
                 yield pa.RecordBatch.from_arrays([some.column(0), _id_lists(rows), pa.array(same, pa.bool_())], names=["key", "ids", "lossless"])
 

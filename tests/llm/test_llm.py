@@ -238,6 +238,21 @@ def test_pieces_without_dropout_are_the_models_own(corpus_rows):
         assert np.frombuffer(model.encode(t), np.int32).tolist() == sp.encode(t)
 
 
+def test_pieces_side_by_side_as_one_by_one():
+    model, rng = pc.piece_model(pc.model_bytes(pc.MODEL)), random.Random(4)
+    for dropout in (0.0, 0.1, 0.5):
+        limit = int(dropout * (1 << 32))
+        for _ in range(60):
+            part = "".join(rng.choice("theandingo ") for _ in range(rng.randint(2, 40)))
+            symbols, salt = model.symbol_of[[ord(c) for c in part]], rng.getrandbits(64)
+            row = np.full((1, len(part) + 2), pc.ALONE, np.int32)
+            row[0, 1:-1] = symbols
+            model._segment_rows(row, np.array([salt], np.uint64), limit)
+            assert row[0, 1:-1].tolist() == model.segment(symbols.tolist(), salt, limit)
+    for long in ["the" * 400, "漢" * 300 + "\n" * 90, "▁ ▁▁" * 40]:
+        assert model.decode(model.encode(long, 5, 0.3, 1)) == long
+
+
 def test_pieces_decode_losslessly_and_vary(corpus, corpus_rows, nothing):
     encoded = pc.encode_pieces(corpus, dropout=0.3)
     assert all(r.lossless is (None if r.ids is None else True) for r in encoded.collect())
