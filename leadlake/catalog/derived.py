@@ -56,7 +56,7 @@ def leads(spark: SparkSession, sf_dir: str, description: bool = True) -> DataFra
     if description:
         # The large joins below all use this key, so this is the one shuffle of the customers; it also
         # spreads the text work when the other sides turn out small enough to be broadcast.
-        customer = customer.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+        customer = customer.repartition("c_custkey")
     joined = (
         customer.join(part, "c_custkey")
         .join(orders, "c_custkey")
@@ -189,7 +189,7 @@ def raw_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct queries for parts: by name, by exact phrase, and with a word no lead has."""
+    """One query for each part: by name, by exact phrase, and with a word no lead has."""
     style = F.col("p_size") % 3
     name = F.col("p_name")
     text = (
@@ -197,8 +197,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(style == 1, F.concat(F.lit('"'), name, F.lit('"')))
         .otherwise(F.concat(name, F.lit(" unobtainable")))
     )
-    parts = table(spark, sf_dir, "part").select("p_partkey", text.alias("query_text"))
-    return parts.groupBy("query_text").agg(F.min("p_partkey").alias("query_id")).select("query_id", "query_text")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), text.alias("query_text"))
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:

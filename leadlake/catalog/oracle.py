@@ -123,10 +123,9 @@ SELECT p_partkey AS query_id, CASE p_size % 6 WHEN 0 THEN p_name
  WHEN 4 THEN 'large health-care ' || p_name || ', Brasília!'
  ELSE p_name || ' for retail in minas mid-size' END AS query_text FROM part)"""
 
-QUERY_LOG = """query_log AS (
-SELECT min(p_partkey) AS query_id, query_text FROM (
- SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '"' || p_name || '"' ELSE p_name || ' unobtainable' END AS query_text FROM part)
-GROUP BY query_text)"""
+QUERY_LOG = """entries AS (
+ SELECT p_partkey AS query_id, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '"' || p_name || '"' ELSE p_name || ' unobtainable' END AS query_text FROM part),
+query_log AS (SELECT min(query_id) AS query_id, query_text FROM entries GROUP BY query_text)"""
 
 POPULAR = "popular AS (SELECT p_name AS query, count(*) AS cnt FROM part GROUP BY p_name)"
 
@@ -456,7 +455,7 @@ def search_sql(
         META,
         f"cand AS (SELECT *, {tier} AS tier FROM keyed WHERE {where})",
         f"ranked AS (SELECT *, {score} AS relevance_score, list_filter([{', '.join(why)}], lambda x: x IS NOT NULL) AS why FROM cand WHERE tier = (SELECT max(tier) FROM cand))",
-        f"capped AS (SELECT *, CAST(row_number() OVER (ORDER BY {by}) AS INT) AS position FROM ranked WHERE relevance_score > 0 QUALIFY position <= 1000)",
+        f"capped AS (SELECT *, CAST(row_number() OVER (ORDER BY {by}) AS INT) AS position FROM ranked WHERE relevance_score > 0)",
         f"page AS (SELECT * FROM capped WHERE position > {offset} AND position <= {offset + limit})",
     )
 
@@ -553,8 +552,8 @@ ORACLES["search_batch"] = with_(
  FROM log, stored WHERE company_size IS NULL OR coalesce(employees ILIKE '%' || company_size || '%', false))""",
     "best AS (SELECT * FROM pairs WHERE tier IS NOT NULL QUALIFY tier = max(tier) OVER (PARTITION BY query_id))",
     f"ranked AS (SELECT query_id, query_text, id, {BATCH_SCORE} AS s FROM best)",
-) + f"""SELECT query_id, query_text, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS position, id, {rnd('s', 6)} AS relevance_score
- FROM ranked WHERE s > 0 QUALIFY position <= 20"""
+) + f"""SELECT entries.query_id, query_text, CAST(row_number() OVER (PARTITION BY entries.query_id ORDER BY s DESC, id) AS INT) AS position, id, {rnd('s', 6)} AS relevance_score
+ FROM ranked JOIN entries USING (query_text) WHERE s > 0 QUALIFY position <= 20"""
 
 
 def marked(col: str) -> str:
@@ -597,7 +596,7 @@ ORACLES["estimated_results"] = with_(
     """counted AS (SELECT term, (SELECT count(*) FROM leads WHERE coalesce(company ILIKE '%' || term || '%', false) OR coalesce(industry ILIKE '%' || term || '%', false)
  OR coalesce(description ILIKE '%' || term || '%', false)) AS n FROM terms)""",
     "asked AS (SELECT query_id, query_text, unnest(CASE WHEN len(terms) > 0 THEN terms ELSE [NULL] END) AS term FROM log)",
-) + """SELECT query_id, query_text, least(coalesce(max(n), 0), 1000) AS estimated_results FROM asked LEFT JOIN counted USING (term) GROUP BY 1, 2"""
+) + """SELECT query_id, query_text, coalesce(max(n), 0) AS estimated_results FROM asked LEFT JOIN counted USING (term) GROUP BY 1, 2"""
 _EXPAND = []
 for _stem, _extra in fv.QUERY_EXPANSIONS:
     _EXPAND.append(
@@ -1023,9 +1022,9 @@ ORACLES["import_report"] = with_(INCOMING, LEADS, f"done AS (SELECT {OUTCOME} AS
     f"SELECT {n_if("outcome = 'imported'")} AS imported_count, {n_if("outcome = 'rejected'")} AS error_count FROM done"
 )
 ORACLES["import_leads_deduped"] = with_(
-    LEADS, "batch AS (SELECT p_partkey AS id, p_partkey % 10 + 1 AS user_id, p_name AS company FROM part)", "stored AS (SELECT * FROM leads WHERE industry = 'BUILDING')"
+    LEADS, "batch AS (SELECT p_partkey AS id, p_partkey % 10 + 1 AS user_id, p_name AS company FROM part)"
 ) + (
-    f"""SELECT id, company, CASE WHEN {exists_like('batch', 'stored')} OR EXISTS (SELECT 1 FROM batch b WHERE b.id < batch.id AND b.user_id = batch.user_id AND b.company ILIKE '%' || batch.company || '%')
+    f"""SELECT id, company, CASE WHEN {exists_like('batch', 'leads')} OR EXISTS (SELECT 1 FROM batch b WHERE b.id < batch.id AND b.user_id = batch.user_id AND b.company ILIKE '%' || batch.company || '%')
  THEN 'exists' ELSE 'imported' END AS outcome FROM batch"""
 )
 ORACLES["save_scraped"] = with_(INCOMING, LEADS, "batch AS (SELECT *, NULL AS location, NULL AS description FROM incoming WHERE company <> '')") + (

@@ -73,7 +73,6 @@ PREFERENCE_WEIGHTS = {
 TEXT_FIELD_WEIGHTS = [("company", 0.4), ("description", 0.3), ("industry", 0.2), ("contact", 0.1)]
 QUALITY_FIELDS = ["company", "contact", "email", "phone", "industry", "location", "description"]
 HIGHLIGHT_FIELDS = ["company", "description", "industry"]
-MAX_RESULTS = 1000
 
 # --- fixed values: contact data ------------------------------------------------------------
 EMAIL_SKIP_WORDS = ["noreply", "no-reply", "example", "test"]

@@ -160,9 +160,8 @@ def search(
     taste: Taste | None = None,
     postings: DataFrame | None = None,
     mode: str = "any",
-    max_results: int = fv.MAX_RESULTS,
 ) -> DataFrame:
-    """Ranked page of leads for a request.
+    """Ranked page of leads for a request, at any offset.
 
     Index hits win: full-text hits count only if the index has none. Sorting the tiers first lets
     one bounded top-k decide that, so the leads are read once and nothing is shuffled but the top
@@ -183,8 +182,8 @@ def search(
     else:
         order = [F.col("id")]
     positive = F.col("relevance_score") > 0
-    top = scored.orderBy(F.col("tier").desc(), positive.desc(), *order).limit(max_results)
-    # From here on there are at most max_results rows.
+    top = scored.orderBy(F.col("tier").desc(), positive.desc(), *order).limit(request.offset + request.limit)
+    # From here on there are no more rows than the page ends at.
     best = top.withColumn("best", F.max("tier").over(Window.partitionBy())).filter((F.col("tier") == F.col("best")) & positive)
     placed = best.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order)))
     page = placed.filter((F.col("position") > request.offset) & (F.col("position") <= request.offset + request.limit))
@@ -303,7 +302,7 @@ def build_log_index(leads: DataFrame) -> DataFrame:
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Rows spread by the key of the join that follows, over as many tasks as any shuffle has: few
     pairs can still be a lot of scoring."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(key)
 
 
 def _postings_of(index: DataFrame, column: str) -> DataFrame:
@@ -317,7 +316,6 @@ def search_log(
     limit: int = 20,
     index: DataFrame | None = None,
     taste: Taste | None = None,
-    max_results: int = fv.MAX_RESULTS,
     full_text: bool = True,
 ) -> DataFrame:
     """The top ``limit`` leads of every query of a log, by the same rules as :func:`search`.
@@ -326,9 +324,12 @@ def search_log(
     come from equality joins on words, the rarest term of each query first, and only then meet the
     full lead rows by id, to be filtered, scored and ranked per query. Queries the index cannot
     answer fall back to full-text candidates. A query without any search word gives no rows: it asks
-    for a listing, not for a search.
+    for a listing, not for a search. Equal requests are searched once, and every one of them is answered.
     """
-    log = stored(parse_log(queries), "query-log")
+    entries = stored(parse_log(queries), "query-log")
+    request = ["query_text", "want_industry", "want_location", "want_size"]
+    alike = entries.groupBy(*request).agg(F.min("query_id").alias("query_id"), F.first("terms").alias("terms"), F.first("phrases").alias("phrases"))
+    log = stored(alike, "requests")
     if index is None:
         index = stored(build_log_index(leads), "log-index")
     filters_hold = matches_filter_columns(F.col("want_industry"), F.col("want_location"), F.col("want_size"))
@@ -353,11 +354,14 @@ def search_log(
     score, _ = relevance(wanted, taste or default_taste(), timestamp(as_of))
     scored = _spread(found, "id").join(log, "query_id").join(leads, "id").select("query_id", "query_text", "id", "company", score.alias("relevance_score"))
     order = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "id")
-    return (
+    ranked = (
         scored.filter(F.col("relevance_score") > 0)
         .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= min(limit, max_results))
+        .filter(F.col("position") <= limit)
     )
+    same = [F.col(f"entry.{c}").eqNullSafe(F.col(f"searched.{c}")) for c in request]
+    asked = entries.alias("entry").join(log.alias("searched"), same).select(F.col("entry.query_id").alias("entry_id"), F.col("searched.query_id").alias("query_id"))
+    return asked.join(ranked, "query_id").drop("query_id").withColumnRenamed("entry_id", "query_id").select(*ranked.columns)
 
 
 def _full_text_pairs(index: DataFrame, log: DataFrame) -> DataFrame:
@@ -373,8 +377,8 @@ def _full_text_pairs(index: DataFrame, log: DataFrame) -> DataFrame:
 # --- query analysis ---------------------------------------------------------------------------
 
 
-def estimated_results(leads: DataFrame, queries: DataFrame, cap: int = fv.MAX_RESULTS) -> DataFrame:
-    """For each query the largest number of leads any one of its terms occurs in, at most ``cap``.
+def estimated_results(leads: DataFrame, queries: DataFrame) -> DataFrame:
+    """For each query the largest number of leads any one of its terms occurs in.
 
     Terms are tested inside the texts (not as whole words), so they are looked up among the distinct
     words of the leads, and leads are counted once per term.
@@ -399,7 +403,7 @@ def estimated_results(leads: DataFrame, queries: DataFrame, cap: int = fv.MAX_RE
     return (
         asked.join(counts, "term", "left")
         .groupBy("query_id", "query_text")
-        .agg(F.least(F.coalesce(F.max("n"), F.lit(0)), F.lit(cap)).alias("estimated_results"))
+        .agg(F.coalesce(F.max("n"), F.lit(0)).alias("estimated_results"))
     )
 
 
