@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leadlake.llm.ship import map_arrow
 from leadlake.llm.textbytes import flat, slices
@@ -163,31 +164,54 @@ def fit_languages(
     return LanguageModel(names, tables)
 
 
+def _answers(model: LanguageModel, texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text; ``known`` says which texts have a letter."""
+    data, offsets = flat(texts)
+    known = np.asarray(known.to_numpy(zero_copy_only=False), bool)
+    names = np.full(len(known), UNKNOWN, object)
+    scores = np.zeros(len(known))
+    if model.languages:
+        for i, j in slices(offsets):
+            part = offsets[i : j + 1]
+            best, score = model.predict(data[part[0] : part[-1]], part - part[0])
+            names[i:j] = np.array(model.languages, object)[best]
+            scores[i:j] = score
+        names[~known] = UNKNOWN
+        scores[~known] = 0
+    return names, scores
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType
 
     def parse(batches):
-        model = shared.value
         for batch in batches:
-            data, offsets = flat(batch.column(1))
-            known = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-            names = np.full(len(known), UNKNOWN, object)
-            scores = np.zeros(len(known))
-            if model.languages:
-                for i, j in slices(offsets):
-                    part = offsets[i : j + 1]
-                    best, score = model.predict(data[part[0] : part[-1]], part - part[0])
-                    names[i:j] = np.array(model.languages, object)[best]
-                    scores[i:j] = score
-                names[~known] = UNKNOWN
-                scores[~known] = 0
+            names, scores = _answers(shared.value, batch.column(1), batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["key", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), has_letter(F.col(text)).alias("known"))
     return map_arrow(rows, parse, f"key {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text is in a language of the model, with all their columns in place and ``lang`` (where
+    there is such a column) set to what was found. Rows are answered where they are read: nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    schema = StructType([StructField(f.name, StringType() if f.name == lang else f.dataType) for f in docs.schema])
+
+    def parse(batches):
+        for batch in batches:
+            found, _ = _answers(shared.value, batch.column(names.index(text)), batch.column(len(names)))
+            columns = [pa.array(found, pa.string()) if n == lang else batch.column(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(found != UNKNOWN))
+
+    known = has_letter(F.col(f"`{text}`"))
+    rows = docs.where(known).select(*[F.col(f"`{c}`") for c in names], known.alias("_known"))
+    return map_arrow(rows, parse, schema)
+
+
 def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

@@ -11,6 +11,7 @@ import zipfile
 import leadlake
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Rows of texts are large, so fewer of them go into one Arrow batch than Spark's default.
 BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -34,7 +35,7 @@ def ship_package(sc: SparkContext) -> None:
     _SENT.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession.sparkContext)
     conf = df.sparkSession.conf
     if int(conf.get(BATCH)) > TEXTS_PER_BATCH:
