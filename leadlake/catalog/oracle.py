@@ -1116,30 +1116,39 @@ leads_query(
  UNION ALL (SELECT 'industry', industry, {dbl('count(*)')} FROM leads WHERE industry IS NOT NULL GROUP BY 2 ORDER BY count(*) DESC, industry LIMIT 10)""",
 )
 
-# --- streams: only what the watermark (10 minutes behind the newest event) has closed ----------
-MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+# --- streams, replayed to their end -----------------------------------------------------------
 TZ = "CAST({} AS TIMESTAMPTZ)"
 events_query(
     "stream_search_sessions",
     f"""SELECT user_id, {TZ.format('min(created_at)')} AS started_at, {TZ.format('max(created_at) + INTERVAL 5 MINUTE')} AS closed_at, count(*) AS total_searches,
- CAST(sum(response_time_ms) AS BIGINT) AS total_response_time, {HIT} AS cache_hits FROM numbered GROUP BY user_id, burst HAVING max(created_at) + INTERVAL 5 MINUTE <= {MARK}""",
+ CAST(sum(response_time_ms) AS BIGINT) AS total_response_time, {HIT} AS cache_hits FROM numbered GROUP BY user_id, burst""",
     bursts("searches"),
 )
 events_query(
     "stream_interaction_sessions",
     f"""SELECT user_id, {TZ.format('min(created_at)')} AS started_at, {TZ.format('max(created_at) + INTERVAL 5 MINUTE')} AS closed_at, count(*) AS total_interactions,
  {n_if("interaction_type = 'view'")} AS views, {n_if(IS_CONTACT)} AS contacts, {n_if("interaction_type = 'convert'")} AS conversions FROM numbered
- GROUP BY user_id, burst HAVING max(created_at) + INTERVAL 5 MINUTE <= {MARK}""",
+ GROUP BY user_id, burst""",
     bursts("interactions"),
 )
 events_query(
     "stream_fixed_windows",
-    f"""SELECT {TZ.format('w')} AS window_start, interaction_type, n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, created_at) AS w, interaction_type, count(*) AS n FROM interactions GROUP BY 1, 2)
- WHERE w + INTERVAL 30 MINUTE <= {MARK}""",
+    f"SELECT {TZ.format('time_bucket(INTERVAL 30 MINUTE, created_at)')} AS window_start, interaction_type, count(*) AS n FROM interactions GROUP BY 1, 2",
 )
 events_query(
     "stream_popular_queries",
-    f"""SELECT {TZ.format('w')} AS window_start, query, count FROM (SELECT date_trunc('hour', created_at) AS w, query_text AS query, count(*) AS count FROM searches WHERE query_text <> '' GROUP BY 1, 2)
- WHERE w + INTERVAL 1 HOUR <= {MARK}""",
+    f"SELECT {TZ.format("date_trunc('hour', created_at)")} AS window_start, query_text AS query, count(*) AS count FROM searches WHERE query_text <> '' GROUP BY 1, 2",
 )
+events_query(
+    "stream_last_hour",
+    f"""SELECT {TZ.format('time_bucket(INTERVAL 30 MINUTE, created_at) + INTERVAL 30 MINUTE * step')} AS as_of, count(*) AS searches, count(DISTINCT user_id) AS active_users
+ FROM searches, (VALUES (1), (2)) steps(step) GROUP BY 1""",
+)
+events_query(
+    "stream_click_attribution",
+    f"""SELECT s.id AS search_event_id, {TZ.format('s.created_at')} AS searched_at, k.lead_id FROM searches s
+ LEFT JOIN (SELECT event_id - {K} % 5 AS search_event_id, CAST({K} AS BIGINT) AS lead_id, ts AS created_at FROM events WHERE event_type = 'click') k
+ ON k.search_event_id = s.id AND k.created_at BETWEEN s.created_at AND s.created_at + INTERVAL 30 MINUTE""",
+)
+leads_query("stream_postings", "SELECT token, lead_id FROM postings", META, POSTINGS)
 events_query("stream_lead_counters", "SELECT lead_id, CAST(views AS BIGINT) AS views, CAST(contacts AS BIGINT) AS contacts, contacted_at, CAST(conversions AS BIGINT) AS conversions FROM counters", COUNTERS)

@@ -714,39 +714,47 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_search_sessions(spark, sf):
-    live = sc.live_search_counter(sc.event_time(d.search_events_from(_event_stream(spark, sf))))
-    return ss.drain(live, spark, "search-sessions")
+    live = lambda events: sc.live_search_counter(sc.event_time(events))
+    return ss.replay(spark, "search-sessions", live, d.search_events_from(_event_stream(spark, sf)))
 
 
 @query
 def stream_interaction_sessions(spark, sf):
-    live = sc.live_interaction_counter(sc.event_time(d.interactions_from(_event_stream(spark, sf))))
-    return ss.drain(live, spark, "interaction-sessions")
+    live = lambda events: sc.live_interaction_counter(sc.event_time(events))
+    return ss.replay(spark, "interaction-sessions", live, d.interactions_from(_event_stream(spark, sf)))
 
 
 @query
 def stream_fixed_windows(spark, sf):
-    live = sc.fixed_window_counter(sc.event_time(d.interactions_from(_event_stream(spark, sf))), "interaction_type", "30 minutes")
-    return ss.drain(live, spark, "fixed-windows")
+    live = lambda events: sc.fixed_window_counter(sc.event_time(events), "interaction_type", "30 minutes")
+    return ss.replay(spark, "fixed-windows", live, d.interactions_from(_event_stream(spark, sf)))
 
 
 @query
 def stream_popular_queries(spark, sf):
-    live = sc.popular_query_counts(sc.event_time(d.search_events_from(_event_stream(spark, sf))))
-    return ss.drain(live, spark, "popular-queries")
+    live = lambda events: sc.popular_query_counts(sc.event_time(events))
+    return ss.replay(spark, "popular-queries", live, d.search_events_from(_event_stream(spark, sf)))
 
 
 @query
 def stream_last_hour(spark, sf):
-    live = sc.last_hour_activity(sc.event_time(d.search_events_from(_event_stream(spark, sf))), "30 minutes")
-    return ss.drain(live, spark, "last-hour")
+    live = lambda events: sc.last_hour_activity(sc.event_time(events), "30 minutes")
+    return ss.replay(spark, "last-hour", live, d.search_events_from(_event_stream(spark, sf)))
 
 
 @query
 def stream_click_attribution(spark, sf):
-    searches = sc.event_time(d.search_events_from(_event_stream(spark, sf)))
-    clicks = sc.event_time(d.clicks_from(_event_stream(spark, sf)))
-    return ss.drain(sc.attributed_searches(searches, clicks), spark, "click-attribution")
+    live = lambda searches, clicks: sc.attributed_searches(sc.event_time(searches), sc.event_time(clicks))
+    return ss.replay(spark, "click-attribution", live, d.search_events_from(_event_stream(spark, sf)), d.clicks_from(_event_stream(spark, sf)))
+
+
+@query
+def stream_postings(spark, sf):
+    """The leads arrive as files; their postings are appended as they come."""
+    arriving = f"{ss.work_folder(spark, 'arriving-leads')}/leads"
+    leads = d.leads(spark, sf)
+    leads.write.parquet(arriving)
+    return ss.drain(sc.new_postings(spark.readStream.schema(leads.schema).parquet(arriving)), spark, "postings")
 
 
 @query

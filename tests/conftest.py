@@ -31,8 +31,8 @@ def spark():
 
 # Ten made-up leads with gaps, mixed age and mixed completeness.
 SAMPLE = [
-    ("TechInova Solutions", "Carlos Silva", "carlos@techinova.com.br", "(11) 99999-9999", "https://techinova.com.br", "Tecnologia", "São Paulo, SP", "51-200", "Software development and SaaS solutions", ["saas", "Realidade Virtual"], 85, 1),
-    ("E-commerce Plus", "Maria Santos", None, "+55 21 88888-5678", "https://plus.com", "E-commerce", "Rio de Janeiro, RJ", "11-50", "Online shop platform 24x7", ["ecommerce"], 78, 20),
+    ("TechMaré Sistemas", "Ivo Prado", "ivo@maretech.com.br", "(48) 98811-2233", "https://maretech.com.br", "Tecnologia", "São Paulo, SP", "51-200", "Software for tide tables, sold as SaaS", ["saas", "Cartas Náuticas"], 85, 1),
+    ("Feira em Casa", "Dora Luz", None, "+55 21 97412-6680", "https://feiraemcasa.com", "E-commerce", "Rio de Janeiro, RJ", "11-50", "Online shop platform 24x7", ["ecommerce"], 78, 20),
     ("HealthTech Labs", None, "lab@health.com", None, None, "Saúde", "São Paulo, SP", "51-200", "Software for telemedicine", None, 92, 60),
     ("Big School", "Ana Costa", "ana@school.org", "(31) 3333-4444", "http://school.org", "Educação", "Belo Horizonte, MG", "1-10", None, ["cursos"], 40, 200),
     ("Bank of Tests", "", "info@bank.com", None, "https://bank.com", "Financeiro", None, "200+", "Payments and software banking", None, 55, 8),
