@@ -353,6 +353,12 @@ leads_query(
     f"SELECT id, searchable_text, {show('ct')} AS company_tokens, {show('it')} AS industry_tokens, {show('lt')} AS location_tokens, {show('kw')} AS keywords, {show('toks')} AS all_tokens FROM meta",
     META,
 )
+leads_query(
+    "stored_metadata",
+    f"SELECT id, CASE WHEN id % 3 = 0 THEN 'stored: ' ELSE '' END || searchable_text AS searchable_text, {show('ct')} AS company_tokens, {show('toks')} AS all_tokens FROM meta",
+    META,
+)
+leads_query("candidates_by_index", "SELECT id, company, industry FROM keyed WHERE list_has_all(keys, ['small', 'ring', 'industry:building'])", META)
 leads_query("postings", "SELECT token, lead_id FROM postings", META, POSTINGS)
 leads_query(
     "posting_lists",
@@ -465,7 +471,7 @@ SHOW_PAGE = f"""SELECT position, id, company, {rnd('relevance_score', 6)} AS rel
 # "small" in the text also implies the company size 1-10.
 SMALL_RING = dict(terms=["small", "ring"], industry="BUILDING", size="1-10")
 ORACLES["search_ranked"] = search_sql(**SMALL_RING) + SHOW_PAGE
-ORACLES["search_with_postings"] = ORACLES["search_ranked"]
+ORACLES["search_with_postings"] = ORACLES["search_stored_index"] = ORACLES["search_ranked"]
 ORACLES["search_by_index_time"] = search_sql(**SMALL_RING, limit=30, offset=5, order="created_at") + SHOW_PAGE
 ORACLES["search_full_text"] = search_sql(["widget", "unobtainable"], ["hot gear"], location="europe", limit=50) + SHOW_PAGE
 ORACLES["search_personal"] = (

@@ -28,6 +28,7 @@ from leadlake.functions import predicates as p
 from leadlake.plans import ingest as ing
 from leadlake.plans import reports as rp
 from leadlake.plans import search as se
+from leadlake.sources.sinks import read_postings, write_postings
 from leadlake.streaming import counters as sc
 from leadlake.streaming import sinks as ss
 
@@ -210,6 +211,32 @@ def search_with_postings(spark, sf):
     return _ranked(se.search(data, _request(), LEADS_AT, postings=ix.build_postings(data)))
 
 
+@query
+def search_stored_index(spark, sf):
+    """The index is written once in token buckets; the search reads the buckets of its own terms."""
+    data, path = d.leads(spark, sf), ss.work_folder(spark, "stored-index")
+    write_postings(ix.build_postings(data), path, buckets=32)
+    terms = se.parse_request(spark, _request()).terms
+    return _ranked(se.search(data, _request(), LEADS_AT, postings=read_postings(spark, path, terms, buckets=32)))
+
+
+@query
+def candidates_by_index(spark, sf):
+    """Lead rows by way of the index."""
+    data = d.leads(spark, sf)
+    found = ix.leads_with_all_tokens(ix.build_postings(data), ["small", "ring", "industry:building"])
+    return ix.candidate_leads(data, found).select("id", "company", "industry")
+
+
+@query
+def stored_metadata(spark, sf):
+    """Metadata of leads indexed before comes from a table, with a mark in its text; the rest is computed."""
+    data = d.leads(spark, sf)
+    before = ix.with_index_metadata(data.filter("id % 3 = 0")).withColumn("searchable_text", F.concat(F.lit("stored: "), "searchable_text"))
+    found = ix.with_stored_metadata(data, before)
+    return found.select("id", "searchable_text", joined("company_tokens").alias("company_tokens"), joined("all_tokens").alias("all_tokens"))
+
+
 @query
 def search_full_text(spark, sf):
     """No lead has every word, so full-text matching answers."""

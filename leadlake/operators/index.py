@@ -107,15 +107,16 @@ def leads_with_all_tokens(postings: DataFrame, tokens: list[str]) -> DataFrame:
 
 
 def candidate_leads(leads: DataFrame, lead_ids: DataFrame) -> DataFrame:
+    """The rows of the leads whose ids were found in the index."""
     return leads.join(lead_ids.select(F.col("lead_id").alias("id")), "id", "left_semi")
 
 
 def with_stored_metadata(leads: DataFrame, stored: DataFrame) -> DataFrame:
-    """Index metadata from a stored table where present, computed otherwise."""
+    """Index metadata from a stored table (one row per id) where present; only other leads have theirs computed."""
     names = ["searchable_text", "company_tokens", "industry_tokens", "location_tokens", "lead_keywords", "all_tokens"]
-    kept = stored.select("id", *[F.col(n).alias(f"_stored_{n}") for n in names])
-    joined = with_index_metadata(leads).join(kept, "id", "left")
-    return joined.select(*leads.columns, *[F.coalesce(f"_stored_{n}", n).alias(n) for n in names])
+    known = leads.join(stored.select("id", *names), "id").select(*leads.columns, *names)
+    missing = leads.join(stored.select("id"), "id", "left_anti").select(*leads.columns)
+    return known.unionByName(with_index_metadata(missing))
 
 
 def contains_all_terms(terms: Column, keys: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
 from leadlake.functions import html as h
-from leadlake.functions.common import filled, percent, str_array
+from leadlake.functions.common import filled, str_array
 from leadlake.functions.contact import (
     completeness,
     enhance_record,
@@ -215,7 +215,3 @@ def jobs_by(jobs: DataFrame, column: str) -> DataFrame:
     """Number of jobs per status, or per source if each job lists its sources."""
     value = F.explode(column) if dict(jobs.dtypes)[column].startswith("array") else F.col(column)
     return jobs.select(value.alias(column)).groupBy(column).agg(F.count(F.lit(1)).alias("jobs"))
-
-
-def success_rate(found: Column, saved: Column) -> Column:
-    return percent(saved, F.greatest(found, F.lit(1)))

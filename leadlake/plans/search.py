@@ -131,7 +131,8 @@ def _with_tier(leads: DataFrame, parsed: ParsedRequest, mode: str, postings: Dat
     if postings is not None:
         ids = leads_with_all_tokens(postings, parsed.terms).select(F.col("lead_id").alias("id"), F.lit(1).alias("in_index"))
         marked = kept.join(ids, "id", "left")
-        tier = F.when(F.col("in_index") == 1, F.lit(1)).when(text_hit, F.lit(0))
+        # texts are split into words only where the index has no hit and the substring test passes
+        tier = F.when(F.col("in_index") == 1, F.lit(1)).when(_may_match(kept, parsed) & text_hit, F.lit(0))
     else:
         # Tokens are only built for rows that pass the substring test.
         marked = with_index_metadata(kept.filter(_may_match(kept, parsed)))

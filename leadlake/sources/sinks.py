@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from leadlake.functions.common import any_of
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str = "overwrite") -> None:
+def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str = "overwrite", splits: int = 4) -> None:
     """Postings laid out by token bucket and sorted by token, so that a token lookup reads one folder
-    and few row groups. A frequent token is spread over several files by its lead id.
+    and few row groups. A frequent token is spread over ``splits`` tasks and files by its lead id; raise both numbers with
+    the table.
     """
     (
         postings.withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        .withColumn("_part", F.pmod(F.xxhash64("lead_id"), F.lit(4)))
+        .withColumn("_part", F.pmod(F.xxhash64("lead_id"), F.lit(splits)))
         .repartition("token_bucket", "_part")
         .drop("_part")
         .sortWithinPartitions("token_bucket", "token", "lead_id")
@@ -40,7 +41,3 @@ def append_events(events: DataFrame, path: str) -> None:
         .partitionBy("event_date")
         .parquet(path)
     )
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    df.write.format(fmt).mode(mode).save(path)
