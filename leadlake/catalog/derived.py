@@ -266,10 +266,10 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lead_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes taken from orders: finished ones delete, open ones update, pending ones create."""
+    """Changes taken from orders: finished ones delete, open ones update, pending ones create (under ids no customer has)."""
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
-        F.when(status == "P", F.col("o_custkey") + 1_000_000).otherwise(F.col("o_custkey")).alias("id"),
+        F.when(status == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("id"),
         F.col("o_orderkey").alias("seq"),
         F.when(status == "F", F.lit("delete")).when(status == "P", F.lit("create")).otherwise(F.lit("update")).alias("op"),
         F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("company"),

@@ -148,7 +148,7 @@ SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegme
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0)"""
 
 CHANGES = """raw_changes AS (
-SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1000000 ELSE o_custkey END AS id, o_orderkey AS seq,
+SELECT CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS id, o_orderkey AS seq,
  CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'P' THEN 'create' ELSE 'update' END AS op,
  CASE WHEN o_orderkey % 2 = 0 THEN 'Order ' || o_orderkey END AS company, CAST(floor(o_totalprice / 5000) AS INT) AS score FROM orders),
 changes AS (SELECT * FROM raw_changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
@@ -698,6 +698,7 @@ events_query(
  LEFT JOIN (SELECT event_id - {K} AS sid, {n_if("event_type = 'signup'")} AS a, {n_if("event_type IN ('purchase', 'error')")} AS b FROM events GROUP BY 1) ON sid = s.id""",
 )
 events_query("event_defaults", "SELECT id, cache_hit, clicked_results, true AS has_session FROM searches")
+events_query("interaction_defaults", "SELECT id, lead_id, CASE WHEN id % 2 = 0 THEN concat('{\"lead\":', CAST(lead_id AS VARCHAR), '}') ELSE '{}' END AS interaction_data FROM interactions")
 
 
 def bursts(source: str, gap: str = ">") -> str:

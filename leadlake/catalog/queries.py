@@ -440,6 +440,15 @@ def event_defaults(spark, sf):
     return done.select("id", "cache_hit", "clicked_results", F.col("session_id").isNotNull().alias("has_session"))
 
 
+@query
+def interaction_defaults(spark, sf):
+    """Interactions of which half come without data."""
+    given = d.interactions_from(d.table(spark, sf, "events")).withColumn(
+        "interaction_data", F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.col("lead_id").alias("lead"))))
+    )
+    return ev.with_interaction_defaults(given).select("id", "lead_id", "interaction_data")
+
+
 @query
 def session_counters(spark, sf):
     return ev.session_counters(_searches(spark, sf))

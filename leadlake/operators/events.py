@@ -272,6 +272,11 @@ def with_event_defaults(events: DataFrame) -> DataFrame:
     )
 
 
+def with_interaction_defaults(interactions: DataFrame) -> DataFrame:
+    """Interaction events ready to append: an empty JSON object where no data was given."""
+    return interactions.withColumn("interaction_data", F.coalesce("interaction_data", F.lit("{}")))
+
+
 def session_counters(events: DataFrame, key: str = "user_id", gap_minutes: int = 5) -> DataFrame:
     """Counters per burst of activity: a burst ends after ``gap_minutes`` of silence.
 
