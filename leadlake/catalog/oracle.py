@@ -1118,9 +1118,10 @@ leads_query(
         *[("source", s, e) for s, e in [*SOURCES, ("Referências", REST)]],
         *[("quality", t, e) for t, _, _, e in TIERS],
     )
-    + f""") UNION ALL SELECT 'month_leads', strftime(created_at, '%Y-%m'), {dbl('count(*)')} FROM leads WHERE created_at >= {LEADS_AT} - INTERVAL 180 DAY GROUP BY 2
- UNION ALL SELECT 'month_qualified', strftime(created_at, '%Y-%m'), {dbl(n_if(QUALIFIED))} FROM leads WHERE created_at >= {LEADS_AT} - INTERVAL 180 DAY GROUP BY 2
+    + f""") UNION ALL SELECT 'month_leads', printf('%04d-%02d', y, mo), {dbl('leads')} FROM series
+ UNION ALL SELECT 'month_qualified', printf('%04d-%02d', y, mo), {dbl('qualified')} FROM series
  UNION ALL (SELECT 'industry', industry, {dbl('count(*)')} FROM leads WHERE industry IS NOT NULL GROUP BY 2 ORDER BY count(*) DESC, industry LIMIT 10)""",
+    months_sql(LEADS_AT, 6),
 )
 
 # --- streams, replayed to their end -----------------------------------------------------------

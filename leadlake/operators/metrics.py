@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
@@ -98,6 +98,12 @@ def _month_spine(start: datetime, end: datetime) -> list[tuple[int, int]]:
     return months
 
 
+def month_spine(spark: SparkSession, start: datetime, end: datetime) -> DataFrame:
+    """(year, month_number) of every month in between."""
+    months = [F.struct(F.lit(y).alias("year"), F.lit(m).alias("month_number")) for y, m in _month_spine(start, end)]
+    return spark.range(1).select(F.inline(F.array(*months)))
+
+
 def leads_by_month(leads: DataFrame, as_of: datetime, months: int = 6, user_id: int | None = None) -> DataFrame:
     """Leads and qualified leads per month. Empty months are added only if fewer than ``months``
     months have leads."""
@@ -109,12 +115,7 @@ def leads_by_month(leads: DataFrame, as_of: datetime, months: int = 6, user_id:
         .agg(F.count(F.lit(1)).alias("leads"), F.count_if(p.is_qualified()).alias("qualified"))
         .withColumn("is_real", F.lit(1))
     )
-    spine = leads.sparkSession.range(1).select(
-        F.inline(
-            F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month_number")) for y, m in _month_spine(start, as_of)])
-        )
-    )
-    zero = spine.select("year", "month_number", F.lit(0).cast("long").alias("leads"), F.lit(0).cast("long").alias("qualified"), F.lit(0).alias("is_real"))
+    zero = month_spine(leads.sparkSession, start, as_of).select("year", "month_number", F.lit(0).cast("long").alias("leads"), F.lit(0).cast("long").alias("qualified"), F.lit(0).alias("is_real"))
     merged = (
         real.unionByName(zero)
         .groupBy("year", "month_number")

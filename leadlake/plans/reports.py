@@ -167,12 +167,12 @@ def comprehensive_report(leads: DataFrame, as_of: datetime, months: int = 6, use
     """Dashboard, conversion, months, industries, sources and quality tiers as (section, name, value) rows.
 
     Everything comes from one scan: grouping sets give the totals, the months and the industries.
-    Empty months are not listed here; see ``leads_by_month`` for the gap-filled series.
+    Empty months are added as in ``leads_by_month``: if fewer than ``months`` months have leads.
     """
     c = F.col
-    start = m.timestamp(as_of - timedelta(days=months * 30))
+    start = as_of - timedelta(days=months * 30)
     week, fortnight = m.timestamp(as_of - timedelta(days=7)), m.timestamp(as_of - timedelta(days=14))
-    in_window = c("created_at") >= start
+    in_window = c("created_at") >= m.timestamp(start)
     base = tenant_scan(leads, user_id).select(
         F.when(in_window, F.date_format("created_at", "yyyy-MM")).alias("month"),
         "industry",
@@ -200,7 +200,14 @@ def comprehensive_report(leads: DataFrame, as_of: datetime, months: int = 6, use
     kept = grouped.filter((c("gid") == 3) | label.isNotNull())
     # A bounded top-k: only ten industries of each partition move.
     industries = kept.filter(c("gid") == 2).orderBy(c("n").desc(), label).limit(10)
-    ranked = kept.filter(c("gid") != 2).unionByName(industries)
+    at = F.concat_ws("-", "year", F.lpad(c("month_number").cast("string"), 2, "0"))
+    empty = m.month_spine(leads.sparkSession, start, as_of).select(at.alias("month"), F.lit(0).alias("real"), *[F.lit(0).alias(x) for x in ("n", *names)])
+    real = kept.filter(c("gid") == 1).select("month", F.lit(1).alias("real"), "n", *names)
+    filled = real.unionByName(empty).groupBy("month").agg(*[F.sum(x).alias(x) for x in ("real", "n", *names)])
+    # one row per month reaches this window
+    filled = filled.withColumn("n_real", F.sum("real").over(Window.partitionBy())).filter((c("real") == 1) | (c("n_real") < months))
+    by_month = filled.select("month", F.lit(None).cast("string").alias("industry"), F.lit(1).cast("bigint").alias("gid"), "n", *names)
+    ranked = kept.filter(c("gid") == 3).unionByName(by_month).unionByName(industries)
 
     def item(section: str, name, value: Column) -> Column:
         name = name if isinstance(name, Column) else F.lit(name)
