@@ -164,10 +164,9 @@ def fit_languages(
     return LanguageModel(names, tables)
 
 
-def _answers(model: LanguageModel, texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _answers(model: LanguageModel, texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Language and score of each text; ``known`` says which texts have a letter."""
     data, offsets = flat(texts)
-    known = np.asarray(known.to_numpy(zero_copy_only=False), bool)
     names = np.full(len(known), UNKNOWN, object)
     scores = np.zeros(len(known))
     if model.languages:
@@ -188,7 +187,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
 
     def parse(batches):
         for batch in batches:
-            names, scores = _answers(shared.value, batch.column(1), batch.column(2))
+            known = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+            names, scores = _answers(shared.value, batch.column(1), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["key", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), has_letter(F.col(text)).alias("known"))
@@ -204,13 +204,11 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", l
 
     def parse(batches):
         for batch in batches:
-            found, _ = _answers(shared.value, batch.column(names.index(text)), batch.column(len(names)))
+            found, _ = _answers(shared.value, batch.column(names.index(text)), np.ones(len(batch), bool))
             columns = [pa.array(found, pa.string()) if n == lang else batch.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(found != UNKNOWN))
 
-    known = has_letter(F.col(f"`{text}`"))
-    rows = docs.where(known).select(*[F.col(f"`{c}`") for c in names], known.alias("_known"))
-    return map_arrow(rows, parse, schema)
+    return map_arrow(docs.where(has_letter(F.col(f"`{text}`"))), parse, schema)
 
 
 def fold(key: str, folds: int) -> Column:

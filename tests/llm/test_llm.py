@@ -418,6 +418,21 @@ def test_language_of_small_corpus(corpus, corpus_rows, nothing):
 
 
 # --- registered queries and the pipeline ----------------------------------------------------------------
+def test_kept_documents_are_those_identified(corpus, nothing):
+    from leadlake.llm import language
+
+    docs = corpus.withColumn("_known", F.lit("mine")).withColumn("lang_pred", F.lit(1))
+    model = language.fit_languages(docs)
+    found = sorted((str(r["doc_id"]), r["lang_pred"]) for r in language.identify_languages(docs, model).collect() if r["lang_pred"] != language.UNKNOWN)
+    kept = language.keep_identified(docs, model)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted((str(r["doc_id"]), r["lang"]) for r in rows) == found
+    assert {(r["_known"], r["lang_pred"]) for r in rows} == {("mine", 1)}
+    assert language.keep_identified(nothing, model).count() == 0
+    assert language.keep_identified(docs, language.fit_languages(nothing)).count() == 0
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
     found = QUERIES["op10_language"](spark, SF_DIR).join(docs, "doc_id").where("held_out").collect()
