@@ -1,12 +1,17 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A text is cut into chunks at spaces, since no piece of the model has a space before its end. In a chunk the agenda holds
-candidate merges by rank; each is skipped where a keyed hash of seed, variant and place says so, so the same text is
-segmented in varied yet repeatable ways, always by merges that the model knows. Characters that the model lacks (and
-the space mark itself, if a text holds it) become byte pieces, so that decoding gives the text back exactly.
+candidate merges by rank; each is skipped where a hash keyed by seed, row key, number of the chunk in its text, rank and
+place says so. The draw is made anew for every occurrence of a word, so one word is segmented in varied yet repeatable
+ways, always by merges that the model knows. Characters that the model lacks (and the space mark itself, if a text holds
+it) become byte pieces, so that decoding gives the text back exactly.
+
+A merge is known by its rank and place, that is, by a piece and where it stands in the word. So the pieces that stand
+anywhere in a word are all its possible candidates, and which of them are dropped decides the segmentation: occurrences
+of a word that drop the same ones are segmented once, side by side with others.
 
 Defined results: null texts give null ids and null text; empty texts give no ids; repeated rows are encoded alike, since
-the key of a row chooses its variants; texts are encoded whole, whatever their length; an empty table gives an empty
+the key of a row enters its draws; texts are encoded whole, whatever their length; an empty table gives an empty
 table; other columns are neither read nor returned.
 """
 
@@ -15,7 +20,6 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
-from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,12 @@ from leadlake.llm.textbytes import flat, mix, prefix_hash, slices, span_hash
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Variants of a word's segmentation at one seed, and words kept per variant in one Python worker.
-VARIANTS, KEPT_WORDS = 2, 400_000
+#: Words and segmentations kept in one Python worker.
+KEPT = 400_000
+#: Words of more characters, or with more possible candidates than bits in a number, are segmented at each occurrence.
+LONG_WORD, MOST_CANDIDATES = 32, 64
+#: Occurrences of words whose draws are made together.
+DRAWN_TOGETHER = 1 << 16
 #: Widths of the tables in which parts of words are merged side by side; longer parts are merged one by one.
 WIDTHS = (4, 8, 16, 32, 64)
 #: Bytes of the texts that are encoded together.
@@ -93,7 +101,69 @@ class PieceModel:
         self.rank_of_pair = pairs
         #: neighbouring characters of any piece: between others no merge is possible
         self.joined = np.array([*sorted(joined), np.iinfo(np.int64).max])
-        self.words: dict[tuple[int, float], list[dict[str, bytes]]] = {}
+        #: hashes of what pieces begin with, and the rank of those that are pieces
+        spelt = [p.replace(MARK, " ") for p in by_rank]
+        codes = np.frombuffer("".join(spelt).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(p) for p in spelt])
+        starts, self.longest, sums = np.cumsum(sizes) - sizes, int(sizes.max(initial=0)), prefix_hash(codes)
+        begins: dict[int, int] = {}
+        for n in range(2, self.longest + 1):
+            some = np.flatnonzero(sizes >= n)
+            for h, r in zip(span_hash(sums, starts[some], starts[some] + n).tolist(), np.where(sizes[some] == n, some, NEVER).tolist()):
+                begins[h] = min(r, begins.get(h, NEVER))
+        self.begins = np.array([*sorted(begins), _ALL_BITS], np.uint64)
+        self.begin_ranks = np.array([*(begins[h] for h in sorted(begins)), NEVER], np.int64)
+        self.limit = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by number; where the candidates of each begin, and their part of the draw; segmentations by dropped ones."""
+        self.words: dict[str, int] = {}
+        self.bounds, self.draws, self.apart = np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.kept: dict[int, bytes] = {}
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Number new words and list their possible candidates: the pieces of two characters or more in them."""
+        sizes = np.array([len(w) for w in fresh])
+        codes = np.frombuffer("".join(fresh).encode("utf-32-le"), np.uint32)
+        ends, sums = np.cumsum(sizes), prefix_hash(codes)
+        owner = np.repeat(np.arange(len(fresh)), sizes)
+        a, b, _ = (np.uint64(s) for s in _SALTS)
+        at = np.flatnonzero(sizes[owner] <= LONG_WORD)
+        owners, draws = [], []
+        for n in range(2, self.longest + 1):
+            at = at[at + n <= ends[owner[at]]]
+            h = span_hash(sums, at, at + n)
+            i = np.searchsorted(self.begins, h)
+            known = self.begins[i] == h
+            at, rank = at[known], self.begin_ranks[i[known]]
+            whole = at[rank != NEVER]
+            place = whole - (ends - sizes)[owner[whole]]
+            owners.append(owner[whole])
+            draws.append(rank[rank != NEVER].astype(np.uint64) * a + place.astype(np.uint64) * b)
+        owners, draws = np.concatenate(owners), np.concatenate(draws)
+        count = np.bincount(owners, minlength=len(fresh))
+        apart = (sizes > LONG_WORD) | (count > MOST_CANDIDATES)
+        inside = ~apart[owners]
+        order = np.argsort(owners[inside], kind="stable")
+        self.draws = np.concatenate([self.draws, draws[inside][order]])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.where(apart, 0, count))])
+        self.apart = np.concatenate([self.apart, apart])
+
+    def _dropped(self, words: np.ndarray, salts: np.ndarray, limit: int) -> np.ndarray:
+        """For occurrences of words, a bit for each possible candidate that the occurrence drops."""
+        out, c = np.zeros(len(words), np.uint64), np.uint64(_SALTS[2])
+        for i in range(0, len(words) if limit else 0, DRAWN_TOGETHER):
+            some = slice(i, i + DRAWN_TOGETHER)
+            first, count = self.bounds[words[some]], np.diff(self.bounds)[words[some]]
+            begin = np.cumsum(count) - count
+            nth = np.arange(count.sum()) - np.repeat(begin, count)
+            drawn = (np.repeat(salts[some], count) ^ self.draws[np.repeat(first, count) + nth]) * c >> np.uint64(32)
+            bits = (drawn < np.uint64(limit)).astype(np.uint64) << nth.astype(np.uint64)
+            full = np.flatnonzero(count)
+            if len(full):
+                out[i + full] = np.bitwise_or.reduceat(bits, begin[full])
+        return out
 
     def _key(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * self.n_symbols + right)
@@ -109,8 +179,9 @@ class PieceModel:
             rank[drawn < np.uint64(limit)] = NEVER
         return rank.astype(np.int32)
 
-    def segment(self, symbols: list[int], salt: int, limit: int) -> list[int]:
-        """Merge neighbours in order of rank (then place), skipping those that the hash drops; for parts of any length."""
+    def segment(self, symbols: list[int], salt: int, limit: int, first: int = 0) -> list[int]:
+        """Merge neighbours in order of rank (then place), skipping those that the hash drops; for parts of any length.
+        ``first``: the place in its word at which the part begins."""
         n, size, ranks = len(symbols), self.n_symbols, self.rank_of_pair
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int]] = []
@@ -118,7 +189,7 @@ class PieceModel:
         def offer(i: int, j: int) -> None:
             pair = symbols[i] * size + symbols[j]
             if symbols[i] >= 0 and symbols[j] >= 0 and (r := ranks.get(pair)) is not None:
-                drawn = ((salt ^ (r * _SALTS[0] + i * _SALTS[1]) & _ALL_BITS) * _SALTS[2] & _ALL_BITS) >> 32
+                drawn = ((salt ^ (r * _SALTS[0] + (first + i) * _SALTS[1]) & _ALL_BITS) * _SALTS[2] & _ALL_BITS) >> 32
                 if drawn >= limit:
                     heapq.heappush(agenda, (r, i, pair))
 
@@ -138,7 +209,7 @@ class PieceModel:
                 offer(before[i], i)
         return symbols
 
-    def _segment_rows(self, symbols: np.ndarray, salt: np.ndarray, limit: int) -> np.ndarray:
+    def _segment_rows(self, symbols: np.ndarray, salt: np.ndarray, limit: int, first: np.ndarray | None = None) -> np.ndarray:
         """:meth:`segment` for many short parts at a time: every round merges the first candidate of each row.
 
         Rows begin and end with a symbol that merges with nothing, so no place needs a test for the border.
@@ -147,7 +218,8 @@ class PieceModel:
         column = np.arange(width)
         after, before = np.tile(column + 1, (n, 1)), np.tile(column - 1, (n, 1))
         rank = np.full((n, width), NEVER, np.int32)
-        rank[:, :-1] = self._candidates(symbols[:, :-1], symbols[:, 1:], salt[:, None], column[None, :-1] - 1, limit)
+        first = np.full(n, -1) if first is None else first - 1  # the place of column 0
+        rank[:, :-1] = self._candidates(symbols[:, :-1], symbols[:, 1:], salt[:, None], first[:, None] + column[None, :-1], limit)
         rows = np.arange(n)
         while len(rows):
             i = rank[rows].argmin(1)
@@ -160,14 +232,14 @@ class PieceModel:
             symbols[rows, i], symbols[rows, j] = merged, GONE
             after[rows, i], before[rows, k] = k, i
             rank[rows, j] = NEVER
-            rank[rows, i] = self._candidates(merged, symbols[rows, k], salt[rows], i - 1, limit)
-            rank[rows, h] = self._candidates(symbols[rows, h], merged, salt[rows], h - 1, limit)
+            rank[rows, i] = self._candidates(merged, symbols[rows, k], salt[rows], first[rows] + i, limit)
+            rank[rows, h] = self._candidates(symbols[rows, h], merged, salt[rows], first[rows] + h, limit)
         return symbols
 
-    def segment_chunks(self, chunks: list[str], seed: int, dropout: float) -> list[bytes]:
+    def segment_chunks(self, chunks: list[str], salts: np.ndarray, limit: int) -> list[bytes]:
         """Ids of chunks as 32-bit numbers. A chunk falls apart where no merge is possible; its parts are merged each alone,
-        and what a part becomes hangs on its characters and the seed only."""
-        text, limit = "".join(chunks), int(dropout * (1 << 32))
+        and what a part becomes hangs on its characters, its place in the chunk and the chunk's salt only."""
+        text = "".join(chunks)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         heads = np.cumsum([0, *map(len, chunks)])
         symbols = self.symbol_of[codes]
@@ -177,7 +249,8 @@ class PieceModel:
         apart[heads[:-1]] = True
         starts = np.flatnonzero(apart)
         sizes = np.diff(starts, append=len(codes))
-        salts = span_hash(prefix_hash(codes), starts, starts + sizes) ^ mix(np.array([seed & _ALL_BITS], np.uint64))
+        owner = np.searchsorted(heads, starts, "right") - 1
+        salts, firsts = salts[owner], starts - heads[owner]
         least = 1
         for width in WIDTHS:
             some = np.flatnonzero((sizes > least) & (sizes <= width))
@@ -187,10 +260,10 @@ class PieceModel:
             where = np.where(inside, starts[some, None] + place, 0)
             rows = np.full((len(some), width + 2), ALONE, np.int32)
             rows[:, 1:-1] = np.where(inside, symbols[where], ALONE)
-            symbols[where[inside]] = self._segment_rows(rows, salts[some], limit)[:, 1:-1][inside]
+            symbols[where[inside]] = self._segment_rows(rows, salts[some], limit, firsts[some])[:, 1:-1][inside]
         for p in np.flatnonzero(sizes > least).tolist():
             span = slice(starts[p], starts[p] + sizes[p])
-            symbols[span] = self.segment(symbols[span].tolist(), int(salts[p]), limit)
+            symbols[span] = self.segment(symbols[span].tolist(), int(salts[p]), limit, int(firsts[p]))
 
         # one id for a piece, one for each byte of a character that is none
         other = np.flatnonzero((symbols == ALONE) | (symbols >= self.size))
@@ -210,35 +283,58 @@ class PieceModel:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_together(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, keys: list | None = None) -> list[bytes | None]:
-        """The ids of texts as 32-bit numbers; words not met before are segmented side by side."""
-        kept = self.words.get((seed, dropout))
-        if kept is None:
-            kept = self.words[(seed, dropout)] = [{} for _ in range(VARIANTS)]
-        fresh: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        rows, gaps = [], []
+        """The ids of texts as 32-bit numbers; segmentations not met before are made side by side."""
+        limit = int(dropout * (1 << 32))
+        if limit != self.limit or len(self.words) >= KEPT or len(self.kept) >= KEPT:
+            self._forget()
+            self.limit = limit
+        known, base = self.words, len(self.apart)
+        fresh: list[str] = []
+        chunks: list[str] = []
+        counts, bits = [], []
         for text, key in zip(texts, keys or texts):
-            if not text:
-                rows.append(None if text is None else [])
-                continue
-            chunks = _CHUNKS.findall(" " + text)
-            bits = xxhash.xxh64_intdigest(str(key), seed & 0xFFFFFFFF) if dropout else 0
-            turns = [bits >> k & (VARIANTS - 1) for k in range(64)]  # the variants of successive words
-            parts = [known.get(chunk) for known, chunk in zip(cycle([kept[v] for v in turns]), chunks)]
-            for i, ids in enumerate(parts):
-                if ids is None:
-                    new = fresh[turns[i % 64]]
-                    new[chunks[i]] = b""
-                    gaps.append((parts, i, new, chunks[i]))
-            rows.append(parts)
-        for variant, (known, new) in enumerate(zip(kept, fresh)):
-            words = list(new)
-            new.update(zip(words, self.segment_chunks(words, seed * VARIANTS + variant, dropout)))
-            if len(known) >= KEPT_WORDS:
-                known.clear()
-            known.update((w, ids) for w, ids in new.items() if len(w) <= 32)
-        for parts, i, new, chunk in gaps:
-            parts[i] = new[chunk]
-        return [None if parts is None else b"".join(parts) for parts in rows]
+            some = _CHUNKS.findall(" " + text) if text else []
+            chunks += some
+            counts.append(len(some))
+            bits.append(xxhash.xxh64_intdigest(str(key), seed & _ALL_BITS) if limit else 0)
+        numbers = list(map(known.get, chunks))
+        if None in numbers:
+            for i in [i for i, number in enumerate(numbers) if number is None]:
+                numbers[i] = known.setdefault(chunks[i], base + len(fresh))
+                if numbers[i] == base + len(fresh):
+                    fresh.append(chunks[i])
+        if fresh:
+            self._learn(fresh)
+        words, count = np.array(numbers, np.int64), np.array(counts, np.int64)
+        ends = np.cumsum(count)
+        nth = np.arange(len(words)) - np.repeat(ends - count, count)
+        salts = mix(np.repeat(np.array(bits, np.uint64), count) + nth.astype(np.uint64) * np.uint64(_SALTS[0]))
+        dropped = self._dropped(words, salts, limit)
+        if limit:  # words that stand for themselves
+            alone = np.flatnonzero(self.apart[words])
+            dropped[alone] = alone
+        order = np.lexsort((dropped, words))
+        new = np.ones(len(words), bool)
+        new[1:] = (words[order[1:]] != words[order[:-1]]) | (dropped[order[1:]] != dropped[order[:-1]])
+        kind = np.empty(len(words), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        some = order[heads]
+        names = [w << 64 | d for w, d in zip(words[some].tolist(), dropped[some].tolist())]
+        found = list(map(self.kept.get, names))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            at = some[gaps]
+            again = (np.diff(heads, append=len(words))[gaps] > 1) & ~self.apart[words[at]]  # met more than once: kept
+            for i, ids, more in zip(gaps, self.segment_chunks([chunks[i] for i in at.tolist()], salts[at], limit), again.tolist()):
+                found[i] = ids
+                if more:
+                    self.kept[names[i]] = ids
+        for chunk, a in zip(fresh, self.apart[base:].tolist()):
+            if a:
+                del known[chunk]
+        parts = [found[k] for k in kind.tolist()]
+        return [None if t is None else b"".join(parts[b - n : b]) for t, b, n in zip(texts, ends.tolist(), counts)]
 
     def encode(self, text: str, seed: int = 0, dropout: float = 0.0, key: object = None) -> bytes:
         return self.encode_together([text], seed, dropout, [key])[0]

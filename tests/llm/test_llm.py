@@ -265,6 +265,22 @@ def test_pieces_decode_losslessly_and_vary(corpus, corpus_rows, nothing):
     assert pc.encode_pieces(nothing).count() == 0
 
 
+def test_pieces_draw_anew_for_every_occurrence():
+    model, word = pc.piece_model(pc.model_bytes(pc.MODEL)), " international"
+    limit, many = int(0.1 * (1 << 32)), 3000
+    whole = model.segment_chunks([word], np.zeros(1, np.uint64), 0)[0]
+    forms = Counter(model.encode_together([word[1:]] * many, 7, 0.1, list(range(many))))
+    assert len(forms) > 20 and 0.02 < forms[whole] / many < 0.9
+    # within one row, too, and as the occurrence would be segmented alone
+    text = " ".join(["international", "a" * 40, "the", "漢字", "x,y"] * 300)
+    row = model.encode(text, 7, 0.1, "row")
+    bits, chunks = pc.xxhash.xxh64_intdigest("row", 7), pc._CHUNKS.findall(" " + text)
+    salts = pc.mix(np.uint64(bits) + np.arange(len(chunks), dtype=np.uint64) * np.uint64(pc._SALTS[0]))
+    alone = [model.segment_chunks([c], salts[i : i + 1], limit)[0] for i, c in enumerate(chunks)]
+    assert b"".join(alone) == row and len(set(alone[::5])) > 15
+    assert model.decode(row) == text and model.encode(text, 7, 0.1, "row") == row != model.encode(text, 7, 0.1, "other")
+
+
 # --- op7 ----------------------------------------------------------------------------------------------
 def plain_repeats(rows, length=rp.LENGTH):
     seen, out = set(), {}
