@@ -2,7 +2,8 @@
 
 A notice that may hold up to k edits is split into k + 1 pieces. By the pigeonhole principle one piece is still exact, so
 exact piece look-ups locate every candidate; around each one the ``regex`` library's bounded-error matching decides
-and reports the span. Phrases that must stand exactly (runs of whole words) are found by their words.
+and reports the span, then looks on both sides of it, until no more is found. A notice that differs from others by a name
+must have that name with one edit at most. Phrases that must stand exactly (runs of whole words) are found by their words.
 
 Defined results: a null text counts as an empty one and gives zero words, no places, empty labels and score 0; repeated
 rows are answered one by one; of overlapping spans the one with the fewest edits is reported; very long texts are searched
@@ -42,9 +43,21 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 
+#: Words that tell one notice from another of the same wording: of these one edit may be missed at most.
+NAMES = ("mit", "bsd", "apache")
+
 _GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def _edits(text: str, other: str) -> int:
+    row = list(range(len(other) + 1))
+    for i, c in enumerate(text, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(other, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
 @dataclass
 class Notice:
     """One notice: its exact pieces, and the pattern that checks a candidate."""
@@ -59,6 +72,39 @@ class Notice:
         cuts = [round(i * step) for i in range(self.errors + 2)]
         self.pieces = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:])]
         self.pattern = regex.compile(f"(?b)(?:{regex.escape(self.text)}){{e<={self.errors}}}")
+        self.name = next((w for w in self.text.split() if w in NAMES), "")
+
+    def has_name(self, found: str) -> bool:
+        """Whether ``found`` is the notice within its edits, of which one at most is in the name."""
+        if not self.name or self.text == found:
+            return True
+        before, behind = f" {self.text} ".split(f" {self.name} ", 1)
+        before, behind = f"{before} ".lstrip(), f" {behind}".rstrip()
+        for i in range(max(0, len(before) - self.errors), len(before) + self.errors + 1):
+            spent = _edits(before, found[:i])
+            for j in range(i + len(self.name) - 1, min(i + len(self.name) + 1, len(found)) + 1) if spent <= self.errors else ():
+                own = _edits(self.name, found[i:j])
+                if own <= 1 and spent + own + _edits(behind, found[j:]) <= self.errors:
+                    return True
+        return False
+
+    def hits(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the notice's places in a window: the best one, then those on both sides of it."""
+        found, todo, seen = [], [(start, end)], set()
+        while todo:
+            a, b = todo.pop()
+            if (a, b) in seen or b - a < len(self.text) - self.errors:
+                continue
+            seen.add((a, b))
+            if not (hit := self.pattern.search(text, a, b)):
+                continue
+            i, j = hit.span()
+            if self.has_name(hit.group()):
+                found.append((i, j, sum(hit.fuzzy_counts)))
+                todo += [(a, i), (j, b)]
+            else:  # another place may share a part of this one
+                todo += [(a, j - 1), (i + 1, b)]
+        return found
 
 
 def make_notices(notices: dict[str, str], letters_per_error: int = 10) -> list[Notice]:
@@ -87,9 +133,7 @@ def fuzzy_spans(text: str, notices: list[Notice]) -> list[tuple[int, int, str, i
             else:
                 merged.append([a, b])
         for a, b in merged:
-            while hit := notice.pattern.search(text, a, min(b, len(text))):
-                found.append((hit.start(), hit.end(), notice.label, sum(hit.fuzzy_counts)))
-                a = max(hit.end(), a + 1)
+            found += [(i, j, notice.label, edits) for i, j, edits in notice.hits(text, a, min(b, len(text)))]
     kept: list = []  # where spans overlap, the one with the fewest edits (then the longest) is the notice
     for span in sorted(found, key=lambda s: (s[3], s[0] - s[1], s[0], s[2])):
         i = bisect.bisect_left(kept, span)
