@@ -147,10 +147,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group stays: the one with the smallest key (the first of repeated rows); rows with a null key
-    stay. All columns of ``docs`` are returned."""
-    found = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, radius)
-    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("_kept")).distinct()
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
-    once = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return once.unionByName(docs.where(F.col(key).isNull()))
+    """One document of each group stays: the one with the smallest key, then the least text hash (the first of repeated
+    rows); rows with a null key stay. All columns of ``docs`` are returned. Texts with one key may be in different groups."""
+    named = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    keyed = named.where(F.col(key).isNotNull())
+    rows = stored(fingerprint_documents(keyed, text, "_tid", shingle).withColumnRenamed("key", "_tid").distinct(), "simhash")
+    links = fingerprint_links(stored(rows.select("fp").distinct(), "fingerprints"), radius)
+    roots = stored(connected_components(links), "roots")
+    groups = rows.join(roots, rows["fp"] == roots["node"], "left").select("_tid", F.coalesce("root", "fp").alias("_root"))
+    # the first of each group by a partial aggregate, however large the group is
+    first = keyed.select(F.col(key).alias("_key"), "_tid").join(groups, "_tid").groupBy("_root").agg(F.min(F.struct("_key", "_tid")).alias("_first"))
+    kept = first.select("_first._key", F.col("_first._tid").alias("_kept"))
+    nth = F.row_number().over(Window.partitionBy(key, "_tid").orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = keyed.join(kept, (F.col(key) == F.col("_key")) & (F.col("_tid") == F.col("_kept")), "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return once.drop("_nth", "_tid").unionByName(docs.where(F.col(key).isNull()))

@@ -203,6 +203,13 @@ def test_simhash_components(corpus, corpus_rows, nothing):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for r, c in zip(corpus_rows, classes) if r[0] is not None})
 
 
+def test_representatives_of_clashing_keys(spark):
+    a, b = " ".join(f"left{i}" for i in range(30)), " ".join(f"right{i}" for i in range(30))
+    for rows in ([(1, a, 1), (1, b, 2), (0, b, 3)], [(1, a, 2), (1, b, 1), (0, b, 3)]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+        assert sorted((r.doc_id, r.text) for r in sh.keep_representatives(docs.select("n", "doc_id", "text")).collect()) == [(0, b), (1, a)]
+
+
 def test_links_of_dense_balls(spark):
     rng = random.Random(4)
     prints = set()
