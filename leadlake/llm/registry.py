@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from leadlake.llm.fingerprints import edit_sensitivity
 from leadlake.llm.language import fit_languages, fold, identify_languages
 from leadlake.llm.licenses import license_summary, scan_licenses
+from leadlake.llm.manifest import tampered_audit
 from leadlake.llm.mixing import mix_sources
 from leadlake.llm.pieces import encode_pieces
 from leadlake.llm.repeats import drop_repeats
 from leadlake.llm.simhash import near_duplicates
+from leadlake.llm.sql import manifest_sql
 from leadlake.llm.templates import drop_recurring_lines
 from leadlake.llm.topk import top_k
 from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {"op13_manifest": manifest_sql()}
 
 
 def query(fn):
@@ -87,3 +89,8 @@ def op10_language(spark, sf_dir):
     model = fit_languages(docs.where(fold("doc_id", 3) != 1))
     found = identify_languages(docs, model)
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    return tampered_audit(table(spark, sf_dir, "documents")).drop("source")
