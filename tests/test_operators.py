@@ -4,7 +4,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import NOW
+from lead_samples import NOW
 from pyspark.sql import functions as F
 
 from leadlake.operators import changes as ch

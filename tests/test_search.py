@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import NOW
+from lead_samples import NOW
 from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
