@@ -2,7 +2,7 @@
 
 A notice that may hold up to k edits is split into k + 1 pieces. By the pigeonhole principle one piece is still exact, so
 exact piece look-ups locate every candidate; around each one the ``regex`` library's bounded-error matching decides
-and reports the span, then looks on both sides of it, until no more is found. A notice that differs from others by a name
+and reports the span, then looks on both sides of it in the window of the piece. A notice that differs from others by a name
 must have that name with one edit at most. Phrases that must stand exactly (runs of whole words) are found by their words.
 
 Defined results: a null text counts as an empty one and gives zero words, no places, empty labels and score 0; repeated
@@ -116,24 +116,15 @@ def fuzzy_spans(text: str, notices: list[Notice]) -> list[tuple[int, int, str, i
     """(start, end, label, edits) of every notice in ``text``, whose words must be one space apart."""
     found = []
     for notice in notices:
-        windows: list[list[int]] = []
-        slack = notice.errors
+        # the window of a seed is as long as the notice and its edits, so the work grows with the seeds alone
+        windows = set()
         for offset, piece in notice.pieces:
             at = text.find(piece)
             while at >= 0:
-                windows.append([max(0, at - offset - slack), at - offset + len(notice.text) + slack])
+                windows.add((max(0, at - offset - notice.errors), min(len(text), at - offset + len(notice.text) + notice.errors)))
                 at = text.find(piece, at + 1)
-        if not windows:
-            continue
-        windows.sort()
-        merged = [windows[0]]
-        for a, b in windows[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            found += [(i, j, notice.label, edits) for i, j, edits in notice.hits(text, a, min(b, len(text)))]
+        places = {hit for a, b in windows for hit in notice.hits(text, a, b)}
+        found += [(i, j, notice.label, edits) for i, j, edits in places]
     kept: list = []  # where spans overlap, the one with the fewest edits (then the longest) is the notice
     for span in sorted(found, key=lambda s: (s[3], s[0] - s[1], s[0], s[2])):
         i = bisect.bisect_left(kept, span)

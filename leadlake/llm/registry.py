@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlake.llm.decontamination import decontaminate
 from leadlake.llm.fingerprints import edit_sensitivity
 from leadlake.llm.language import fit_languages, fold, identify_languages
 from leadlake.llm.licenses import license_summary, scan_licenses
 from leadlake.llm.manifest import tampered_audit
 from leadlake.llm.mixing import mix_sources
+from leadlake.llm.phrases import collocations
 from leadlake.llm.pieces import encode_pieces
 from leadlake.llm.repeats import drop_repeats
 from leadlake.llm.simhash import near_duplicates
-from leadlake.llm.sql import manifest_sql
+from leadlake.llm.sql import collocation_sql, decontamination_sql, manifest_sql
 from leadlake.llm.templates import drop_recurring_lines
 from leadlake.llm.topk import top_k
 from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
-ORACLES: dict = {"op13_manifest": manifest_sql()}
+ORACLES: dict = {"op11_collocations": collocation_sql(), "op12_decontamination": decontamination_sql(), "op13_manifest": manifest_sql()}
 
 
 def query(fn):
@@ -91,6 +93,17 @@ def op10_language(spark, sf_dir):
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_decontamination(spark, sf_dir):
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query
 def op13_manifest(spark, sf_dir):
     return tampered_audit(table(spark, sf_dir, "documents")).drop("source")

@@ -147,15 +147,17 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
 
 # --- jobs --------------------------------------------------------------------------------------------
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, tag, text): the tag tells texts with one key apart."""
+    """(key, tag, text): the tag, a hash of the text, tells texts with one key apart; it is 0 where no key has several."""
     body = F.coalesce(F.col(text), F.lit(""))
     own = F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY))
-    return docs.select(own.alias("key"), F.pmod(F.xxhash64(body), F.lit(1 << 15)).cast("int").alias("tag"), body.alias("text"))
+    rows = docs.select(own.alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    several = rows.groupBy("key").agg((F.min("tag") != F.max("tag")).alias("several")).where("several")
+    return rows.withColumn("tag", F.lit(0).cast("bigint")) if several.isEmpty() else rows
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """(anchor, hash, key, place): one row per run; place holds start, windows, tag and two marks. A run that its own batch has
-    earlier is marked by the negative of its windows, and spread by its place."""
+    """(anchor, hash, key, tag, place): one row per run; place holds start, windows and two marks. A run that its own batch has
+    earlier is marked as known, and spread by its place."""
 
     def work(batches):
         for batch in batches:
@@ -172,24 +174,23 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
                 # one document may hold a row twice: that is the same place, not an earlier one
                 known[1:] &= (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1])
                 anchor = np.where(known, mix(k.astype(np.uint64) ^ (start.astype(np.uint64) << np.uint64(40))), anchor)
-                packed = (start << 28) | (count << 17) | (own.astype(np.int64) << 16) | (known.astype(np.int64) << 15) | t
+                packed = (start << 13) | (count << 2) | (own.astype(np.int64) << 1) | known.astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k), pa.array(packed)],
-                    names=["anchor", "hash", "key", "place"],
+                    [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k), pa.array(t), pa.array(packed)],
+                    names=["anchor", "hash", "key", "tag", "place"],
                 )
 
-    return map_arrow(rows, work, "anchor bigint, hash bigint, key bigint, place bigint")
+    return map_arrow(rows, work, "anchor bigint, hash bigint, key bigint, tag bigint, place bigint")
 
 
 def _found_runs(rows: DataFrame) -> DataFrame:
     """(anchor, key, tag, start, windows, open): runs that repeat as a whole, and (open) first runs of anchors that have
     different contexts, or runs that may repeat within themselves."""
-    tag = F.col("place").bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("tag")
-    known = F.shiftright("place", 15).bitwiseAND(F.lit(1)) == 1
-    itself = F.shiftright("place", 16).bitwiseAND(F.lit(1)) == 1
-    windows = F.shiftright("place", 17).bitwiseAND(F.lit((1 << 11) - 1)).cast("int").alias("windows")
-    start = F.shiftright("place", 28).alias("start")
-    runs = _anchor_rows(rows).select("anchor", "hash", "key", tag, start, windows, known.alias("known"), itself.alias("own"))
+    known = F.col("place").bitwiseAND(F.lit(1)) == 1
+    itself = F.shiftright("place", 1).bitwiseAND(F.lit(1)) == 1
+    windows = F.shiftright("place", 2).bitwiseAND(F.lit((1 << 11) - 1)).cast("int").alias("windows")
+    start = F.shiftright("place", 13).alias("start")
+    runs = _anchor_rows(rows).select("anchor", "hash", "key", "tag", start, windows, known.alias("known"), itself.alias("own"))
     same = Window.partitionBy("anchor")
     by_place = same.orderBy("hash", "key", "tag", "start")
     before = F.lag(F.struct("hash", "key", "tag", "start")).over(by_place)
@@ -215,7 +216,7 @@ def _packed_texts(rows: DataFrame) -> DataFrame:
                     names=["key", "tag", "body"],
                 )
 
-    return map_arrow(rows, work, "key bigint, tag int, body binary")
+    return map_arrow(rows, work, "key bigint, tag bigint, body binary")
 
 
 def _contexts(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -236,11 +237,11 @@ def _contexts(rows: DataFrame, found: DataFrame) -> DataFrame:
                         for column, value in zip(out, values):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
+                    [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["anchor", "key", "tag", "start", "context"],
                 )
 
-    return map_arrow(joined.select("key", "tag", "body", "runs"), work, "anchor bigint, key bigint, tag int, start bigint, context binary")
+    return map_arrow(joined.select("key", "tag", "body", "runs"), work, "anchor bigint, key bigint, tag bigint, start bigint, context binary")
 
 
 def _merged(contexts: DataFrame) -> DataFrame:
@@ -259,7 +260,7 @@ def _merged(contexts: DataFrame) -> DataFrame:
                     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                         out.append((row["key"], row["tag"], row["start"] + int(run[0]), len(run)))
             columns = list(zip(*out)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "tag", "start", "windows"])
 
         for batch in batches:
@@ -272,7 +273,7 @@ def _merged(contexts: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), work, "key bigint, tag int, start bigint, windows int")
+    return map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), work, "key bigint, tag bigint, start bigint, windows int")
 
 
 def _without(body: bytes, runs: list[dict], length: int = LENGTH) -> tuple[int, int, bytes]:

@@ -71,3 +71,41 @@ def manifest_sql(levels: int = 6) -> str:
         "WITH RECURSIVE " + ",\n".join(parts + fold)
         + f"\nSELECT doc_id, leaf, subroot, s{levels}.digest AS root, proof_sha256, {end} AS folded_root, {end} = s{levels}.digest AS verified FROM fold{len(steps)}, s{levels}"
     )
+
+
+def decontamination_sql(window: int = 10) -> str:
+    words = f"regexp_extract_all({_lower('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+    def windows(table: str) -> str:
+        size = f"least(len(w), {window})"
+        if table == "docs":  # every length that a window can have
+            return f"SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM docs, lengths, unnest(range(1, len(w) - k + 2)) AS u(i)"
+        return f"SELECT item_id, {size} AS k, array_to_string(w[i:i + {size} - 1], ' ') AS phrase FROM items, unnest(range(1, len(w) - {size} + 2)) AS u(i) WHERE len(w) > 0"
+
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words} AS w FROM benchmark),
+wanted AS (SELECT DISTINCT * FROM ({windows('items')})),
+lengths AS (SELECT DISTINCT k FROM wanted),
+places AS (SELECT d.rid, d.i, d.k, t.item_id FROM ({windows('docs')}) d JOIN wanted t ON d.k = t.k AND d.phrase = t.phrase),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM places, unnest(range(i, i + k)) AS u(p) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM places) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)"""
+
+
+def collocation_sql(least: int = 100, cover: int = 100, most: int = 2000, longest: int = 5) -> str:
+    pieces = f"string_split_regex({_lower('text')}, '[.,;:!?\\x0A-\\x0D]')"
+    return f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM documents, unnest({pieces}) AS u(p)),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM pieces, range(1, {longest + 1}) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {least}),
+total AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+several AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT s.lang, s.phrase, s.f AS a, l.f AS l, r.f AS r, t.n, c, (1000 * s.f::HUGEINT * t.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM several s, unnest(range(1, s.k)) AS u(c), f l, f r, total t
+  WHERE l.lang = s.lang AND r.lang = s.lang AND t.lang = s.lang
+    AND l.phrase = array_to_string(s.w[:c], ' ') AND r.phrase = array_to_string(s.w[c + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_ones AS (SELECT DISTINCT s.lang, array_to_string(s.w[i:i + z - 1], ' ') AS phrase, s.f FROM several s, unnest(range(2, s.k)) AS u(z), unnest(range(1, s.k - z + 2)) AS v(i)),
+kept AS (SELECT * FROM scored c WHERE NOT EXISTS (SELECT 1 FROM inner_ones o WHERE o.lang = c.lang AND o.phrase = c.phrase AND 100 * o.f >= {cover} * c.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {most}"""

@@ -10,13 +10,15 @@ blocks returns only its best rows, which a window merges by query.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a query is compared with
 vectors of its own length only; its own row (by id) is no candidate; ties go to the smaller id; repeated rows are
-candidates each; fewer than k candidates give fewer rows; other columns are neither read nor returned.
+candidates each, but one query (equal id and vector); unequal vectors of one id are queries each, ranked on their own, and
+none of them is a candidate of the others; fewer than k candidates give fewer rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +158,7 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row that ``is_query`` holds for."""
     blocks = stored(packed(integer_vectors(vectors, vector, key, scale), block_rows), "blocks")
-    queries = stored(packed(integer_vectors(vectors.where(is_query), vector, key, scale), query_rows), "queries")
+    queries = stored(packed(integer_vectors(vectors.where(is_query), vector, key, scale).distinct(), query_rows), "queries")
     # every block of queries goes to every shard of blocks; a shard is a few blocks, read one after another
     shards = max(1, blocks.count() // 2)
     held = blocks.select(F.pmod(F.xxhash64("part", "nth"), F.lit(shards)).alias("shard"), "dim", "part", "nth", "ids", "vecs")
@@ -173,11 +175,16 @@ def top_k(
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
                 q_vecs = np.frombuffer(row["q_vecs"], np.int64).reshape(-1, row["dim"])
                 out = [index.search(v, own, k) for own, v in zip(q_ids, q_vecs)]
+                sizes = [len(a) for a, _ in out]
+                name = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in q_vecs], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(a) for a, _ in out])), pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([b for _, b in out]))],
-                    names=["query_id", "vec_id", "score"],
+                    [
+                        pa.array(np.repeat(q_ids, sizes)), pa.array(np.repeat(name, sizes)),
+                        pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([b for _, b in out])),
+                    ],
+                    names=["query_id", "query", "vec_id", "score"],
                 )
 
-    found = map_arrow(pairs.select("part", "nth", "dim", "ids", "vecs", "q_ids", "q_vecs"), work, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_arrow(pairs.select("part", "nth", "dim", "ids", "vecs", "q_ids", "q_vecs"), work, "query_id bigint, query bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
