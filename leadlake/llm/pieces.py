@@ -51,6 +51,43 @@ _ALL_BITS = (1 << 64) - 1
 _CHUNKS = re.compile(r" *[^ ]+| +")
 
 
+class HashTable:
+    """Whole numbers from 64-bit keys, looked up for many keys at a time (open addressing, a tenth full)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = np.asarray(keys).astype(np.uint64)
+        self.shift = np.uint64(64 - max(10, (10 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.mask = size - 1
+        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, -1, np.int32)  # -1: an empty place
+        at, left = self._first(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.values[at[left]] == -1]
+            self.values[at[free]], self.keys[at[free]] = values[free], keys[free]  # of several keys for one place the last stays
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(_SALTS[0]) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray, none: int = -1) -> np.ndarray:
+        keys = np.ascontiguousarray(keys).view(np.uint64)
+        at = self._first(keys)
+        values = self.values[at]
+        hit = self.keys[at] == keys
+        found = np.where(hit & (values != -1), values, none)
+        left = np.flatnonzero(~hit.ravel() & (values.ravel() != -1))
+        if len(left):
+            flat_keys, flat_at, flat_found = keys.ravel(), at.ravel(), found.ravel()
+            while len(left):
+                flat_at[left] = (flat_at[left] + 1) & self.mask
+                values, hit = self.values[flat_at[left]], self.keys[flat_at[left]] == flat_keys[left]
+                flat_found[left[hit & (values != -1)]] = values[hit & (values != -1)]
+                left = left[~hit & (values != -1)]
+            found = flat_found.reshape(found.shape)
+        return found
+
+
 class PieceModel:
     """Ranks and ids of a merge-type model, and segmentation by its merges."""
 
@@ -96,11 +133,10 @@ class PieceModel:
                 if p[:i] in symbols and p[i:] in symbols:
                     pairs[symbols[p[:i]] * self.n_symbols + symbols[p[i:]]] = rank
         #: symbol pairs that merge, each with the rank of what it gives
-        self.pairs = np.array([*sorted(pairs), np.iinfo(np.int64).max])
-        self.pair_ranks = np.array([*(pairs[k] for k in sorted(pairs)), NEVER], np.int64)
+        self.pairs = HashTable(np.array([*pairs], np.int64), np.array([*pairs.values()], np.int32))
         self.rank_of_pair = pairs
         #: neighbouring characters of any piece: between others no merge is possible
-        self.joined = np.array([*sorted(joined), np.iinfo(np.int64).max])
+        self.joined = HashTable(np.array([*joined], np.int64), np.zeros(len(joined), np.int32))
         #: hashes of what pieces begin with, and the rank of those that are pieces
         spelt = [p.replace(MARK, " ") for p in by_rank]
         codes = np.frombuffer("".join(spelt).encode("utf-32-le"), np.uint32)
@@ -111,38 +147,39 @@ class PieceModel:
             some = np.flatnonzero(sizes >= n)
             for h, r in zip(span_hash(sums, starts[some], starts[some] + n).tolist(), np.where(sizes[some] == n, some, NEVER).tolist()):
                 begins[h] = min(r, begins.get(h, NEVER))
-        self.begins = np.array([*sorted(begins), _ALL_BITS], np.uint64)
-        self.begin_ranks = np.array([*(begins[h] for h in sorted(begins)), NEVER], np.int64)
+        self.begins = HashTable(np.array([*begins], np.uint64), np.array([*begins.values()], np.int32))
         self.limit = 0
         self._forget()
 
     def _forget(self) -> None:
-        """Words by number; where the candidates of each begin, and their part of the draw; segmentations by dropped ones."""
-        self.words: dict[str, int] = {}
+        """Words by hash; where the candidates of each begin, and their part of the draw; segmentations by word and dropped ones."""
+        self.words, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and the word of each
         self.bounds, self.draws, self.apart = np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        self.kept: dict[int, bytes] = {}
+        self._forget_segments()
+
+    def _forget_segments(self) -> None:
+        self.kept = np.zeros(0, np.uint64)  # keys in order; the pieces of each are kept_ids[kept_start : + kept_size]
+        self.kept_start, self.kept_size, self.kept_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Number new words and list their possible candidates: the pieces of two characters or more in them."""
-        sizes = np.array([len(w) for w in fresh])
-        codes = np.frombuffer("".join(fresh).encode("utf-32-le"), np.uint32)
+    def _learn(self, codes: np.ndarray, sizes: np.ndarray) -> None:
+        """Number new words (characters of all, and how many each has) and list their possible candidates: the pieces of two
+        characters or more in them."""
         ends, sums = np.cumsum(sizes), prefix_hash(codes)
-        owner = np.repeat(np.arange(len(fresh)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         a, b, _ = (np.uint64(s) for s in _SALTS)
         at = np.flatnonzero(sizes[owner] <= LONG_WORD)
         owners, draws = [], []
         for n in range(2, self.longest + 1):
             at = at[at + n <= ends[owner[at]]]
             h = span_hash(sums, at, at + n)
-            i = np.searchsorted(self.begins, h)
-            known = self.begins[i] == h
-            at, rank = at[known], self.begin_ranks[i[known]]
+            rank = self.begins.find(h)
+            at, rank = at[rank != -1], rank[rank != -1]
             whole = at[rank != NEVER]
             place = whole - (ends - sizes)[owner[whole]]
             owners.append(owner[whole])
             draws.append(rank[rank != NEVER].astype(np.uint64) * a + place.astype(np.uint64) * b)
         owners, draws = np.concatenate(owners), np.concatenate(draws)
-        count = np.bincount(owners, minlength=len(fresh))
+        count = np.bincount(owners, minlength=len(sizes))
         apart = (sizes > LONG_WORD) | (count > MOST_CANDIDATES)
         inside = ~apart[owners]
         order = np.argsort(owners[inside], kind="stable")
@@ -171,13 +208,12 @@ class PieceModel:
     def _candidates(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray, place: np.ndarray, limit: int) -> np.ndarray:
         """Ranks of candidate merges, ``NEVER`` where there is none or the hash of salt, rank and place drops it."""
         key = self._key(left, right)
-        at = np.searchsorted(self.pairs, key)
-        rank = np.where(self.pairs[at] == key, self.pair_ranks[at], NEVER)
+        rank = self.pairs.find(key, NEVER)
         if limit:
             a, b, c = (np.uint64(s) for s in _SALTS)
             drawn = (salt ^ (rank.astype(np.uint64) * a + place.astype(np.uint64) * b)) * c >> np.uint64(32)
             rank[drawn < np.uint64(limit)] = NEVER
-        return rank.astype(np.int32)
+        return rank
 
     def segment(self, symbols: list[int], salt: int, limit: int, first: int = 0) -> list[int]:
         """Merge neighbours in order of rank (then place), skipping those that the hash drops; for parts of any length.
@@ -237,15 +273,20 @@ class PieceModel:
         return symbols
 
     def segment_chunks(self, chunks: list[str], salts: np.ndarray, limit: int) -> list[bytes]:
-        """Ids of chunks as 32-bit numbers. A chunk falls apart where no merge is possible; its parts are merged each alone,
-        and what a part becomes hangs on its characters, its place in the chunk and the chunk's salt only."""
-        text = "".join(chunks)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        heads = np.cumsum([0, *map(len, chunks)])
+        """Ids of chunks as 32-bit numbers."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        ids, sizes = self._segment_codes(codes, np.array([len(c) for c in chunks], np.int64), salts, limit)
+        cuts = np.cumsum([0, *sizes.tolist()])
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _segment_codes(self, codes: np.ndarray, lengths: np.ndarray, salts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, and how many each has. ``codes``: the characters of the chunks, ``lengths``: how many each has. A chunk falls apart
+        where no merge is possible; its parts are merged each alone, and what a part becomes hangs on its characters, its place
+        in the chunk and the chunk's salt only."""
+        heads = np.concatenate([[0], np.cumsum(lengths)])
         symbols = self.symbol_of[codes]
-        key = self._key(symbols[:-1], symbols[1:])
         apart = np.ones(len(codes), bool)
-        apart[1:] = self.joined[np.searchsorted(self.joined, key)] != key
+        apart[1:] = self.joined.find(self._key(symbols[:-1], symbols[1:])) == -1
         apart[heads[:-1]] = True
         starts = np.flatnonzero(apart)
         sizes = np.diff(starts, append=len(codes))
@@ -267,7 +308,7 @@ class PieceModel:
 
         # one id for a piece, one for each byte of a character that is none
         other = np.flatnonzero((symbols == ALONE) | (symbols >= self.size))
-        spelt = [text[i].encode() for i in other.tolist()]
+        spelt = [chr(c).encode() for c in codes[other].tolist()]
         count = (symbols >= 0).astype(np.int64)
         count[other] = [len(s) for s in spelt]
         ends = np.cumsum(count)
@@ -278,74 +319,121 @@ class PieceModel:
             n = count[other]
             at = np.repeat(ends[other] - np.cumsum(n), n) + np.arange(n.sum())
             ids[at] = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
-        cuts = (np.concatenate([[0], ends])[heads] * 4).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return ids, np.diff(np.concatenate([[0], ends])[heads])
 
-    def encode_together(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, keys: list | None = None) -> list[bytes | None]:
-        """The ids of texts as 32-bit numbers; segmentations not met before are made side by side."""
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, seed: int, dropout: float, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has. ``data`` and ``offsets``: their UTF-8 bytes. An empty text has none."""
         limit = int(dropout * (1 << 32))
-        if limit != self.limit or len(self.words) >= KEPT or len(self.kept) >= KEPT:
+        if limit != self.limit or len(self.apart) >= KEPT:
             self._forget()
             self.limit = limit
-        known, base = self.words, len(self.apart)
-        fresh: list[str] = []
-        chunks: list[str] = []
-        counts, bits = [], []
-        for text, key in zip(texts, keys or texts):
-            some = _CHUNKS.findall(" " + text) if text else []
-            chunks += some
-            counts.append(len(some))
-            bits.append(xxhash.xxh64_intdigest(str(key), seed & _ALL_BITS) if limit else 0)
-        numbers = list(map(known.get, chunks))
-        if None in numbers:
-            for i in [i for i, number in enumerate(numbers) if number is None]:
-                numbers[i] = known.setdefault(chunks[i], base + len(fresh))
-                if numbers[i] == base + len(fresh):
-                    fresh.append(chunks[i])
-        if fresh:
-            self._learn(fresh)
-        words, count = np.array(numbers, np.int64), np.array(counts, np.int64)
-        ends = np.cumsum(count)
-        nth = np.arange(len(words)) - np.repeat(ends - count, count)
-        salts = mix(np.repeat(np.array(bits, np.uint64), count) + nth.astype(np.uint64) * np.uint64(_SALTS[0]))
+        if len(self.kept) >= KEPT:
+            self._forget_segments()
+        # each text with a space before it; a chunk begins with a space behind another character
+        size = np.diff(offsets)
+        full = np.flatnonzero(size)
+        lead = np.cumsum(size[full]) - size[full] + np.arange(len(full))
+        spaced = np.full(int(size.sum()) + len(full), 32, np.uint8)
+        body = np.ones(len(spaced), bool)
+        body[lead] = False
+        spaced[body] = data
+        blank = spaced == 32
+        begin = blank.copy()
+        begin[1:] &= ~blank[:-1]
+        begin[lead] = True
+        heads = np.flatnonzero(begin)
+        stops = np.append(heads[1:], len(spaced))
+        text = np.searchsorted(lead, heads, "right") - 1
+        hashes = span_hash(prefix_hash(spaced), heads, stops)
+
+        def characters(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The characters of some chunks, and how many each has."""
+            n = stops[some] - heads[some]
+            at = np.repeat(heads[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            raw = spaced[at]
+            codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+            first = np.cumsum(n) - n
+            return codes, np.add.reduceat((raw & 0xC0) != 0x80, first, dtype=np.int64) if len(some) else first
+
+        different, place, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, different), max(len(self.words) - 1, 0))
+        known = self.words[at] == different if len(self.words) else np.zeros(len(different), bool)
+        base, number = len(self.apart), np.empty(len(different), np.int64)
+        number[known] = self.number[at[known]]
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            number[fresh] = base + np.arange(len(fresh))
+            self._learn(*characters(place[fresh]))
+            words, numbers = np.concatenate([self.words, different[fresh]]), np.concatenate([self.number, number[fresh]])
+            order = np.argsort(words, kind="stable")
+            self.words, self.number = words[order], numbers[order]
+        words = number[back]
+
+        bits = np.array([xxhash.xxh64_intdigest(str(keys[i]), seed & _ALL_BITS) if limit else 0 for i in full.tolist()], np.uint64)
+        nth = np.arange(len(heads)) - np.searchsorted(text, np.arange(len(full)))[text]
+        salts = mix(bits[text] + nth.astype(np.uint64) * np.uint64(_SALTS[0]))
         dropped = self._dropped(words, salts, limit)
-        if limit:  # words that stand for themselves
-            alone = np.flatnonzero(self.apart[words])
-            dropped[alone] = alone
-        order = np.lexsort((dropped, words))
-        new = np.ones(len(words), bool)
-        new[1:] = (words[order[1:]] != words[order[:-1]]) | (dropped[order[1:]] != dropped[order[:-1]])
-        kind = np.empty(len(words), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
-        some = order[heads]
-        names = [w << 64 | d for w, d in zip(words[some].tolist(), dropped[some].tolist())]
-        found = list(map(self.kept.get, names))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        if gaps:
-            at = some[gaps]
-            again = (np.diff(heads, append=len(words))[gaps] > 1) & ~self.apart[words[at]]  # met more than once: kept
-            for i, ids, more in zip(gaps, self.segment_chunks([chunks[i] for i in at.tolist()], salts[at], limit), again.tolist()):
-                found[i] = ids
-                if more:
-                    self.kept[names[i]] = ids
-        for chunk, a in zip(fresh, self.apart[base:].tolist()):
-            if a:
-                del known[chunk]
-        parts = [found[k] for k in kind.tolist()]
-        return [None if t is None else b"".join(parts[b - n : b]) for t, b, n in zip(texts, ends.tolist(), counts)]
+        alone = self.apart[words] if limit else np.zeros(len(words), bool)  # words that stand for themselves at each occurrence
+        dropped[alone] = np.flatnonzero(alone)
+        name = mix(hashes ^ mix(mix(dropped) + alone.astype(np.uint64)))
+        kinds, some, kind, often = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        at = np.minimum(np.searchsorted(self.kept, kinds), max(len(self.kept) - 1, 0))
+        known = self.kept[at] == kinds if len(self.kept) else np.zeros(len(kinds), bool)
+        start, count = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        start[known], count[known] = self.kept_start[at[known]], self.kept_size[at[known]]
+        gaps, pool = np.flatnonzero(~known), self.kept_ids
+        if len(gaps):
+            ids, count[gaps] = self._segment_codes(*characters(some[gaps]), salts[some[gaps]], limit)
+            start[gaps] = len(pool) + np.cumsum(count[gaps]) - count[gaps]
+            pool = np.concatenate([pool, ids])
+        n = count[kind]
+        out = pool[np.repeat(start[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        sizes = np.zeros(len(size), np.int64)
+        if len(full):
+            sizes[full] = np.add.reduceat(n, np.searchsorted(text, np.arange(len(full))))
+
+        keep = gaps[(often[gaps] > 1) & ~alone[some[gaps]]]  # met more than once: kept
+        if len(keep):
+            n = count[keep]
+            ids = pool[np.repeat(start[keep] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            begins = len(self.kept_ids) + np.cumsum(n) - n
+            order = np.argsort(np.concatenate([self.kept, kinds[keep]]), kind="stable")
+            self.kept = np.concatenate([self.kept, kinds[keep]])[order]
+            self.kept_start, self.kept_size = np.concatenate([self.kept_start, begins])[order], np.concatenate([self.kept_size, n])[order]
+            self.kept_ids = np.concatenate([self.kept_ids, ids])
+        return out, sizes
+
+    def encode_together(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, keys: list | None = None) -> list[bytes | None]:
+        """The ids of texts as 32-bit numbers; segmentations not met before are made side by side."""
+        data, offsets = flat(pa.array(texts, pa.string()))
+        ids, sizes = self.encode_bytes(data, offsets, seed, dropout, keys or texts)
+        cuts = np.cumsum([0, *sizes.tolist()])
+        return [None if t is None else ids[a:b].tobytes() for t, a, b in zip(texts, cuts, cuts[1:])]
 
     def encode(self, text: str, seed: int = 0, dropout: float = 0.0, key: object = None) -> bytes:
         return self.encode_together([text], seed, dropout, [key])[0]
 
     def decode(self, ids: bytes) -> str:
-        if not ids:
-            return ""
-        number = np.frombuffer(ids, np.int32)
-        sizes = self.raw_size[number]
-        at = np.repeat(self.raw_start[number] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return self.raw[at].tobytes()[1:].decode()
+        return self.decode_bytes(np.frombuffer(ids, np.int32)).tobytes()[1:].decode()
+
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of pieces one behind the other; a text has a space before it."""
+        sizes = self.raw_size[ids]
+        return self.raw[np.repeat(self.raw_start[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+    def same_texts(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts their ids decode to."""
+        decoded = self.decode_bytes(ids)
+        ends = np.cumsum(sizes)
+        length = np.diff(np.concatenate([[0], np.cumsum(self.raw_size[ids])])[np.concatenate([[0], ends])])
+        same = length == np.diff(offsets) + (sizes > 0)
+        body = np.ones(len(decoded), bool)
+        first = (np.cumsum(length) - length)[length > 0]
+        body[first] = decoded[first] != 32  # the space that was put there
+        if same.all() and body.sum() == len(data) and np.array_equal(decoded[body], data):
+            return same
+        at = np.concatenate([[0], np.cumsum(length)])
+        return np.array([decoded[a:b].tobytes()[1:] == data[c:d].tobytes() for a, b, c, d in zip(at, at[1:], offsets, offsets[1:])], bool)
 
 
 @lru_cache(maxsize=2)
@@ -359,13 +447,6 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _id_lists(rows: list[bytes | None]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r or b"") // 4 for r in rows], out=offsets[1:])
-    values = pa.array(np.frombuffer(b"".join(r or b"" for r in rows), np.int32))
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([r is None for r in rows], pa.bool_()))
-
-
 def encode_pieces(
     docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 17, dropout: float = 0.1, model: str = MODEL
 ) -> DataFrame:
@@ -376,13 +457,15 @@ def encode_pieces(
     def work(batches):
         pieces = piece_model(shared.value)
         for batch in batches:
-            _, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(1))
             for start, stop in slices(offsets, TOGETHER):
                 some = batch.slice(start, stop - start)
-                texts = some.column(1).to_pylist()
-                rows = pieces.encode_together(texts, seed, dropout, some.column(0).to_pylist())
-                same = [None if r is None else pieces.decode(r) == t for r, t in zip(rows, texts)]
-                yield pa.RecordBatch.from_arrays([some.column(0), _id_lists(rows), pa.array(same, pa.bool_())], names=["key", "ids", "lossless"])
+                body, ends = data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
+                ids, sizes = pieces.encode_bytes(body, ends, seed, dropout, some.column(0).to_pylist())
+                none = np.asarray(some.column(1).is_null())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids), mask=pa.array(none))
+                same = pa.array(pieces.same_texts(ids, sizes, body, ends), mask=none)
+                yield pa.RecordBatch.from_arrays([some.column(0), lists, same], names=["key", "ids", "lossless"])
 
     found = map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), work, f"key {kind}, ids array<int>, lossless boolean")
     return found.withColumnRenamed("key", key)
