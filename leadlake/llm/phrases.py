@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadlake.llm.filters import in_filter, make_filter
 from leadlake.llm.ship import map_arrow, ship_package
 from leadlake.llm.textbytes import LOWER, flat, mix, prefix_hash, slices, span_hash, word_spans
 from leadlake.session import stored
@@ -39,11 +40,13 @@ LEVELS = ((1,), (2,), (3, 4, 5))
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bytes of texts that are hashed together, and words whose n-grams are counted together.
 SLICE, TOGETHER = 1 << 20, 1 << 20
-#: Bytes of text for each range of fingerprints that is merged by itself, and bits of a filter at most (16 MB).
-RANGE_BYTES, MOST_BITS = 1 << 23, 27
+#: Bytes of text for each range of fingerprints that is merged by itself.
+RANGE_BYTES = 1 << 23
 #: A pointer is 38 bits of a row's hash and the number of a word; larger numbers mean that the row must be searched.
 WORD_BITS = 25
 LONG_WORD = 64
+#: Tasks that share the phrases of a language.
+SALTS = 64
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[list(GAPS + BREAKS)] = False
@@ -113,22 +116,6 @@ class Fingerprints:
         return span_hash(self.second, at, at + n) ^ self.language[at]
 
 
-def in_filter(bits: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    slot = fps & np.uint64(8 * len(bits) - 1)
-    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def make_filter(fps: DataFrame) -> np.ndarray:
-    """A bitmap of the fingerprints' low bits, 16 MB at most; Spark builds it, so no fingerprint goes to the driver."""
-    size = min(MOST_BITS, max(15, (64 * fps.count()).bit_length()))
-    slot = F.col("fp").bitwiseAND(F.lit((1 << size) - 1))
-    rows = fps.select(F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
-    out = np.zeros(1 << (size - 3), np.uint8)
-    for row in rows.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
-        out[row["bucket"] << 12 : (row["bucket"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def _groups(batches, twice: bool):
     """(words, languages, rows) of about ``TOGETHER`` words, always of whole texts; columns 0 and 1 are language and text."""
     parts, texts, languages, rows, size = [], [], [], [], 0
@@ -344,7 +331,10 @@ def collocations(
     left = phrases.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = phrases.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    cuts = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals.withColumnRenamed("words", "n"), "lang")
+    cuts = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
+    # one row per language, repeated, so that the phrases of one language go to several tasks
+    salted = totals.select("lang", F.col("words").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
     cuts = cuts.withColumn("above", (F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n")).cast("decimal(38,0)")).withColumn("below", wide("l") * wide("r"))
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr("above div below").alias("score"), "k", "l", "r")).alias("cut"))
     # words of a phrase that stand in a longer one: at most 9 for each
