@@ -29,44 +29,48 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, SPACE, "")).cast("bigint")
 
 
-def code_point_order(name: Column) -> Column:
-    """Sorts like the code points of a name (Spark compares UTF-8 bytes, which agrees)."""
-    return name.asc_nulls_last()
-
-
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0
 ) -> DataFrame:
-    """(source, source_size, target) of every source; one row per source, so plain windows over it are small.
+    """(source, source_size, target) of every source.
 
     The water level is exact: sources sorted by the level at which they reach their cap; the level that uses up the
     total lies behind the sources whose caps it exceeds.
     """
-    # a source's row holds sums only; their order and running sums need all sources side by side, not the documents
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy(F.lit(0))
-    ordered = everything.orderBy(code_point_order(F.col("source")))
+    per_source = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
-    cap = most * F.col("source_size")
-    ranked = per_source.withColumn("nth", F.row_number().over(ordered)).withColumn("weight", weight)
-    by_level = everything.orderBy(F.col("full_at"), F.col("nth"))
-    up_to = by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = (
-        ranked.withColumn("full_at", cap / F.col("weight"))
-        .withColumn("total", total_share * F.sum("source_size").over(everything))
-        .withColumn("capped", F.sum(cap).over(up_to))
-        .withColumn("open_weight", F.sum("weight").over(everything) - F.sum("weight").over(up_to))
-    )
-    # level if exactly the sources up to here are at their caps
-    before = F.lag("capped", 1, 0.0).over(by_level)
-    open_here = F.col("open_weight") + F.col("weight")
-    level = (F.col("total") - before) / open_here
-    fits = level <= F.col("full_at")
-    water = F.min(F.when(F.col("fits"), F.struct("full_at", "nth", "level"))).over(everything)["level"]
-    return (
-        levels.withColumn("level", level).withColumn("fits", fits).withColumn("water", water)
-        .select("source", "source_size", F.least(cap, F.coalesce(F.col("weight") * F.col("water"), cap)).alias("target"))
-    )
+    # null sources last, then by code points (Spark compares UTF-8 bytes, which agrees)
+    ranked = running(per_source.withColumn("no_name", F.col("source").isNull()), ["no_name", "source"], {})
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
+    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, all_weight = total_share * (whole["size"] or 0), whole["weight"] or 0.0
+    levels = running(ranked.drop("no_name").withColumnRenamed("nth", "place"), ["full_at", "place"], {"capped": "cap", "closed": "weight"})
+    # the level if exactly the sources before this one are at their caps; the first that fits is the water level
+    level = (F.lit(total) - (F.col("capped") - F.col("cap"))) / (F.lit(all_weight) - F.col("closed") + F.col("weight"))
+    fit = levels.withColumn("level", level).where(F.col("level") <= F.col("full_at")).agg(F.min(F.struct("full_at", "place", "level")).alias("fit")).first()["fit"]
+    poured = F.col("weight") * F.lit(fit["level"]) if fit else F.col("cap")
+    return ranked.select("source", "source_size", F.least("cap", poured).alias("target"))
+
+
+def running(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with ``nth``, their place in ``order`` from 1, and running sums (name: column), up to the row itself. Rows are cut
+    into ranges; each range adds what the ranges before it hold, so no task sees them all."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy("range").agg(F.count("*").alias("rows"), *[F.sum(c).alias(f"all_{name}") for name, c in sums.items()])
+    earlier = held.select(F.col("range").alias("earlier"), "rows", *[f"all_{name}" for name in sums])
+    # one row per range, each with the ranges before it
+    behind = held.select("range").join(earlier, F.col("earlier") < F.col("range"), "left").groupBy("range")
+    behind = behind.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(f"all_{name}"), F.lit(0)).alias(f"all_{name}") for name in sums])
+    own = Window.partitionBy("range").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.select("*", F.row_number().over(own).alias("local"), *[F.sum(c).over(upto).alias(f"local_{name}") for name, c in sums.items()])
+    joined = local.join(behind, "range")
+    return joined.select(*rows.columns, (F.col("rows") + F.col("local")).alias("nth"), *[(F.col(f"all_{name}") + F.col(f"local_{name}")).alias(name) for name in sums])
+
+
+def _body(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _draw(*parts: Column) -> Column:
@@ -107,8 +111,7 @@ def dependent_rounding(units: DataFrame, seed: int = 11, block: int = 64) -> Dat
     """
     start = F.expr("named_struct('id', cast(null as bigint), 'size', 0L, 'mass', 0D, 'done', cast(array() as array<struct<id: bigint, extra: int>>))")
     settled: DataFrame | None = None
-    counts = {r["source"]: r["count"] for r in units.groupBy("source").count().collect()}  # one row per source
-    level, largest = 0, max(counts.values(), default=0)
+    level, largest = 0, units.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     while True:
         groups = max(1, -(-largest // block)) if largest > 1 else 1
         last = groups == 1
@@ -131,11 +134,11 @@ def mix_sources(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS,
     total_share: float = 1.5, most: float = 2.0, seed: int = 11,
 ) -> DataFrame:
-    """(key, nth, source, size, source_size, target, taken) of every row: the words that the mix takes from it. ``nth``
-    numbers rows with the same key."""
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("source", "size"))
-    rows = stored(rows.withColumn("nth", nth).withColumn("id", F.xxhash64("key", "nth")), "sizes")
+    """(key, body, nth, source, size, source_size, target, taken) of every row: the words that the mix takes from it. ``body`` is a hash
+    of the text; ``nth`` numbers rows with the same key, source and text."""
+    rows = docs.select(F.col(key).alias("key"), _body(text).alias("body"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    nth = F.row_number().over(Window.partitionBy("key", "body", "source").orderBy("size"))
+    rows = stored(rows.withColumn("nth", nth).withColumn("id", F.xxhash64("key", "body", "source", "nth")), "sizes")
     targets = source_targets(rows, weights, total_share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # a join with one row per source; Spark broadcasts it when it sees that it is small
@@ -145,7 +148,7 @@ def mix_sources(
     rounded = dependent_rounding(fractional, seed)
     taken = F.col("sure") * F.col("size") + F.coalesce(F.col("extra") * F.col("size") + F.round("rest"), F.lit(0))
     return planned.join(rounded, "id", "left").select(
-        F.col("key").alias(key), "nth", F.col("source").alias(source), "size", "source_size", "target", taken.cast("bigint").alias("taken")
+        F.col("key").alias(key), "body", "nth", F.col("source").alias(source), "size", "source_size", "target", taken.cast("bigint").alias("taken")
     )
 
 
@@ -153,8 +156,10 @@ def take_copies(docs: DataFrame, text: str = "text", source: str = "source", key
     """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``. The one document per
     source that is taken in part counts as a copy where the part is half of it or more."""
     mixed = mix_sources(docs, text, source, key, **options)
-    copies = mixed.select(F.col(key).alias("_key"), F.col("nth").alias("_nth"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_copies"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_source", "_size"))
-    rows = docs.select("*", F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size")).withColumn("_nth", nth)
-    joined = rows.alias("r").join(copies.where("_copies > 0").alias("c"), F.expr("r._key <=> c._key and r._nth = c._nth"))
-    return joined.select("r.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    mixed = mixed.select(F.col(key).alias("key"), "body", F.col(source).alias("source"), "nth", copies.alias("copies")).where("copies > 0")
+    # the columns of docs travel as one struct, so none can clash
+    rows = docs.select(F.col(key).alias("key"), _body(text).alias("body"), F.col(source).alias("source"), F.struct("*").alias("doc"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "body", "source").orderBy("body")))
+    joined = rows.alias("r").join(mixed.alias("c"), F.expr("r.key <=> c.key and r.body = c.body and r.source <=> c.source and r.nth = c.nth"))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
