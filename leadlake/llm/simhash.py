@@ -9,6 +9,12 @@ Distinct fingerprints only are expanded. Before the full balls (2,081 variants o
 done with the two halves of the fingerprints: of r differing bits one half holds r / 2 at most, so its ball of radius
 r / 4 (33 variants) must meet another's. Fingerprints that meet nobody near enough there can link to nobody and emit no more.
 
+:func:`keep_unlike` finds near copies by the similarity of their five-word shingles, which differ in more bits than a ball of the
+whole fingerprint can span. There a text has a wide fingerprint, cut into bands; each band emits its ball, and texts that meet in
+any band are compared by their shingles. The width of a band grows with the logarithm of the number of texts, so that
+chance meetings stay rare, and the number of bands is the least that finds the aimed share of the pairs at the
+border of similarity.
+
 Defined results: a null text counts as an empty one; texts without words have fingerprint zero, linked like any other;
 repeated rows share a component; documents with a null key keep a fingerprint, and their component is the smallest
 other key reachable, or null; an empty table gives an empty table; other columns are neither read nor returned.
@@ -16,6 +22,7 @@ other key reachable, or null; an empty table gives an empty table; other columns
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,8 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.llm.components import connected_components
+from leadlake.llm.filters import in_filter, make_filter
 from leadlake.llm.ship import map_arrow
-from leadlake.llm.textbytes import LOWER, NOT_SPACE, flat, slices, word_spans
+from leadlake.llm.textbytes import LOWER, NOT_SPACE, flat, mix, prefix_hash, slices, span_hash, word_spans
 from leadlake.session import stored
 
 
@@ -109,7 +117,7 @@ def _meeting_halves(fps: DataFrame, radius: int, few: int = 64) -> DataFrame:
 
 def _spread(fps: DataFrame) -> DataFrame:
     """Few bytes that become many: dealt over all tasks by number, since their size would put them into one."""
-    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return _spread_by(fps, "fp")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -161,3 +169,159 @@ def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     nth = F.row_number().over(Window.partitionBy(key, "_tid").orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
     once = keyed.join(kept, (F.col(key) == F.col("_key")) & (F.col("_tid") == F.col("_kept")), "left_semi").withColumn("_nth", nth).where("_nth = 1")
     return once.drop("_nth", "_tid").unionByName(docs.where(F.col(key).isNull()))
+
+
+# --- near copies by similarity of shingles, candidates by balls of bands ------------------------------
+#: Bits of the wide fingerprint at most: 64 for each of so many lanes.
+LANES = 16
+#: Shingles whose bits are summed in bytes.
+SUMMED = 240
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, repeats included (fewer words: the whole sequence; none: no shingle), and their bounds."""
+    lowered = LOWER[data]
+    starts, ends, bounds = word_spans(lowered, offsets, NOT_SPACE)
+    words = span_hash(prefix_hash(lowered), starts, ends)
+    counts = np.diff(bounds)
+    made = np.where(counts > 0, np.maximum(1, counts - shingle + 1), 0)
+    stop = np.cumsum(made)
+    first = np.repeat(bounds[:-1], made) + np.arange(made.sum()) - np.repeat(stop - made, made)
+    return span_hash(prefix_hash(words), first, np.minimum(first + shingle, np.repeat(bounds[1:], made))), np.concatenate([[0], stop])
+
+
+def wide_bits(hashes: np.ndarray, bounds: np.ndarray, lanes: int) -> np.ndarray:
+    """A row of ``64 * lanes`` majority bits for each text; lane k takes its bits from the hashes mixed with k."""
+    made = np.diff(bounds)
+    out = np.zeros((len(made), 64 * lanes), np.uint8)
+    full = np.flatnonzero(made)
+    if not len(full):
+        return out
+    # runs of at most SUMMED shingles are summed in bytes, then the runs of a text
+    parts = -(-made[full] // SUMMED)
+    head = np.cumsum(parts) - parts
+    starts = np.repeat(bounds[:-1][full], parts) + (np.arange(parts.sum()) - np.repeat(head, parts)) * SUMMED
+    for k in range(lanes):
+        bits = np.unpackbits(mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(np.add.reduceat(bits, starts, axis=0, dtype=np.uint8), head, axis=0, dtype=np.int32)
+        out[full, 64 * k : 64 * k + 64] = 2 * sums > made[full][:, None]
+    return out
+
+
+def band_plan(texts: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits, bands): bands with eight bits more than number the texts; as many as find a pair at the border of similarity, which
+    differs by two bits or fewer in one of them, with probability ``recall``."""
+    width = max(12, texts.bit_length() + 8)
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(width, k) * differ**k * (1 - differ) ** (width - k) for k in range(3))
+    return width, min(64 * LANES // width, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
+def wide_fingerprints(texts: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(tid, wide) of every row: its wide fingerprint, packed. ``texts``: (tid, text)."""
+    lanes = -(-bits // 64)
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for i, j in slices(offsets, 1 << 19):
+                found = wide_bits(*shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle), lanes)
+                packed = np.packbits(found, axis=1, bitorder="little")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in packed], pa.binary())], names=["tid", "wide"])
+
+    return map_arrow(texts, work, "tid bigint, wide binary")
+
+
+def _band_rows(prints: DataFrame, width: int, bands: int, met: np.ndarray | None = None) -> DataFrame:
+    """(tid, variant): every variant within one bit of each band of a fingerprint, or those in the filter ``met`` only."""
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    flips = np.concatenate([np.zeros(1, np.uint64), weights])
+    shared = None if met is None else prints.sparkSession.sparkContext.broadcast(met)
+
+    def work(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                some = batch.slice(i, 2000)
+                packed = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, -1)
+                bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : width * bands].reshape(-1, bands, width)
+                value = (bits * weights).sum(2, dtype=np.uint64)[:, :, None] ^ flips
+                variant = ((np.arange(bands, dtype=np.uint64)[None, :, None] << np.uint64(width)) | value).reshape(-1)
+                # mixed, so that their low bits name them, too
+                variant, tid = mix(variant), np.repeat(np.asarray(some.column(0), np.int64), bands * len(flips))
+                if shared is not None:
+                    keep = in_filter(shared.value, variant)
+                    variant, tid = variant[keep], tid[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(variant.view(np.int64))], names=["tid", "variant"])
+
+    return map_arrow(_spread_by(prints, "tid"), work, "tid bigint, variant bigint")
+
+
+def _spread_by(rows: DataFrame, column: str) -> DataFrame:
+    """Few bytes that become many: dealt over all tasks by number, since their size would put them into one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
+def _shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(tid, shingles): the different shingle hashes, sorted, of the wanted texts: (tid)."""
+    shared = texts.sparkSession.sparkContext.broadcast(make_filter(wanted, "tid"))
+
+    def work(batches):
+        for batch in batches:
+            tids = np.asarray(batch.column(0), np.int64)
+            some = batch.take(pa.array(np.flatnonzero(in_filter(shared.value, tids.view(np.uint64)))))
+            data, offsets = flat(some.column(1))
+            for i, j in slices(offsets, 1 << 20):
+                hashes, bounds = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["tid", "shingles"])
+
+    return map_arrow(texts, work, "tid bigint, shingles binary").join(wanted, "tid", "left_semi")
+
+
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+    """(u, v): links between texts whose different shingles have at least that similarity (Jaccard). ``texts``: (tid bigint, text), where
+    equal texts have equal tids. Texts without words are alike. Texts that meet in a band are each linked to the least of them, if
+    they are similar, so a group of copies forms no pairs."""
+    width, bands = band_plan(texts.agg(F.approx_count_distinct("tid")).first()[0], similarity, recall)
+    prints = stored(wide_fingerprints(texts, shingle, width * bands).dropDuplicates(["tid"]), "wide-fingerprints")
+    low = _band_rows(prints, width, bands).groupBy("variant").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    low = stored(low.where("low != high").select("variant", "low"), "meeting")
+    met = _band_rows(prints, width, bands, make_filter(low, "variant")).join(low, "variant").where("tid != low")
+    pairs = stored(met.select("tid", "low").distinct(), "candidates")
+    wanted = stored(pairs.select(F.explode(F.array("tid", "low")).alias("tid")).distinct(), "compared")
+    sets = stored(_shingle_sets(texts, wanted, shingle).dropDuplicates(["tid"]), "shingle-sets")
+    other = sets.select(F.col("tid").alias("low"), F.col("shingles").alias("others"))
+
+    def compare(batches):
+        for batch in batches:
+            alike = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(alike, pa.bool_())).select(["u", "v"])
+
+    rows = pairs.join(sets, "tid").join(other, "low").select(F.col("tid").alias("u"), F.col("low").alias("v"), "shingles", "others")
+    return map_arrow(rows, compare, "u bigint, v bigint")
+
+
+def keep_unlike(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, recall: float = 0.9
+) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest key (null keys last), then the least text hash, then
+    the first of repeated rows. All columns of ``docs`` are returned, whatever their names. Links are those of :func:`similar_links`."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.select(F.xxhash64(body).alias("tid"), F.col(key).alias("key"), F.xxhash64(*hashed).alias("whole"), F.struct("*").alias("doc"))
+    roots = stored(connected_components(similar_links(docs.select(F.xxhash64(body).alias("tid"), body.alias("text")), shingle, similarity, recall)), "roots")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "tid", "whole")
+    # first of each text, then of each group: partial aggregates, however many copies there are
+    first = rows.groupBy("tid").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.count_distinct("whole").alias("kinds"))
+    first = stored(first, "first-copies")
+    kept = first.join(roots, first["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("first").alias("first"))
+    kept = kept.select("first.tid", "first.key", "first.whole")
+    same = (F.col("r.tid") == F.col("k.tid")) & (F.col("r.whole") == F.col("k.whole")) & F.col("r.key").eqNullSafe(F.col("k.key"))
+    chosen = rows.alias("r").join(kept.alias("k"), same, "left_semi")
+    if not first.where("n > kinds").isEmpty():  # equal rows are one document
+        chosen = chosen.dropDuplicates(["tid", "whole"])
+    return chosen.select("doc.*")
