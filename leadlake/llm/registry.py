@@ -15,13 +15,15 @@ from leadlake.llm.phrases import collocations
 from leadlake.llm.pieces import encode_pieces
 from leadlake.llm.repeats import drop_repeats
 from leadlake.llm.simhash import near_duplicates
-from leadlake.llm.sql import collocation_sql, decontamination_sql, manifest_sql
+from leadlake.llm.sql import collocation_sql, decontamination_sql, manifest_sql, top_k_sql
 from leadlake.llm.templates import drop_recurring_lines
 from leadlake.llm.topk import top_k
 from leadlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
-ORACLES: dict = {"op11_collocations": collocation_sql(), "op12_decontamination": decontamination_sql(), "op13_manifest": manifest_sql()}
+ORACLES: dict = {
+    "op3_topk": top_k_sql(), "op11_collocations": collocation_sql(), "op12_decontamination": decontamination_sql(), "op13_manifest": manifest_sql(),
+}
 
 
 def query(fn):

@@ -109,3 +109,14 @@ inner_ones AS (SELECT DISTINCT s.lang, array_to_string(s.w[i:i + z - 1], ' ') AS
 kept AS (SELECT * FROM scored c WHERE NOT EXISTS (SELECT 1 FROM inner_ones o WHERE o.lang = c.lang AND o.phrase = c.phrase AND 100 * o.f >= {cover} * c.a)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {most}"""
+
+
+def top_k_sql(k: int = 10, scale: int = 1024, every: int = 100) -> str:
+    """Equal query rows are one query; products of doubles are exact here, as they are whole numbers below 2 ** 53."""
+    return f"""WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (SELECT DISTINCT * FROM fine WHERE vec_id % {every} = 0),
+met AS (SELECT q.vec_id AS query_id, q.w AS asked, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM asked q JOIN fine c ON c.vec_id <> q.vec_id AND len(c.w) = len(q.w))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM met QUALIFY rank <= {k}"""

@@ -2,14 +2,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, component_id bigint, key string, _row bigint"
-
-EN = "the cat sat on the mat and then the dog ran over the hill to the old house by the river where people were waiting".split()
-DE = "der hund und die katze sind über den hügel zum alten haus gelaufen wo viele menschen auf das schiff warten".split()
+from corpus_words import DE, EN, sentence
 
-
-def sentence(rng, words, n):
-    return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, component_id bigint, key string, _row bigint"
 
 
 def make_rows():
