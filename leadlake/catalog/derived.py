@@ -54,9 +54,9 @@ def leads(spark: SparkSession, sf_dir: str, description: bool = True) -> DataFra
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), "p_name")
     customer = table(spark, sf_dir, "customer").join(nation, "c_nationkey").join(region, "r_regionkey")
     if description:
-        # The large joins below all use this key, so this is the one shuffle of the customers; it also
-        # spreads the text work when the other sides turn out small enough to be broadcast.
-        customer = customer.repartition("c_custkey")
+        # The large joins below all use this key, so this is the one shuffle of the customers. Its number is given, so
+        # that adaptive execution does not fold few bytes, which become much text work, into one task.
+        customer = customer.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     joined = (
         customer.join(part, "c_custkey")
         .join(orders, "c_custkey")

@@ -594,6 +594,9 @@ leads_query(
 ORACLES["related_queries"] = with_(RAW_LOG, parsed("raw_log"), POPULAR, "pool AS (SELECT list(query ORDER BY cnt DESC, query) AS qs FROM (SELECT * FROM popular ORDER BY cnt DESC, query DESC LIMIT 10))") + (
     """SELECT query_id, array_to_string(list_filter(qs, lambda p: len(list_filter(terms, lambda t: contains(lower(p), t))) > 0)[1:5], '|') AS related_queries FROM log, pool"""
 )
+ORACLES["related_queries_all"] = with_(RAW_LOG, parsed("raw_log"), POPULAR, "pool AS (SELECT list(query ORDER BY cnt DESC, query) AS qs FROM popular)") + (
+    """SELECT query_id, array_to_string(list_filter(qs, lambda p: len(list_filter(terms, lambda t: contains(lower(p), t))) > 0)[1:5], '|') AS related_queries FROM log, pool"""
+)
 ORACLES["estimated_results"] = with_(
     LEADS,
     RAW_LOG,
@@ -1143,6 +1146,20 @@ events_query(
     "stream_fixed_windows",
     f"SELECT {TZ.format('time_bucket(INTERVAL 30 MINUTE, created_at)')} AS window_start, interaction_type, count(*) AS n FROM interactions GROUP BY 1, 2",
 )
+ORACLES["stream_first_event_windows"] = with_(
+    INTERACTIONS,
+    """opened AS (SELECT interaction_type, min(created_at) AS start FROM interactions GROUP BY 1
+ UNION ALL SELECT o.interaction_type, min(i.created_at) FROM opened o JOIN interactions i ON i.interaction_type = o.interaction_type
+ AND i.created_at >= o.start + INTERVAL 30 MINUTE GROUP BY 1)""",
+).replace("WITH", "WITH RECURSIVE", 1) + (
+    f"""SELECT {TZ.format('start')} AS window_start, interaction_type, count(*) AS n FROM opened JOIN interactions USING (interaction_type)
+ WHERE created_at >= start AND created_at < start + INTERVAL 30 MINUTE GROUP BY 1, 2"""
+)
+events_query("stream_unique_events", f"SELECT id, user_id, query_text, results_count, {TZ.format('created_at')} AS created_at FROM searches")
+events_query(
+    "popular_by_summaries",
+    "SELECT query_text AS query, count(*) AS count FROM searches WHERE query_text <> '' GROUP BY 1 ORDER BY count(*) DESC, query_text LIMIT 5",
+)
 events_query(
     "stream_popular_queries",
     f"SELECT {TZ.format("date_trunc('hour', created_at)")} AS window_start, query_text AS query, count(*) AS count FROM searches WHERE query_text <> '' GROUP BY 1, 2",

@@ -24,6 +24,7 @@ from leadlake.operators import index as ix
 from leadlake.operators import metrics as m
 from leadlake.operators import preferences as pr
 from leadlake.operators import suggestions as su
+from leadlake.operators import summaries as sm
 from leadlake.functions import predicates as p
 from leadlake.plans import ingest as ing
 from leadlake.plans import reports as rp
@@ -31,6 +32,7 @@ from leadlake.plans import search as se
 from leadlake.sources.sinks import read_postings, write_postings
 from leadlake.streaming import counters as sc
 from leadlake.streaming import sinks as ss
+from leadlake.streaming import windows as sw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,6 +322,13 @@ def typed_suggestions(spark, sf):
 
 @query
 def related_queries(spark, sf):
+    found = su.related_queries(d.raw_query_log(spark, sf), _popular(spark, sf), pool=10)
+    return found.select("query_id", joined("related_queries").alias("related_queries"))
+
+
+@query
+def related_queries_all(spark, sf):
+    """Related texts from all popular ones."""
     found = su.related_queries(d.raw_query_log(spark, sf), _popular(spark, sf))
     return found.select("query_id", joined("related_queries").alias("related_queries"))
 
@@ -766,6 +775,29 @@ def stream_fixed_windows(spark, sf):
     return ss.replay(spark, "fixed-windows", live, d.interactions_from(_event_stream(spark, sf)))
 
 
+@query
+def stream_first_event_windows(spark, sf):
+    """Half-hour windows that open at the first event of a kind."""
+    live = lambda events: sw.first_event_windows(sc.event_time(events), "interaction_type", 1800)
+    with sw.rocksdb_state(spark):
+        return ss.replay(spark, "first-event-windows", live, d.interactions_from(_event_stream(spark, sf)))
+
+
+@query
+def stream_unique_events(spark, sf):
+    """A source that sends every event twice; each is appended once."""
+    folder = ss.work_folder(spark, "unique-events")
+    sent = d.search_events_from(_event_stream(spark, sf)).unionByName(d.search_events_from(_event_stream(spark, sf)))
+    ss.append_events_once(sc.unique_events(sent, late_by="60 days"), f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "user_id", "query_text", "results_count", "created_at")
+
+
+@query
+def popular_by_summaries(spark, sf):
+    """The most popular texts from hourly summaries of each user."""
+    return sm.popular_from_summaries(sm.query_summaries(_searches(spark, sf)), 5)
+
+
 @query
 def stream_popular_queries(spark, sf):
     live = lambda events: sc.popular_query_counts(sc.event_time(events))

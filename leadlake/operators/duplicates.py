@@ -1,132 +1,59 @@
 """Duplicate and existence checks between a batch of new leads and the stored ones.
 
-No step pairs all members of a group. Keys are made distinct before they meet, name similarity is
-turned into equality of word subsets, and the remaining comparisons are semi-joins that stop at the
-first match.
+No step pairs all members of a group. Keys are made distinct before they meet, similar names meet by
+their rarest words, names inside names by a sorted table of suffixes, and the remaining comparisons are
+semi-joins that stop at the first match.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.functions.common import filled, let
+from leadlake.functions.common import filled
 from leadlake.functions.contact import company_words, url_domain_bare
+from leadlake.operators.suffixes import containing, least_containing, suffix_table
 
-# Names of up to this many words are compared through their word subsets.
-SUBSET_WORDS = 20
-# Similarity of names must exceed this share of common words.
-SIMILARITY = 0.8
+# Similarity of names must exceed this share of common words (4 of 5; kept as whole numbers, so tests are exact).
+SHARED, OF = 4, 5
 
 
-def _sig(kept: Column) -> Column:
-    return F.array_join(kept, " ")
+def _least_shared(n: Column, m: Column) -> Column:
+    """Words that sets of n and m words must share: the least s with s / (n + m - s) > 4/5."""
+    return F.floor((n + m) * SHARED / (SHARED + OF)) + 1
 
 
-def _without(words: Column, *positions: Column) -> Column:
-    def keep(_w, i):
-        cond = F.lit(True)
-        for p in positions:
-            cond = cond & (i != p)
-        return cond
+def _prefixes(names: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(words, n, word, place): the rarest words of each name, as many as a similar name cannot lack all of.
 
-    return F.filter(words, keep)
-
-
-def _range(start: Column, stop: Column) -> Column:
-    """start .. stop - 1, empty when there is nothing in between."""
-    empty = F.array().cast("array<int>")
-    return F.when(stop > start, F.sequence(start, stop - 1)).otherwise(empty)
-
-
-def _tagged(words: Column, dropped: int) -> Column:
-    return F.struct(
-        _sig(words).alias("sig"), F.size(words).alias("kept"), F.lit(dropped).alias("dropped")
-    )
-
-
-def _subsets(words: Column) -> Column:
-    """The word set and every subset that drops as few words as could still be similar enough.
-
-    Two names share ``kept`` words and drop ``a`` and ``b`` others exactly if they have a common
-    subset of that size; their similarity kept / (kept + a + b) exceeds 4/5 iff a + b < kept / 4.
-    Hence a name with n words needs subsets with a < (n - a) / 4 dropped words: none below 6 words,
-    one from 6, two from 11, three from 16.
+    Of n words a similar name shares more than 4/5, so one of the n - floor(4 n / 5) rarest is shared; ``place`` counts
+    from the rarest word.
     """
-    n = F.size(words)
-    zero = F.lit(0)
-    empty = F.array().cast("array<struct<sig:string,kept:int,dropped:int>>")
-    one = F.transform(_range(zero, n), lambda i: _tagged(_without(words, i), 1))
-    two = F.flatten(
-        F.transform(
-            _range(zero, n),
-            lambda i: F.transform(_range(i + 1, n), lambda j: _tagged(_without(words, i, j), 2)),
-        )
-    )
-    three = F.flatten(
-        F.transform(
-            _range(zero, n),
-            lambda i: F.flatten(
-                F.transform(
-                    _range(i + 1, n),
-                    lambda j: F.transform(_range(j + 1, n), lambda k: _tagged(_without(words, i, j, k), 3)),
-                )
-            ),
-        )
-    )
-    return F.concat(
-        F.array(_tagged(words, 0)),
-        F.when(n >= 6, one).otherwise(empty),
-        F.when(n >= 11, two).otherwise(empty),
-        F.when(n >= 16, three).otherwise(empty),
-    )
-
-
-def _similar_by_subsets(new_names: DataFrame, old_names: DataFrame) -> DataFrame:
-    """Distinct new word sets similar to some old one, both of at most ``SUBSET_WORDS`` words."""
-
-    def spread(names: DataFrame) -> DataFrame:
-        short = names.filter(F.size("words") <= SUBSET_WORDS)
-        return short.select("words", F.inline(let(F.col("words"), _subsets)))
+    listed = names.select("words", F.explode("words").alias("word")).join(frequency, "word")
+    ordered = listed.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_df"))
+    n = F.size("words")
+    prefix = F.slice(F.col("by_df.word"), F.lit(1), n - F.floor(n * SHARED / OF).cast("int"))
+    return ordered.select("words", n.alias("n"), F.posexplode(prefix).alias("place", "word"))
 
-    fewest = spread(old_names).groupBy("sig").agg(F.min("dropped").alias("old_dropped"))
-    met = spread(new_names).join(fewest, "sig")
-    return met.filter((F.col("dropped") + F.col("old_dropped")) * 4 < F.col("kept")).select("words")
 
+def _similar(new_names: DataFrame, old_names: DataFrame) -> DataFrame:
+    """Distinct new word sets similar to some old one: a set-similarity join on the rarest words.
 
-def _similar_long(new_names: DataFrame, old_names: DataFrame) -> DataFrame:
-    """As above when at least one of the two names is longer.
-
-    Names that similar share one of the rarest few words of each, so only those words are compared,
-    as a semi-join that ends at the first similar partner.
+    Words are ordered by their frequency in both tables, so a word that half of the names hold is in few prefixes. Names
+    meet by (word, number of words): a new name asks for each size that a similar name can have, which also splits
+    a frequent word by size. The places of the shared word bound what two names can share at best; only those that
+    can reach the threshold are compared, as a semi-join that ends at the first similar name.
     """
-    shortest = (SUBSET_WORDS * 4) // 5 + 1
-    new_long = new_names.filter(F.size("words") >= shortest)
-    old_long = old_names.filter(F.size("words") >= shortest)
-    frequency = (
-        new_long.unionByName(old_long)
-        .select(F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-
-    def rarest(names: DataFrame) -> DataFrame:
-        """One row per (name, rare word): the n - floor(0.8 n) rarest of its n words."""
-        listed = names.select("words", F.explode("words").alias("word")).join(frequency, "word")
-        order = Window.partitionBy("words").orderBy("df", "word")
-        n = F.size("words")
-        return (
-            listed.withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= n - F.floor(n * 4 / 5))
-            .select("words", "word")
-        )
-
-    a = rarest(new_long).alias("a")
-    b = rarest(old_long).alias("b")
+    every = new_names.unionByName(old_names).select(F.explode("words").alias("word"))
+    frequency = every.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    n = F.col("n")
+    sizes = F.sequence((F.floor(n * SHARED / OF) + 1).cast("int"), (F.ceil(n * OF / SHARED) - 1).cast("int"))
+    a = _prefixes(new_names, frequency).withColumn("m", F.explode(sizes)).alias("a")
+    b = _prefixes(old_names, frequency).alias("b")
+    needed = _least_shared(F.col("a.n"), F.col("b.n"))
+    at_best = 1 + F.least(F.col("a.n") - 1 - F.col("a.place"), F.col("b.n") - 1 - F.col("b.place"))
     shared = F.size(F.array_intersect("a.words", "b.words"))
-    total = F.size("a.words") + F.size("b.words") - shared
-    reaches = (F.size("a.words") > SUBSET_WORDS) | (F.size("b.words") > SUBSET_WORDS)
-    alike = (F.col("a.word") == F.col("b.word")) & reaches & (shared * 5 > total * 4)
+    alike = (F.col("a.word") == F.col("b.word")) & (F.col("a.m") == F.col("b.n")) & (at_best >= needed) & (shared >= needed)
     return a.join(b, alike, "left_semi").select("words")
 
 
@@ -137,10 +64,7 @@ def _word_sets(leads: DataFrame) -> DataFrame:
 
 def similar_name_sets(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Distinct word sets of new company names that are similar to an existing name."""
-    new_names, old_names = _word_sets(new), _word_sets(existing)
-    return (
-        _similar_by_subsets(new_names, old_names).unionByName(_similar_long(new_names, old_names)).distinct()
-    )
+    return _similar(_word_sets(new), _word_sets(existing)).distinct()
 
 
 def _known_keys(existing: DataFrame, key: Column) -> DataFrame:
@@ -182,8 +106,6 @@ def detect_duplicates(new: DataFrame, existing: DataFrame, key: str = "id") -> D
 
 # --- existence by name containment -----------------------------------------------------------
 
-GRAM_SIZES = [16, 8, 4, 2, 1]
-
 
 def _literal_part(name: Column) -> Column:
     """The longest piece of a lower-cased name that holds no pattern wildcard."""
@@ -192,68 +114,38 @@ def _literal_part(name: Column) -> Column:
     return longest["s"]
 
 
-def _gram_size(length: Column) -> Column:
-    size = None
-    for g in GRAM_SIZES:
-        cond = length >= g
-        size = F.when(cond, F.lit(g)) if size is None else size.when(cond, F.lit(g))
-    return size.otherwise(F.lit(0))
-
-
-def _grams(text: Column, size: Column) -> Column:
-    count = F.length(text) - size + 1
-    empty = F.array().cast("array<string>")
-    all_grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(text, i, size))
-    return F.when((size > 0) & (count >= 1), F.array_distinct(all_grams)).otherwise(empty)
-
-
-def _all_grams(text: Column) -> Column:
-    return F.concat(*[_grams(text, F.lit(g)) for g in GRAM_SIZES])
-
-
 def names_already_present(new: DataFrame, existing: DataFrame, ordered: bool = False) -> DataFrame:
     """Distinct (user_id, company) of ``new`` that some company name of ``existing`` contains.
 
-    Containment is case-insensitive and ``%`` and ``_`` in the new name are wildcards. Each new name
-    looks up the rarest long piece of itself among the pieces of the existing names, then the full
-    test runs on those, ending at the first hit. With ``ordered`` both sides carry ``seq`` and only
-    an earlier row counts (equal names: see :func:`drop_existing`).
+    Containment is case-insensitive and ``%`` and ``_`` in the new name are wildcards. Names are looked up in a table of the
+    suffixes of the existing ones; names with wildcards by their longest literal piece, and then by the full test, which ends
+    at the first hit. With ``ordered`` both sides carry ``seq`` and only an earlier row counts (equal names: see
+    :func:`drop_existing`).
     """
-    name = F.lower(F.col("company"))
-    order = [F.min("seq").alias("seq")] if ordered else [F.count(F.lit(1)).alias("seq")]
-    old = existing.filter(name.isNotNull()).groupBy("user_id", name.alias("name")).agg(*order)
-    mine = new.filter(filled(name)).groupBy("user_id", name.alias("pattern")).agg(*order)
-
-    sized = mine.withColumn("piece", _literal_part(F.col("pattern")))
-    probes = sized.withColumn("gram", F.explode(_grams(F.col("piece"), _gram_size(F.length("piece")))))
-    stored = old.select("user_id", "name", F.col("seq").alias("old_seq"), F.explode(_all_grams(F.col("name"))).alias("gram"))
-    stored = stored.join(probes.select("user_id", "gram").distinct(), ["user_id", "gram"], "left_semi")
-    frequency = stored.groupBy("user_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    counted = probes.join(frequency, ["user_id", "gram"], "left")
-    # A piece that no stored name has rules the name out at once.
-    rarest = (
-        counted.groupBy("user_id", "pattern", "seq")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("probe"))
-        .filter(F.col("probe.df") > 0)
-        .select("user_id", "pattern", "seq", F.col("probe.gram").alias("gram"))
-    )
-    n, s = rarest.alias("n"), stored.alias("s")
-    like = F.ilike(F.col("s.name"), F.concat(F.lit("%"), F.col("n.pattern"), F.lit("%")), F.lit("\u0001"))
-    test = (F.col("n.user_id") == F.col("s.user_id")) & (F.col("n.gram") == F.col("s.gram")) & like
-    if ordered:
-        test = test & (F.col("s.old_seq") < F.col("n.seq"))
-    found = n.join(s, test, "left_semi").select("user_id", "pattern")
+    name, user = F.lower(F.col("company")), F.col("user_id").cast("bigint").alias("scope")
+    old_seq, new_seq = (F.min("seq"), F.min("seq")) if ordered else (F.min(F.lit(0)), F.min(F.lit(1)))
+    old = existing.filter(name.isNotNull()).groupBy(user, name.alias("text")).agg(old_seq.cast("bigint").alias("value"))
+    mine = new.filter(filled(name)).groupBy(user, name.alias("pattern")).agg(new_seq.cast("bigint").alias("seq"))
+    mine = mine.withColumn("piece", _literal_part(F.col("pattern")))
+
+    plain = mine.filter(F.col("piece") == F.col("pattern"))
+    least = least_containing(suffix_table(old, True), plain)
+    found = plain.join(least, ["scope", "piece"]).filter(F.col("value") < F.col("seq")).select("scope", "pattern")
+
+    # With wildcards the piece alone proves nothing: the names that hold it are tested.
+    some = mine.filter((F.col("piece") != F.col("pattern")) & (F.length("piece") > 0))
+    if not some.isEmpty():
+        n, s = some.alias("n"), containing(old, some).join(old, ["scope", "text"]).alias("s")
+        like = F.ilike(F.col("s.text"), F.concat(F.lit("%"), F.col("n.pattern"), F.lit("%")), F.lit("\u0001"))
+        test = (F.col("n.scope") == F.col("s.scope")) & (F.col("n.piece") == F.col("s.piece")) & (F.col("s.value") < F.col("n.seq")) & like
+        found = found.unionByName(n.join(s, test, "left_semi").select("scope", "pattern"))
 
     # Names made of wildcards only: "_" stands for one character, "%" for any number.
-    wild = sized.filter(F.length("piece") == 0).withColumn(
-        "needed", F.length(F.regexp_replace("pattern", "[^_]", ""))
-    )
-    by_length = old.groupBy("user_id", F.length("name").alias("length")).agg(F.min("seq").alias("old_seq"))
-    fits = (F.col("w.user_id") == F.col("o.user_id")) & (F.col("o.length") >= F.col("w.needed"))
-    if ordered:
-        fits = fits & (F.col("o.old_seq") < F.col("w.seq"))
-    wild_found = wild.alias("w").join(by_length.alias("o"), fits, "left_semi").select("user_id", "pattern")
-    return found.unionByName(wild_found).withColumnRenamed("pattern", "name").distinct()
+    wild = mine.filter(F.length("piece") == 0).withColumn("needed", F.length(F.regexp_replace("pattern", "[^_]", "")))
+    by_length = old.groupBy("scope", F.length("text").alias("length")).agg(F.min("value").alias("value"))
+    fits = (F.col("w.scope") == F.col("o.scope")) & (F.col("o.length") >= F.col("w.needed")) & (F.col("o.value") < F.col("w.seq"))
+    wild_found = wild.alias("w").join(by_length.alias("o"), fits, "left_semi").select("scope", "pattern")
+    return found.unionByName(wild_found).select(F.col("scope").alias("user_id"), F.col("pattern").alias("name")).distinct()
 
 
 def drop_existing(

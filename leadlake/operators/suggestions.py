@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions.text import parse_query
 from leadlake.operators.filters import ilike_contains, ilike_prefix
+from leadlake.operators.suffixes import containing
 from leadlake.sources.tables import tenant_scan
 
 
@@ -86,17 +87,23 @@ def typed_suggestions(
     )
 
 
-def related_queries(queries: DataFrame, popular: DataFrame, pool: int = 10, limit: int = 5) -> DataFrame:
-    """For each query the popular ones that contain any of its terms, most popular first.
+def related_queries(queries: DataFrame, popular: DataFrame, pool: int | None = None, limit: int = 5) -> DataFrame:
+    """For each query the popular texts that contain any of its terms, most popular first, then by text.
 
-    ``queries`` has ``query_id`` and ``query_text``. The pool is at most ``pool`` texts, so it reaches
-    the queries as one scalar array.
+    ``queries`` has ``query_id`` and ``query_text``, ``popular`` each text once with its ``count``. Terms are looked up among all
+    popular texts, or among the ``pool`` most popular ones; no more than ``limit`` of a term can be among the first
+    ``limit`` of a query.
     """
-    top = popular.orderBy(F.col("count").desc(), F.col("query").desc()).limit(pool)
-    as_array = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("w"), F.col("query").alias("q")))).alias("pool"))
-    keyed = queries.withColumn("terms", parse_query(F.col("query_text"))["terms"])
-    joined = keyed.withColumn("pool", as_array.scalar())
-    hits = F.filter("pool", lambda s: F.exists("terms", lambda t: F.contains(F.lower(s["q"]), t)))
-    return joined.select(
-        "query_id", "query_text", F.slice(F.transform(hits, lambda s: s["q"]), 1, limit).alias("related_queries")
-    )
+    if pool is not None:
+        popular = popular.orderBy(F.col("count").desc(), F.col("query").desc()).limit(pool)
+    one = F.lit(0).cast("bigint").alias("scope")
+    keyed = queries.select("query_id", "query_text", F.explode_outer(F.array_distinct(parse_query(F.col("query_text"))["terms"])).alias("piece"))
+    texts = popular.filter(F.col("query").isNotNull()).select(F.col("query").alias("text"), "count")
+    lowered = texts.select(one, F.lower("text").alias("text"))
+    met = containing(lowered, keyed.select(one, "piece")).select("piece", F.col("text").alias("lowered"))
+    met = met.join(texts.withColumn("lowered", F.lower("text")), "lowered").select("piece", F.struct((-F.col("count")).alias("w"), "text").alias("t"))
+    first = Window.partitionBy("piece").orderBy("t")
+    best = met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).groupBy("piece").agg(F.collect_list("t").alias("best"))
+    joined = keyed.join(best, "piece", "left").groupBy("query_id", "query_text")
+    found = joined.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+    return found.select("query_id", "query_text", F.slice(F.col("best.text"), 1, limit).alias("related_queries"))

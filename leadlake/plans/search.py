@@ -33,7 +33,9 @@ from leadlake.operators.index import (
     with_index_metadata,
 )
 from leadlake.operators.metrics import result_facets, timestamp
+from leadlake.operators.suffixes import containing
 from leadlake.session import stored
+from leadlake.sources.tables import tenant_scan
 
 
 @dataclass(frozen=True)
@@ -302,8 +304,8 @@ def build_log_index(leads: DataFrame) -> DataFrame:
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Rows spread by the key of the join that follows, over as many tasks as any shuffle has: few
-    pairs can still be a lot of scoring."""
-    return df.repartition(key)
+    pairs can still be a lot of scoring, so their bytes must not decide."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _postings_of(index: DataFrame, column: str) -> DataFrame:
@@ -378,28 +380,45 @@ def _full_text_pairs(index: DataFrame, log: DataFrame) -> DataFrame:
 # --- query analysis ---------------------------------------------------------------------------
 
 
-def estimated_results(leads: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each query the largest number of leads any one of its terms occurs in.
+def _word_bitmaps(words: DataFrame, matched: DataFrame) -> DataFrame:
+    """(word, range, bits): the leads of each matched word as bitmaps over ranges of ids."""
+    some = words.join(matched.select("word").distinct(), "word", "left_semi")
+    by_range = some.groupBy("word", F.expr("bitmap_bucket_number(lead_id)").alias("range"))
+    return by_range.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(lead_id))").alias("bits"))
 
-    Terms are tested inside the texts (not as whole words), so they are looked up among the distinct
-    words of the leads, and leads are counted once per term.
+
+def estimated_results(leads: DataFrame, queries: DataFrame, user_id: int | None = None) -> DataFrame:
+    """For each query the largest number of leads any one of its terms occurs in (of one user, if ``user_id`` is given).
+
+    Terms are tested inside the texts (not as whole words): the distinct words that contain a term are looked up in a table of
+    suffixes. The leads of a word are bitmaps over ranges of ids, and the leads of a term are the union of the bitmaps of its
+    words, so what is joined and counted are bitmaps and not lead rows.
     """
+    own = tenant_scan(leads, user_id)
     log = stored(parse_log(queries), "query-log")
-    terms = log.select(F.explode("terms").alias("term")).distinct()
+    # "_" in a term is a wildcard: such terms are looked up by their longest literal piece, if they have one.
+    literal = F.array_max(F.transform(F.split("term", "_"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
+    terms = log.select(F.explode("terms").alias("term")).distinct().withColumn("piece", literal)
     raw = F.concat_ws(" ", *[clean_index_text(F.col(c)) for c in ("company", "industry", "description")])
-    words = stored(
-        leads.select(F.col("id").alias("lead_id"), F.explode(F.array_distinct(F.split(raw, " "))).alias("word")), "words"
-    )
-    as_log = terms.select(F.col("term").alias("query_id"), F.array("term").alias("terms"), str_array([]).alias("phrases"))
-    lookups = _substring_lookups(as_log, words).withColumnRenamed("word", "token")
-    met = _spread_join(words.withColumnRenamed("word", "token"), lookups).withColumnRenamed("query_id", "term").distinct()
-    # "_" in a term is a wildcard: only such terms need the texts again.
-    has_wildcard = F.contains("term", F.lit("_"))
-    texts = leads.select(F.col("id").alias("lead_id"), "company", "industry", "description")
+    words = stored(own.select(F.col("id").alias("lead_id"), F.explode(F.array_distinct(F.split(raw, " "))).alias("word")), "words")
+    one = F.lit(0).cast("bigint").alias("scope")
+    found = containing(words.select(one, F.col("word").alias("text")), terms.select(one, "piece"))
+    matched = stored(found.select("piece", F.col("text").alias("word")), "matched-words")
+    plain = terms.filter(~F.contains("term", F.lit("_")))
+    bitmaps = _word_bitmaps(words, matched).join(matched.join(plain.select("piece"), "piece"), "word")
+    united = bitmaps.groupBy("piece", "range").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+    counts = united.groupBy(F.col("piece").alias("term")).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    # Wildcards need the texts again: those of leads with a word that holds the piece, or lengths, if there is no piece.
+    some = terms.filter(F.contains("term", F.lit("_")))
+    texts = own.select(F.col("id").alias("lead_id"), "company", "industry", "description")
     hit = any_of(ilike_contains(F.col(c), F.col("term")) for c in ("company", "industry", "description"))
-    verified = met.filter(has_wildcard).join(texts, "lead_id").filter(hit).select("term", "lead_id")
-    exact = met.filter(~has_wildcard).select("term", "lead_id").unionByName(verified)
-    counts = exact.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    met = some.filter(F.length("piece") > 0).join(matched, "piece").join(words, "word").select("term", "lead_id").distinct()
+    wild = met.join(texts, "lead_id").filter(hit).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    longest = F.greatest(*[F.coalesce(F.length(c), F.lit(0)) for c in ("company", "industry", "description")])
+    lengths = own.groupBy(longest.alias("longest")).agg(F.count(F.lit(1)).alias("leads"))
+    blank = some.filter(F.length("piece") == 0).join(lengths, F.col("longest") >= F.length("term"))
+    blank = blank.groupBy("term").agg(F.sum("leads").alias("n"))
+    counts = counts.unionByName(wild).unionByName(blank)
     asked = log.select("query_id", "query_text", F.explode_outer("terms").alias("term"))
     return (
         asked.join(counts, "term", "left")

@@ -96,3 +96,12 @@ def attributed_searches(searches: DataFrame, clicks: DataFrame, within: str = "3
     return s.join(k, cond, "left_outer").select(
         F.col("s.id").alias("search_event_id"), F.col("s.created_at").alias("searched_at"), F.col("k.lead_id").alias("lead_id")
     )
+
+
+def unique_events(events: DataFrame, key: str = "id", late_by: str = "10 minutes", column: str = "created_at") -> DataFrame:
+    """Events of a source that may send one more than once, each once: a key is remembered for as long as a repeat may be late.
+
+    Events without a key cannot be told apart and are all kept.
+    """
+    known = event_time(events.filter(F.col(key).isNotNull()), late_by, column).dropDuplicatesWithinWatermark([key])
+    return known.unionByName(event_time(events.filter(F.col(key).isNull()), late_by, column))

@@ -95,6 +95,20 @@ def read_top_queries(spark: SparkSession, path: str) -> DataFrame:
     return tables.join(tables.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
 
 
+def append_events_once(events: DataFrame, path: str, checkpoint: str, column: str = "created_at", once: bool = False) -> StreamingQuery:
+    """Append arriving events, one folder per micro-batch and day. A batch that is run again replaces its own folders, so the
+    table holds each event once, whenever the driver or an executor is lost."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumn("event_date", F.to_date(column))
+        dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={batch_id}")
+
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    if once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def collect_lead_counters(interactions: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Counters per lead and micro-batch. A repeated batch replaces its own folder, so no event counts twice."""
 
