@@ -1,8 +1,8 @@
 """Line dedup by log-template trees of fixed depth, whose leaves learn.
 
 The levels of a tree are the number of tokens of a line and two leading tokens; a second tree has the two last tokens
-instead, for lines that begin with a variable field. Tokens with a digit are variable everywhere. The different lines of a leaf
-tell which tokens are fixed: a token that stands at its place in three of them or more, and in a sixteenth of them
+instead, for lines that begin with a variable field. Tokens with a digit are variable everywhere. The different lines of a leaf,
+three or more, tell which tokens are fixed: a token that stands at its place in three of them or more, and in a sixteenth of them
 (or in two, and in half of them, by a second reading), is; the others are variable fields, wherever they
 stand and however many there are. A template is named by the fixed tokens and their places. It needs three fixed tokens
 and fixed tokens at six places in ten, so that prose, whose lines share little more than their leading words, has none.
@@ -33,6 +33,8 @@ from leadlake.session import stored
 SHARD, TOGETHER = 4096, 1 << 19
 #: A token is fixed that stands in so many lines of its leaf and in one of so many; for each reading.
 READINGS = ((3, 16), (2, 2))
+#: Different lines of a leaf that learns.
+LEAST_LINES = 3
 #: Fixed tokens of a template: so many, and so many in ten.
 LEAST_FIXED, FIXED_IN_TEN = 3, 6
 VARIABLE = np.uint64(0x5851F42D4C957F2D)
@@ -86,6 +88,7 @@ def learned_templates(group: np.ndarray, size: np.ndarray, value: np.ndarray, kn
     count = np.empty(len(order), np.int64)
     count[order] = np.diff(np.flatnonzero(fresh), append=len(order))[np.cumsum(fresh) - 1]
     lines = np.bincount(group)[owner]
+    known = known & (lines >= LEAST_LINES)
     return [named_template(value, known & (count >= least) & (count * share >= lines), at, size) for least, share in READINGS]
 
 
@@ -123,35 +126,39 @@ def line_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 
 def _lines_of_leaves(docs: DataFrame, leaves: DataFrame, text: str) -> DataFrame:
-    """(leaf, shard, literal, size, tokens) of the different lines of the leaves: (leaf, shards)."""
+    """(leaf, literal, tokens) of the different lines of the leaves: (leaf). A task sends a line once; lines of a few other leaves may
+    be among them."""
     shared = docs.sparkSession.sparkContext.broadcast(make_filter(leaves, "leaf"))
 
     def work(batches):
+        sent = np.zeros(0, np.uint64)
         for batch in batches:
             data, offsets = flat(batch.column(0))
             for i, j in slices(offsets, 1 << 20):
                 found = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                _, once = np.unique(found.literal, return_index=True)
+                literal, once = np.unique(found.literal, return_index=True)
+                live = [in_filter(shared.value, leaf[once]) for leaf in (found.lead, found.tail)]
+                fresh = (live[0] | live[1]) & ~np.isin(literal, sent, assume_unique=True)
+                sent = np.union1d(sent, literal[fresh])
                 # a token is its hash, with the lowest bit set where it has no digit
                 marked = (found.value & ~np.uint64(1)) | found.fixed
-                for leaf in (found.lead, found.tail):
-                    some = once[in_filter(shared.value, leaf[once])]
+                for leaf, own in zip((found.lead, found.tail), live):
+                    some = once[own & fresh]
                     bodies = [marked[a : a + n].tobytes() for a, n in zip(found.at[some].tolist(), found.size[some].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(leaf[some].view(np.int64)), pa.array(found.literal[some].view(np.int64)), pa.array(bodies, pa.binary())], names=["leaf", "literal", "tokens"]
                     )
 
-    found = map_arrow(docs.select(F.col(text).alias("text")), work, "leaf bigint, literal bigint, tokens binary")
-    return found.dropDuplicates(["leaf", "literal"]).join(leaves, "leaf").select("leaf", F.pmod("literal", "shards").alias("shard"), "literal", "tokens")
+    return map_arrow(docs.select(F.col(text).alias("text")), work, "leaf bigint, literal bigint, tokens binary")
 
 
-def _learned(lines: DataFrame) -> DataFrame:
-    """(literal, template): the learned templates of the lines of each (leaf, shard)."""
+def _learned(lines: DataFrame, leaves: DataFrame, shard: int) -> DataFrame:
+    """(literal, template): the learned templates of the lines of each leaf: (leaf, n), or of each shard of a large one."""
 
     def solve(rows):
-        leaf, shard, literal = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        leaf, part, literal = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         fresh = np.ones(len(rows), bool)
-        fresh[1:] = (leaf[1:] != leaf[:-1]) | (shard[1:] != shard[:-1])
+        fresh[1:] = (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])
         size = np.array([len(r[3]) // 8 for r in rows])
         value = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
         found = learned_templates(np.cumsum(fresh) - 1, size, value, (value & np.uint64(1)).astype(bool))
@@ -162,6 +169,8 @@ def _learned(lines: DataFrame) -> DataFrame:
         held, tokens = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] == held[-1][:3]:  # sent by another task, too
+                    continue
                 if tokens >= TOGETHER and row[:2] != held[-1][:2]:
                     yield solve(held)
                     held, tokens = [], 0
@@ -170,7 +179,11 @@ def _learned(lines: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = lines.repartition("leaf", "shard").sortWithinPartitions("leaf", "shard")
+    # only large leaves have shards: one row for each ``shard`` of their lines
+    large = leaves.where(F.col("n") > shard).select("leaf", F.ceil(F.col("n") / shard).alias("shards"))
+    part = F.pmod("literal", F.coalesce("shards", F.lit(1))).alias("shard")
+    dealt = lines.join(large, "leaf", "left").select("leaf", part, "literal", "tokens")
+    dealt = dealt.repartition("leaf", "shard").sortWithinPartitions("leaf", "shard", "literal")
     return map_arrow(dealt, work, "literal bigint, template bigint").distinct()
 
 
@@ -180,10 +193,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     first = F.min(F.struct("key", "row", "line")).alias("first")
     # a hot line is summed before it is shuffled
     literals = stored(lines.groupBy("literal").agg(F.sum("fresh").alias("documents"), first, F.min("lead").alias("lead"), F.min("tail").alias("tail")), "literals")
-    leaves = literals.select(F.explode(F.array("lead", "tail")).alias("leaf"), "documents").groupBy("leaf")
-    leaves = leaves.agg(F.count("*").alias("n"), F.sum("documents").alias("documents")).where((F.col("n") > 1) & (F.col("documents") >= least_documents))
-    leaves = stored(leaves.select("leaf", F.ceil(F.col("n") / shard).alias("shards")), "leaves")
-    learned = stored(_learned(_lines_of_leaves(docs, leaves, text)), "templates")
+    leaves = literals.select(F.explode(F.array("lead", "tail")).alias("leaf")).groupBy("leaf")
+    leaves = stored(leaves.agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LINES), "leaves")
+    learned = stored(_learned(_lines_of_leaves(docs, leaves, text), leaves, shard), "templates")
     # the side of the lines may be skewed to one line; a literal has a few templates at most
     members = lines.select("literal", "doc", "key", "row", "line").join(learned, "literal")
     general = members.groupBy("template").agg(F.count_distinct("doc").alias("documents"), first).where(F.col("documents") >= least_documents)
@@ -197,11 +209,12 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
 def cut_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least_documents: int = 3, shard: int = SHARD) -> DataFrame:
     """(doc, text, n_lines, n_dropped): each row of ``docs`` as a struct, so that no name can clash, with its text as cut."""
     dropped = dropped_lines(docs, text, key, least_documents, shard)
-    rows = docs.select(_identity(key, text).alias("row"), F.struct("*").alias("doc"), F.col(text).alias("text"))
-    lines = F.split("text", "\n", -1)
+    rows = docs.select(_identity(key, text).alias("row"), F.struct("*").alias("doc"))
+    whole = F.col(f"doc.`{text}`")
+    lines = F.split(whole, "\n", -1)
     # places of lines count from 0
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("lines"), i))
-    cut = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    cut = F.when(F.col("lines").isNull(), whole).otherwise(F.array_join(kept, "\n"))
     count = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
     return rows.join(dropped, "row", "left").select("doc", cut.alias("text"), count(lines).alias("n_lines"), count(F.col("lines")).alias("n_dropped"))
 

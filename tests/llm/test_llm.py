@@ -127,6 +127,8 @@ def plain_learned(lines):
         for w in lines:
             leaves[tree(w)].append(w)
         for members in leaves.values():
+            if len(members) < tp.LEAST_LINES:
+                continue
             seen = Counter((i, t) for w in members for i, t in enumerate(w))
             for w in members:
                 for least, share in tp.READINGS:
