@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
-from leadlake.functions.common import any_of, flags, str_array
-from leadlake.functions.scoring import Taste, Wanted, default_taste, relevance
+from leadlake.functions.common import any_of, filled, flags, str_array
+from leadlake.functions.scoring import (
+    Taste,
+    Wanted,
+    default_taste,
+    freshness_score,
+    industry_score,
+    location_score,
+    quality_score,
+    relevance,
+    size_score,
+    weighted_sum,
+)
 from leadlake.functions.text import (
     clean_index_text,
     highlight,
@@ -226,8 +237,6 @@ def advanced_search(
 
 # --- many requests at once -------------------------------------------------------------------
 
-SALTS = 32
-
 
 def parse_log(queries: DataFrame) -> DataFrame:
     """A query log (query_id, query_text and optional filter columns) with parsed terms and merged filters."""
@@ -241,6 +250,7 @@ def parse_log(queries: DataFrame) -> DataFrame:
     return parsed.select(
         "query_id",
         "query_text",
+        *(["user_id"] if "user_id" in queries.columns else []),
         F.col("_q.terms").alias("terms"),
         F.col("_q.phrases").alias("phrases"),
         merged("industry").alias("want_industry"),
@@ -249,6 +259,11 @@ def parse_log(queries: DataFrame) -> DataFrame:
     )
 
 
+#: Leads of one posting block, about, and blocks of a query that are scored before its threshold is known.
+BLOCK_LEADS, FIRST_BLOCKS = 256, 4
+_BLOCK = ["quality", "fresh", "shard"]
+
+
 def _rarest_term(log: DataFrame, postings: DataFrame) -> DataFrame:
     """For each query the term with the fewest postings; queries with an unknown term drop out."""
     terms = log.select("query_id", F.explode("terms").alias("token"))
@@ -261,55 +276,93 @@ def _rarest_term(log: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def _spread_join(postings: DataFrame, lookups: DataFrame) -> DataFrame:
-    """(query_id, lead_id) of postings and lookups with the same token.
+def build_log_index(leads: DataFrame) -> DataFrame:
+    """What a search over a query log looks up per lead: index keys and text words."""
+    return with_index_metadata(leads).select("id", index_keys().alias("keys"), _text_tokens().alias("text_tokens"))
+
 
-    A token that half the leads have is split over ``SALTS`` tasks by lead id; the small lookup side
-    is repeated for each part.
-    """
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("lead_id"), F.lit(SALTS)).cast("int"))
-    repeated = lookups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, ["token", "salt"]).select("query_id", "lead_id")
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread by the key of the join that follows, over as many tasks as any shuffle has: few
+    pairs can still be a lot of scoring, so their bytes must not decide."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _substring_lookups(log: DataFrame, words: DataFrame) -> DataFrame:
-    """(query_id, word) for stored words that contain a piece of the query's first search term.
+def _first_piece() -> Column:
+    """The longest literal piece of a query's first search term; empty if it is made of wildcards only."""
+    pieces = F.split(F.get(F.concat("terms", "phrases"), F.lit(0)), r"[^\p{L}\p{N}-]+")
+    return F.array_max(F.transform(pieces, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
 
-    The words are the distinct ones of all companies and industries; they are looked up by their
-    two-character pieces. Equality of pieces is necessary, the full test follows later.
-    """
-    first = F.get(F.concat("terms", "phrases"), F.lit(0))
-    pieces = F.split(first, r"[^\p{L}\p{N}-]+")
-    longest = F.array_max(F.transform(pieces, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
-    wanted = log.withColumn("piece", longest).filter(F.length("piece") >= 1).withColumn("gram", F.substring("piece", 1, 2))
-    vocabulary = words.select("word").distinct()
-    size = F.length("word")
-    pairs = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(F.col("word"), i, F.lit(2)))
-    singles = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(F.col("word"), i, F.lit(1)))
-    grams = vocabulary.filter(size > 0).select("word", F.explode(F.array_distinct(F.concat(pairs, singles))).alias("gram"))
-    met = grams.join(wanted.select("query_id", "piece", "gram"), "gram")
-    return met.filter(F.contains("word", F.col("piece"))).select("query_id", "word").distinct()
 
+def _looked_up(log: DataFrame) -> DataFrame:
+    """(query_id, term, role): "term" for search terms, "word" for words of phrases, "piece" for that of the first term."""
+    phrase_words = F.flatten(F.transform("phrases", lambda p: tokenize(clean_index_text(p))))
 
-def build_log_index(leads: DataFrame) -> DataFrame:
-    """What a search over a query log looks up per lead: index keys, text words and name words."""
-    names = F.concat_ws(" ", clean_index_text(F.col("company")), clean_index_text(F.col("industry")))
-    return with_index_metadata(leads).select(
-        "id",
-        index_keys().alias("keys"),
-        _text_tokens().alias("text_tokens"),
-        F.array_distinct(F.split(names, " ")).alias("name_words"),
-    )
+    def listed(values: Column, role: str) -> Column:
+        return F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("term"), F.lit(role).alias("role")))
 
+    first = F.when(F.length(_first_piece()) > 0, F.array(_first_piece())).otherwise(str_array([]))
+    every = F.concat(listed(F.col("terms"), "term"), listed(phrase_words, "word"), listed(first, "piece"))
+    return log.select("query_id", F.inline(every))
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows spread by the key of the join that follows, over as many tasks as any shuffle has: few
-    pairs can still be a lot of scoring, so their bytes must not decide."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
+def _field_words(name: str, bit: int) -> Column:
+    """The different words of a text field, marked with its bit; and whether the text begins with the word."""
+    listed = F.filter(F.split(clean_index_text(F.col(name)), " "), lambda w: w != "")
+    head = F.get(listed, F.lit(0))
+    begins = F.coalesce(F.startswith(F.lower(F.col(name)), head), F.lit(False))
+    return F.transform(F.array_distinct(listed), lambda w: F.struct(w.alias("word"), F.lit(bit).alias("field"), (begins & (w == head)).alias("first")))
 
-def _postings_of(index: DataFrame, column: str) -> DataFrame:
-    return index.select(F.explode(column).alias("token"), F.col("id").alias("lead_id"))
+
+def impact_postings(leads: DataFrame, terms: DataFrame, as_of: datetime, block_leads: int = BLOCK_LEADS) -> DataFrame:
+    """(term, quality, fresh, shard, id, impact, whole, in_name): every lead with a text field that contains a term.
+
+    ``impact`` is what the term adds to the text score, exactly: a field contains a term if one of its words does. ``whole`` says
+    that the term is a word of company or description, ``in_name`` that company or industry contains it. Leads of equal quality
+    and freshness are a class, cut into shards of about ``block_leads``; so all leads of a block share these two parts of the score.
+    """
+    fields = [_field_words(name, 1 << k) for k, (name, _) in enumerate(fv.TEXT_FIELD_WEIGHTS)]
+    size = leads.count()
+    shards = max(1, size // (4 * block_leads))  # there are few classes, and the larger ones count
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
+    words = stored(leads.select("id", quality_score()[0].alias("quality"), freshness_score(timestamp(as_of))[0].alias("fresh"), shard, F.inline(F.concat(*fields))), "field-words")
+    one = F.lit(0).cast("bigint").alias("scope")
+    matched = containing(words.select(one, F.col("word").alias("text")), terms.select(one, F.col("term").alias("piece")))
+    met = words.join(matched.select(F.col("text").alias("word"), F.col("piece").alias("term")), "word")
+    leading = F.col("first") & F.startswith("word", F.col("term"))
+    both = met.groupBy("term", *_BLOCK, "id").agg(
+        F.bit_or("field").alias("fields"), F.bit_or(F.when(leading, F.col("field")).otherwise(F.lit(0))).alias("leading"),
+        F.max((F.col("word") == F.col("term")) & (F.col("field").bitwiseAND(F.lit(1 | 2)) != 0)).alias("whole"),
+    )
+    impact = F.lit(0.0)
+    for k, (_, weight) in enumerate(fv.TEXT_FIELD_WEIGHTS):
+        has = lambda c, k=k: F.col(c).bitwiseAND(F.lit(1 << k)) != 0
+        impact = impact + F.when(has("leading"), F.lit(weight * 0.8)).when(has("fields"), F.lit(weight * 0.5)).otherwise(F.lit(0.0))
+    in_name = F.col("fields").bitwiseAND(F.lit(1 | 4)) != 0
+    return both.select("term", *_BLOCK, "id", impact.alias("impact"), "whole", in_name.alias("in_name"))
+
+
+def _block_bounds(postings: DataFrame, lookups: DataFrame, log: DataFrame, taste: Taste) -> DataFrame:
+    """(query_id, block, bound): no lead of the block scores higher for the query."""
+    best = postings.groupBy("term", *_BLOCK).agg(F.max("impact").alias("impact"), F.max("whole").alias("whole"), F.max("in_name").alias("in_name"))
+    met = best.join(lookups, "term")
+    adds = F.when(F.col("role") == "term", F.col("impact")).otherwise(F.lit(0.0))
+    can = F.when(F.col("role") == "piece", F.col("in_name")).otherwise(F.col("whole"))
+    per_block = met.groupBy("query_id", *_BLOCK).agg(F.sum(adds).alias("text"), F.max(can).alias("can")).filter("can")
+    text = F.least(F.col("text") + F.size("phrases"), F.lit(1.0))
+    at_best = lambda want, liked: (filled(F.col(want)) | (F.size(liked) > 0)).cast("double")
+    none = F.array()
+    bound = weighted_sum(
+        text, at_best("want_industry", taste.industries), at_best("want_location", taste.locations), at_best("want_size", none),
+        F.col("quality"), F.col("fresh"), taste,
+    )
+    return per_block.join(log, "query_id").select("query_id", *_BLOCK, bound.alias("bound"))
+
+
+def _pairs_in(blocks: DataFrame, postings: DataFrame, lookups: DataFrame) -> DataFrame:
+    """(query_id, id) of the leads of some blocks that a query's words or first term can match."""
+    asked = blocks.select("query_id", *_BLOCK).join(lookups, "query_id")
+    can = F.when(F.col("role") == "piece", F.col("in_name")).otherwise(F.col("whole"))
+    return asked.join(postings, ["term", *_BLOCK]).filter(can).select("query_id", "id").distinct()
 
 
 def search_log(
@@ -320,61 +373,99 @@ def search_log(
     index: DataFrame | None = None,
     taste: Taste | None = None,
     full_text: bool = True,
+    tastes: DataFrame | None = None,
 ) -> DataFrame:
     """The top ``limit`` leads of every query of a log, by the same rules as :func:`search`.
 
-    Texts are split into words once, into an index table (pass ``index`` to reuse one). Candidates
-    come from equality joins on words, the rarest term of each query first, and only then meet the
-    full lead rows by id, to be filtered, scored and ranked per query. Queries the index cannot
-    answer fall back to full-text candidates. A query without any search word gives no rows: it asks
-    for a listing, not for a search. Equal requests are searched once, and every one of them is answered.
+    Texts are split into words once, into an index table (pass ``index`` to reuse one). The rarest term of a query looks up its
+    index hits. Queries without any are answered by full text, in blocks of postings: each block has a bound of what its
+    leads can score. The most promising blocks of a query are scored first; the score of its last place then rules
+    out all blocks that cannot reach it, and only the others are read. A query without any search word is a listing under its
+    filters; equal requests are searched once, and every one of them is answered.
+
+    ``tastes`` (user_id, preferred_industries, preferred_locations, scoring_weights) ranks each query by the taste of its own
+    user (column ``user_id`` of the log); users without a row have ``taste``.
     """
+    request = ["query_text", "want_industry", "want_location", "want_size", *(["user_id"] if tastes is not None else [])]
     entries = stored(parse_log(queries), "query-log")
-    request = ["query_text", "want_industry", "want_location", "want_size"]
     alike = entries.groupBy(*request).agg(F.min("query_id").alias("query_id"), F.first("terms").alias("terms"), F.first("phrases").alias("phrases"))
-    log = stored(alike, "requests")
+    base = taste or default_taste()
+    if tastes is not None:
+        own = tastes.select("user_id", *[F.col(c).alias(f"taste_{i}") for i, c in enumerate(["preferred_industries", "preferred_locations", "scoring_weights"])])
+        alike = alike.join(own.withColumn("known", F.lit(True)), "user_id", "left")
+        chosen = [F.when(F.col("known"), F.col(f"taste_{i}")).otherwise(c) for i, c in enumerate((base.industries, base.locations, base.weights))]
+        alike = alike.select(*request, "query_id", "terms", "phrases", *[F.coalesce(c, empty).alias(f"taste_{i}") for i, (c, empty) in enumerate(zip(chosen, (str_array([]), str_array([]), default_taste().weights)))])
+        base = Taste(F.col("taste_0"), F.col("taste_1"), F.col("taste_2"))
+    every = stored(alike, "requests")
+    log = every.filter(F.size(F.concat("terms", "phrases")) > 0)
     if index is None:
         index = stored(build_log_index(leads), "log-index")
-    filters_hold = matches_filter_columns(F.col("want_industry"), F.col("want_location"), F.col("want_size"))
+    wanted = Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
+    filters_hold = matches_filter_columns(wanted.industry, wanted.location, wanted.company_size)
+    score, _ = relevance(wanted, base, timestamp(as_of))
     filter_fields = leads.select("id", "industry", "location", "employees")
 
-    def kept(pairs: DataFrame, asked: DataFrame, words: list[str], test: Column, fields: DataFrame) -> DataFrame:
-        """Candidate pairs that pass the exact test and the filters."""
-        known = _spread(pairs.withColumnRenamed("lead_id", "id"), "id").join(index.select("id", *words), "id")
-        return known.join(asked, "query_id").join(fields, "id").filter(test & filters_hold).select("query_id", "id")
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = _spread(pairs, "id").join(log, "query_id").join(leads.drop("user_id"), "id")
+        return met.select("query_id", "query_text", "id", "company", score.alias("relevance_score")).filter(F.col("relevance_score") > 0)
 
-    keys = _postings_of(index, "keys")
-    all_terms = contains_all_terms(F.col("terms"), F.col("keys"))
-    found = stored(kept(_spread_join(keys, _rarest_term(log, keys)), log, ["keys"], all_terms, filter_fields), "index-hits")
+    order = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "id")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+
+    keys = index.select(F.explode("keys").alias("token"), F.col("id").alias("lead_id"))
+    hits = keys.join(_rarest_term(log, keys), "token").select("query_id", F.col("lead_id").alias("id"))
+    known = _spread(hits, "id").join(index.select("id", "keys"), "id").join(log, "query_id").join(filter_fields, "id")
+    found = stored(known.filter(contains_all_terms(F.col("terms"), F.col("keys")) & filters_hold).select("query_id", "id"), "index-hits")
+    ranked = best(scored(found))
     if full_text:
-        open_queries = log.join(found.select("query_id").distinct(), "query_id", "left_anti")
-        matched = full_text_match(F.col("terms"), F.col("phrases"), tokens=F.col("text_tokens"))
+        open_log = stored(log.join(found.select("query_id").distinct(), "query_id", "left_anti"), "open-requests")
+        matched = full_text_match(wanted.terms, wanted.phrases, tokens=F.col("text_tokens"))
         fields = leads.select("id", "company", "industry", "location", "employees")
-        pairs = _full_text_pairs(index, open_queries)
-        found = found.unionByName(kept(pairs, open_queries, ["text_tokens"], matched, fields))
 
-    wanted = Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
-    score, _ = relevance(wanted, taste or default_taste(), timestamp(as_of))
-    scored = _spread(found, "id").join(log, "query_id").join(leads, "id").select("query_id", "query_text", "id", "company", score.alias("relevance_score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "id")
-    ranked = (
-        scored.filter(F.col("relevance_score") > 0)
-        .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= limit)
-    )
+        def answered(pairs: DataFrame) -> DataFrame:
+            met = _spread(pairs, "id").join(index.select("id", "text_tokens"), "id").join(open_log, "query_id").join(fields, "id")
+            return scored(met.filter(matched & filters_hold).select("query_id", "id"))
+
+        lookups = stored(_looked_up(open_log), "lookups")
+        postings = stored(impact_postings(leads, lookups.select("term"), as_of), "impacts")
+        bounds = stored(_block_bounds(postings, lookups, open_log, base), "bounds")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), *_BLOCK))
+        bounds = bounds.withColumn("place", place)
+        leading = stored(best(answered(_pairs_in(bounds.filter(F.col("place") <= FIRST_BLOCKS), postings, lookups))), "first-blocks")
+        reached = leading.filter(F.col("position") == limit).select("query_id", F.col("relevance_score").alias("reached"))
+        # sums of fractions may differ in their last digits
+        may = bounds.filter(F.col("place") > FIRST_BLOCKS).join(reached, "query_id", "left").filter(F.coalesce(F.col("bound") + 1e-9 >= F.col("reached"), F.lit(True)))
+        rest = answered(_pairs_in(may, postings, lookups))
+        ranked = ranked.unionByName(best(leading.drop("position").unionByName(rest)))
+        # a first term of wildcards only may be in any name: such requests read all leads
+        odd = open_log.filter(F.length(_first_piece()) == 0)
+        if not odd.isEmpty():
+            texts = leads.drop("user_id").join(index.select("id", "text_tokens"), "id")
+            met = texts.join(odd, matched & filters_hold)
+            rows = met.select("query_id", "query_text", "id", "company", score.alias("relevance_score")).filter(F.col("relevance_score") > 0)
+            ranked = ranked.join(odd.select("query_id"), "query_id", "left_anti").unionByName(best(rows))
+        ranked = ranked.unionByName(best(_listings(leads, every.filter(F.size(F.concat("terms", "phrases")) == 0), wanted, base, as_of, limit)))
     same = [F.col(f"entry.{c}").eqNullSafe(F.col(f"searched.{c}")) for c in request]
-    asked = entries.alias("entry").join(log.alias("searched"), same).select(F.col("entry.query_id").alias("entry_id"), F.col("searched.query_id").alias("query_id"))
+    asked = entries.alias("entry").join(every.alias("searched"), same).select(F.col("entry.query_id").alias("entry_id"), F.col("searched.query_id").alias("query_id"))
     return asked.join(ranked, "query_id").drop("query_id").withColumnRenamed("entry_id", "query_id").select(*ranked.columns)
 
 
-def _full_text_pairs(index: DataFrame, log: DataFrame) -> DataFrame:
-    """(query_id, lead_id) pairs that can match by a word of the text or a piece of a name."""
-    phrase_words = F.flatten(F.transform("phrases", lambda p: tokenize(clean_index_text(p))))
-    by_word = log.select("query_id", F.explode(F.array_distinct(F.concat("terms", phrase_words))).alias("token"))
-    from_words = _spread_join(_postings_of(index, "text_tokens"), by_word)
-    names = _postings_of(index, "name_words")
-    lookups = _substring_lookups(log, names.withColumnRenamed("token", "word")).withColumnRenamed("word", "token")
-    return from_words.unionByName(_spread_join(names, lookups)).distinct()
+def _listings(leads: DataFrame, requests: DataFrame, wanted: Wanted, taste: Taste, as_of: datetime, limit: int) -> DataFrame:
+    """Scored leads of requests without search words, which differ by filters alone.
+
+    Their scores hang on industry, location, size, quality and freshness only. So the first ``limit`` ids of each such class stand
+    for it, and requests meet the classes, not the leads.
+    """
+    parts = leads.select("id", "company", "industry", "location", "employees", quality_score()[0].alias("quality"), freshness_score(timestamp(as_of))[0].alias("fresh"))
+    alike = Window.partitionBy("industry", "location", "employees", "quality", "fresh").orderBy("id")
+    first = parts.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= limit).drop("nth")
+    met = first.join(requests, matches_filter_columns(wanted.industry, wanted.location, wanted.company_size))
+    score = weighted_sum(
+        F.lit(0.0), industry_score(wanted, taste)[0], location_score(wanted, taste)[0], size_score(wanted)[0], F.col("quality"), F.col("fresh"), taste
+    )
+    return met.select("query_id", "query_text", "id", "company", score.alias("relevance_score")).filter(F.col("relevance_score") > 0)
 
 
 # --- query analysis ---------------------------------------------------------------------------

@@ -107,18 +107,59 @@ def test_search_matches_plain_loop(spark, sample, sample_rows, text, terms, phra
 
 
 def test_search_log_matches_single_searches(spark, sample, sample_rows):
-    texts = [(i, c[0]) for i, c in enumerate(CASES) if c[1] or c[2]]
+    texts = [(i, c[0]) for i, c in enumerate(CASES)]
     log = spark.createDataFrame([*texts, (90, "soft_are"), (91, "ologi")], "query_id int, query_text string")
     got = {}
     for r in se.search_log(sample, log, NOW).orderBy("query_id", "position").collect():
         got.setdefault(r["query_id"], []).append((round(r["relevance_score"], 9), r["id"]))
     for i, (_text, terms, phrases, filters) in enumerate(CASES):
-        if terms or phrases:
-            assert got.get(i, []) == plain_search(sample_rows, terms, phrases, **filters), i
+        assert got.get(i, []) == plain_search(sample_rows, terms, phrases, **filters), i
     assert got.get(90, []) == plain_search(sample_rows, ["soft_are"], [])
     assert got.get(91, []) == plain_search(sample_rows, ["ologi"], [])
 
 
+def test_search_log_answers_every_entry_as_a_single_search(spark, sample):
+    """Wildcards alone, listings under filters, words inside words: with few leads a page, so that blocks are ruled out."""
+    many = sample.drop("id").crossJoin(spark.range(40)).withColumn("id", F.xxhash64("id", "company").bitwiseAND(F.lit(0xFFFFF)))
+    many = many.withColumn("company", F.when(F.col("id") % 3 == 0, F.concat("company", F.lit(" software"))).otherwise(F.col("company")))
+    texts = ["_", "__", "", None, '"_"', "software unknownword", "soft ech", '"software for" zzz', "of", "platform solar zzz", "saas tech in São Paulo", "São Paulo", "large"]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(50, "", "Saúde", None), (51, "", None, "paulo"), (52, None, "nothing", None), (53, "software zz", None, "campinas")]
+    log = spark.createDataFrame(rows, "query_id int, query_text string, industry string, location string")
+    got = {}
+    for r in se.search_log(many, log, NOW, limit=7).orderBy("query_id", "position").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["relevance_score"]))
+    for i, text, industry, location in rows:
+        single = se.search(many, se.SearchRequest(text, LeadFilters(industry=industry, location=location), limit=7), NOW).orderBy("position").collect()
+        assert got.get(i, []) == [(r["id"], r["relevance_score"]) for r in single], (i, text)
+
+
+def test_search_log_ranks_by_the_taste_of_each_user(spark, sample, sample_rows):
+    rows = [(1, ["Saúde"], ["São Paulo, SP"], {"industry_match": 0.7, "text_relevance": 0.3}), (2, None, [], None)]
+    tastes = spark.createDataFrame(rows, "user_id int, preferred_industries array<string>, preferred_locations array<string>, scoring_weights map<string,double>")
+    log = spark.createDataFrame([(10, "telemedicine", 1), (11, "telemedicine", 2), (12, "telemedicine", 3), (13, "solar", 1), (14, "", 1)], "query_id int, query_text string, user_id int")
+    got = {}
+    for r in se.search_log(sample, log, NOW, tastes=tastes).orderBy("query_id", "position").collect():
+        got.setdefault(r["query_id"], []).append((round(r["relevance_score"], 9), r["id"]))
+    mine = dict(weights=rows[0][3], liked=(rows[0][1], rows[0][2]))
+    assert got[10] == plain_search(sample_rows, ["telemedicine"], [], **mine) and got[13] == plain_search(sample_rows, ["solar"], [], **mine)
+    assert got[11] == got[12] == plain_search(sample_rows, ["telemedicine"], []) != got[10]
+    assert got[14] == plain_search(sample_rows, [], [], **mine)
+
+
+def test_blocks_bound_what_their_leads_score(spark, sample):
+    """No lead of a block scores higher than the block's bound."""
+    log = spark.createDataFrame([(1, "software online"), (2, "tech zz"), (3, 'mach "learning for"')], "query_id int, query_text string")
+    parsed = se.parse_log(log)
+    lookups = se._looked_up(parsed)
+    postings = se.impact_postings(sample, lookups.select("term"), NOW, block_leads=1)
+    bounds = se._block_bounds(postings, lookups, parsed, se.default_taste())
+    pairs = postings.join(lookups, "term").select("query_id", "id", *se._BLOCK).distinct()
+    wanted = se.Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
+    score, _ = se.relevance(wanted, se.default_taste(), se.timestamp(NOW))
+    rows = pairs.join(bounds, ["query_id", *se._BLOCK]).join(parsed, "query_id").join(sample.drop("user_id"), "id").select("bound", score.alias("s")).collect()
+    assert len(rows) >= 5 and all(r["s"] <= r["bound"] + 1e-9 for r in rows)
+
+
 def test_preferences_change_the_ranking(spark, sample, sample_rows):
     weights = {"industry_match": 0.7, "text_relevance": 0.3}
     liked = (["Saúde"], ["São Paulo, SP"])
