@@ -1,11 +1,11 @@
 """Line dedup by log-template trees of fixed depth, whose leaves learn.
 
-The levels of a tree are the number of tokens of a line and two leading tokens; a second tree has the two last tokens
-instead, for lines that begin with a variable field. Tokens with a digit are variable everywhere. The different lines of a leaf,
-three or more, tell which tokens are fixed: a token that stands at its place in three of them or more, and in a sixteenth of them
-(or in two, and in half of them, by a second reading), is; the others are variable fields, wherever they
-stand and however many there are. A template is named by the fixed tokens and their places. It needs three fixed tokens
-and fixed tokens at six places in ten, so that prose, whose lines share little more than their leading words, has none.
+The levels of a tree are the number of tokens of a line and three leading tokens. Two more trees take two leading tokens and
+the last one, or the last three, for lines whose variable fields stand at these places. Tokens with a digit are variable
+everywhere. The different lines of a leaf, three or more, tell which tokens are fixed: a token that stands at its place in
+three of them or more, and in a sixteenth of them (or in two, and in half of them, by a second reading), is; the others are
+variable fields, wherever they stand and however many there are. A template is named by the fixed tokens and their places. It
+needs four fixed tokens and fixed tokens at six places in ten, so that prose, whose lines share little more than a path, has none.
 
 Each line belongs to its literal template (variable where there are digits) and the learned ones. Templates in
 ``least_documents`` documents or more are dropped everywhere but at their first line. Leaves learn from different lines, so a
@@ -36,10 +36,11 @@ READINGS = ((3, 16), (2, 2))
 #: Different lines of a leaf that learns.
 LEAST_LINES = 3
 #: Fixed tokens of a template: so many, and so many in ten.
-LEAST_FIXED, FIXED_IN_TEN = 3, 6
+LEAST_FIXED, FIXED_IN_TEN = 4, 6
 VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
-_TAIL = np.uint64(0x2545F4914F6CDD1D)
+_TREE = np.uint64(0x2545F4914F6CDD1D)
+TREES = ["lead", "ends", "tail"]
 
 
 class Lines:
@@ -65,9 +66,18 @@ class Lines:
         self.value = mix(token + nth.astype(np.uint64) * _PLACE)
         n, last = self.size.astype(np.uint64), at + self.size - 1
         self.literal = mix((np.add.reduceat(self.value, at) if len(at) else self.value) + n)
-        second, before = np.minimum(at + 1, last), np.maximum(last - 1, at)
-        self.lead = mix(mix(token[at] + n) + token[second])
-        self.tail = mix(mix(token[last] + n) ^ token[before] ^ _TAIL)
+        after = [token[np.minimum(at + k, last)] for k in range(3)]
+        before = [token[np.maximum(last - k, at)] for k in range(3)]
+        self.leaves = [
+            _path(n, k, path) for k, path in enumerate(((after[0], after[1], after[2]), (after[0], after[1], before[0]), (before[0], before[1], before[2])))
+        ]
+
+
+def _path(n: np.ndarray, tree: int, tokens: tuple[np.ndarray, ...]) -> np.ndarray:
+    name = mix(n + np.uint64(tree) * _TREE)
+    for token in tokens:
+        name = mix(name ^ token)
+    return name
 
 
 def named_template(value: np.ndarray, fixed: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +107,8 @@ def _identity(key: str, text: str) -> Column:
 
 
 def line_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, row, key, line, literal, fresh, lead, tail) of every line with a token: its document (each row of ``docs`` is one), a
-    hash of key and text, the literal template (``fresh``: 1 for its first line in the document) and the leaves of both trees."""
+    """(doc, row, key, line, literal, fresh, lead, ends, tail) of every line with a token: its document (each row of ``docs`` is one), a
+    hash of key and text, the literal template (``fresh``: 1 for its first line in the document) and the leaves of the trees."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
@@ -115,14 +125,14 @@ def line_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part << 33 | (before + i + found.text)), batch.column(0).take(take), batch.column(1).take(take), pa.array(found.line.astype(np.int32)),
-                        *[pa.array(x.view(np.int64)) for x in (found.literal, found.lead, found.tail)], pa.array(fresh),
+                        *[pa.array(x.view(np.int64)) for x in (found.literal, *found.leaves)], pa.array(fresh),
                     ],
-                    names=["doc", "row", "key", "line", "literal", "lead", "tail", "fresh"],
+                    names=["doc", "row", "key", "line", "literal", *TREES, "fresh"],
                 )
             before += batch.num_rows
 
     rows = docs.select(_identity(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
-    return map_arrow(rows, work, f"doc bigint, row bigint, key {kind}, line int, literal bigint, lead bigint, tail bigint, fresh int")
+    return map_arrow(rows, work, f"doc bigint, row bigint, key {kind}, line int, literal bigint, lead bigint, ends bigint, tail bigint, fresh int")
 
 
 def _lines_of_leaves(docs: DataFrame, leaves: DataFrame, text: str) -> DataFrame:
@@ -137,12 +147,12 @@ def _lines_of_leaves(docs: DataFrame, leaves: DataFrame, text: str) -> DataFrame
             for i, j in slices(offsets, 1 << 20):
                 found = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 literal, once = np.unique(found.literal, return_index=True)
-                live = [in_filter(shared.value, leaf[once]) for leaf in (found.lead, found.tail)]
-                fresh = (live[0] | live[1]) & ~np.isin(literal, sent, assume_unique=True)
+                live = [in_filter(shared.value, leaf[once]) & (found.size[once] > LEAST_FIXED) for leaf in found.leaves]
+                fresh = np.logical_or.reduce(live) & ~np.isin(literal, sent, assume_unique=True)
                 sent = np.union1d(sent, literal[fresh])
                 # a token is its hash, with the lowest bit set where it has no digit
                 marked = (found.value & ~np.uint64(1)) | found.fixed
-                for leaf, own in zip((found.lead, found.tail), live):
+                for leaf, own in zip(found.leaves, live):
                     some = once[own & fresh]
                     bodies = [marked[a : a + n].tobytes() for a, n in zip(found.at[some].tolist(), found.size[some].tolist())]
                     yield pa.RecordBatch.from_arrays(
@@ -152,8 +162,8 @@ def _lines_of_leaves(docs: DataFrame, leaves: DataFrame, text: str) -> DataFrame
     return map_arrow(docs.select(F.col(text).alias("text")), work, "leaf bigint, literal bigint, tokens binary")
 
 
-def _learned(lines: DataFrame, leaves: DataFrame, shard: int) -> DataFrame:
-    """(literal, template): the learned templates of the lines of each leaf: (leaf, n), or of each shard of a large one."""
+def _learned(lines: DataFrame, large: DataFrame | None) -> DataFrame:
+    """(literal, template): the learned templates of the lines of each leaf, or of each shard of the large ones: (leaf, shards)."""
 
     def solve(rows):
         leaf, part, literal = (np.array([r[k] for r in rows], np.int64) for k in range(3))
@@ -179,10 +189,10 @@ def _learned(lines: DataFrame, leaves: DataFrame, shard: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    # only large leaves have shards: one row for each ``shard`` of their lines
-    large = leaves.where(F.col("n") > shard).select("leaf", F.ceil(F.col("n") / shard).alias("shards"))
-    part = F.pmod("literal", F.coalesce("shards", F.lit(1))).alias("shard")
-    dealt = lines.join(large, "leaf", "left").select("leaf", part, "literal", "tokens")
+    part = F.lit(0).cast("bigint")
+    if large is not None:
+        lines, part = lines.join(large, "leaf", "left"), F.pmod("literal", F.coalesce("shards", F.lit(1)))
+    dealt = lines.select("leaf", part.alias("shard"), "literal", "tokens")
     dealt = dealt.repartition("leaf", "shard").sortWithinPartitions("leaf", "shard", "literal")
     return map_arrow(dealt, work, "literal bigint, template bigint").distinct()
 
@@ -192,16 +202,22 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     lines = stored(line_rows(docs, text, key), "lines")
     first = F.min(F.struct("key", "row", "line")).alias("first")
     # a hot line is summed before it is shuffled
-    literals = stored(lines.groupBy("literal").agg(F.sum("fresh").alias("documents"), first, F.min("lead").alias("lead"), F.min("tail").alias("tail")), "literals")
-    leaves = literals.select(F.explode(F.array("lead", "tail")).alias("leaf")).groupBy("leaf")
-    leaves = stored(leaves.agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LINES), "leaves")
-    learned = stored(_learned(_lines_of_leaves(docs, leaves, text), leaves, shard), "templates")
+    recurring = lines.groupBy("literal").agg(F.sum("fresh").alias("documents"), first).where(F.col("documents") >= least_documents)
+    recurring = stored(recurring.select("literal", "first"), "literals")
+    members_of = lines.select("literal", F.explode(F.array(*TREES)).alias("leaf"))
+    leaves = stored(members_of.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LINES), "leaves")
+    large = leaves.where(F.col("n") > shard).select("leaf")
+    if large.isEmpty():
+        large = None
+    else:  # copies of a line do not make a leaf large
+        large = members_of.join(large, "leaf").groupBy("leaf").agg(F.count_distinct("literal").alias("n"))
+        large = stored(large.where(F.col("n") > shard).select("leaf", F.ceil(F.col("n") / shard).alias("shards")), "large-leaves")
+    learned = stored(_learned(_lines_of_leaves(docs, leaves, text), large), "templates")
     # the side of the lines may be skewed to one line; a literal has a few templates at most
     members = lines.select("literal", "doc", "key", "row", "line").join(learned, "literal")
     general = members.groupBy("template").agg(F.count_distinct("doc").alias("documents"), first).where(F.col("documents") >= least_documents)
-    recurring = literals.where(F.col("documents") >= least_documents)
     later = (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))
-    exact = lines.select("literal", "row", "line").join(recurring.select("literal", "first"), "literal").where(later).select("row", "line")
+    exact = lines.select("literal", "row", "line").join(recurring, "literal").where(later).select("row", "line")
     alike = members.select("template", "row", "line").join(general.select("template", "first"), "template").where(later).select("row", "line")
     return exact.unionByName(alike).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 

@@ -122,7 +122,7 @@ def plain_line(line):
 def plain_learned(lines):
     """For each different line, its learned templates."""
     out = defaultdict(set)
-    for tree in (lambda w: (len(w), w[0], w[min(1, len(w) - 1)]), lambda w: (len(w), w[-1], w[max(len(w) - 2, 0)])):
+    for tree in (lambda w: (len(w), w[:3]), lambda w: (len(w), w[:2], w[-1]), lambda w: (len(w), w[-3:])):
         leaves = defaultdict(list)
         for w in lines:
             leaves[tree(w)].append(w)
