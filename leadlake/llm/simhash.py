@@ -256,6 +256,24 @@ def _band_rows(prints: DataFrame, width: int, bands: int, met: np.ndarray | None
     return map_arrow(_spread_by(prints, "tid"), work, "tid bigint, variant bigint")
 
 
+def _not_by_chance(pairs: DataFrame, prints: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """The pairs (tid, low) whose wide fingerprints differ by no more bits than a pair at the border of similarity may: the expected
+    share and four standard deviations."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = bits * differ + 4 * math.sqrt(bits * differ * (1 - differ))
+
+    def near(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            # bits behind the bands are part of the last lane and differ as often
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            yield batch.filter(pa.array(apart <= most * (8 * a.shape[1] / bits) if batch.num_rows else np.zeros(0, bool))).select(["tid", "low"])
+
+    other = prints.select(F.col("tid").alias("low"), F.col("wide").alias("others"))
+    rows = pairs.join(prints, "tid").join(other, "low").select("tid", "low", "wide", "others")
+    return map_arrow(rows, near, "tid bigint, low bigint")
+
+
 def _spread_by(rows: DataFrame, column: str) -> DataFrame:
     """Few bytes that become many: dealt over all tasks by number, since their size would put them into one."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
@@ -287,7 +305,7 @@ def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     low = _band_rows(prints, width, bands).groupBy("variant").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
     low = stored(low.where("low != high").select("variant", "low"), "meeting")
     met = _band_rows(prints, width, bands, make_filter(low, "variant")).join(low, "variant").where("tid != low")
-    pairs = stored(met.select("tid", "low").distinct(), "candidates")
+    pairs = stored(_not_by_chance(met.select("tid", "low").distinct(), prints, width * bands, similarity), "candidates")
     wanted = stored(pairs.select(F.explode(F.array("tid", "low")).alias("tid")).distinct(), "compared")
     sets = stored(_shingle_sets(texts, wanted, shingle).dropDuplicates(["tid"]), "shingle-sets")
     other = sets.select(F.col("tid").alias("low"), F.col("shingles").alias("others"))
