@@ -45,8 +45,36 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     lost executor costs no more than a file read."""
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
+    _STORED.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Folders of stored steps that have not been released.
+_STORED: list[str] = []
+
+
+def stored_folders() -> set[str]:
+    """The folders of the steps stored so far."""
+    return set(_STORED)
+
+
+def release_stored(folders: set[str], docs: DataFrame) -> set[str]:
+    """Remove those of ``folders`` that ``docs``, a table of files, does not read; returns the others. For chains of steps whose
+    results are written: what was computed from a removed step, and is not written, can no longer be read."""
+    files = docs.inputFiles()
+    if not files:  # not a table of files: nothing is known about what it reads
+        return folders
+    spark, left = docs.sparkSession, set()
+    for folder in folders:
+        name = folder.rstrip("/").rsplit("/", 1)[1]
+        if any(f"/{name}/" in f for f in files):
+            left.add(folder)
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.remove(folder)
+    return left
+
+
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
