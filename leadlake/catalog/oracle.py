@@ -367,6 +367,7 @@ leads_query(
     POSTINGS,
 )
 leads_query("token_intersection", "SELECT id AS lead_id FROM keyed WHERE list_has_all(keys, ['small', 'ring', 'industry:building'])", META)
+ORACLES["token_intersection_blocks"] = ORACLES["token_intersection"]
 leads_query(
     "index_stats", f"SELECT count(*) AS total_leads, {n_if('len(keys) > 0')} AS indexed_leads, {n_if('len(keys) = 0')} AS failed_leads FROM keyed", META
 )
@@ -1176,4 +1177,13 @@ events_query(
  ON k.search_event_id = s.id AND k.created_at BETWEEN s.created_at AND s.created_at + INTERVAL 30 MINUTE""",
 )
 leads_query("stream_postings", "SELECT token, lead_id FROM postings", META, POSTINGS)
+ORACLES["stream_index_upkeep"] = with_(
+    LEADS.replace("leads AS (", "base AS (", 1),
+    CHANGES,
+    """leads AS (SELECT l.* EXCLUDE (id, company), coalesce(l.id, c.id) AS id,
+ CASE WHEN l.id IS NULL OR op = 'update' THEN coalesce(c.company, l.company) ELSE l.company END AS company
+ FROM base l FULL JOIN changes c ON l.id = c.id WHERE (l.id IS NOT NULL AND coalesce(op, '') <> 'delete') OR (l.id IS NULL AND op = 'create'))""",
+    META,
+    POSTINGS,
+) + "SELECT token, lead_id FROM postings"
 events_query("stream_lead_counters", "SELECT lead_id, CAST(views AS BIGINT) AS views, CAST(contacts AS BIGINT) AS contacts, contacted_at, CAST(conversions AS BIGINT) AS conversions FROM counters", COUNTERS)

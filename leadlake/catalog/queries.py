@@ -29,9 +29,10 @@ from leadlake.functions import predicates as p
 from leadlake.plans import ingest as ing
 from leadlake.plans import reports as rp
 from leadlake.plans import search as se
-from leadlake.sources.sinks import read_postings, write_postings
+from leadlake.sources.sinks import read_postings, write_posting_blocks, write_postings
 from leadlake.streaming import counters as sc
 from leadlake.streaming import sinks as ss
+from leadlake.streaming import upkeep as up
 from leadlake.streaming import windows as sw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +166,14 @@ def token_intersection(spark, sf):
     return ix.leads_with_all_tokens(ix.build_postings(d.leads(spark, sf)), ["small", "ring", "industry:building"])
 
 
+@query
+def token_intersection_blocks(spark, sf):
+    """The same from compressed posting blocks that were stored."""
+    path, tokens = ss.work_folder(spark, "posting-blocks"), ["small", "ring", "industry:building"]
+    write_posting_blocks(ix.posting_blocks(ix.build_postings(d.leads(spark, sf)), 1024), path, buckets=16)
+    return ix.intersect_blocks(read_postings(spark, path, tokens, buckets=16), tokens)
+
+
 @query
 def index_stats(spark, sf):
     return ix.index_stats(d.leads(spark, sf))
@@ -825,6 +834,22 @@ def stream_postings(spark, sf):
     return ss.drain(sc.new_postings(spark.readStream.schema(leads.schema).parquet(arriving)), spark, "postings")
 
 
+@query
+def stream_index_upkeep(spark, sf):
+    """All leads arrive, then their changes; the index is folded once and follows."""
+    folder = ss.work_folder(spark, "index-upkeep")
+    base, changes = d.leads(spark, sf), ch.latest_change(d.lead_changes(spark, sf), "id", "seq")
+    after = ch.apply_changes(base, changes, "id", LEADS_AT).join(changes.select("id"), "id", "left_semi")
+    gone = changes.filter("op = 'delete'").select("id", "op", F.lit(2).alias("seq"))
+    arriving = base.select("*", F.lit("create").alias("op"), F.lit(1).alias("seq"))
+    for rows in (arriving, after.select("*", F.lit("update").alias("op"), F.lit(2).alias("seq")).unionByName(gone, allowMissingColumns=True)):
+        rows.write.mode("append").parquet(f"{folder}/changes")
+        stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/changes")
+        up.keep_index(stream, f"{folder}/index", f"{folder}/checkpoint", once=True).awaitTermination()
+        up.compact_index(spark, f"{folder}/index", 16)
+    return up.read_index(spark, f"{folder}/index")
+
+
 @query
 def stream_lead_counters(spark, sf):
     folder = ss.work_folder(spark, "lead-counters")

@@ -76,6 +76,33 @@ def posting_lists(postings: DataFrame, chunk: int = POSTING_CHUNK) -> DataFrame:
     )
 
 
+def posting_blocks(postings: DataFrame, chunk: int = POSTING_CHUNK) -> DataFrame:
+    """(token, chunk, first, last, n, gaps): posting lists as compressed blocks. A block covers ``chunk`` ids; it holds its first and last
+    id and the distances of all ids from the first, as small numbers."""
+    base = F.floor(F.col("lead_id") / F.lit(chunk))
+    blocks = postings.groupBy("token", base.alias("chunk")).agg(F.sort_array(F.collect_set("lead_id")).alias("ids"))
+    first = F.element_at("ids", 1)
+    gaps = F.transform("ids", lambda i: (i - first).cast("smallint" if chunk <= 1 << 15 else "int"))
+    return blocks.select("token", "chunk", first.alias("first"), F.element_at("ids", -1).alias("last"), F.size("ids").alias("n"), gaps.alias("gaps"))
+
+
+def intersect_blocks(blocks: DataFrame, tokens: list[str]) -> DataFrame:
+    """(lead_id) of the leads that have every token, from posting blocks.
+
+    The first and last ids alone tell which blocks can hold common leads; the ids of other blocks are not read.
+    """
+    wanted = sorted(set(tokens))
+    own = blocks.filter(F.col("token").isin(wanted))
+    heads = own.groupBy("chunk").agg(F.count_distinct("token").alias("n"), F.max("first").alias("low"), F.min("last").alias("high"))
+    live = heads.filter((F.col("n") == len(wanted)) & (F.col("low") <= F.col("high"))).select("chunk", "low", "high")
+    ids = F.transform("gaps", lambda g: F.col("first") + g)
+    within = own.join(live, "chunk").select("chunk", F.filter(ids, lambda i: (i >= F.col("low")) & (i <= F.col("high"))).alias("ids"))
+    # one list of at most a chunk of ids for each token
+    lists = within.groupBy("chunk").agg(F.collect_list("ids").alias("lists"))
+    common = F.aggregate(F.slice("lists", 2, len(wanted)), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
+    return lists.select(F.explode(common).alias("lead_id"))
+
+
 def index_stats(leads: DataFrame) -> DataFrame:
     """Leads seen, leads that give at least one key, and the rest."""
     counted = with_index_metadata(leads).select((F.size(index_keys()) > 0).alias("ok")).agg(

@@ -33,6 +33,13 @@ def read_postings(spark: SparkSession, path: str, tokens: list[str], buckets: in
     return spark.read.parquet(path).filter(in_bucket & F.col("token").isin(tokens)).drop("token_bucket")
 
 
+def write_posting_blocks(blocks: DataFrame, path: str, buckets: int = 256, mode: str = "overwrite") -> None:
+    """Posting blocks laid out by token bucket, sorted by token and first id; :func:`read_postings` reads the blocks of some tokens."""
+    bucketed = blocks.withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    spread = bucketed.repartition("token_bucket", F.pmod("chunk", F.lit(4))).sortWithinPartitions("token_bucket", "token", "first")
+    spread.write.mode(mode).partitionBy("token_bucket").parquet(path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append events, one folder per day so that "since T" scans prune folders."""
     (
