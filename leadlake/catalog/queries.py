@@ -29,6 +29,7 @@ from leadlake.functions import predicates as p
 from leadlake.plans import ingest as ing
 from leadlake.plans import reports as rp
 from leadlake.plans import search as se
+from leadlake.session import stored
 from leadlake.sources.sinks import read_postings, write_posting_blocks, write_postings
 from leadlake.streaming import counters as sc
 from leadlake.streaming import sinks as ss
@@ -282,8 +283,8 @@ def candidates_fts_all(spark, sf):
 
 @query
 def search_batch(spark, sf):
-    """The top leads of every entry of the log."""
-    found = se.search_log(d.leads(spark, sf), d.query_log(spark, sf), LEADS_AT, limit=20)
+    """The top leads of every entry of the log. The leads are written first, as a log is searched over a table."""
+    found = se.search_log(stored(d.leads(spark, sf), "leads"), d.query_log(spark, sf), LEADS_AT, limit=20)
     return found.select("query_id", "query_text", "position", "id", F.bround("relevance_score", 6).alias("relevance_score"))
 
 

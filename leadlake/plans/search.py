@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
-from leadlake.functions.common import any_of, filled, flags, str_array
+from leadlake.functions.common import any_of, filled, flags, let, str_array
 from leadlake.functions.scoring import (
     Taste,
     Wanted,
@@ -308,9 +308,16 @@ def _looked_up(log: DataFrame) -> DataFrame:
 def _field_words(name: str, bit: int) -> Column:
     """The different words of a text field, marked with its bit; and whether the text begins with the word."""
     listed = F.filter(F.split(clean_index_text(F.col(name)), " "), lambda w: w != "")
-    head = F.get(listed, F.lit(0))
-    begins = F.coalesce(F.startswith(F.lower(F.col(name)), head), F.lit(False))
-    return F.transform(F.array_distinct(listed), lambda w: F.struct(w.alias("word"), F.lit(bit).alias("field"), (begins & (w == head)).alias("first")))
+
+    def marked(field: Column) -> Column:
+        head = F.get(field["words"], F.lit(0))
+        first = F.when(F.startswith(field["text"], head), head)
+        # each value is computed once for a text, not for each of its words
+        return let(first, lambda f: F.transform(
+            F.array_distinct(field["words"]), lambda w: F.struct(w.alias("word"), F.lit(bit).alias("field"), F.coalesce(w == f, F.lit(False)).alias("first"))
+        ))
+
+    return let(F.struct(listed.alias("words"), F.lower(F.col(name)).alias("text")), marked)
 
 
 def impact_postings(leads: DataFrame, terms: DataFrame, as_of: datetime, block_leads: int = BLOCK_LEADS) -> DataFrame:
