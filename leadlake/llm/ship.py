@@ -35,9 +35,27 @@ def ship_package(sc: SparkContext) -> None:
     _SENT.add(sc.applicationId)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers are reused and wait beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession.sparkContext)
     conf = df.sparkSession.conf
     if int(conf.get(BATCH)) > TEXTS_PER_BATCH:
         conf.set(BATCH, str(TEXTS_PER_BATCH))
-    return df.mapInArrow(function, schema)
+
+    def work(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(work, schema)

@@ -213,12 +213,12 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
         large = members_of.join(large, "leaf").groupBy("leaf").agg(F.count_distinct("literal").alias("n"))
         large = stored(large.where(F.col("n") > shard).select("leaf", F.ceil(F.col("n") / shard).alias("shards")), "large-leaves")
     learned = stored(_learned(_lines_of_leaves(docs, leaves, text), large), "templates")
-    # the side of the lines may be skewed to one line; a literal has a few templates at most
-    members = lines.select("literal", "doc", "key", "row", "line").join(learned, "literal")
+    # the side of the lines may be skewed to one line, which a sort-merge join splits; a literal has a few templates at most
+    members = lines.select("literal", "doc", "key", "row", "line").join(learned.hint("merge"), "literal")
     general = members.groupBy("template").agg(F.count_distinct("doc").alias("documents"), first).where(F.col("documents") >= least_documents)
     later = (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))
-    exact = lines.select("literal", "row", "line").join(recurring, "literal").where(later).select("row", "line")
-    alike = members.select("template", "row", "line").join(general.select("template", "first"), "template").where(later).select("row", "line")
+    exact = lines.select("literal", "row", "line").join(recurring.hint("merge"), "literal").where(later).select("row", "line")
+    alike = members.select("template", "row", "line").join(general.select("template", "first").hint("merge"), "template").where(later).select("row", "line")
     return exact.unionByName(alike).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
