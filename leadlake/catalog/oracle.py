@@ -607,6 +607,15 @@ ORACLES["estimated_results"] = with_(
  OR coalesce(description ILIKE '%' || term || '%', false)) AS n FROM terms)""",
     "asked AS (SELECT query_id, query_text, unnest(CASE WHEN len(terms) > 0 THEN terms ELSE [NULL] END) AS term FROM log)",
 ) + """SELECT query_id, query_text, coalesce(max(n), 0) AS estimated_results FROM asked LEFT JOIN counted USING (term) GROUP BY 1, 2"""
+_TOP = "(SELECT {c} FROM leads WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+ORACLES["query_report"] = with_(
+    LEADS, RAW_LOG, parsed("raw_log"), f"scored AS (SELECT *, {N_FILTERS} AS n_filters, {OPT} AS s FROM log)",
+    f"estimates AS ({ORACLES['estimated_results']})", f"related AS ({ORACLES['related_queries_all']})",
+) + f"""SELECT query_id, s AS optimization_score, estimated_results, related_queries, array_to_string(list_filter([
+ CASE WHEN len(terms) = 1 AND len(phrases) = 0 AND n_filters = 0 THEN 'specificity: high: ' || scored.query_text || ' ' || {lit(fv.BROAD_QUERY_EXAMPLE)} END,
+ CASE WHEN len(terms) > 5 THEN 'simplification: medium: ' || array_to_string(terms[1:3], ' ') END,
+ 'location_filter: medium: ' || scored.query_text || ' ' || {_TOP.format(c='location')}, 'industry_filter: medium: ' || scored.query_text || ' ' || {_TOP.format(c='industry')}],
+ lambda x: x IS NOT NULL), '|') AS advice FROM scored JOIN estimates USING (query_id) JOIN related USING (query_id)"""
 _EXPAND = []
 for _stem, _extra in fv.QUERY_EXPANSIONS:
     _EXPAND.append(
@@ -1029,6 +1038,9 @@ OUTCOME = f"CASE WHEN coalesce(company, '') = '' THEN 'rejected' WHEN {exists_li
 ORACLES["import_leads"] = with_(INCOMING, LEADS) + (
     f"SELECT id, user_id, company, coalesce(score, 75) AS score, 'Novo' AS status, 'Média' AS priority, {OUTCOME} AS outcome FROM incoming"
 )
+ORACLES["import_errors"] = with_(INCOMING) + (
+    f"SELECT id, {lit(fv.IMPORT_ERROR)} || coalesce(company, 'lead') || ': no company name' AS error FROM incoming WHERE coalesce(company, '') = ''"
+)
 ORACLES["import_report"] = with_(INCOMING, LEADS, f"done AS (SELECT {OUTCOME} AS outcome FROM incoming)") + (
     f"SELECT {n_if("outcome = 'imported'")} AS imported_count, {n_if("outcome = 'rejected'")} AS error_count FROM done"
 )

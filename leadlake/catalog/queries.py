@@ -365,6 +365,14 @@ def query_analysis(spark, sf):
     )
 
 
+@query
+def query_report(spark, sf):
+    """Analysis, advice with examples, estimate and related texts of each entry, in one row."""
+    found = se.query_report(d.leads(spark, sf), d.raw_query_log(spark, sf), _popular(spark, sf))
+    advice = F.transform("advice", lambda a: F.concat_ws(": ", a["type"], a["impact"], a["example"]))
+    return found.select("query_id", "optimization_score", "estimated_results", joined("related_queries").alias("related_queries"), joined(advice).alias("advice"))
+
+
 @query
 def query_expansion(spark, sf):
     text = F.concat(F.col("query_text"), F.lit(" cont rest"))
@@ -707,6 +715,11 @@ def import_leads_deduped(spark, sf):
     return ing.import_leads(batch, d.leads(spark, sf, False), dedupe_within_batch=True).select("id", "company", "outcome")
 
 
+@query
+def import_errors(spark, sf):
+    return ing.import_errors(ing.import_leads(d.incoming(spark, sf), d.leads(spark, sf, False)))
+
+
 @query
 def import_report(spark, sf):
     return ing.import_report(ing.import_leads(d.incoming(spark, sf), d.leads(spark, sf, False)))

@@ -54,6 +54,9 @@ FREQUENCY_STOP_WORDS = [
     "company", "business", "service", "services", "solutions",
 ]
 
+BROAD_QUERY_EXAMPLE = "São Paulo tecnologia"
+IMPORT_ERROR = "Erro ao importar "
+
 # --- fixed values: ranking -----------------------------------------------------------------
 COMPONENT_WEIGHTS = {
     "text_relevance": 0.4,

@@ -20,6 +20,7 @@ from leadlake.functions.contact import (
 from leadlake.functions.predicates import should_skip
 from leadlake.functions.validation import validate_lead
 from leadlake.operators.duplicates import drop_existing
+from leadlake.operators.index import build_postings
 from leadlake.session import stored
 from leadlake.sources.tables import LEAD_TEXT_FIELDS
 
@@ -191,6 +192,19 @@ def import_leads(
     )
 
 
+def import_errors(imported: DataFrame, key: str = "id") -> DataFrame:
+    """(key, error): why each rejected record was not imported."""
+    name = F.coalesce(F.col("company"), F.lit("lead"))
+    error = F.concat(F.lit(fv.IMPORT_ERROR), name, F.lit(": no company name"))
+    return imported.filter(F.col("outcome") == "rejected").select(key, error.alias("error"))
+
+
+def pipeline_postings(staged: DataFrame) -> DataFrame:
+    """Postings of the leads that a pipeline run saved: the last step, which adds them to the index."""
+    saved = staged.filter(F.col("stage") == "saved").withColumn("id", F.col("page_id"))
+    return build_postings(saved)
+
+
 def import_report(imported: DataFrame) -> DataFrame:
     """How many records were imported and rejected."""
     return imported.agg(

@@ -45,6 +45,7 @@ from leadlake.operators.index import (
 )
 from leadlake.operators.metrics import result_facets, timestamp
 from leadlake.operators.suffixes import containing
+from leadlake.operators.suggestions import related_queries
 from leadlake.session import stored
 from leadlake.sources.tables import tenant_scan
 
@@ -558,3 +559,32 @@ def query_analysis(queries: DataFrame) -> DataFrame:
         F.concat(advice, more).alias("suggestions"),
     )
 
+
+def query_report(leads: DataFrame, queries: DataFrame, popular: DataFrame, user_id: int | None = None, pool: int | None = None) -> DataFrame:
+    """:func:`query_analysis` with an example for each piece of advice, the estimated results and the related queries in the row.
+
+    Examples for location and industry name the most frequent ones among the leads (of one user, if ``user_id`` is given); without
+    any, that advice is not given.
+    """
+    own = tenant_scan(leads, user_id)
+
+    def most_frequent(column: str) -> Column:
+        counts = own.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        return counts.orderBy(F.col("n").desc(), column).limit(1).select(column).scalar()
+
+    text = F.coalesce(F.col("query_text"), F.lit(""))
+    kinds = {
+        "specificity": (F.concat_ws(" ", text, F.lit(fv.BROAD_QUERY_EXAMPLE)), "high"),
+        "simplification": (F.array_join(F.slice("terms", 1, 3), " "), "medium"),
+        "location_filter": (F.concat(text, F.lit(" "), F.col("top_location")), "medium"),
+        "industry_filter": (F.concat(text, F.lit(" "), F.col("top_industry")), "medium"),
+    }
+    listed = [
+        F.when(F.array_contains("suggestions", kind) & example.isNotNull(), F.struct(F.lit(kind).alias("type"), example.alias("example"), F.lit(impact).alias("impact")))
+        for kind, (example, impact) in kinds.items()
+    ]
+    analysed = query_analysis(queries).withColumns({"top_location": most_frequent("location"), "top_industry": most_frequent("industry")})
+    advised = analysed.withColumn("advice", F.array_compact(F.array(*listed))).drop("suggestions", "top_location", "top_industry")
+    estimates = estimated_results(leads, queries, user_id).select("query_id", "estimated_results")
+    related = related_queries(queries, popular, pool).select("query_id", "related_queries")
+    return advised.join(estimates, "query_id", "left").join(related, "query_id", "left")
