@@ -2,7 +2,8 @@
 
 No step pairs all members of a group. Keys are made distinct before they meet, similar names meet by
 their rarest words, names inside names by a sorted table of suffixes, and the remaining comparisons are
-semi-joins that stop at the first match.
+semi-joins that stop at the first match. Both sides grow with the tables, and their files are far smaller than their rows, so
+these joins ask for a merge: a broadcast would pass a whole side through the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _prefixes(names: DataFrame, frequency: DataFrame) -> DataFrame:
     Of n words a similar name shares more than 4/5, so one of the n - floor(4 n / 5) rarest is shared; ``place`` counts
     from the rarest word.
     """
-    listed = names.select("words", F.explode("words").alias("word")).join(frequency, "word")
+    listed = names.select("words", F.explode("words").alias("word")).join(frequency.hint("merge"), "word")
     ordered = listed.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_df"))
     n = F.size("words")
     prefix = F.slice(F.col("by_df.word"), F.lit(1), n - F.floor(n * SHARED / OF).cast("int"))
@@ -54,7 +55,7 @@ def _similar(new_names: DataFrame, old_names: DataFrame) -> DataFrame:
     at_best = 1 + F.least(F.col("a.n") - 1 - F.col("a.place"), F.col("b.n") - 1 - F.col("b.place"))
     shared = F.size(F.array_intersect("a.words", "b.words"))
     alike = (F.col("a.word") == F.col("b.word")) & (F.col("a.m") == F.col("b.n")) & (at_best >= needed) & (shared >= needed)
-    return a.join(b, alike, "left_semi").select("words")
+    return a.join(b.hint("merge"), alike, "left_semi").select("words")
 
 
 def _word_sets(leads: DataFrame) -> DataFrame:
@@ -85,17 +86,17 @@ def detect_duplicates(new: DataFrame, existing: DataFrame, key: str = "id") -> D
     for reason, value in keys.items():
         mine = new.select(F.col(key), value.alias("key")).filter(filled(F.col("key")))
         matches.append(
-            mine.join(_known_keys(existing, value), "key", "left_semi").select(key, F.lit(reason).alias("reason"))
+            mine.join(_known_keys(existing, value).hint("merge"), "key", "left_semi").select(key, F.lit(reason).alias("reason"))
         )
     mine = new.select(F.col(key), company_words(F.col("company")).alias("words"))
-    similar = mine.join(similar_name_sets(new, existing), "words", "left_semi")
+    similar = mine.join(similar_name_sets(new, existing).hint("merge"), "words", "left_semi")
     matches.append(similar.select(key, F.lit("similar_name").alias("reason")))
     found = matches[0]
     for other in matches[1:]:
         found = found.unionByName(other)
     names = ["similar_name", *keys]
     per_lead = found.groupBy(key).agg(*[F.max(F.col("reason") == n).alias(n) for n in names])
-    joined = new.join(per_lead, key, "left")
+    joined = new.join(per_lead.hint("merge"), key, "left")
     for n in names:
         joined = joined.withColumn(n, F.coalesce(n, F.lit(False)))
     verdict = F.col(names[0])
@@ -130,7 +131,7 @@ def names_already_present(new: DataFrame, existing: DataFrame, ordered: bool = F
 
     plain = mine.filter(F.col("piece") == F.col("pattern"))
     least = least_containing(suffix_table(old, True), plain)
-    found = plain.join(least, ["scope", "piece"]).filter(F.col("value") < F.col("seq")).select("scope", "pattern")
+    found = plain.join(least.hint("merge"), ["scope", "piece"]).filter(F.col("value") < F.col("seq")).select("scope", "pattern")
 
     # With wildcards the piece alone proves nothing: the names that hold it are tested.
     some = mine.filter((F.col("piece") != F.col("pattern")) & (F.length("piece") > 0))
@@ -158,13 +159,13 @@ def drop_existing(
     """
     name = F.lower(F.col("company"))
     present = names_already_present(new, existing).withColumn("known", F.lit(True))
-    joined = new.withColumn("name", name).join(present, ["user_id", "name"], "left")
+    joined = new.withColumn("name", name).join(present.hint("merge"), ["user_id", "name"], "left")
     exists = F.coalesce("known", F.lit(False))
     if dedupe_within_batch:
         batch = new.withColumn("seq", F.col(key))
         earlier = names_already_present(batch, batch, ordered=True).withColumn("in_batch", F.lit(True))
         first = batch.groupBy("user_id", name.alias("name")).agg(F.min("seq").alias("first_seq"))
-        joined = joined.join(earlier, ["user_id", "name"], "left").join(first, ["user_id", "name"], "left")
+        joined = joined.join(earlier.hint("merge"), ["user_id", "name"], "left").join(first.hint("merge"), ["user_id", "name"], "left")
         repeated = filled(F.col("name")) & F.coalesce(F.col(key) > F.col("first_seq"), F.lit(False))
         exists = exists | F.coalesce("in_batch", F.lit(False)) | repeated
     return joined.withColumn("already_exists", exists).drop("name", "known", "in_batch", "first_seq")

@@ -122,3 +122,16 @@ def test_import_defaults(spark):
     assert [rows[i]["outcome"] for i in (1, 2, 3)] == ["imported", "rejected", "exists"]
     assert rows[1]["score"] == 75 and rows[1]["status"] == "Novo" and rows[1]["keywords"] == []
     assert ing.import_report(ing.import_leads(new, old)).first().asDict() == {"imported_count": 1, "error_count": 1}
+
+
+def test_no_side_that_grows_is_broadcast(spark, tmp_path):
+    """Tables whose files are small hold many rows: joins of new with stored leads must not pass one through the driver."""
+    fields = "id bigint, user_id bigint, company string, email string, phone string, website string"
+    new = spark.createDataFrame([(1, 1, "Small ring 1 Ltda", "A@b.com", "1", "http://x.com")], fields)
+    old = spark.createDataFrame([(7, 1, "small ring 1", "a@b.com", None, None), (8, 1, "other", None, "2", None)], fields)
+    new.write.parquet(str(tmp_path / "new"))
+    old.write.parquet(str(tmp_path / "old"))
+    found = du.detect_duplicates(spark.read.parquet(str(tmp_path / "new")), spark.read.parquet(str(tmp_path / "old")))
+    assert [(r["similar_name"], r["same_email"], r["same_phone"], r["same_domain"]) for r in found.collect()] == [(True, True, False, False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
