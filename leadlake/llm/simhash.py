@@ -13,7 +13,7 @@ r / 4 (33 variants) must meet another's. Fingerprints that meet nobody near enou
 whole fingerprint can span. There a text has a wide fingerprint, cut into bands; each band emits its ball, and texts that meet in
 any band are compared by their shingles. The width of a band grows with the logarithm of the number of texts, so that
 chance meetings stay rare, and the number of bands is the least that finds the aimed share of the pairs at the
-border of similarity.
+border of similarity. What the bands leave is found by an exact join of the groups that they made, so no link is lost.
 
 Defined results: a null text counts as an empty one; texts without words have fingerprint zero, linked like any other;
 repeated rows share a component; documents with a null key keep a fingerprint, and their component is the smallest
@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.llm.components import connected_components
@@ -279,8 +279,26 @@ def _spread_by(rows: DataFrame, column: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
 
+#: Bits of the parity bitmap of a text's different shingles.
+PARITY = 1024
+#: Shingles counted together in a task, and how many of the commonest ones are ranked by their count.
+COUNTED, COMMON = 1 << 22, 1 << 16
+
+
+def _distinct_shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingle hashes of each text, sorted within the text, and the number of the text of each."""
+    hashes, bounds = shingle_hashes(data, offsets, shingle)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[fresh], text[fresh]
+
+
 def _shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(tid, shingles): the different shingle hashes, sorted, of the wanted texts: (tid)."""
+    """(tid, n, parity, shingles) of the wanted texts, (tid): the number of different shingle hashes, the parity of how many fall
+    on each bit of a bitmap, and the sorted hashes."""
     shared = texts.sparkSession.sparkContext.broadcast(make_filter(wanted, "tid"))
 
     def work(batches):
@@ -289,38 +307,158 @@ def _shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
             some = batch.take(pa.array(np.flatnonzero(in_filter(shared.value, tids.view(np.uint64)))))
             data, offsets = flat(some.column(1))
             for i, j in slices(offsets, 1 << 20):
-                hashes, bounds = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["tid", "shingles"])
+                hashes, text = _distinct_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                ends = np.searchsorted(text, np.arange(j - i + 1))
+                sets = [hashes[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                parity = [
+                    np.packbits((np.bincount((hashes[a:b] >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+                    for a, b in zip(ends, ends[1:])
+                ]
+                columns = [pa.array(np.diff(ends).astype(np.int32)), pa.array(parity, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), *columns], names=["tid", "n", "parity", "shingles"])
 
-    return map_arrow(texts, work, "tid bigint, shingles binary").join(wanted, "tid", "left_semi")
+    return map_arrow(texts, work, "tid bigint, n int, parity binary, shingles binary").join(wanted, "tid", "left_semi")
 
 
-def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
-    """(u, v): links between texts whose different shingles have at least that similarity (Jaccard). ``texts``: (tid bigint, text), where
-    equal texts have equal tids. Texts without words are alike. Texts that meet in a band are each linked to the least of them, if
-    they are similar, so a group of copies forms no pairs."""
-    width, bands = band_plan(texts.agg(F.approx_count_distinct("tid")).first()[0], similarity, recall)
-    prints = stored(wide_fingerprints(texts, shingle, width * bands).dropDuplicates(["tid"]), "wide-fingerprints")
-    low = _band_rows(prints, width, bands).groupBy("variant").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
-    low = stored(low.where("low != high").select("variant", "low"), "meeting")
-    met = _band_rows(prints, width, bands, make_filter(low, "variant")).join(low, "variant").where("tid != low")
-    pairs = stored(_not_by_chance(met.select("tid", "low").distinct(), prints, width * bands, similarity), "candidates")
+def _alike(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs (tid, low) whose shingles are similar enough."""
     wanted = stored(pairs.select(F.explode(F.array("tid", "low")).alias("tid")).distinct(), "compared")
     sets = stored(_shingle_sets(texts, wanted, shingle).dropDuplicates(["tid"]), "shingle-sets")
-    other = sets.select(F.col("tid").alias("low"), F.col("shingles").alias("others"))
+
+    def both(*columns: str) -> DataFrame:
+        mine = sets.select("tid", *columns)
+        other = sets.select(F.col("tid").alias("low"), *[F.col(c).alias(f"other_{c}") for c in columns])
+        names = [x for c in columns for x in (c, f"other_{c}")]
+        return pairs.join(mine, "tid").join(other, "low").select(F.col("tid").alias("u"), F.col("low").alias("v"), *names)
+
+    def near(batches):
+        # each odd bit that differs is a shingle that one of them lacks; similar texts lack no more than this share
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
+                lacking = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                n = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
+                yield batch.filter(pa.array(lacking <= (1 - similarity) / (1 + similarity) * n + 1e-6)).select(["u", "v"])
 
     def compare(batches):
         for batch in batches:
             alike = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(both >= similarity * (len(x) + len(y) - both))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.filter(pa.array(alike, pa.bool_())).select(["u", "v"])
 
-    rows = pairs.join(sets, "tid").join(other, "low").select(F.col("tid").alias("u"), F.col("low").alias("v"), "shingles", "others")
-    return map_arrow(rows, compare, "u bigint, v bigint")
+    pairs = stored(map_arrow(both("n", "parity"), near, "u bigint, v bigint").select(F.col("u").alias("tid"), F.col("v").alias("low")), "near-pairs")
+    return map_arrow(both("shingles"), compare, "u bigint, v bigint")
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """About the commonest shingles, sorted, and their counts: those seen four times or more by a task. They only set the order
+    of shingles, and any order finds the same links."""
+
+    def work(batches):
+        held, size = [], 0
+
+        def counted():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            some = counts >= 4
+            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some])], names=["shingle", "n"])
+
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for i, j in slices(offsets, 1 << 20):
+                held.append(_distinct_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)[0])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    seen = map_arrow(texts, work, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    most = seen.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    values, counts = np.asarray(most.column(0), np.int64).view(np.uint64), np.asarray(most.column(1), np.int64)
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def _prefix_rows(texts: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray], met: np.ndarray | None = None) -> DataFrame:
+    """(tid, shingle, n, place): the first of a text's n different shingles, rarest first, as many as a similar text cannot lack
+    all of; or those in the filter ``met`` only. Texts without words share a shingle of their own."""
+    shared = texts.sparkSession.sparkContext.broadcast((*common, met))
+
+    def work(batches):
+        values, counts, met = shared.value
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for i, j in slices(offsets, 1 << 20):
+                hashes, text = _distinct_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                times = np.zeros(len(hashes), np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+                    times = np.where(values[at] == hashes, counts[at], 0)
+                order = np.lexsort((hashes, times, text))
+                hashes, text = hashes[order], text[order]
+                n = np.bincount(text, minlength=j - i)
+                place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+                keep = place < (n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1)[text]
+                blank = np.flatnonzero(n == 0)
+                hashes, text, place = (np.concatenate([a[keep], b]) for a, b in ((hashes, np.zeros(len(blank), np.uint64)), (text, blank), (place, np.zeros(len(blank), np.int64))))
+                if met is not None:
+                    some = in_filter(met, hashes)
+                    hashes, text, place = hashes[some], text[some], place[some]
+                tid = np.asarray(batch.column(0).slice(i, j - i), np.int64)[text]
+                columns = [pa.array(tid), pa.array(hashes.view(np.int64)), pa.array(n[text].astype(np.int32)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["tid", "shingle", "n", "place"])
+
+    return map_arrow(texts, work, "tid bigint, shingle bigint, n int, place int")
+
+
+def missed_links(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): every link between texts of different groups, ``roots``: (node, root); texts without a row are groups of their own.
+
+    Exact, by prefix filtering: with the shingles of all texts in one order, similar texts share one of the first few, and their
+    numbers of shingles and its places in them bound what they can share. Rare shingles come first, so what many texts hold
+    seldom brings them together. Groups meet before their texts do, so texts of one group form no pairs.
+    """
+    common = _common_shingles(texts, shingle)
+    firsts = _prefix_rows(texts, shingle, similarity, common).groupBy("shingle").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    met = make_filter(stored(firsts.where("low != high").select("shingle"), "shared-shingles"), "shingle")
+    held = _prefix_rows(texts, shingle, similarity, common, met).distinct()
+    rows = held.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    rows = stored(rows.select("shingle", "root", "tid", "n", (F.col("n") - 1 - F.col("place")).alias("rest")), "prefixes")
+    groups = rows.groupBy("shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+
+    def fits(least: str, most: str) -> Column:
+        long = (F.col(f"x.{most}") >= similarity * F.col(f"y.{least}") - 1e-6) & (F.col(f"y.{most}") >= similarity * F.col(f"x.{least}") - 1e-6)
+        needed = similarity / (1 + similarity) * (F.col(f"x.{least}") + F.col(f"y.{least}"))
+        return (F.col("x.shingle") == F.col("y.shingle")) & long & (1 + F.least("x.rest", "y.rest") >= needed - 1e-6)
+
+    met = groups.alias("x").join(groups.alias("y"), fits("low", "high") & (F.col("x.root") < F.col("y.root")))
+    met = met.select("x.shingle", F.col("x.root").alias("one"), F.col("y.root").alias("two"))
+    left = met.join(rows.withColumnRenamed("root", "one"), ["shingle", "one"]).alias("x")
+    both = left.join(rows.alias("y"), fits("n", "n") & (F.col("x.two") == F.col("y.root")))
+    pairs = both.select(F.greatest("x.tid", "y.tid").alias("tid"), F.least("x.tid", "y.tid").alias("low")).distinct()
+    return _alike(texts, stored(pairs, "left-candidates"), shingle, similarity)
+
+
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+    """(u, v): links between texts whose different shingles have at least that similarity (Jaccard); similar texts are always
+    connected by them. ``texts``: (tid bigint, text), where equal texts have equal tids. Texts without words are alike.
+
+    Texts that meet in a band are each linked to the least of them, if they are similar, so a group of copies forms no pairs.
+    Bands find ``recall`` of the pairs at the border; :func:`missed_links` finds every link that is left between two groups.
+    """
+    width, bands = band_plan(texts.agg(F.approx_count_distinct("tid")).first()[0], similarity, recall)
+    prints = stored(wide_fingerprints(texts, shingle, width * bands).dropDuplicates(["tid"]), "wide-fingerprints")
+    low = _band_rows(prints, width, bands).groupBy("variant").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    low = stored(low.where("low != high").select("variant", "low"), "meeting")
+    met = _band_rows(prints, width, bands, make_filter(low, "variant")).join(low, "variant").where("tid != low")
+    pairs = stored(_not_by_chance(met.select("tid", "low").distinct(), prints, width * bands, similarity), "candidates")
+    found = stored(_alike(texts, pairs, shingle, similarity), "band-links")
+    roots = stored(connected_components(found), "band-roots")
+    return found.unionByName(missed_links(texts, roots, shingle, similarity))
 
 
 def keep_unlike(

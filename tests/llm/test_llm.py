@@ -352,6 +352,29 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert not any(i in root for i in range(240, 440))
 
 
+def test_every_pair_at_the_border_is_connected(spark):
+    rng = random.Random(15)
+    texts = ["", " ", "\n", "one", "One", "a b c d e", "a b c d f"]
+    for _ in range(150):
+        # a changed word changes five shingles: as many as leave a similarity of 0.80 to 0.83; every text has a common line
+        base = ["this line is in every one of the texts here"] + [rng.choice(EN) + str(rng.randrange(4000)) for _ in range(rng.randint(100, 200))]
+        copy = list(base)
+        for k in rng.sample(range(10, len(base) - 5, 6), max(1, round(len(base) * 0.11 / 5))):
+            copy[k] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame([(i * 7919 % 4001, t) for i, t in enumerate(texts)], "tid bigint, text string")
+    tids, sets = [i * 7919 % 4001 for i in range(len(texts))], [plain_shingles(t) for t in texts]
+    near = {(max(tids[i], tids[j]), min(tids[i], tids[j])) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])}
+    assert len(near) > 100
+    links = sh.similar_links(docs)
+    assert {(max(r.u, r.v), min(r.u, r.v)) for r in links.collect()} <= near
+    root = {r.node: r.root for r in connected_components(links).collect()}
+    assert all(root.get(i, i) == root.get(j, j) for i, j in near)
+    # without any group before it, the exact join alone finds all pairs
+    alone = sh.missed_links(docs, spark.createDataFrame([], "node bigint, root bigint"), 5, 0.8)
+    assert {(r.u, r.v) for r in alone.collect()} == near
+
+
 def test_unlike_documents_stay_with_all_columns(spark, corpus, corpus_rows, nothing):
     helpers = ["tid", "key", "whole", "doc", "first", "last", "node", "root", "n", "kinds", "variant"]
     docs = corpus.select("doc_id", "text", *[F.lit(f"mine {c}").alias(c) for c in helpers])
