@@ -188,38 +188,52 @@ def _no_rows() -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["part", "fps", "counts"])
 
 
-def pointed_counts(rows: DataFrame, frequent: np.ndarray, least: int, bits: int) -> DataFrame:
+def pointed_counts(rows: DataFrame, frequent: np.ndarray, least: int, ranges: int, bits: int) -> DataFrame:
     """(fp, n, f, pointer, low, high): fingerprints in the filter with their counts, a pointer to one occurrence, and the least
-    and greatest second hash. ``rows``: (language, text, row)."""
+    and greatest second hash. ``rows``: (language, text, row). As in the first round, a batch sums its own and sends them in packed
+    ranges, so that what is sent are ranges of a batch and not its phrases."""
     shared, word_bits = rows.sparkSession.sparkContext.broadcast(frequent), WORD_BITS
+    shift = np.uint64(64 - (ranges - 1).bit_length()) if ranges > 1 else None
+    kinds = {"fps": np.uint64, "ns": np.uint8, "counts": np.int64, "pointers": np.int64, "lows": np.int64, "highs": np.int64}
+
+    def summed(fps, ns, counts, pointers, lows, highs):
+        order = np.lexsort((ns, fps))
+        fps, ns = fps[order], ns[order]
+        fresh = np.ones(len(fps), bool)
+        fresh[1:] = (fps[1:] != fps[:-1]) | (ns[1:] != ns[:-1])
+        at = np.flatnonzero(fresh)
+        if not len(at):
+            return fps, ns, counts, pointers, lows, highs
+        sums = np.add.reduceat(counts[order], at), np.minimum.reduceat(pointers[order], at)
+        return fps[at], ns[at], *sums, np.minimum.reduceat(lows[order], at), np.maximum.reduceat(highs[order], at)
 
     def work(batches):
         for words, languages, row in _groups(batches, True):
             fingerprints = Fingerprints(words, languages, bits)
             pointer = row[words.text] << word_bits | np.minimum(words.nth, (1 << word_bits) - 1)
+            found = []
             for n in range(1, LONGEST + 1):
                 at = words.grams(n)
                 fps = fingerprints.of(at, n)
                 some = in_filter(shared.value, fps)
                 at, fps = at[some], fps[some]
-                check = fingerprints.check(at, n)
-                order = np.lexsort((check, fps))
-                at, fps, check = at[order], fps[order], check[order]
-                fresh = np.ones(len(at), bool)
-                fresh[1:] = (fps[1:] != fps[:-1]) | (check[1:] != check[:-1])
-                first = np.flatnonzero(fresh)
-                low = np.minimum.reduceat(pointer[at], first) if len(first) else at
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(fps[first].view(np.int64)), pa.array(np.full(len(first), n, np.int32)), pa.array(np.diff(first, append=len(at))),
-                        pa.array(low), pa.array(check[first].view(np.int64)),
-                    ],
-                    names=["fp", "n", "f", "pointer", "check"],
-                )
+                check = fingerprints.check(at, n).view(np.int64)
+                found.append(summed(fps, np.full(len(at), n, np.uint8), np.ones(len(at), np.int64), pointer[at], check, check))
+            columns = summed(*[np.concatenate(c) for c in zip(*found)])
+            fps = columns[0]
+            cuts = [0, len(fps)] if shift is None else [*np.searchsorted(fps, np.arange(ranges, dtype=np.uint64) << shift).tolist(), len(fps)]
+            parts = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            packed = [pa.array([c[a:b].tobytes() for _, a, b in parts], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), *packed], names=["part", *kinds])
+
+    def merge(table):
+        fps, ns, counts, pointers, lows, highs = summed(*[np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds.items()])
+        keep = counts >= least
+        found = {"fp": fps.view(np.int64), "n": ns.astype(np.int32), "f": counts, "pointer": pointers, "low": lows, "high": highs}
+        return pa.table({c: pa.array(v[keep]) for c, v in found.items()})
 
-    found = map_arrow(rows.select("language", "text", "row"), work, "fp bigint, n int, f bigint, pointer bigint, check bigint")
-    summed = found.groupBy("fp", "n").agg(F.sum("f").alias("f"), F.min("pointer").alias("pointer"), F.min("check").alias("low"), F.max("check").alias("high"))
-    return summed.where(F.col("f") >= least)
+    sent = map_arrow(rows.select("language", "text", "row"), work, "part int, " + ", ".join(f"{c} binary" for c in kinds))
+    return sent.groupBy("part").applyInArrow(merge, "fp bigint, n int, f bigint, pointer bigint, low bigint, high bigint")
 
 
 def materialised(rows: DataFrame, pointed: DataFrame, bits: int) -> DataFrame:
@@ -307,7 +321,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", ke
         counted.append(found.where("part >= 0").select("fp"))
         below = make_filter(counted[-1])
     every = counted[0].unionByName(counted[1]).unionByName(counted[2])
-    pointed = stored(pointed_counts(rows, make_filter(every), least, bits), "phrase-counts")
+    pointed = stored(pointed_counts(rows, make_filter(every), least, ranges, bits), "phrase-counts")
     collided = pointed.where("low != high")
     certain = pointed.where("low = high")
     phrases = certain.join(materialised(rows, certain, bits), ["fp", "n"]).select("lang", "n", "phrase", "f")
