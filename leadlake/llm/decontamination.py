@@ -90,7 +90,7 @@ class Block:
         gaps = np.frombuffer(expand.decompress(row["gaps"]), np.uint8).astype(np.int64)
         gaps[gaps == 255] = np.frombuffer(expand.decompress(row["wide"]), np.int32)
         sums = np.cumsum(gaps)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
         base = np.where(starts > 0, sums[starts - 1], 0) if len(starts) else starts
         places = sums - np.repeat(base, np.diff(ends, prepend=0)) - 1
         return cls(np.frombuffer(row["terms"], np.uint64), ends, places, np.frombuffer(row["bounds"], np.int64))
@@ -148,9 +148,10 @@ def near_places(block: Block, phrases: np.ndarray, within: int) -> list[tuple[in
             last: dict[int, int] = {}
             found = []
             for x, k in sorted((int(x), k) for k, own in enumerate(lists) for x in own[np.searchsorted(own, low) : np.searchsorted(own, high)]):
-                last[k] = x
+                before, last[k] = last.get(k, -1), x
                 least = min(last.values())
-                if len(last) == len(terms) and least <= place <= x < least + within:
+                # with the word in it before its last place, the stretch is not a narrowest one
+                if len(last) == len(terms) and before < least <= place <= x < least + within:
                     found.append((x - least, least, x))
             if found:
                 out.add((p, *min(found)[1:]))

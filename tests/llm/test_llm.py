@@ -669,7 +669,7 @@ def test_held_out_accuracy(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_document_is_answered(spark, name):
     rows = QUERIES[name](spark, SF_DIR).collect()
-    if name != "op3_topk":
+    if name not in ("op3_topk", "op11_collocations"):  # these answer queries and languages
         assert len(rows) == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
 
 
