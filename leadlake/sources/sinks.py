@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions.common import any_of
+from leadlake.session import spread
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str = "overwrite", splits: int = 4) -> None:
@@ -13,10 +14,9 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str
     and few row groups. A frequent token is spread over ``splits`` tasks and files by its lead id; raise both numbers with
     the table.
     """
+    parted = postings.withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
     (
-        postings.withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        .withColumn("_part", F.pmod(F.xxhash64("lead_id"), F.lit(splits)))
-        .repartition("token_bucket", "_part")
+        spread(parted.withColumn("_part", F.pmod(F.xxhash64("lead_id"), F.lit(splits))), "token_bucket", "_part")
         .drop("_part")
         .sortWithinPartitions("token_bucket", "token", "lead_id")
         .write.mode(mode)
