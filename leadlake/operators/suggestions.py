@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadlake.functions.text import parse_query
 from leadlake.operators.filters import ilike_contains, ilike_prefix
 from leadlake.operators.suffixes import containing
+from leadlake.session import spread
 from leadlake.sources.tables import tenant_scan
 
 
@@ -97,7 +98,7 @@ def related_queries(queries: DataFrame, popular: DataFrame, pool: int | None = N
     if pool is not None:
         popular = popular.orderBy(F.col("count").desc(), F.col("query").desc()).limit(pool)
     one = F.lit(0).cast("bigint").alias("scope")
-    keyed = queries.select("query_id", "query_text", F.explode_outer(F.array_distinct(parse_query(F.col("query_text"))["terms"])).alias("piece"))
+    keyed = spread(queries, "query_id", "query_text").select("query_id", "query_text", F.explode_outer(F.array_distinct(parse_query(F.col("query_text"))["terms"])).alias("piece"))
     texts = popular.filter(F.col("query").isNotNull()).select(F.col("query").alias("text"), "count")
     lowered = texts.select(one, F.lower("text").alias("text"))
     met = containing(lowered, keyed.select(one, "piece")).select("piece", F.col("text").alias("lowered"))
