@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadlake.operators.changes import DELETE, latest_change
 from leadlake.operators.index import build_postings
-from leadlake.session import path_exists, stored
+from leadlake.session import path_exists, spread, stored
 
 #: Partitions of the compacted base.
 BUCKETS = 64
@@ -24,10 +24,12 @@ def keep_index(changes: DataFrame, path: str, checkpoint: str, order: str = "seq
     within a micro-batch; of several changes of a lead the last counts."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = latest_change(batch, "id", order)
+        # rows are few bytes and postings much work: dealt over all tasks, and held for both tables
+        last = latest_change(spread(batch, "id"), "id", order).persist()
         marks = last.select(F.col("id").alias("lead_id"), (F.col("op") == DELETE).alias("removed"))
         marks.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
         build_postings(last.filter(F.col("op") != DELETE)).write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+        last.unpersist()
 
     writer = changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     if once:
@@ -77,8 +79,10 @@ def compact_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> int
         kept = spark.read.parquet(f"{path}/base").select("token", "lead_id", "bucket").join(touched, "bucket", "left_semi").join(changed, "lead_id", "left_anti")
         empty = touched.select(F.lit(None).cast("string").alias("token"), F.lit(None).cast("bigint").alias("lead_id"), "bucket")
         rows = rows.unionByName(kept.filter(F.col("token").isNotNull()).select("token", "lead_id", "bucket")).unionByName(empty)
-    merged = stored(rows, "folded-postings")  # read before its source is replaced
-    spread = merged.repartition("bucket").sortWithinPartitions("bucket", "token", "lead_id")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/base")
+    merged = rows if folded < 0 else stored(rows, "folded-postings")  # read before its source is replaced
+    # a bucket is split by lead over several tasks; four pieces to a task, so that chance does not give one task much more
+    splits = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    dealt = spread(merged.withColumn("_part", F.pmod(F.hash("lead_id"), F.lit(splits))), "bucket", "_part").drop("_part")
+    dealt.sortWithinPartitions("bucket", "token", "lead_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/base")
     spark.createDataFrame([(last,)], "batch int").write.mode("append").parquet(f"{path}/folded")
     return last
