@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from leadlake.llm.components import connected_components
 from leadlake.llm.filters import in_filter, make_filter
-from leadlake.llm.ship import map_arrow
+from leadlake.llm.ship import give_back, map_arrow
 from leadlake.llm.textbytes import LOWER, NOT_SPACE, flat, mix, prefix_hash, slices, span_hash, word_spans
 from leadlake.session import stored
 
@@ -232,35 +232,83 @@ def wide_fingerprints(texts: DataFrame, shingle: int, bits: int) -> DataFrame:
     return map_arrow(texts, work, "tid bigint, wide binary")
 
 
-def _band_rows(prints: DataFrame, width: int, bands: int, met: np.ndarray | None = None) -> DataFrame:
-    """(tid, variant): every variant within one bit of each band of a fingerprint, or those in the filter ``met`` only."""
+def _band_ranges(prints: DataFrame, width: int, bands: int, high: int) -> DataFrame:
+    """(range, tids, values, sketches): every band of the fingerprints in the range of values that its ``high`` upper bits name, and
+    with one of these bits flipped in the range next to it. Packed by range: 64-bit tids, twice the values (and one more in the
+    range where the text is at home), and 64 bits of the fingerprint that begin behind the band."""
     weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
-    flips = np.concatenate([np.zeros(1, np.uint64), weights])
-    shared = None if met is None else prints.sparkSession.sparkContext.broadcast(met)
+    flips = np.concatenate([np.zeros(1, np.uint64), weights[width - high :]])
 
     def work(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                some = batch.slice(i, 2000)
-                packed = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, -1)
-                bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : width * bands].reshape(-1, bands, width)
-                value = (bits * weights).sum(2, dtype=np.uint64)[:, :, None] ^ flips
-                variant = ((np.arange(bands, dtype=np.uint64)[None, :, None] << np.uint64(width)) | value).reshape(-1)
-                # mixed, so that their low bits name them, too
-                variant, tid = mix(variant), np.repeat(np.asarray(some.column(0), np.int64), bands * len(flips))
-                if shared is not None:
-                    keep = in_filter(shared.value, variant)
-                    variant, tid = variant[keep], tid[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(variant.view(np.int64))], names=["tid", "variant"])
-
-    return map_arrow(_spread_by(prints, "tid"), work, "tid bigint, variant bigint")
+            if not batch.num_rows:
+                continue
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : width * bands].reshape(-1, bands, width)
+            value = (bits * weights).sum(2, dtype=np.uint64)[:, :, None] ^ flips
+            band = np.arange(bands, dtype=np.uint64)[None, :, None]
+            place = ((band << np.uint64(high)) | (value >> np.uint64(width - high))).reshape(-1)
+            twice = ((value << np.uint64(1)) | (np.arange(len(flips)) == 0).astype(np.uint64)).reshape(-1)
+            behind = (-(-width * np.arange(1, bands + 1) // 8)[:, None] + np.arange(8)) % packed.shape[1]
+            sketch = np.repeat(np.ascontiguousarray(packed[:, behind]).view(np.uint64).reshape(-1), len(flips))
+            tid = np.repeat(np.asarray(batch.column(0), np.int64), bands * len(flips))
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            ends = np.flatnonzero(np.append(place[1:] != place[:-1], True)) + 1
+            cut = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist()))
+            columns = [pa.array([x[order[i:j]].tobytes() for i, j in cut], pa.binary()) for x in (tid, twice, sketch)]
+            yield pa.RecordBatch.from_arrays([pa.array(place[ends - 1].astype(np.int64)), *columns], names=["range", "tids", "values", "sketches"])
+
+    return map_arrow(_spread_by(prints, "tid"), work, "range bigint, tids binary, values binary, sketches binary")
+
+
+def _most_apart(bits: int, similarity: float) -> float:
+    """Of so many bits, how many may differ for a pair at the border of similarity: the expected share and four standard deviations."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * differ + 4 * math.sqrt(bits * differ * (1 - differ))
+
+
+def meet_in_range(tid: np.ndarray, twice: np.ndarray, sketch: np.ndarray, low_bits: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tid, low): the texts of one range of a band that meet at a value within one bit of theirs, with the least text there, if their
+    sketches differ by ``most`` bits or fewer. Of texts at home with one value the least looks around, so a group of copies stays small."""
+    order = np.lexsort((tid, twice))
+    tid, twice, sketch = tid[order], twice[order], sketch[order]
+    fresh = np.ones(len(tid), bool)
+    fresh[1:] = twice[1:] != twice[:-1]
+    least = np.flatnonzero(fresh & (twice & np.uint64(1) == 1))
+    value = twice >> np.uint64(1)
+    around = (value[least][:, None] ^ (np.uint64(1) << np.arange(low_bits, dtype=np.uint64))).reshape(-1)
+    value, who = np.concatenate([value, around]), np.concatenate([np.arange(len(tid)), np.repeat(least, low_bits)])
+    order = np.lexsort((tid[who], value))
+    value, who = value[order], who[order]
+    first = np.ones(len(who), bool)
+    first[1:] = value[1:] != value[:-1]
+    low = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    met = (tid[who] != tid[low]) & (np.bitwise_count(sketch[who] ^ sketch[low]) <= most)
+    found = np.unique(np.stack([tid[who[met]], tid[low[met]]], 1), axis=0)
+    return found[:, 0], found[:, 1]
+
+
+def _band_pairs(prints: DataFrame, texts: int, width: int, bands: int, similarity: float) -> DataFrame:
+    """(tid, low): texts whose fingerprints differ by two bits or fewer in a band, each with the least of those that it meets at a
+    value. A range of a band is one group; ranges get narrower with the number of texts, so no group grows with the table."""
+    high = min(width - 1, max(3, texts.bit_length() - 17))
+    most = _most_apart(64, similarity)
+
+    def meet(table):
+        tid, twice, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("tids", np.int64), ("values", np.uint64), ("sketches", np.uint64)))
+        tid, low = meet_in_range(tid, twice, sketch, width - high, most)
+        give_back()
+        return pa.table({"tid": pa.array(tid), "low": pa.array(low)})
+
+    ranges = _band_ranges(prints, width, bands, high)
+    return ranges.groupBy("range").applyInArrow(meet, "tid bigint, low bigint").distinct()
 
 
 def _not_by_chance(pairs: DataFrame, prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     """The pairs (tid, low) whose wide fingerprints differ by no more bits than a pair at the border of similarity may: the expected
     share and four standard deviations."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = bits * differ + 4 * math.sqrt(bits * differ * (1 - differ))
+    most = _most_apart(bits, similarity)
 
     def near(batches):
         for batch in batches:
@@ -279,7 +327,7 @@ def _spread_by(rows: DataFrame, column: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
 
-#: Bits of the parity bitmap of a text's different shingles.
+#: Bits of the parity bitmap of a text's different shingles, at least.
 PARITY = 1024
 #: Shingles counted together in a task, and how many of the commonest ones are ranked by their count.
 COUNTED, COMMON = 1 << 22, 1 << 16
@@ -296,9 +344,9 @@ def _distinct_shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> t
     return hashes[fresh], text[fresh]
 
 
-def _shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(tid, n, parity, shingles) of the wanted texts, (tid): the number of different shingle hashes, the parity of how many fall
-    on each bit of a bitmap, and the sorted hashes."""
+def _of_wanted(texts: DataFrame, wanted: DataFrame, shingle: int, name: str, of_text) -> DataFrame:
+    """(tid, n, ``name``) of the wanted texts, (tid): the number of different shingle hashes, and what ``of_text`` makes of the sorted
+    hashes."""
     shared = texts.sparkSession.sparkContext.broadcast(make_filter(wanted, "tid"))
 
     def work(batches):
@@ -309,48 +357,70 @@ def _shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
             for i, j in slices(offsets, 1 << 20):
                 hashes, text = _distinct_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 ends = np.searchsorted(text, np.arange(j - i + 1))
-                sets = [hashes[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                parity = [
-                    np.packbits((np.bincount((hashes[a:b] >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
-                    for a, b in zip(ends, ends[1:])
-                ]
-                columns = [pa.array(np.diff(ends).astype(np.int32)), pa.array(parity, pa.binary()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), *columns], names=["tid", "n", "parity", "shingles"])
-
-    return map_arrow(texts, work, "tid bigint, n int, parity binary, shingles binary").join(wanted, "tid", "left_semi")
+                made = [of_text(hashes[a:b]) for a, b in zip(ends, ends[1:])]
+                columns = [some.column(0).slice(i, j - i), pa.array(np.diff(ends).astype(np.int32)), pa.array(made, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["tid", "n", name])
+
+    rows = map_arrow(texts, work, f"tid bigint, n int, {name} binary")
+    return rows.join(wanted, "tid", "left_semi").dropDuplicates(["tid"])
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """The parity of how many hashes fall on each bit of a bitmap, by their low bits. It has a bit or more for each hash: in a narrower
+    one the parities of unlike texts differ in no more bits than similar texts may."""
+    size = max(PARITY, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else PARITY
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _lacking(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """In how many bits the parities of each pair differ. The wider one of a pair is folded to the other's width."""
+    out = np.zeros(len(one), np.int64)
+    least = [k for k, (a, b) in enumerate(zip(one, other)) if len(a) == len(b) == PARITY // 8]
+    if least:
+        x, y = (np.frombuffer(b"".join([some[k] for k in least]), np.uint64).reshape(len(least), -1) for some in (one, other))
+        out[least] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    for k, (a, b) in enumerate(zip(one, other)):
+        if len(a) > PARITY // 8 or len(b) > PARITY // 8:
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(c, np.uint64).reshape(-1, min(len(a), len(b)) // 8), axis=0) for c in (a, b))
+            out[k] = np.bitwise_count(x ^ y).sum()
+    return out
 
 
 def _alike(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): the pairs (tid, low) whose shingles are similar enough."""
-    wanted = stored(pairs.select(F.explode(F.array("tid", "low")).alias("tid")).distinct(), "compared")
-    sets = stored(_shingle_sets(texts, wanted, shingle).dropDuplicates(["tid"]), "shingle-sets")
+    """(u, v): the pairs (tid, low) whose shingles are similar enough. All are compared by parity; only the texts of pairs that this
+    leaves send their shingles."""
+
+    def members(some: DataFrame, name: str) -> DataFrame:
+        return stored(some.select(F.explode(F.array("tid", "low")).alias("tid")).distinct(), name)
 
-    def both(*columns: str) -> DataFrame:
-        mine = sets.select("tid", *columns)
-        other = sets.select(F.col("tid").alias("low"), *[F.col(c).alias(f"other_{c}") for c in columns])
-        names = [x for c in columns for x in (c, f"other_{c}")]
-        return pairs.join(mine, "tid").join(other, "low").select(F.col("tid").alias("u"), F.col("low").alias("v"), *names)
+    def both(some: DataFrame, of_texts: DataFrame, column: str) -> DataFrame:
+        mine = of_texts.select("tid", "n", column)
+        other = of_texts.select(F.col("tid").alias("low"), F.col("n").alias("other_n"), F.col(column).alias(f"other_{column}"))
+        return some.join(mine, "tid").join(other, "low").select(F.col("tid").alias("u"), F.col("low").alias("v"), "n", "other_n", column, f"other_{column}")
 
     def near(batches):
         # each odd bit that differs is a shingle that one of them lacks; similar texts lack no more than this share
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
-                lacking = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                lacking = _lacking(batch.column(4).to_pylist(), batch.column(5).to_pylist())
                 n = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
                 yield batch.filter(pa.array(lacking <= (1 - similarity) / (1 + similarity) * n + 1e-6)).select(["u", "v"])
 
     def compare(batches):
         for batch in batches:
             alike = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.filter(pa.array(alike, pa.bool_())).select(["u", "v"])
 
-    pairs = stored(map_arrow(both("n", "parity"), near, "u bigint, v bigint").select(F.col("u").alias("tid"), F.col("v").alias("low")), "near-pairs")
-    return map_arrow(both("shingles"), compare, "u bigint, v bigint")
+    parities = stored(_of_wanted(texts, members(pairs, "compared"), shingle, "parity", _parity), "parities")
+    left = map_arrow(both(pairs, parities, "parity"), near, "u bigint, v bigint").select(F.col("u").alias("tid"), F.col("v").alias("low"))
+    left = stored(left, "near-pairs")
+    # not stored: both sides of the pairs read one shuffle of the sets
+    sets = _of_wanted(texts, members(left, "near-texts"), shingle, "shingles", np.ndarray.tobytes)
+    return map_arrow(both(left, sets, "shingles"), compare, "u bigint, v bigint")
 
 
 def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -450,12 +520,11 @@ def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     Texts that meet in a band are each linked to the least of them, if they are similar, so a group of copies forms no pairs.
     Bands find ``recall`` of the pairs at the border; :func:`missed_links` finds every link that is left between two groups.
     """
-    width, bands = band_plan(texts.agg(F.approx_count_distinct("tid")).first()[0], similarity, recall)
+    number = texts.agg(F.approx_count_distinct("tid")).first()[0]
+    width, bands = band_plan(number, similarity, recall)
     prints = stored(wide_fingerprints(texts, shingle, width * bands).dropDuplicates(["tid"]), "wide-fingerprints")
-    low = _band_rows(prints, width, bands).groupBy("variant").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
-    low = stored(low.where("low != high").select("variant", "low"), "meeting")
-    met = _band_rows(prints, width, bands, make_filter(low, "variant")).join(low, "variant").where("tid != low")
-    pairs = stored(_not_by_chance(met.select("tid", "low").distinct(), prints, width * bands, similarity), "candidates")
+    pairs = _band_pairs(prints, number, width, bands, similarity)
+    pairs = stored(_not_by_chance(pairs, prints, width * bands, similarity), "candidates")
     found = stored(_alike(texts, pairs, shingle, similarity), "band-links")
     roots = stored(connected_components(found), "band-roots")
     return found.unionByName(missed_links(texts, roots, shingle, similarity))
