@@ -4,10 +4,10 @@ Every window of 100 bytes (a string to look for) is filed under its anchor: the
 windows have equal anchors, so only texts around a shared anchor can hold repeats; a run of windows with one anchor,
 with the bytes it covers, is that anchor's context. Equal contexts are folded into their first (they repeat it as a whole),
 by hashes alone. The different contexts of one anchor (and those that can repeat within themselves) go together to one task, which splits them into shards, builds the
-Burrows-Wheeler transform of each shard, and merges the transforms by refining their interleave one symbol at a time.
-After 100 steps the interleave sorts all suffixes by 100 symbols, and the borders kept along the way (common prefixes
-shorter than that) delimit the repeated intervals; no suffixes are sorted again. All but the first window of an interval
-are repeats. An anchor's group is as large as the different contexts around one string of 32 bytes, not as its copies.
+Burrows-Wheeler transform of each shard, and merges the transforms by refining their interleave a few symbols at a time.
+After 100 symbols the interleave sorts all suffixes that still share them, and the borders kept along the way (common prefixes
+shorter than that) delimit the repeated intervals; no suffixes are sorted again. Suffixes that share nothing more, or have met
+the end of their context, are left out of the steps that follow. All but the first window of an interval are repeats. An anchor's group is as large as the different contexts around one string of 32 bytes, not as its copies.
 
 Defined results: a null text counts as an empty one; rows with equal id and text are one document and get the same
 answer; texts with one id are in order of a hash of the text; a null id comes before all others; texts shorter than
@@ -30,7 +30,7 @@ from leadlake.session import stored
 
 LENGTH, GRAM = 100, 32
 #: Windows of one context; bytes of contexts that are merged at a time; shards of such a group.
-RUN, GROUP_BYTES, SHARDS = 1024, 1 << 19, 4
+RUN, GROUP_BYTES, SHARDS = 1024, 1 << 17, 4
 _NO_KEY = -(1 << 63)
 
 
@@ -73,6 +73,23 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
 
 
 # --- Burrows-Wheeler transforms of shards, and their merge ------------------------------------------
+def _ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys below 2^(64 - ``bits``), and which of them, in that order, differ from the one before: each takes its
+    place along in the low bits, so that plain numbers are sorted."""
+    value = (keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    value.sort()
+    order = (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+    value >>= np.uint64(bits)
+    return order, value[1:] != value[:-1]
+
+
+def _dense(codes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Codes below ``size`` renumbered in their order without gaps, and how many there are."""
+    used = np.zeros(size, bool)
+    used[codes] = True
+    return (np.cumsum(used, dtype=np.int32) - 1)[codes], int(used.sum())
+
+
 def shard_transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of all strings (as places in the strings joined with an end mark each) in order of ``depth`` symbols or
     more, each string read as a ring; the symbol before each; and the rank of the suffix one symbol longer."""
@@ -81,15 +98,25 @@ def shard_transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarr
     symbols = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: the mark is 0
     follow = np.arange(1, len(symbols) + 1, dtype=np.int64)
     follow[end] = end - size + 1
-    ahead, rank, step = follow, symbols.astype(np.uint64), 1
-    order = np.argsort(symbols, kind="stable")
-    while step < depth:
-        value = (rank << np.uint64(32)) | rank[ahead]
-        order = np.argsort(value, kind="stable")
-        ordered = value[order]
+    bits = len(symbols).bit_length()
+    # as many symbols at first, and as many ranks in each later step, as stand in a number beside the place
+    codes, kinds = _dense(symbols, 256)
+    rank, width, step, ahead = codes.astype(np.uint64), kinds.bit_length(), 1, follow
+    while True:
+        keys, taken, part = rank, 1, ahead
+        while (taken + 1) * width + bits <= 64 and taken * step < depth:
+            keys, taken, part = (keys << np.uint64(width)) | rank[part], taken + 1, ahead[part]
+        if taken > 1 or step >= depth:
+            order, differ = _ranked(keys, bits)
+        else:  # too many symbols for that
+            keys, taken, part = (rank << np.uint64(32)) | rank[ahead], 2, ahead[ahead]
+            order = np.argsort(keys, kind="stable")
+            differ = keys[order[1:]] != keys[order[:-1]]
+        ahead, step, width = part, step * taken, bits
+        if step >= depth:
+            break
         rank = np.empty(len(order), np.uint64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
-        ahead, step = ahead[ahead], step * 2
+        rank[order] = np.concatenate([[0], np.cumsum(differ)]).astype(np.uint64)
     back = np.empty_like(follow)
     back[follow] = np.arange(len(follow))
     place = np.empty(len(order), np.int32)
@@ -98,24 +125,41 @@ def shard_transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarr
     return order, symbols[before], place[before]
 
 
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(
+    shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int = LENGTH, left: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The shards' suffixes (numbered through all shards) interleaved in order of ``depth`` symbols, and the number of
-    the interval of each: suffixes of one interval share ``depth`` symbols. ``depth`` is even: a step takes two symbols."""
+    the interval of each: suffixes of one interval share ``depth`` symbols. ``depth`` is even: a step takes two symbols, or four
+    where the group has few different ones.
+
+    With ``left``, the symbols that each suffix has before its end mark, only suffixes are returned that reach ``depth`` before
+    it and share an interval. The others are left out once this is known: a longer suffix that begins with two or four symbols before
+    one that stands alone, or has met its end, does so itself in the next step.
+    """
     base = np.cumsum([0] + [len(o) for o, _, _ in shards]).astype(np.int32)
     symbols = np.concatenate([s for _, s, _ in shards]).astype(np.uint16)
     longer = np.concatenate([rank + b for (_, _, rank), b in zip(shards, base)])
-    pairs, longer = (symbols[longer] << 8) | symbols, longer[longer]
+    ahead, longer, step = (symbols[longer] << 8) | symbols, longer[longer], 2
+    if depth % 4 == 0:
+        pairs, n = _dense(ahead, 1 << 16)
+        if n <= 1 << 12:
+            fours, m = _dense(pairs[longer] * n + pairs, n * n)
+            if m <= 1 << 16:
+                ahead, longer, step = fours.astype(np.uint16), longer[longer], 4
     interleave = np.arange(len(symbols), dtype=np.int32)
     interval = np.zeros(len(symbols), np.int32)
-    border = np.ones(len(symbols), bool)
-    for _ in range(depth // 2):
-        # the suffixes two symbols longer: by those symbols first, then in the present order
-        key = pairs[interleave]
+    for reached in range(step, depth + 1, step):
+        # the suffixes a step longer: by the symbols of the step first, then in the present order
+        key = ahead[interleave]
         order = np.argsort(key, kind="stable")
         interleave = longer[interleave[order]]
         key, interval = key[order], interval[order]
-        border[1:] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(border, dtype=np.int32)
+        border = np.ones(len(key) + 1, bool)
+        border[1:-1] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
+        interval = np.cumsum(border[:-1], dtype=np.int32)
+        if left is not None:
+            stay = ~(border[:-1] & border[1:]) & (left[interleave] >= reached)
+            interleave, interval = interleave[stay], interval[stay]
     return interleave, interval
 
 
@@ -126,15 +170,16 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     bounds = np.linspace(0, len(contexts), min(SHARDS, len(contexts)) + 1).astype(int)
     parts = [contexts[a:b] for a, b in zip(bounds, bounds[1:])]
     shards = [shard_transform(p, length) for p in parts]
-    base = np.cumsum([0] + [len(o) for o, _, _ in shards])
-    interleave, interval = merge_transforms(shards, length)
-    place = np.concatenate([o + b for (o, _, _), b in zip(shards, base)])[interleave]
     size = np.array([len(c) + 1 for c in contexts])
-    start = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(contexts)), size)[place]
-    within = place - start[owner]
-    window = within + length <= size[owner] - 1
-    place, interval, owner, within = place[window], interval[window], owner[window], within[window]
+    stop = np.cumsum(size)
+    base = np.cumsum([0] + [len(o) for o, _, _ in shards])
+    at = np.concatenate([o + b for (o, _, _), b in zip(shards, base)])
+    # windows are the suffixes that reach their length before the end mark
+    left = (np.repeat(stop, size) - 1 - np.arange(stop[-1])).astype(np.int32)[at]
+    interleave, interval = merge_transforms(shards, length, left)
+    place = at[interleave]
+    owner = np.searchsorted(stop, place, "right")
+    within = place - (stop - size)[owner]
     order = np.lexsort((place, interval))  # contexts stand in order, so the least place is the first window
     later = np.zeros(len(order), bool)
     later[1:] = interval[order][1:] == interval[order][:-1]
@@ -191,8 +236,9 @@ def _found_runs(rows: DataFrame) -> DataFrame:
     windows = F.shiftright("place", 2).bitwiseAND(F.lit((1 << 11) - 1)).cast("int").alias("windows")
     start = F.shiftright("place", 13).alias("start")
     runs = _anchor_rows(rows).select("anchor", "hash", "key", "tag", start, windows, known.alias("known"), itself.alias("own"))
-    same = Window.partitionBy("anchor")
-    by_place = same.orderBy("hash", "key", "tag", "start")
+    by_place = Window.partitionBy("anchor").orderBy("hash", "key", "tag", "start")
+    # in the same order, so that the rows of an anchor are gone through once
+    same = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.lag(F.struct("hash", "key", "tag", "start")).over(by_place)
     return (
         runs.withColumn("before", before).withColumn("mixed", F.min("hash").over(same) != F.max("hash").over(same))
@@ -276,20 +322,27 @@ def _merged(contexts: DataFrame) -> DataFrame:
     return map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), work, "key bigint, tag bigint, start bigint, windows int")
 
 
-def _without(body: bytes, runs: list[dict], length: int = LENGTH) -> tuple[int, int, bytes]:
-    """Removed bytes, removed spans and what is left."""
-    removed = spans = 0
-    kept, at, last = [], 0, -1
-    for start, stop in sorted((r["start"], r["start"] + r["windows"] - 1 + length) for r in runs):
-        if start > at or last < 0:
-            kept.append(body[at:start])
-            spans += 1
-            removed += stop - start
-        elif stop > at:
-            removed += stop - at
-        at, last = max(at, stop), max(last, stop)
-    kept.append(body[at:])
-    return removed, spans, b"".join(kept)
+def _without(bodies: list[bytes], counts: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """For each body, which has ``counts`` of the runs: removed bytes, removed spans and what is left."""
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies], dtype=np.int64)])
+    owner = np.repeat(np.arange(len(bodies)), counts)
+    start = offsets[owner] + start
+    stop = start + windows - 1 + length
+    order = np.argsort(start, kind="stable")  # the runs of a body stay with it, as all bodies stand in a row
+    start, stop, owner = start[order], np.maximum.accumulate(stop[order]), owner[order]
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (start[1:] > stop[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    begin, end, owner = start[first], stop[np.append(first, len(stop))[1:] - 1], owner[first]
+    change = np.zeros(offsets[-1] + 1, np.int8)
+    change[begin] += 1
+    change[end] -= 1
+    keep = np.cumsum(change[:-1], dtype=np.int8) == 0
+    kept = np.frombuffer(b"".join(bodies), np.uint8)[keep].tobytes()
+    spans, removed = np.bincount(owner, minlength=len(bodies)), np.zeros(len(bodies), np.int64)
+    np.add.at(removed, owner, end - begin)
+    bounds = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).tolist()
+    return removed, spans, [kept[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -300,7 +353,9 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     merged = _merged(_contexts(rows, found))
     # runs that repeat as a whole overlap heavily: the same columns, whatever they come from
     every = found.where("not open").select("key", "tag", "start", "windows").unionByName(merged)
-    by_text = every.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    # a run has at most RUN windows
+    one = F.shiftleft("start", 11).bitwiseOR(F.col("windows").cast("bigint"))
+    by_text = every.groupBy("key", "tag").agg(F.collect_list(one).alias("runs"))
     joined = _packed_texts(rows).join(by_text, ["key", "tag"], "left")
 
     def work(batches):
@@ -309,12 +364,13 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             for i in range(0, batch.num_rows, 200):
                 some = batch.slice(i, 200)
                 bodies = [expand.decompress(b) if b else b"" for b in some.column(1).to_pylist()]
-                cut = [_without(b, r or []) for b, r in zip(bodies, some.column(2).to_pylist())]
+                runs = some.column(2)
+                packed = np.asarray(runs.flatten(), np.int64)
+                removed, spans, kept = _without(bodies, np.asarray(runs.value_lengths().fill_null(0)), packed >> 11, packed & ((1 << 11) - 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), pa.array([len(b) for b in bodies], pa.int64()), pa.array([c[0] for c in cut], pa.int64()),
-                        pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.binary()),
-                        pa.array([hashlib.sha256(c[2]).hexdigest() for c in cut], pa.string()),
+                        some.column(0), pa.array([len(b) for b in bodies], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
+                        pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                     ],
                     names=["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
                 )

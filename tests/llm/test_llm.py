@@ -514,6 +514,51 @@ def test_merged_transforms_sort_like_suffixes():
     assert sorted(Counter(every).values()) == sorted(Counter(interval.tolist()).values())
 
 
+@pytest.mark.parametrize(("alphabet", "depth"), [(b"ab", 16), (b"ab", 18), (bytes(range(97, 123)) + bytes(range(128, 250)), 12)])
+def test_merge_leaves_out_suffixes_that_stand_alone_or_end(alphabet, depth):
+    rng = random.Random(9)
+    strings = [bytes(rng.choice(alphabet) for _ in range(rng.randint(3, 4000 if len(alphabet) > 2 else 60))) for _ in range(12)]
+    strings += [s[len(s) // 3 :] + s[: len(s) // 2] for s in strings[:6]]
+    parts = [strings[i : i + 6] for i in (0, 6, 12)]
+    shards = [rp.shard_transform(p, depth) for p in parts]
+    sizes = [sum(len(s) + 1 for s in p) for p in parts]
+    at = np.concatenate([o + sum(sizes[:i]) for i, (o, _, _) in enumerate(shards)])
+    left = np.concatenate([np.arange(len(s), -1, -1) for s in strings])[at]
+    interleave, interval = rp.merge_transforms(shards, depth, left)
+    joined = b"".join(s + b"\xff" for s in strings)
+    every = Counter(s[i : i + depth] for s in strings for i in range(len(s) - depth + 1))
+    texts = [joined[p : p + depth] for p in at[interleave].tolist()]
+    assert sorted(Counter(texts).items()) == sorted((t, n) for t, n in every.items() if n > 1) and texts == sorted(texts)
+    assert all((a == b) == (x == y) for a, b, x, y in zip(texts, texts[1:], interval.tolist(), interval[1:].tolist()))
+    assert len(texts) < len(joined)
+
+
+def test_a_shard_of_millions_of_symbols_is_sorted():
+    body = np.random.default_rng(3).integers(97, 105, 2_200_000).astype(np.uint8)
+    order, before, longer = rp.shard_transform([body.tobytes()], 32)
+    heads = np.zeros(len(order), np.uint64)
+    ring = np.append(body + np.uint8(1), 0).astype(np.uint64)
+    for k in range(8):
+        heads = (heads << np.uint64(8)) | np.roll(ring, -k)
+    assert (np.diff(heads[order].view(np.int64)) >= 0).all() and len(np.unique(order)) == len(ring)
+    assert (before == np.roll(ring, 1)[order]).all() and (order[longer] == (order - 1) % len(ring)).all()
+
+
+def test_runs_of_many_bodies_are_cut_at_once():
+    rng = random.Random(4)
+    bodies = [rng.randbytes(n) for n in (0, 40, 9, 10, 300, 0, 25, 10)]
+    runs = [(i, s, rng.randint(1, len(b) - 9 - s)) for i, b in enumerate(bodies) if len(b) > 9 for s in rng.choices(range(len(b) - 9), k=i % 4)]
+    runs += [(4, 290, 1), (6, 0, 6), (6, 15, 1), (7, 0, 1), (7, 0, 1)]  # to the end, side by side, twice
+    runs.sort(key=lambda r: r[0])
+    owner, start, windows = (np.array(x, np.int64) for x in zip(*runs))
+    removed, spans, kept = rp._without(bodies, np.bincount(owner, minlength=len(bodies)), start, windows, 10)
+    for i, body in enumerate(bodies):
+        gone = {p for o, s, w in runs if o == i for p in range(s, s + w + 9)}
+        assert kept[i] == bytes(c for p, c in enumerate(body) if p not in gone)
+        assert removed[i] == len(gone) and spans[i] == sum(p - 1 not in gone for p in gone)
+    assert rp._without([b"", b"ab"], np.zeros(2, int), start[:0], windows[:0], 10)[2] == [b"", b"ab"]
+
+
 # --- op8 ----------------------------------------------------------------------------------------------
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda n: (n is None, n or ""))
