@@ -7,7 +7,7 @@ from lead_samples import NOW
 from pyspark.sql import functions as F
 
 from leadlake import fixed_values as fv
-from leadlake.functions.scoring import Taste, weight_map
+from leadlake.functions.scoring import Taste, text_score, weight_map
 from leadlake.operators import index as ix
 from leadlake.operators import suggestions as su
 from leadlake.operators.filters import LeadFilters, facet_selection
@@ -160,6 +160,39 @@ def test_blocks_bound_what_their_leads_score(spark, sample):
     assert len(rows) >= 5 and all(r["s"] <= r["bound"] + 1e-9 for r in rows)
 
 
+def test_postings_alone_give_the_score_of_plain_terms(spark, sample):
+    """The text score of plain terms is that of the texts to the last digit, of phrases not below it; every match is found."""
+    texts = ["software online", "tech ana zz", "soft mach solar learning", "soft_are tech", 'mach "learning for"', '"software for" "in"', "a b c d e f g h i tech solar ana soft online for mach learn ing cloud"]
+    log = spark.createDataFrame(list(enumerate(texts)), "query_id int, query_text string")
+    parsed = se._marked(se.parse_log(log))
+    lookups, taste = se._looked_up(parsed), se.default_taste()
+    postings = se.impact_postings(sample, lookups.select("term"), NOW, block_leads=1)
+    blocks = postings.join(lookups, "term").select("query_id", *se._BLOCK).distinct()
+    rated = {(r["query_id"], r["id"]): r for r in se._rated_pairs(blocks, postings, lookups, parsed, taste).collect()}
+    wanted = se.Wanted(F.col("terms"), F.col("phrases"), F.col("want_industry"), F.col("want_location"), F.col("want_size"))
+    score, _ = se.relevance(wanted, taste, se.timestamp(NOW))
+    met = sample.drop("user_id").join(parsed.filter("query_id != 3"), se.full_text_match(wanted.terms, wanted.phrases))
+    rows = met.select("query_id", "id", "sure", text_score(wanted).alias("text"), score.alias("s")).collect()
+    assert {r["query_id"] for r in rows} >= {0, 1, 2, 4, 5, 6} and {r["query_id"] for r in rows if r["sure"]} == {0, 1, 2}
+    for r in rows:
+        own = rated[r["query_id"], r["id"]]
+        assert (own["text"] == r["text"] if r["sure"] else own["text"] >= r["text"] - 1e-9) and own["bound"] >= r["s"] - 1e-9 and own["sure"] == r["sure"]
+    assert {k for k, r in rated.items() if r["sure"]} == {(r["query_id"], r["id"]) for r in rows if r["sure"]}
+
+
+def test_search_log_finds_leads_that_share_an_id_by_their_texts(spark, sample):
+    """Leads of one id with different texts, which postings put together, and requests of one id."""
+    other = sample.withColumn("company", F.concat(F.lit("Telemedicine of "), "company")).withColumn("description", F.lit("solar online"))
+    log = spark.createDataFrame([(0, "telemedicine zz"), (1, "solar zz"), (2, '"of solar" zz'), (3, '"solar online" zz')], "query_id int, query_text string")
+    alone = se.search_log(sample.unionByName(other.withColumn("id", F.col("id") + 1000)), log, NOW, limit=500).collect()
+    both = se.search_log(sample.unionByName(other), log, NOW, limit=500).collect()
+    found = lambda rows: {(r["query_id"], r["id"] % 1000, r["company"], r["relevance_score"]) for r in rows}
+    assert found(alone) <= found(both) and len(found(alone)) > 10
+    twice = se.search_log(sample, log.withColumn("query_id", F.lit(7)), NOW, limit=500).collect()
+    apart = se.search_log(sample, log, NOW, limit=500).collect()
+    assert {(r["query_text"], r["id"], r["relevance_score"]) for r in twice} >= {(r["query_text"], r["id"], r["relevance_score"]) for r in apart}
+
+
 def test_preferences_change_the_ranking(spark, sample, sample_rows):
     weights = {"industry_match": 0.7, "text_relevance": 0.3}
     liked = (["Saúde"], ["São Paulo, SP"])
